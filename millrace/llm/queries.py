@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, sharding
+from millrace.llm import chat_collapse, packing, sharding, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,17 @@ SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, CAST(0 AS INTEGER) AS part,
 FROM kept
 """
 
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_store(spark, store)
+
+
 SHARDS = 24
 
 
@@ -42,6 +54,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_collapse": op3_chat_collapse,
+    "op4_packing": op4_packing,
+    "op5_token_store": op5_token_store,
     "op7_sharding": op7_sharding,
 }
 ORACLE = {"op3_chat_collapse": OP3_SQL}
