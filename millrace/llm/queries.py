@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, packing, sharding, token_store
+from millrace.llm import chat_collapse, packing, sharding, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, store)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 SHARDS = 24
 
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_chat_collapse": op3_chat_collapse,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
 }
 ORACLE = {"op3_chat_collapse": OP3_SQL}

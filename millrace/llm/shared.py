@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    _release(df.sparkSession)
     return out
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`staged` that nothing reads any more."""
     for t in tables:
