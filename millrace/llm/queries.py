@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, packing, sharding, substring_dedup, token_store
+from millrace.llm import chat_collapse, near_dedup, packing, sharding, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.render(chat_collapse.collapse(table(spark, sf_dir, "conversations")))
 
@@ -58,6 +62,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_chat_collapse": op3_chat_collapse,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
