@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, near_dedup, packing, sharding, substring_dedup, token_store
+from millrace.llm import chat_collapse, matroska, near_dedup, packing, sharding, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.render(chat_collapse.collapse(table(spark, sf_dir, "conversations")))
 
@@ -63,6 +67,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_matroska": op2_matroska,
     "op3_chat_collapse": op3_chat_collapse,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
