@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, matroska, near_dedup, packing, sharding, substring_dedup, token_store
+from millrace.llm import chat_collapse, decontamination, matroska, near_dedup, packing, sharding, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,26 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from rows that are not held out."""
+    sample = toxicity.labelled_sample(docs, labels.where(~toxicity.held_out()), label="toxic")
+    return toxicity.fit(sample, label="label", text="text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits", "n_words"
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_matroska": op2_matroska,
@@ -73,5 +93,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE = {"op3_chat_collapse": OP3_SQL}
