@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, decontamination, matroska, near_dedup, packing, sharding, substring_dedup, token_store, toxicity
+from millrace.llm import chat_collapse, decontamination, licenses, matroska, near_dedup, packing, sharding, substring_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_matroska": op2_matroska,
@@ -95,5 +99,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_licenses": op10_licenses,
 }
 ORACLE = {"op3_chat_collapse": OP3_SQL}
