@@ -12,8 +12,8 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GAPS = re.compile(r"[\W_]+").sub
@@ -64,48 +64,69 @@ def myers(pattern: list[str], text: list[str], most: int) -> tuple[int, int] | N
     return best
 
 
-_HITS = "__id long, item_id long, distance int, end_word long, n_words long"
+class Matcher:
+    """Finds in a text the items that it holds within their budgets."""
 
-
-def _matches(items: dict[int, list[str]], share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, budgets, of = ahocorasick.Automaton(), {}, {}
-        for item, ws in items.items():
-            budgets[item] = budget(len(ws), share)
-            for begins, piece in pieces(ws, budgets[item]):
+    def __init__(self, items: dict[int, list[str]], share: float):
+        self.items = {i: ws for i, ws in items.items() if ws}
+        self.budgets = {i: budget(len(ws), share) for i, ws in self.items.items()}
+        of: dict[str, list[tuple[int, int]]] = {}
+        for item, ws in self.items.items():
+            for begins, piece in pieces(ws, self.budgets[item]):
                 of.setdefault(piece, []).append((item, begins))
+        self.found = ahocorasick.Automaton()
         for piece, users in of.items():
-            found.add_word(piece, (len(piece), users))
-        if of:
-            found.make_automaton()
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                flat = normal(text.as_py() or "")
-                hits = [(end - length + 1, users) for end, (length, users) in found.iter(flat)] if of else []
-                if not hits:
+            self.found.add_word(piece, (len(piece), users))
+        self.found.make_automaton()
+
+    def find(self, text: str) -> dict[int, tuple[int, int]]:
+        """item -> its least distance and the place after that passage among the normalised words."""
+        best: dict[int, tuple[int, int]] = {}
+        flat = normal(text)
+        if not self.items:
+            return best
+        hits = [(end - length + 1, users) for end, (length, users) in self.found.iter(flat)]
+        if not hits:
+            return best
+        ws, tried, before, at = flat.split(), set(), 0, 0
+        for start, users in sorted(hits, key=lambda h: h[0]):
+            before += flat.count(" ", at, start)
+            at = start
+            for item, begins in users:
+                e, first = self.budgets[item], before - begins
+                if (item, first) in tried:
                     continue
-                ws, best, tried = flat.split(), {}, set()
-                before = at = 0
-                for start, users in hits if len(hits) < 2 else sorted(hits, key=lambda h: h[0]):
-                    before += flat.count(" ", at, start)
-                    at = start
-                    for item, begins in users:
-                        e, n = budgets[item], len(items[item])
-                        first = before - begins
-                        if (item, first) in tried:
-                            continue
-                        tried.add((item, first))
-                        low = max(0, first - e)
-                        got = myers(items[item], ws[low : first + n + e], e)
-                        if got and (item not in best or (got[0], low + got[1]) < best[item]):
-                            best[item] = got[0], low + got[1]
-                rows += [(doc.as_py(), item, d, end, len(items[item])) for item, (d, end) in best.items()]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            columns = zip(*rows) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["__id", "item_id", "distance", "end_word", "n_words"])
-
-    return run
+                tried.add((item, first))
+                low = max(0, first - e)
+                got = myers(self.items[item], ws[low : max(0, first + len(self.items[item]) + e)], e)
+                if got and (item not in best or (got[0], low + got[1]) < best[item]):
+                    best[item] = got[0], low + got[1]
+        return best
+
+
+_HIT = "array<struct<item_id:long,distance:int,end_word:long,n_words:long>>"
+
+
+def held(text: Column, items: dict[int, list[str]], share: float) -> Column:
+    """The items that each text of a column holds."""
+
+    @F.pandas_udf(_HIT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items, share)
+        for texts in batches:
+            found = [matcher.find(t or "") for t in texts]
+            yield pd.Series([[dict(item_id=i, distance=d, end_word=e, n_words=len(items[i])) for i, (d, e) in f.items()] for f in found])
+
+    return run(text)
+
+
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[dict[int, list[str]]]:
+    """The items' words in blocks of about ``block_bytes`` of text; at least one block."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    for block in range(n):
+        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == block).collect()
+        yield {r["i"]: normal(r["t"]).split() for r in rows}
 
 
 def contaminated(
@@ -116,17 +137,22 @@ def contaminated(
 
     Of several passages the nearest, then the first counts; ``end_word`` is the place after it among the document's
     normalised words. Null or wordless texts and items match nothing; items under 8 words match unchanged only; equal
-    items are reported each; rows that share an id are reported each, distinct. Other columns are not read. An empty
-    table on either side gives no rows. Items go to tasks in blocks of about ``block_bytes`` of text, as many blocks as
-    the benchmark needs by its measured size, so what is sent at once does not grow with it.
+    items are reported each, of items with equal ids one; repeated rows are reported each. Other columns are not read.
+    An empty table on either side gives no rows. Items go to tasks in blocks of about ``block_bytes`` of text, as many
+    as the benchmark needs by its measured size, so what is sent at once does not grow with it.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
     out = None
-    for block in range(blocks):
-        part = {r["i"]: normal(r["t"]).split() for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()}
-        hits = slim.mapInArrow(_matches({i: ws for i, ws in part.items() if ws}, share), _HITS)
+    for items in blocks(benchmark, item_col, item_text, block_bytes):
+        hits = docs.select(F.col(id_col).alias("__id"), F.inline(held(F.col(text_col), items, share)))
         out = hits if out is None else out.unionByName(hits)
-    return out.distinct().withColumnRenamed("__id", id_col)
+    return out.withColumnRenamed("__id", id_col)
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    share: float = 0.1, block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, as they are. Rules as for :func:`contaminated`."""
+    for items in blocks(benchmark, item_col, item_text, block_bytes):
+        docs = docs.withColumn("__held", held(F.col(text_col), items, share)).where(F.size("__held") == 0).drop("__held")
+    return docs

@@ -202,3 +202,13 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     more = meets.unionByName(visits).select("node", "family", "sketch", "shingles", "root", "block", "other")
     more = more.groupBy("family", "block", "other").applyInPandas(_linked(percent), "a long, b long")
     return components(links.unionByName(more))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, as they are; one row for each id.
+
+    Rows without shingles are no copies of anything and stay, as do all rows with a null id.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("kept")
+    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")

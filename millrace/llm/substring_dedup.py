@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,33 +123,33 @@ def repeated_runs(keyed: DataFrame, width: int) -> DataFrame:
     return out
 
 
-_DONE = "__id long, __h long, n_words long, n_removed long, kept string, cut string"
+_DONE = "__id long, n_words long, n_removed long, kept string"
 
 
-def _keep(width: int, cut: bool):
+def _kept(raw_words: int, starts: np.ndarray, runs: np.ndarray, width: int) -> np.ndarray:
+    """Which words no window of the runs covers."""
+    edge = np.zeros(raw_words + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + runs + width - 1, -1)
+    return np.cumsum(edge)[:-1] == 0
+
+
+def _keep(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in words.slices(batch, 2):
+            for at, texts in words.slices(batch, 1):
                 rows = []
-                runs = batch.column(3).slice(at, len(texts)).to_pylist()
-                for raw, found in zip(texts, runs):
+                listed = [batch.column(i).slice(at, len(texts)) for i in (2, 3)]
+                for i, raw in enumerate(texts):
                     parts = raw.split()
-                    if not found:
-                        rows.append((len(parts), 0, b" ".join(parts), raw if cut else b""))
-                        continue
-                    edge = np.zeros(len(parts) + 1, np.int64)
-                    for r in found:
-                        edge[r["start"]] += 1
-                        edge[r["start"] + r["n"] + width - 1] -= 1
-                    keep = np.cumsum(edge)[:-1] == 0
-                    kept = b" ".join([p for p, k in zip(parts, keep) if k])
-                    rows.append((len(parts), len(parts) - int(keep.sum()), kept, _without(raw, keep) if cut else b""))
-                n, removed, kept, whole = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(whole, pa.binary()).cast(pa.string())],
-                    ["__id", "__h", "n_words", "n_removed", "kept", "cut"],
-                )
+                    keep = None
+                    if listed[0][i].is_valid:
+                        keep = _kept(len(parts), *(np.array(c[i].values, np.int64) for c in listed), width)
+                    kept = parts if keep is None else [p for p, k in zip(parts, keep) if k]
+                    rows.append((len(parts), len(parts) - len(kept), b" ".join(kept)))
+                n, removed, kept = zip(*rows)
+                columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], ["__id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -160,15 +161,42 @@ def _without(raw: bytes, keep: np.ndarray) -> bytes:
     return raw[: w.start[0]] + b"".join([raw[s:e] for s, e, k in zip(w.start, ends, keep) if k])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35, cut: bool = False) -> DataFrame:
-    """id, n_words, n_removed, kept (words joined by one space), and with ``cut`` the text with only the repeats cut out.
+def _listed(keyed: DataFrame, width: int) -> DataFrame:
+    """The runs of each row's key; a text's runs are no more than its words."""
+    runs = repeated_runs(keyed, width).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("__r"))
+    return runs.select(*_KEY, F.col("__r.start").alias("__starts"), F.col("__r.n").alias("__runs"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
+    """id, n_words, n_removed and kept (the words left, joined by one space) of every row of ``docs``.
 
     A word goes if some window of ``width`` consecutive words covers it whose words also start anywhere else in
     ``docs``, in the same document too; all copies go, judged on the input. Null, empty and short texts have no windows.
     Repeated rows are copies of each other. A null id stays null. Other columns are not read. No rows give no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    runs = repeated_runs(keyed, width).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("__runs"))
-    done = keyed.join(runs, _KEY, "left").select(*_KEY, "__text", "__runs").mapInArrow(_keep(width, cut), _DONE)
-    key = F.when(F.col("__id") != -(2**63), F.col("__id")).alias(id_col)
-    return done.select(key, "n_words", "n_removed", "kept", *(["cut", "__h"] if cut else []))
+    done = keyed.join(_listed(keyed, width), _KEY, "left").select("__id", "__text", "__starts", "__runs").mapInArrow(_keep(width), _DONE)
+    return done.select(F.when(F.col("__id") != -(2**63), F.col("__id")).alias(id_col), "n_words", "n_removed", "kept")
+
+
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+    """The rows of ``docs`` with repeated windows cut out of their texts, and all white space elsewhere as it was.
+
+    The same words go as by :func:`remove_repeats`; texts without any are unchanged, null ones stay null.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, runs: pd.Series) -> pd.Series:
+        out = []
+        for text, s, r in zip(texts, starts, runs):
+            if s is None or text is None:
+                out.append(text)
+            else:
+                raw = text.encode()
+                out.append(_without(raw, _kept(len(raw.split()), np.asarray(s, np.int64), np.asarray(r, np.int64), width)).decode())
+        return pd.Series(out, dtype=object)
+
+    listed = _listed(_keyed(docs, id_col, text_col), width).withColumnsRenamed({"__id": "__ki", "__h": "__kh"})
+    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64(text_col))
+    rows = rows.join(listed, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")), "left")
+    return rows.withColumn(text_col, cut(text_col, "__starts", "__runs")).select(*docs.columns)

@@ -19,7 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words
@@ -77,28 +77,30 @@ def weigh(found: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
     return sum(best.values()), len(best)
 
 
-def _weighed(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def weighed(text: Column, model: Model) -> Column:
+    """struct(weight, hits, n_words) of a text column."""
+
+    @F.pandas_udf("weight double, hits int, n_words long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = matcher(model)
-        for batch in batches:
-            sums, hits, lengths = [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                folded = fold(text.as_py() or "")
-                weight, n = weigh(found, folded)
-                sums.append(weight)
-                hits.append(n)
-                lengths.append(max(0, folded.count(" ") - 1))
-            new = [pa.array(sums, pa.float64()), pa.array(hits, pa.int32()), pa.array(lengths, pa.int64())]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *new], [*names, "weight", "hits", "n_words"])
+        for texts in batches:
+            rows = []
+            for text in texts:
+                folded = fold(text or "")
+                rows.append((*weigh(found, folded), max(0, folded.count(" ") - 1)))
+            yield pd.DataFrame(rows, columns=["weight", "hits", "n_words"])
+
+    return run(text)
 
-    return run
 
+def level(weighed_text: Column) -> Column:
+    """The weight for its length."""
+    return weighed_text["weight"] / (1 + F.log1p(weighed_text["n_words"] / 50))
 
-def weighed(rows: DataFrame, model: Model, keep: str, kept_type: str) -> DataFrame:
-    """``keep``, weight, hits and n_words of (keep, text) rows, and ``level``: the weight for its length."""
-    out = rows.mapInArrow(_weighed(model), f"{keep} {kept_type}, weight double, hits int, n_words long")
-    return out.withColumn("level", F.col("weight") / (1 + F.log1p(F.col("n_words") / 50)))
+
+def score_of(weighed_text: Column, model: Model) -> Column:
+    """0 without any match, 0.3 at the threshold, below 1."""
+    return 1 - F.pow(F.lit(0.7), level(weighed_text) / model.threshold)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,8 @@ def fit(
         heavy = sorted((t for t, w in weight.items() if w >= least_weight), key=lambda t: (-weight[t], t))[:most_terms]
         terms |= {t: weight[t] for t in heavy}
         model = Model(terms, exceptions, 1.0)
-        bins = weighed(rows.select("label", "text"), model, "label", "int").groupBy(F.floor(F.col("level") * 8).alias("bin"), "label").count().collect()
+        levels = rows.select("label", weighed(F.col("text"), model).alias("w")).select("label", F.floor(level(F.col("w")) * 8).alias("bin"))
+        bins = levels.groupBy("bin", "label").count().collect()
         return Model(terms, exceptions, threshold({(r["bin"], r["label"]): r["count"] for r in bins}))
     finally:
         rows.unpersist()
@@ -186,8 +189,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     Null and empty texts score 0; repeated rows score alike; other columns are not read; no rows give no rows.
     """
-    rows = weighed(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")), model, "__id", "long")
-    return rows.select(F.col("__id").alias(id_col), "hits", "n_words", (1 - F.pow(F.lit(0.7), F.col("level") / model.threshold)).alias("score"))
+    rows = docs.select(F.col(id_col).alias("__id"), weighed(F.col(text_col), model).alias("__w"))
+    return rows.select(F.col("__id").alias(id_col), "__w.hits", "__w.n_words", score_of(F.col("__w"), model).alias("score"))
+
+
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", most: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``most``, as they are."""
+    rows = docs.withColumn("__w", weighed(F.col(text_col), model))
+    return rows.where(score_of(F.col("__w"), model) < most).drop("__w")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 12_000) -> DataFrame:
