@@ -42,10 +42,10 @@ def borders(ids: np.ndarray) -> list[int]:
         return [n]
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(29)
-    rolling, factor = np.zeros(n - WINDOW + 1, np.uint64), 1
-    for k in range(WINDOW):
-        rolling += mixed[k : n - WINDOW + 1 + k] * np.uint64(factor)
-        factor = factor * _FACTOR % 2**64
+    rolling, size, factor = mixed, 1, _FACTOR
+    while size < WINDOW:  # the hash of twice as many ids from two hashes
+        rolling = rolling[:-size] * np.uint64(factor) + rolling[size:]
+        size, factor = size * 2, factor * factor % 2**64
     ends = np.flatnonzero((rolling & MASK) == 0) + WINDOW
     out, at = [], 0
     for end in [*ends.tolist(), n]:
@@ -67,15 +67,18 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def freeze(ids: bytes) -> bytes:
     """32-bit ids in their stored form: a width byte, then compressed ids."""
     wide = np.frombuffer(ids, "<u4")
     narrow = not len(wide) or int(wide.max()) < 65536
-    return (b"\2" if narrow else b"\4") + zstandard.ZstdCompressor(3).compress((wide.astype("<u2") if narrow else wide).tobytes())
+    return (b"\2" if narrow else b"\4") + _PRESS.compress((wide.astype("<u2") if narrow else wide).tobytes())
 
 
 def thaw(stored: bytes) -> bytes:
-    raw = zstandard.ZstdDecompressor().decompress(stored[1:])
+    raw = _UNPRESS.decompress(stored[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if stored[:1] == b"\2" else raw
 
 

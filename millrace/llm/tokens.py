@@ -15,8 +15,20 @@ import pyarrow as pa
 
 #: A cut is safe where one plain space stands between characters that no Unicode version counts as white space.
 _SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
-#: A space beside any of these makes the plain split unsafe.
-_UNSAFE = re.compile(r" [\s᠎​﻿]|[^\S ] |[᠎​﻿] |^ | $")
+#: What some Unicode version counts as white space, but for the plain space and the line feed.
+_OTHER_SPACE = [c for c in map(chr, [*range(9), *range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]) if c != "\n"]
+
+
+def _regular(text: str) -> bool:
+    """Whether every plain space and every line feed stands alone between characters that are no white space."""
+    if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    for c in _OTHER_SPACE:
+        if c in text and (f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text):
+            return False
+    return True
+
+
 #: Longer pieces are encoded each time, so that keys stay small.
 LONGEST_KEY = 64
 #: Letters whose lower case is one letter and that no normal form changes when they stand in a row, and some stops.
@@ -60,8 +72,9 @@ class _Ends(dict):
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text.
 
-    A piece of Latin letters and final punctuation is two words for either pre-tokenizer; such pieces go to the
-    library's model directly, all others through its whole chain.
+    Lines of regular texts are cut apart too: a lone line feed is a piece of its own. A piece of Latin letters and final
+    punctuation is two words for either pre-tokenizer; such pieces go to the library's model directly, all others
+    through its whole chain.
     """
 
     def __init__(self, path: str, cache_entries: int = 400_000):
@@ -75,31 +88,35 @@ class Encoder:
         self.table = str.maketrans(stand_in)
         self.space = t.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if self.spaced else ""
         self.model, self.ends = t.model, _Ends(t.model)
-        self.first = _Generations(self.whole, 20_000)
-        self.next = _Generations(self.spaced_piece, cache_entries)
+        self.first = _Generations(lambda p: self.plain("", p), 100_000)
+        self.next = _Generations(lambda p: self.plain(" ", p), cache_entries)
+        self.feed = array.array("I", self.whole("\n")).tobytes()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def spaced_piece(self, piece: str) -> list[int]:
-        """The ids of a space and ``piece``."""
+    def plain(self, before: str, piece: str) -> list[int]:
+        """The ids of ``piece`` with ``before`` (a space or nothing) in front."""
         m = _PLAIN(piece)
         if m is None:
-            return self.whole(" " + piece)
+            return self.whole(before + piece)
         word, end = m.groups()
         if self.lower:
             word = word.lower()
         if not word.isascii():
             word = word.translate(self.table)
-        ids = [x.id for x in self.model.tokenize(self.space + word)]
+        ids = [x.id for x in self.model.tokenize(self.space + word if before else word)]
         return ids + self.ends[end] if end else ids
 
     def encode(self, text: str) -> bytes:
-        pieces = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-        if len(pieces) == 1:
-            return self.first[text]
-        rest = iter(pieces)
-        return self.first[next(rest)] + b"".join(map(self.next.__getitem__, rest))
+        if not _regular(text):
+            pieces = iter(_SAFE.split(text))
+            return self.first[next(pieces)] + b"".join(map(self.next.__getitem__, pieces))
+        lines, first, rest = [], self.first, self.next.__getitem__
+        for line in text.split("\n"):
+            pieces = iter(line.split(" "))
+            lines.append(first[next(pieces)] + b"".join(map(rest, pieces)))
+        return self.feed.join(lines)
 
 
 _ENCODERS: dict[str, Encoder] = {}
