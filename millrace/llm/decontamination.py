@@ -154,5 +154,6 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, as they are. Rules as for :func:`contaminated`."""
     for items in blocks(benchmark, item_col, item_text, block_bytes):
-        docs = docs.withColumn("__held", held(F.col(text_col), items, share)).where(F.size("__held") == 0).drop("__held")
+        rows = docs.select(F.struct("*").alias("row"), held(F.col(text_col), items, share).alias("held"))
+        docs = rows.where(F.size("held") == 0).select("row.*")
     return docs

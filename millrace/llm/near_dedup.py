@@ -211,4 +211,4 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("kept")
     kept = kept.select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

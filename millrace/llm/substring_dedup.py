@@ -196,7 +196,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 out.append(_without(raw, _kept(len(raw.split()), np.asarray(s, np.int64), np.asarray(r, np.int64), width)).decode())
         return pd.Series(out, dtype=object)
 
-    listed = _listed(_keyed(docs, id_col, text_col), width).withColumnsRenamed({"__id": "__ki", "__h": "__kh"})
-    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64(text_col))
-    rows = rows.join(listed, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")), "left")
-    return rows.withColumn(text_col, cut(text_col, "__starts", "__runs")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64(text_col).alias("__h"))
+    rows = rows.join(_listed(_keyed(docs, id_col, text_col), width), _KEY, "left")
+    new = cut(F.col("row")[text_col], F.col("__starts"), F.col("__runs"))
+    return rows.select(F.col("row").withField(f"`{text_col}`", new).alias("row")).select("row.*")

@@ -195,8 +195,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", most: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``most``, as they are."""
-    rows = docs.withColumn("__w", weighed(F.col(text_col), model))
-    return rows.where(score_of(F.col("__w"), model) < most).drop("__w")
+    rows = docs.select(F.struct("*").alias("row"), weighed(F.col(text_col), model).alias("w"))
+    return rows.where(score_of(F.col("w"), model) < most).select("row.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 12_000) -> DataFrame:
@@ -205,7 +205,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, id_col: s
     n = chosen.count()
     if n > most_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("__l"), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__l")).select("label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("__d") == F.col("__l")).select("label", "text")
 
 
 def held_out(id_col: str = "doc_id"):

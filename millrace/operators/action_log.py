@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 RECORDS = ("scope", "flow", "parameter", "calculation", "pivot", "smart_skip")
 INTENTS = ("select_best", "refine_same", "pivot_query", "calculate", "smart_skip")
 LLM_VIEW = ("scope", "flow", "parameter")
-BY_SEQ = Window.partitionBy("session_id").orderBy("seq")
+
+
+def by_seq():
+    return Window.partitionBy("session_id").orderBy("seq")
 
 
 def view(actions: DataFrame, name: str = "workbench") -> DataFrame:
@@ -116,8 +119,8 @@ def next_ids(actions: DataFrame) -> DataFrame:
 def pivots(actions: DataFrame) -> DataFrame:
     """Pivots after pivots, and pivots that the next action succeeds: select_best, linked to the pivot."""
     pivot = F.col("intent") == "pivot_query"
-    rows = actions.withColumn("__twice", pivot & (F.lag("intent").over(BY_SEQ) == "pivot_query")).withColumn(
-        "__won", pivot & (F.lead("intent").over(BY_SEQ) == "select_best") & (F.lead("link_to").over(BY_SEQ) == F.col("action_id"))
+    rows = actions.withColumn("__twice", pivot & (F.lag("intent").over(by_seq()) == "pivot_query")).withColumn(
+        "__won", pivot & (F.lead("intent").over(by_seq()) == "select_best") & (F.lead("link_to").over(by_seq()) == F.col("action_id"))
     )
     return rows.groupBy("session_id").agg(
         F.count_if(pivot).alias("pivots"), F.count_if(F.col("__twice")).alias("consecutive"), F.count_if(F.col("__won")).alias("successes")
@@ -128,13 +131,13 @@ def recent(actions: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` actions of each session, numbered from the oldest of these."""
     back = Window.partitionBy("session_id").orderBy(F.desc("seq"))
     rows = actions.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= n)
-    return rows.withColumn("place", F.row_number().over(BY_SEQ)).select("session_id", "action_id", "place", "intent", "record_type")
+    return rows.withColumn("place", F.row_number().over(by_seq())).select("session_id", "action_id", "place", "intent", "record_type")
 
 
 def guards(actions: DataFrame, pivots_in: int = 10, records_in: int = 20, most_pivots: int = 3, most_records: int = 10) -> DataFrame:
     """At each action: pivots among the last 10 and records among the last 20, and whether a guard trips."""
-    p = F.count_if(F.col("intent") == "pivot_query").over(BY_SEQ.rowsBetween(1 - pivots_in, 0))
-    r = F.count_if(F.col("record_type").isin("flow", "parameter")).over(BY_SEQ.rowsBetween(1 - records_in, 0))
+    p = F.count_if(F.col("intent") == "pivot_query").over(by_seq().rowsBetween(1 - pivots_in, 0))
+    r = F.count_if(F.col("record_type").isin("flow", "parameter")).over(by_seq().rowsBetween(1 - records_in, 0))
     rows = actions.select("session_id", "seq", p.alias("recent_pivots"), r.alias("recent_records"))
     return rows.withColumn("blocked", (F.col("recent_pivots") >= most_pivots) | (F.col("recent_records") >= most_records))
 
@@ -166,7 +169,7 @@ def validate(records: DataFrame, inputs, outputs) -> DataFrame:
 
 def repeated_queries(actions: DataFrame) -> DataFrame:
     """Whether each action emits its query: only one that differs from the last one emitted in its session."""
-    before = F.last("search_query", ignorenulls=True).over(BY_SEQ.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("search_query", ignorenulls=True).over(by_seq().rowsBetween(Window.unboundedPreceding, -1))
     return actions.select("session_id", "seq", "search_query", F.coalesce(~F.col("search_query").eqNullSafe(before), F.lit(False)).alias("emitted"))
 
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS = Window.partitionBy("conv_id").orderBy("turn")
-ALL = Window.partitionBy("conv_id")
+
+def turns():
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def conversation():
+    return Window.partitionBy("conv_id")
 
 
 def history(messages: DataFrame, n: int) -> DataFrame:
@@ -27,17 +32,17 @@ def context(messages: DataFrame, n: int = 15) -> DataFrame:
 
 def merge_runs(messages: DataFrame) -> DataFrame:
     """Adjacent messages of one role as one, joined by line feeds."""
-    change = F.coalesce((F.col("role") != F.lag("role").over(TURNS)).cast("int"), F.lit(1))
-    rows = messages.withColumn("__change", change).withColumn("run", F.sum("__change").over(TURNS))
+    change = F.coalesce((F.col("role") != F.lag("role").over(turns())).cast("int"), F.lit(1))
+    rows = messages.withColumn("__change", change).withColumn("run", F.sum("__change").over(turns()))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n")
     return rows.groupBy("conv_id", "run", "role").agg(text.alias("text"), F.min("turn").alias("turn"), F.count("*").alias("n"))
 
 
 def user_first(messages: DataFrame) -> DataFrame:
     """Text of assistant turns before the first user turn goes in front of that turn; those turns go."""
-    rows = messages.where("role <> 'system'").withColumn("first", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(ALL))
+    rows = messages.where("role <> 'system'").withColumn("first", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(conversation()))
     early = F.col("turn") < F.col("first")
-    lead = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(early, F.struct("turn", "text"))).over(ALL)), lambda s: s["text"]), "\n")
+    lead = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(early, F.struct("turn", "text"))).over(conversation())), lambda s: s["text"]), "\n")
     rows = rows.withColumn("lead", lead).where(~early | F.col("first").isNull())
     merged = F.when((F.col("turn") == F.col("first")) & (F.col("lead") != ""), F.concat("lead", F.lit("\n"), "text")).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", "role", merged.alias("text"))
@@ -45,7 +50,7 @@ def user_first(messages: DataFrame) -> DataFrame:
 
 def drop_leading(messages: DataFrame) -> DataFrame:
     """Without system turns and assistant turns before the first user or tool turn."""
-    first = F.min(F.when(F.col("role").isin("user", "tool"), F.col("turn"))).over(ALL)
+    first = F.min(F.when(F.col("role").isin("user", "tool"), F.col("turn"))).over(conversation())
     return messages.withColumn("__f", first).where((F.col("role") != "system") & (F.col("turn") >= F.col("__f"))).drop("__f")
 
 
@@ -105,12 +110,12 @@ def split_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
 
 def changes(messages: DataFrame) -> DataFrame:
     """Rows whose text differs from the one before in their conversation."""
-    return messages.withColumn("__l", F.lag("text").over(TURNS)).where(~F.col("text").eqNullSafe(F.col("__l"))).drop("__l")
+    return messages.withColumn("__l", F.lag("text").over(turns())).where(~F.col("text").eqNullSafe(F.col("__l"))).drop("__l")
 
 
 def deltas(snapshots: DataFrame) -> DataFrame:
     """What each growing snapshot adds to the one before; the whole text where it does not continue it."""
-    before = F.coalesce(F.lag("text").over(TURNS), F.lit(""))
+    before = F.coalesce(F.lag("text").over(turns()), F.lit(""))
     rows = snapshots.withColumn("__l", before)
     return rows.withColumn("delta", F.when(F.startswith("text", "__l"), F.expr("substring(text, length(__l) + 1)")).otherwise(F.col("text"))).drop("__l")
 

@@ -135,7 +135,8 @@ def _(spark, sf):
 
 def _recorded(spark, sf):
     key = F.concat_ws("-", "session_id", "l_partkey", "l_suppkey", "l_linenumber")
-    rows = V.lci(spark, sf).dropDuplicates(["session_id", "l_partkey", "l_suppkey", "l_linenumber"])
+    one = Window.partitionBy("session_id", "l_partkey", "l_suppkey", "l_linenumber").orderBy("value")
+    rows = V.lci(spark, sf).withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn")
     return rows.withColumn("action_key", key).withColumn("stored", F.when(C("l_partkey") % 3 == 0, C("l_partkey").cast("string")))
 
 

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Event times of the type that watermarks take."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def sessionized(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """Sessions of a user that end after ``gap`` without events: user_id, session_start, session_end, n. Streams or batches."""
-    stream = events.withWatermark("ts", late) if events.isStreaming else events
+    stream = timed(events).withWatermark("ts", late) if events.isStreaming else events
     return stream.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         "user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total"
     )
@@ -20,7 +25,7 @@ def sessionized(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by type in tumbling windows."""
-    stream = events.withWatermark("ts", late) if events.isStreaming else events
+    stream = timed(events).withWatermark("ts", late) if events.isStreaming else events
     return stream.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
@@ -57,4 +62,4 @@ def numbered(events: DataFrame) -> DataFrame:
 
 def first_calls(calls: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each (user_id, event_type) call once within the watermark."""
-    return calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return timed(calls).withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
