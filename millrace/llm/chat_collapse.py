@@ -43,7 +43,7 @@ def prefix_hashes(turns: DataFrame, conv: str, turn: str, role: str, text: str)
         F.coalesce(F.bit_xor("__s1").over(before), F.lit(0)).alias("__b1"),
         F.coalesce(F.bit_xor("__s2").over(before), F.lit(0)).alias("__b2"),
     )
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("__c", "__b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # by place: equal turns keep theirs
     h = h.withColumn("__r1", F.bit_xor("__h1").over(upto)).withColumn("__r2", F.bit_xor("__h2").over(upto))
     return h.join(sums, F.col("__c").eqNullSafe(F.col("__sc")) & (F.col("__b") == F.col("__sb"))).select(
         F.col("__c").alias(conv), F.col("__t").alias(turn), F.col("__r").alias(role), F.col("__x").alias(text), "n",
