@@ -17,6 +17,33 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n
+  FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+  )
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, i, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM words
+  ) WHERE i <= greatest(n - 2, 1)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT c.a, c.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+  ) c JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b
+  WHERE 100 * c.both >= 85 * (p.n + q.n - c.both)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +82,25 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), windows AS (
+  SELECT doc_id, i, w, CASE WHEN count(*) OVER next35 = 35 THEN md5(string_agg(w, ' ') OVER next35) END AS h
+  FROM words WINDOW next35 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), again AS (SELECT h FROM windows WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+judged AS (
+  SELECT doc_id, i, w, max(found) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM (SELECT w.doc_id, w.i, w.w, CASE WHEN a.h IS NULL THEN 0 ELSE 1 END AS found FROM windows w LEFT JOIN again a ON a.h = w.h)
+), done AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone = 1) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (gone = 0) AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(x.n_words, 0) AS n_words, coalesce(x.n_removed, 0) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done x ON x.doc_id = d.doc_id
+"""
+
 SHARDS = 24
 
 
@@ -101,4 +147,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
 }
-ORACLE = {"op3_chat_collapse": OP3_SQL}
+ORACLE = {"op1_near_dedup": OP1_SQL, "op3_chat_collapse": OP3_SQL, "op6_substring_dedup": OP6_SQL}
