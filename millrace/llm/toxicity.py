@@ -17,13 +17,11 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import words
-
 SEED = dict.fromkeys(("idiot", "moron", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting", "imbecile", "vermin"), 4.0)
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clown school", "disgusting taste", "pathetic fallacy", "sore loser")
 
@@ -80,15 +78,18 @@ def weigh(found: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
 def weighed(text: Column, model: Model) -> Column:
     """struct(weight, hits, n_words) of a text column."""
 
-    @F.pandas_udf("weight double, hits int, n_words long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("weight double, hits int, n_words long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = matcher(model)
         for texts in batches:
-            rows = []
-            for text in texts:
-                folded = fold(text or "")
-                rows.append((*weigh(found, folded), max(0, folded.count(" ") - 1)))
-            yield pd.DataFrame(rows, columns=["weight", "hits", "n_words"])
+            rows: tuple[list, ...] = ([], [], [])
+            for at in range(0, len(texts), 256):  # few texts at a time are Python strings
+                for text in texts.slice(at, 256).to_pylist():
+                    folded = fold(text or "")
+                    for column, value in zip(rows, (*weigh(found, folded), max(0, folded.count(" ") - 1))):
+                        column.append(value)
+            kinds = (pa.float64(), pa.int32(), pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["weight", "hits", "n_words"])
 
     return run(text)
 
@@ -105,13 +106,13 @@ def score_of(weighed_text: Column, model: Model) -> Column:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's word triples: copies and most near copies share it."""
-    for batch, w in words.of(batches, 1, lower=True):
-        sums, signs = w.sums(), []
-        for i in range(batch.num_rows):
-            a, b = int(w.first[i]), int(w.first[i + 1])
-            at = np.arange(a, b - 2)
-            signs.append(int(words.spans(sums, at, at + 3).min() >> np.uint64(1)) if b - a > 2 else -b + a)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs, pa.int64())], ["label", "text", "sign"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, signs = batch.slice(at, 256), []
+            for text in part.column(1).to_pylist():
+                ws = (text or "").lower().split()
+                signs.append(min(xxhash.xxh3_64_intdigest(" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))) >> 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs, pa.int64())], ["label", "text", "sign"])
 
 
 def _terms(text: str) -> set[str]:
@@ -125,13 +126,13 @@ def _terms(text: str) -> set[str]:
 def _counted(only: frozenset[str] | None):
     """Counts of terms by label, summed for each task."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for pdf in frames:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
                 terms = _terms(text or "")
                 counts.update(terms if only is None else terms & only)
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return run
 
@@ -155,7 +156,7 @@ def fit(
         if not bad or not good:
             return Model(terms, exceptions, 1.0)
         least = max(3, least_share * bad)
-        summed = lambda y, only: rows.where(F.col("label") == y).mapInPandas(_counted(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        summed = lambda y, only: rows.where(F.col("label") == y).mapInArrow(_counted(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         often = {r["term"]: r["n"] for r in summed(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(50_000).collect()}
         clean = {r["term"]: r["n"] for r in summed(0, frozenset(often)).collect()}
         weight = {t: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, n in often.items()}
