@@ -160,7 +160,7 @@ def test_odd_rows_repeats(spark, odd, none, rows_of):
     cut = substring_dedup.cut_repeats(odd, width=35)
     assert cut.columns == odd.columns
     texts = dict(rows_of(cut))
-    assert texts[4] is None and texts[6] == " \t\n" and texts[8] == "one  TWO" and texts[1] == "" and texts[10] == ""
+    assert texts[4] is None and texts[6] == " \t\n" and texts[8] == "one  TWO" and texts[1] == "" and texts[10] == "end"
     assert substring_dedup.remove_repeats(none).collect() == [] and substring_dedup.cut_repeats(none).collect() == []
 
 
