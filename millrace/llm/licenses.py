@@ -1,8 +1,7 @@
 """License scan by ordered signature rules. DataFrame functions only.
 
 Texts are normalised to lower-case words. A rule has a keyword, a regex over these words, a label, a priority (1 is
-highest) and a confidence. A text that holds no gate word has no rule tried; in others only the rules whose keyword
-occurs. Of overlapping detections one goes that lies inside of another of at least its priority. Everything is computed
+highest) and a confidence. Every match of a rule holds its keyword, so only the rules whose keyword occurs are tried. Of overlapping detections one goes that lies inside of another of at least its priority. Everything is computed
 within a row, by built-in functions, so nothing shuffles and no group can be hot.
 
 The rules are made from families of licenses: each has its names, versions and SPDX words, and each gives rules for an
@@ -20,20 +19,20 @@ from millrace.llm.shared import ascii_lower
 
 #: Phrases whose places are counted, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-GATE = ("licens", "licenc", " cc ", "cc0", "copyright", "copyleft", "spdx", "public domain", "all rights reserved", "creative commons", "permission is hereby")
 
 _LIC = "licen[cs]e"
 #: label, keyword, names (a regex), versions.
 FAMILIES = (
     ("gpl", "general public", rf"(?:gnu )?general public {_LIC}", ("1.0", "2.0", "3.0")),
     ("gpl", "gpl", "gnu gpl|gpl", ("1.0", "2.0", "3.0")),
-    ("lgpl", "lesser", rf"(?:gnu )?(?:lesser|library) general public {_LIC}", ("2.0", "2.1", "3.0")),
+    ("lgpl", "general public", rf"(?:gnu )?(?:lesser|library) general public {_LIC}", ("2.0", "2.1", "3.0")),
     ("lgpl", "lgpl", "gnu lgpl|lgpl", ("2.0", "2.1", "3.0")),
     ("agpl", "affero", rf"(?:gnu )?affero general public {_LIC}", ("1.0", "3.0")),
     ("agpl", "agpl", "gnu agpl|agpl", ("1.0", "3.0")),
     ("gfdl", "free documentation", rf"(?:gnu )?free documentation {_LIC}", ("1.1", "1.2", "1.3")),
     ("apache", "apache", rf"apache(?: software)? {_LIC}", ("1.0", "1.1", "2.0")),
-    ("mit", "mit", rf"(?:the )?(?:mit|expat) {_LIC}|mit", ()),
+    ("mit", "mit", rf"(?:the )?mit {_LIC}|mit", ()),
+    ("mit", "expat", rf"(?:the )?expat {_LIC}", ()),
     ("x11", "x11", rf"x11 {_LIC}", ()),
     ("bsd", "bsd", rf"(?:new |modified |revised |simplified )?bsd(?: style)?(?: {_LIC})?", ("2 clause", "3 clause", "4 clause")),
     ("isc", "isc", rf"isc {_LIC}", ()),
@@ -73,10 +72,11 @@ FAMILIES = (
     ("osl", "open software", rf"open software {_LIC}", ("1.0", "1.1", "2.0", "2.1", "3.0")),
     ("upl", "universal permissive", rf"universal permissive {_LIC}", ("1.0",)),
     ("mulan", "mulan", rf"mulan (?:psl|permissive software {_LIC})", ("1.0", "2.0")),
-    ("rail", "openrail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?", ()),
-    ("cc0", "cc0", "cc0|creative commons zero", ("1.0",)),
+    ("rail", "rail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?", ()),
+    ("cc0", "cc0", "cc0", ("1.0",)),
+    ("cc0", "creative commons", "creative commons zero", ("1.0",)),
     *(
-        (f"cc-{kind}", "cc" if short else "creative commons", name, ("1.0", "2.0", "2.5", "3.0", "4.0"))
+        (f"cc-{kind}", "cc by" if short else "creative commons", name, ("1.0", "2.0", "2.5", "3.0", "4.0"))
         for kind, words in (
             ("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s?(?: works)?"),
             ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"),
@@ -90,7 +90,7 @@ TEXTS = (
     ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
-    ("gpl", "free software", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1.0),
+    ("gpl", "general public", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1.0),
     ("unlicense", "public domain", "free and unencumbered software released into the public domain", 1.0),
     ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 0.8),
     ("public-domain", "public domain", "public domain", 0.4),
@@ -99,7 +99,7 @@ TEXTS = (
     ("copyleft", "copyleft", "copyleft", 0.3),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 0.3),
     ("unknown-license", "licens", "licensed (?:under|to)", 0.3),
-    ("unknown-license", "licens", "subject to the (?:terms of the )?licen[cs]e", 0.2),
+    ("unknown-license", "licen", "subject to the (?:terms of the )?licen[cs]e", 0.2),
 )
 _NOTICE = "(?:licen[cs]ed|released|distributed|available|covered|published|provided|shared) (?:under|by) (?:the )?(?:terms (?:of|and conditions of) (?:the )?)?"
 _LATER = "(?: only)? (?:or (?:at your option )?(?:any )?later(?: version)?|or newer)"
@@ -120,7 +120,7 @@ def rules() -> list[dict]:
     add = lambda label, key, regex, p, c: out.append(dict(label=label, keyword=key, regex=regex, priority=p, confidence=c))
     for label, key, names, versions in FAMILIES:
         add(label, key, f"{_NOTICE}(?:a |an )?(?:{names})", 2, 0.9)
-        add(label, key, f"(?:{names})" if label != "mit" else rf"(?:the )?(?:mit|expat) {_LIC}", 3, 0.7)
+        add(label, key, f"(?:{names})" if key != "mit" else rf"(?:the )?mit {_LIC}", 3, 0.7)
         for v in versions:
             words, form = _version(v)
             named = f"(?:{names}),? {words}" if "clause" not in v else f"(?:{words} (?:{names})|(?:{names}) {words})"
@@ -139,6 +139,10 @@ def rules() -> list[dict]:
     return [r | {"rule": i, "regex": f"(?<= )(?:{r['regex']})(?= )"} for i, r in enumerate(out)]
 
 
+#: The keywords of all rules: a text without any has no detection.
+GATE = tuple(sorted({r["keyword"] for r in rules()}))
+
+
 def normal(text: Column) -> Column:
     """Lower-case words with single spaces between and around them; one space where there are none."""
     gaps = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -157,14 +161,15 @@ def places(norm: Column, regex: Column) -> Column:
     return F.arrays_zip(at(lambda w: F.startswith(w, F.lit("\x01"))).alias("start"), at(lambda w: F.endswith(w, F.lit("\x02"))).alias("end"))
 
 
-_RULE = "array<struct<rule:int,label:string,keyword:string,regex:string,priority:int,confidence:double>>"
+_RULE = "array<struct<keyword:string,rules:array<struct<rule:int,label:string,regex:string,priority:int,confidence:double>>>>"
 _SPAN = "struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>"
 
 
 def detections(norm: Column) -> Column:
     """All matches of the rules whose keyword occurs, sorted by start, then the longest, then the order of rules."""
-    known = F.from_json(F.lit(json.dumps(rules())), _RULE)
-    tried = F.filter(known, lambda r: F.contains(norm, r["keyword"]))
+    by = [dict(keyword=key, rules=[r for r in rules() if r["keyword"] == key]) for key in GATE]
+    occurring = F.filter(F.from_json(F.lit(json.dumps(by)), _RULE), lambda k: F.contains(norm, k["keyword"]))
+    tried = F.flatten(F.transform(occurring, lambda k: k["rules"]))
     spans = F.flatten(
         F.transform(
             tried,
@@ -212,16 +217,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     other columns change nothing. No rows give no rows.
     """
     none = F.array().cast("array<struct<start:int,end:int>>")
-    norm, gated = F.col("__norm"), F.col("__gated")
+    norm = F.col("__norm")
     rows = docs.select(F.col(id_col).alias("__id"), normal(F.col(text_col)).alias("__norm"))
-    rows = rows.withColumn("__gated", F.rlike(norm, F.lit("|".join(GATE))))
     spans = "array<struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>>"
-    base = [F.when(gated & F.contains(norm, F.lit(f" {p} ")), places(norm, F.lit(f"(?<= ){p}(?= )"))).otherwise(none) for p, _ in BASE]
+    base = [F.when(F.contains(norm, F.lit(f" {p} ")), places(norm, F.lit(f"(?<= ){p}(?= )"))).otherwise(none) for p, _ in BASE]
     rows = rows.select(
         "__id",
         (F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
         *[b.alias(f"__b{i}") for i, b in enumerate(base)],
-        F.when(gated, surviving(detections(norm).cast(spans))).alias("__found"),
+        surviving(detections(norm).cast(spans)).alias("__found"),
     )
     starts = F.transform(F.concat(*[F.col(f"__b{i}") for i in range(len(BASE))]), lambda p: p["start"].cast("long"))
     own = F.array_compact(F.array(*[F.when(F.size(f"__b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))

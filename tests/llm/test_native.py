@@ -126,6 +126,40 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).collect() == []
 
 
+def test_no_rule_is_gated_out(spark):
+    """Texts that a rule matches although they hold none of the usual license words; every match of a rule holds its keyword."""
+    texts = {
+        "available under the GPL v3": "gpl-3.0", "released under the BSD 3-clause": "bsd-3-clause", "GNU LGPL 2.1": "lgpl-2.1", "use AGPL v3": "agpl-3.0", "the MPL 2.0": "mpl-2.0",
+        "EUPL 1.2": "eupl-1.2", "0BSD": "0bsd", "do it as WTFPL says": "wtfpl", "CeCILL 2.1": "cecill-2.1", "Mulan PSL v2": "mulan-2.0", "BigScience OpenRAIL-M": "rail", "an open rail": "rail",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "proprietary and confidential": "proprietary",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "GNU Library General Public License 2.1": "lgpl-2.1", "the Expat licence": "mit", "Creative Commons Zero": "cc0", "subject to the licence": "unknown-license",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+    }
+    got = {r["text"]: r for r in licenses.scan(spark.createDataFrame([(t, t) for t in texts], "text string, body string"), id_col="text", text_col="body").collect()}
+    assert {t: label for t, label in texts.items() if label not in got[t]["labels"].split(",") or not got[t]["score"]} == {}
+    for r in licenses.rules():
+        for text in matching(re._parser.parse(r["regex"])):
+            assert re.search(r["regex"], f" {text} ") is None or r["keyword"] in text, (r, text)
+
+
+def matching(regex):
+    """Texts for a parsed regex, with each of its branches taken once at least."""
+    out = [""]
+    for op, arg in regex:
+        op = str(op)
+        if op in ("BRANCH", "SUBPATTERN"):
+            more = [t for part in (arg[1] if op == "BRANCH" else [arg[3]]) for t in matching(part)]
+        elif op == "MAX_REPEAT":
+            more = [t * n for n in {arg[0], 1} for t in matching(arg[2])]
+        elif op == "IN":
+            more = [chr(a if str(kind) == "LITERAL" else a[0]) for kind, a in arg]
+        else:
+            more = [chr(arg) if op == "LITERAL" else ""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
 def test_rules_are_many_and_ordered():
     rules = licenses.rules()
     assert len(rules) > 200 and [r["priority"] for r in rules] == sorted(r["priority"] for r in rules)
