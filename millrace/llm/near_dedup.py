@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words
@@ -151,16 +151,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the least id names their components. A null id counts as less than any other. Repeated rows are linked, and each
     has ``kept`` where its id is the component's. Other columns are not read. No rows give no rows.
     """
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__text"))
-    feats = staged(keyed.mapInArrow(_features(shingle), _FEATURES), "features")
-    sets = (
-        feats.where("n_shingles > 0").groupBy("set")
-        .agg(F.min(F.struct("__id", "__h")).alias("__one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("set", "__one.*", "bands", "sketch")
-    )
-    sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    labels = _components(keyed, sets, shingle, percent)
-    named = sets.select("set", "node", "__id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    feats, named = _named(docs, id_col, text_col, shingle, percent)
     least = named.groupBy("label").agg(F.min("__id").alias("component_id"))
     named = named.join(least, "label").select(F.col("set").alias("__set"), "component_id")
     out = feats.select("__id", "n_shingles", "set").join(named, (F.col("set") == F.col("__set")) & (F.col("n_shingles") > 0), "left")
@@ -171,6 +162,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """What tells a document from others: its id and its text's hash."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__h")]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The features of all rows; and set, the least __id and __h that have it, and its component's label, for each set."""
+    keyed = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("__text"))
+    feats = staged(keyed.mapInArrow(_features(shingle), _FEATURES), "features")
+    sets = (
+        feats.where("n_shingles > 0").groupBy("set")
+        .agg(F.min(F.struct("__id", "__h")).alias("__one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .select("set", "__one.*", "bands", "sketch")
+    )
+    sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    labels = _components(keyed, sets, shingle, percent)
+    named = sets.select("set", "node", "__id", "__h").join(labels, "node", "left")
+    return feats, named.withColumn("label", F.coalesce("label", "node"))
+
+
 def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, label of all nodes that are linked to any other."""
     banded = staged(sets.select("node", F.explode("bands").alias("band")), "bands")
@@ -205,10 +216,14 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, as they are; one row for each id.
+    """One row of each component, as it is: of the least id, a null id being the least, and of its texts one.
 
-    Rows without shingles are no copies of anything and stay, as do all rows with a null id.
+    Of rows that repeat that id and text any one stays. Rows without shingles are no copies of anything and all stay.
+    Repeats are combined before they are dealt out, so a row repeated often makes no large task.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("kept")
-    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    _, named = _named(docs, id_col, text_col, shingle, percent)
+    kept = named.groupBy("label").agg(F.min(F.struct("__id", "__h")).alias("k")).select("k.*")
+    worded = F.coalesce(F.rlike(text_col, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.where(worded).select(*_keys(id_col, text_col), F.struct("*").alias("row"))
+    rows = rows.groupBy("__id", "__h").agg(F.first("row").alias("row")).join(kept, ["__id", "__h"], "left_semi")
+    return rows.select("row.*").unionByName(docs.where(~worded))

@@ -84,6 +84,23 @@ def test_odd_rows_near(spark, odd, none, rows_of):
     assert kept.columns == odd.columns and (1, odd.first()["text"]) not in rows_of(kept) and near_dedup.one_of_each(none).collect() == []
 
 
+def test_one_row_of_each_stays(spark):
+    """Repeated rows, near copies under one id and null ids leave one row of each group; blank rows all stay."""
+    rng = random.Random(4)
+    a, b, c, d, e = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(5))
+    near = lambda ws: " ".join([*ws[:-1], "x"])
+    text = " ".join
+    rows = [(1, text(a)), (1, text(a)), (2, text(b)), (2, near(b)), (3, text(c)), (4, near(c)), (3, text(d)), (None, text(e)), (None, text(e)), (9, near(e)), (4, text(a)), (5, None), (5, None), (6, " \t")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = near_dedup.one_of_each(docs, shingle=5, percent=80)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert got.columns == docs.columns
+    assert sorted((k for k in kept if k[0] != 2), key=str) == sorted([(1, text(a)), (3, text(c)), (3, text(d)), (None, text(e)), (5, None), (5, None), (6, " \t")], key=str)
+    assert len([k for k in kept if k[0] == 2]) == 1
+    cut = substring_dedup.cut_repeats(got, width=50).collect()
+    assert [r["text"] for r in cut if r["doc_id"] == 1] == [text(a)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(a, a + 1) for a in range(50)] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)] + [(5, 5)]
