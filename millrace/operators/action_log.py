@@ -110,8 +110,8 @@ def summary_snapshot(actions: DataFrame) -> DataFrame:
 
 
 def next_ids(actions: DataFrame) -> DataFrame:
-    """Well-formed ids, their numbers, and the id that the session's next action gets."""
-    good = actions.where(F.rlike("action_id", F.lit(r"^ACT_\d{4}$")))
+    """Well-formed ids, their numbers, and the id that the session's next action gets. Numbers from 10,000 on have more digits."""
+    good = actions.where(F.rlike("action_id", F.lit(r"^ACT_(\d{4}|[1-9]\d{4,})$")))
     last = F.max(F.split_part("action_id", F.lit("_"), F.lit(2)).try_cast("int"))
     return good.groupBy("session_id").agg(last.alias("last_number"), F.count("*").alias("n")).withColumn("next_id", F.format_string("ACT_%04d", F.col("last_number") + 1))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import units
 from millrace.functions.calculator import evaluate
-from millrace.operators import chat, layout, matching, retrieval, text_features
+from millrace.operators import action_log, chat, layout, matching, retrieval, text_features
 from millrace.operators.chunking import split
 from millrace.streaming import sessions
 
@@ -16,6 +16,13 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def test_next_ids_from_10000_on(spark):
+    ids = ["ACT_0001", "ACT_9999", "ACT_10000", "ACT_10001", "ACT_00007", "ACT_12", "ACT_x", None]
+    actions = spark.createDataFrame([("S1", i) for i in ids] + [("S2", "ACT_9999"), ("S3", "ACT_0003")], "session_id string, action_id string")
+    got = {r["session_id"]: (r["last_number"], r["n"], r["next_id"]) for r in action_log.next_ids(actions).collect()}
+    assert got == {"S1": (10001, 4, "ACT_10002"), "S2": (9999, 1, "ACT_10000"), "S3": (3, 1, "ACT_0004")}
+
+
 @pytest.mark.parametrize("a, b, expected", [("kg", "g", True), ("kWh", "MJ", True), ("kg", "m2", False), ("kg", "kBq", False), ("furlong", "furlong", True), ("furlong", "kg", False), (None, "", True)])
 def test_compatible(spark, a, b, expected):
     assert one(spark, units.compatible(F.lit(a).cast("string"), F.lit(b))) is expected
