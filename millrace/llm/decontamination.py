@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import drop_staged, staged
+
 _GAPS = re.compile(r"[\W_]+").sub
 
 
@@ -107,26 +109,33 @@ class Matcher:
 _HIT = "array<struct<item_id:long,distance:int,end_word:long,n_words:long>>"
 
 
-def held(text: Column, items: dict[int, list[str]], share: float) -> Column:
-    """The items that each text of a column holds."""
+def held(text: Column, items: list[tuple[int, list[str]]], share: float) -> Column:
+    """The items, each an id and words, that each text of a column holds. Items are told apart by their place in the list."""
 
     @F.pandas_udf(_HIT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(items, share)
+        matcher = Matcher({k: ws for k, (_, ws) in enumerate(items)}, share)
         for texts in batches:
             found = [matcher.find(t or "") for t in texts]
-            yield pd.Series([[dict(item_id=i, distance=d, end_word=e, n_words=len(items[i])) for i, (d, e) in f.items()] for f in found])
+            yield pd.Series([[dict(item_id=items[k][0], distance=d, end_word=e, n_words=len(items[k][1])) for k, (d, e) in f.items()] for f in found])
 
     return run(text)
 
 
-def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[dict[int, list[str]]]:
-    """The items' words in blocks of about ``block_bytes`` of text; at least one block."""
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, list[str]]]]]:
+    """The number of blocks, at least one, of about ``block_bytes`` of text; and each block's items' ids and words.
+
+    A block is collected when it is asked for. Repeated items come once.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
-    for block in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == block).collect()
-        yield {r["i"]: normal(r["t"]).split() for r in rows}
+
+    def words() -> Iterator[list[tuple[int, list[str]]]]:
+        for block in range(n):
+            rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block).distinct().collect()
+            yield [(r["i"], normal(r["t"]).split()) for r in rows]
+
+    return n, words()
 
 
 def contaminated(
@@ -137,13 +146,18 @@ def contaminated(
 
     Of several passages the nearest, then the first counts; ``end_word`` is the place after it among the document's
     normalised words. Null or wordless texts and items match nothing; items under 8 words match unchanged only; equal
-    items are reported each, of items with equal ids one; repeated rows are reported each. Other columns are not read.
+    items are reported each, also those with equal ids and other texts; equal items with equal ids are one item.
+    Repeated rows are reported each. Items with a null id match nothing. Other columns are not read.
     An empty table on either side gives no rows. Items go to tasks in blocks of about ``block_bytes`` of text, as many
-    as the benchmark needs by its measured size, so what is sent at once does not grow with it.
+    as the benchmark needs by its measured size; of several, each one's hits are written before the next is collected,
+    so what is held and sent at once does not grow with it.
     """
     out = None
-    for items in blocks(benchmark, item_col, item_text, block_bytes):
+    n, words = blocks(benchmark, item_col, item_text, block_bytes)
+    for items in words:
         hits = docs.select(F.col(id_col).alias("__id"), F.inline(held(F.col(text_col), items, share)))
+        if n > 1:
+            hits = staged(hits, "hits")
         out = hits if out is None else out.unionByName(hits)
     return out.withColumnRenamed("__id", id_col)
 
@@ -153,7 +167,14 @@ def without_contaminated(
     share: float = 0.1, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, as they are. Rules as for :func:`contaminated`."""
-    for items in blocks(benchmark, item_col, item_text, block_bytes):
+    n, words = blocks(benchmark, item_col, item_text, block_bytes)
+    last = None
+    for items in words:
         rows = docs.select(F.struct("*").alias("row"), held(F.col(text_col), items, share).alias("held"))
         docs = rows.where(F.size("held") == 0).select("row.*")
+        if n > 1:
+            docs = staged(docs, "clean")
+            if last is not None:
+                drop_staged(last)
+            last = docs
     return docs

@@ -101,6 +101,24 @@ def test_myers(seed):
         assert dec.myers(item, text, most) == nearest(item, text, most)
 
 
+def test_items_with_one_id(spark, monkeypatch):
+    """Of several items with one id each is found, in one block or in many, and only one block is held at a time."""
+    items = [(i % 3, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(12)]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    docs = [(i, f"before {t} after") for i, (_, t) in enumerate(items)] + [(100, "clean words only")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert dec.without_contaminated(table, bench).count() == 1
+    written = []
+    monkeypatch.setattr(dec, "staged", lambda df, name, f=dec.staged: written.append(name) or f(df, name))
+    for block_bytes in (16 << 20, 100):
+        got = dec.contaminated(table, bench, block_bytes=block_bytes).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["distance"], r["n_words"]) for r in got) == [(i, item, 0, 12) for i, (item, _) in enumerate(items)]
+        assert [r["doc_id"] for r in dec.without_contaminated(table, bench, block_bytes=block_bytes).collect()] == [100]
+        assert bool(written) == (block_bytes == 100)
+    n, words = dec.blocks(bench, "item_id", "text", 100)
+    assert n > 3 and written.count("hits") == written.count("clean") == n and sum(len(b) for b in words) == 12
+
+
 def test_contaminated(spark, odd, none):
     rng = random.Random(9)
     items = {i: [f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 45))] for i in range(20)}
