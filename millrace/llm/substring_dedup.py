@@ -1,14 +1,20 @@
 """Removal of repeated word windows, by levels of doubled length.
 
-Level 1 looks at short windows (8 words) and only at those that have the least hash within some long window: any two
-equal long windows agree on theirs, so a long window can repeat only where its short one does, and about one short
-window in fifteen is looked at. What repeats is extended: to the run of long windows that share the short one (``width``
-words up to about twice that), which settles copies; then, only where one short window has several such runs, to the
-single windows of ``width`` words of one copy of each run.
-
-Windows are keyed by two hashes of 64 bits (short window, long window). Equal windows are counted where they are found
-before they meet, joins are keyed by both hashes, and nothing is gathered by window, so one passage that fills a third of
-the corpus is one row in every count.
+A long window is one of ``width`` words. At the first level each long window is looked at through its short one: of the
+windows of 8 words in it, that of the least hash. Equal long windows agree on theirs, so a long window can repeat only
+where its short one does, and about one short window in fifteen is anyone's. Only what repeats at one length goes on to
+twice that length: 8 words, then 16, 32 and so on while that is less than ``width``, and at last ``width`` itself, until
+no candidates survive. A window is extended to the right, or, where its long window ends before that, to the left for
+what is missing; that too is the same in equal long windows.
+
+Copies are settled early: consecutive long windows with one short window are a run, and a run whose words repeat as a
+whole repeats in all its windows. Only where one short window has several different runs, one copy of each run, with the
+number of its copies, goes through the further levels. Their hashes are made in one pass over these texts, and each level
+counts the survivors of the one before.
+
+Windows are keyed by two hashes of 64 bits (short window, extended window). Equal windows are counted where they are
+found before they meet, joins are keyed by both hashes, and nothing is gathered by window, so one passage that fills a
+third of the corpus is one row in every count.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm import words
 from millrace.llm.shared import drop_staged, staged
 
+#: Words of the windows of the first level (less where ``width`` is).
 ANCHOR = 8
 _KEY = ["__id", "__h"]
 
@@ -33,67 +40,91 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__text"))
 
 
+def lengths(width: int) -> list[int]:
+    """Window lengths level by level: powers of two from 8 (or the last that ``width`` holds) on, and ``width``."""
+    out = [1]
+    while out[-1] * 2 <= min(ANCHOR, width):
+        out[-1] *= 2
+    while out[-1] * 2 < width:
+        out.append(out[-1] * 2)
+    return [*out, width]
+
+
 def anchors(w: words.Words, width: int) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows with one anchor: text, anchor hash, span hash, first window's word in the text, windows."""
-    n = len(w.hashes)
-    if n < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    """Runs of consecutive long windows with one short window: text, its hash, the run's hash, the first long window's
+    place in the text, how far behind that the short window begins, and the number of long windows."""
+    n, short = len(w.hashes), lengths(width)[0]
+    start = np.flatnonzero(w.room()[: max(0, n - width + 1)] >= width)
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     h, size = w.hashes, 1
-    while size < ANCHOR:
+    while size < short:
         h = words.mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:])
         size *= 2
     bits = max(20, int(n).bit_length())
     low = np.uint64(2**bits - 1)
-    least, span, want = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1, width - ANCHOR + 1
+    least, span, want = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1, width - short + 1
     while span < want:
         step = min(span, want - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    start = np.flatnonzero(w.room()[: n - width + 1] >= width)
-    if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
     at = (least[start] & low).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     runs = np.diff(np.concatenate([new, [len(start)]]))
     first = start[new]
     text = np.searchsorted(w.first, first, side="right") - 1
     whole = words.spans(w.sums(), first, first + runs + width - 1)
-    return text, h[at[new]].view(np.int64), whole.view(np.int64), first - w.first[text], runs
+    return text, h[at[new]].view(np.int64), whole.view(np.int64), first - w.first[text], at[new] - first, runs
 
 
-_RUNS = "__id long, __h long, anchor long, span long, start int, n int"
+_RUNS = "__id long, __h long, anchor long, span long, start int, lead int, n int"
 
 
 def _runs(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in words.of(batches, 2):
-            text, anchor, span, start, n = anchors(w, width)
+            text, anchor, span, *numbers = anchors(w, width)
             ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
-            columns = [ids[text], hashes[text], anchor, span, start.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__id", "__h", "anchor", "span", "start", "n"])
+            columns = [ids[text], hashes[text], anchor, span, *(c.astype(np.int32) for c in numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__id", "__h", "anchor", "span", "start", "lead", "n"])
 
     return run
 
 
-_WINDOWS = "__id long, __h long, anchor long, window long, start int, copies long"
+def _further(width: int) -> list[int]:
+    """The lengths after the first level's."""
+    return lengths(width)[1:]
 
 
-def _windows(width: int):
-    """Single windows of the runs that a row names: (start, n, anchor, copies)."""
+def _extended_schema(width: int) -> str:
+    return "__id long, __h long, anchor long, start int, copies long, " + ", ".join(f"h{m} long, new{m} boolean" for m in _further(width))
+
+
+def _extended(width: int):
+    """The long windows of the runs that a row names (start, lead, n, anchor, copies), each with its extended windows.
+
+    ``h16``: the hash of the window of 16 words; ``new16``: this row is the first in its run with that window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in words.of(batches, 2):
             sums, runs = w.sums(), batch.column(3)
-            flat, lengths = runs.flatten(), np.diff(runs.offsets.to_numpy())
-            text = np.repeat(np.arange(batch.num_rows), lengths)
-            start, n, anchor, copies = (flat.field(i).to_numpy() for i in range(4))
+            flat, listed = runs.flatten(), np.diff(runs.offsets.to_numpy())
+            text = np.repeat(np.arange(batch.num_rows), listed)
+            start, lead, n, anchor, copies = (flat.field(i).to_numpy() for i in range(5))
             row = np.repeat(np.arange(len(n)), n)
-            within = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = w.first[text[row]] + within
-            window = words.spans(sums, at, at + width).view(np.int64)
+            opens = np.repeat(np.cumsum(n) - n, n)
+            within = start[row] + np.arange(len(row)) - opens
+            base = w.first[text[row]]
+            at, first, levels = start[row] + lead[row], np.arange(len(row)) == opens, []
+            for m in _further(width):
+                at = np.minimum(at, within + width - m)
+                new = first | np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+                levels += [words.spans(sums, base + at, base + at + m).view(np.int64), new]
             ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
-            columns = [ids[text[row]], hashes[text[row]], anchor[row], window, within.astype(np.int32), copies[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__id", "__h", "anchor", "window", "start", "copies"])
+            columns = [ids[text[row]], hashes[text[row]], anchor[row], within.astype(np.int32), copies[row], *levels]
+            names = ["__id", "__h", "anchor", "start", "copies", *(x for m in _further(width) for x in (f"h{m}", f"new{m}"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run
 
@@ -107,19 +138,27 @@ def repeated_runs(keyed: DataFrame, width: int) -> DataFrame:
     alive = spans.join(totals, "anchor").select(F.col("anchor").alias("__a"), F.col("span").alias("__s"), "copies", (F.col("spans") > 1).alias("mixed"))
     found = staged(
         level1.join(alive, (F.col("anchor") == F.col("__a")) & (F.col("span") == F.col("__s"))).select(
-            *_KEY, "anchor", "span", "start", "n", "copies", "mixed"
+            *_KEY, "anchor", "span", "start", "lead", "n", "copies", "mixed"
         ),
         "repeats",
     )
     drop_staged(level1, spans)
-    one = F.min(F.struct(*_KEY, "start", "n", "copies")).alias("r")
+    one = F.min(F.struct(*_KEY, "start", "lead", "n", "copies")).alias("r")
     chosen = found.where("mixed").groupBy("anchor", "span").agg(one).select("r.*", "anchor")
-    listed = chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n", "anchor", "copies")).alias("__runs"))
-    single = staged(keyed.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_windows(width), _WINDOWS), "windows")
-    again = single.groupBy("anchor", "window").agg(F.sum("copies").alias("total")).where("total > 1").select("anchor", "window")
-    marks = single.where("copies = 1").join(again, ["anchor", "window"], "left_semi").select(*_KEY, "start", F.lit(1).alias("n"))
-    out = staged(found.where("copies > 1").select(*_KEY, "start", "n").unionByName(marks), "removed")
-    drop_staged(found, single)
+    listed = chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "lead", "n", "anchor", "copies")).alias("__runs"))
+    settled = found.where("copies > 1").select(*_KEY, "start", "n")
+    rows = staged(keyed.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_extended(width), _extended_schema(width)), "extended")
+    for m in _further(width):
+        if rows.isEmpty():
+            break
+        kept = [c for c in rows.columns if c not in (f"h{m}", f"new{m}")]
+        again = rows.groupBy("anchor", f"h{m}").agg(F.sum(F.when(F.col(f"new{m}"), F.col("copies"))).alias("total")).where("total > 1")
+        left = rows.join(again.select("anchor", f"h{m}"), ["anchor", f"h{m}"], "left_semi").select(*kept)
+        left = staged(left, f"level{m}")
+        drop_staged(rows)
+        rows = left
+    out = staged(settled.unionByName(rows.where("copies = 1").select(*_KEY, "start", F.lit(1).alias("n"))), "removed")
+    drop_staged(found, rows)
     return out
 
 
