@@ -1,9 +1,11 @@
 """Matroska audio as a media column: writing, parsing into packet tables, and features.
 
-Only the element kinds that audio files need are known by name; all others are skipped by their length, as the format
-asks. The parser reads the container alone: EBML numbers of variable length, clusters with their timestamps, blocks with
-all four kinds of lacing, and cues; it gives one packet for each laced frame with its track, timestamp, byte range and
-whether the cues point at its cluster. Payloads are byte ranges of the media column; they are never decoded.
+Only the element kinds that timing and packets need are known by name; all others are skipped by their length, as the
+format asks. The parser reads the container alone, of files of this writer or any other: EBML numbers of variable and
+unknown length, the segment's timestamp scale, tracks with their default durations, clusters with their timestamps, simple
+blocks and block groups with all four kinds of lacing, and cues. It gives one packet for each laced frame with its track,
+timestamp, duration, byte range, whether it is a key frame and whether a cue points at it. Payloads are byte ranges of the
+media column; they are never decoded.
 """
 
 from __future__ import annotations
@@ -18,11 +20,16 @@ from pyspark.sql import functions as F
 
 # Element ids of the format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
+SEEK, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
-AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
-CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+AUDIO, RATE, CHANNELS, DEPTH, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
+CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
+#: What stands beside clusters: one of these ends a cluster of unknown length.
+_BESIDE = (CLUSTER, CUES, INFO, TRACKS, SEEK, TAGS, CHAPTERS, ATTACHMENTS)
+#: Nanoseconds of one timestamp unit where a file does not say.
+USUAL_SCALE = 1_000_000
 
 #: One frame is 576 samples of 8 bits; at 8000 samples a second it lasts 72 ms.
 FRAME, SAMPLE_RATE, FRAME_MS = 576, 8000, 72
@@ -65,7 +72,7 @@ def write(payload: bytes) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000))
     audio = element(AUDIO, element(RATE, b"\x45\xfa\x00\x00") + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))
-    entry = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio
+    entry = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + audio
     body, at, done, cues = [info, element(TRACKS, element(TRACK_ENTRY, entry))], 0, 0, []
     at = sum(map(len, body))
     k = 0
@@ -107,7 +114,7 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, in
         if size is None:
             to = end
             if kind == CLUSTER:
-                to = next((b for k, b, _, _ in elements(data, body, end) if k in (CLUSTER, CUES, INFO, TRACKS)), end)
+                to = next((b for k, b, _, _ in elements(data, body, end) if k in _BESIDE), end)
         else:
             to = body + size
         if to > end:
@@ -152,41 +159,88 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, int, list[
     return track, relative, flags, lacing, out
 
 
-Packet = tuple[int, int, int, int, int, bool, bool]
+Packet = tuple[int, int, int | None, int, int, int, bool, bool]
+Cue = tuple[int, int, int, int | None]
 
 
-def parse(data: bytes) -> tuple[list[Packet], int]:
-    """Packets (track, timestamp, offset, size, lacing, key frame, first of a cluster that cues point at), and cues."""
-    packets, cued, begins = [], set(), []
+def _cues(data: bytes, at: int, end: int, scale: int) -> Iterator[Cue]:
+    """time in nanoseconds, track, the cluster's place in the segment, the block's place in the cluster, of each cue."""
+    for point, _, a, b in elements(data, at, end):
+        if point == CUE_POINT:
+            parts = list(elements(data, a, b))
+            time = next((_int(data, c, d) for kind, _, c, d in parts if kind == CUE_TIME), 0)
+            for kind, _, c, d in parts:
+                if kind == CUE_POSITIONS:
+                    said = {name: _int(data, e, f) for name, _, e, f in elements(data, c, d) if name in (CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE)}
+                    yield time * scale, said.get(CUE_TRACK, 0), said.get(CUE_CLUSTER, 0), said.get(CUE_RELATIVE)
+
+
+def _durations(data: bytes, at: int, end: int) -> dict[int, int]:
+    """Default durations of tracks in nanoseconds, by their numbers."""
+    out = {}
+    for kind, _, a, b in elements(data, at, end):
+        if kind == TRACK_ENTRY:
+            said = {name: _int(data, c, d) for name, _, c, d in elements(data, a, b) if name in (TRACK_NUMBER, DEFAULT_DURATION)}
+            if DEFAULT_DURATION in said:
+                out[said.get(TRACK_NUMBER, 0)] = said[DEFAULT_DURATION]
+    return out
+
+
+def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
+    """Packets (track, timestamp, duration, offset, size, lacing, key frame, whether a cue points at it), and cues.
+
+    Times are nanoseconds. A frame's duration is its track's default one, or its share of its block group's, else
+    unknown; a laced frame comes after those before it in its block, at the block's own time where durations are unknown.
+    A block group is a key frame unless it refers to another block. A cue points at the first frame of the block whose
+    place it tells, else at the first of its track at its time in its cluster.
+    """
+    packets: list[Packet] = []
+    cues: list[Cue] = []
     for kind, _, body, to in elements(data, 0, len(data)):
         if kind != SEGMENT:
             continue
-        for part, begin, a, b in elements(data, body, to):
-            if part == CUES:
-                for _, _, c, d in elements(data, a, b):
-                    for what, _, e, f in elements(data, c, d):
-                        if what == CUE_POSITIONS:
-                            cued.update(_int(data, g, h) for name, _, g, h in elements(data, e, f) if name == CUE_CLUSTER)
-            elif part == CLUSTER:
-                base, begins = 0, [*begins, (begin - body, len(packets))]
-                for what, _, c, d in elements(data, a, b):
-                    if what == TIMESTAMP:
-                        base = _int(data, c, d)
-                    blocks = [(c, d)] if what == SIMPLE_BLOCK else []
-                    if what == BLOCK_GROUP:
-                        blocks = [(e, f) for name, _, e, f in elements(data, c, d) if name == BLOCK]
-                    for e, f in blocks:
+        parts = list(elements(data, body, to))
+        scale, durations, blocks = USUAL_SCALE, {}, {}
+        for part, _, a, b in parts:
+            if part == INFO:
+                scale = next((_int(data, c, d) for name, _, c, d in elements(data, a, b) if name == TIMESTAMP_SCALE), scale)
+            elif part == TRACKS:
+                durations = _durations(data, a, b)
+        for part, begin, a, b in parts:
+            if part != CLUSTER:
+                continue
+            base = 0
+            for what, start, c, d in elements(data, a, b):
+                if what == TIMESTAMP:
+                    base = _int(data, c, d)
+                elif what in (SIMPLE_BLOCK, BLOCK_GROUP):
+                    inner = [(SIMPLE_BLOCK, start, c, d)] if what == SIMPLE_BLOCK else list(elements(data, c, d))
+                    refers = any(name == REFERENCE for name, *_ in inner)
+                    lasts = next((_int(data, e, f) * scale for name, _, e, f in inner if name == BLOCK_DURATION), None)
+                    for name, _, e, f in inner:
+                        if name not in (SIMPLE_BLOCK, BLOCK):
+                            continue
                         track, relative, flags, lacing, ranges = frames_of(data, e, f)
-                        for i, (at, size) in enumerate(ranges):
-                            packets.append((track, base + relative + i * FRAME_MS, at, size, lacing, what == BLOCK_GROUP or flags > 127, False))
-    for place, first in begins:
-        if place in cued and first < len(packets):
-            packets[first] = (*packets[first][:6], True)
-    return packets, len(cued)
+                        time, each = (base + relative) * scale, durations.get(track)
+                        if each is None and lasts is not None:
+                            each = lasts // len(ranges)
+                        blocks.setdefault((begin - body, start - a), len(packets))
+                        blocks.setdefault((begin - body, track, time), len(packets))
+                        key = flags > 127 if what == SIMPLE_BLOCK else not refers
+                        packets += [(track, time + i * (each or 0), each, at, size, lacing, key, False) for i, (at, size) in enumerate(ranges)]
+        for part, _, a, b in parts:
+            if part == CUES:
+                for time, track, place, inside in _cues(data, a, b, scale):
+                    cues.append((time, track, place, inside))
+                    hit = blocks.get((place, inside) if inside is not None else (place, track, time))
+                    if hit is not None:
+                        packets[hit] = (*packets[hit][:7], True)
+    return packets, cues
 
 
-PACKET = "struct<track:int,timestamp:long,offset:long,size:int,lacing:int,key:boolean,cued:boolean>"
-_PACKETS = pa.struct([("track", pa.int32()), ("timestamp", pa.int64()), ("offset", pa.int64()), ("size", pa.int32()), ("lacing", pa.int32()), ("key", pa.bool_()), ("cued", pa.bool_())])
+PACKET = "struct<track:int,timestamp:long,duration:long,offset:long,size:int,lacing:int,key:boolean,cued:boolean>"
+_PACKETS = pa.struct([("track", pa.int32()), ("timestamp", pa.int64()), ("duration", pa.int64()), ("offset", pa.int64()), ("size", pa.int32()), ("lacing", pa.int32()), ("key", pa.bool_()), ("cued", pa.bool_())])
+CUE = "struct<time:long,track:int,cluster:long,block:long>"
 
 
 def pad(text: bytes) -> bytes:
@@ -209,12 +263,22 @@ def packet_table(media: DataFrame, media_col: str, *keep: str | Column) -> DataF
 
     @F.pandas_udf(f"array<{PACKET}>")
     def packets(s):
-        names = ("track", "timestamp", "offset", "size", "lacing", "key", "cued")
+        names = [f.name for f in _PACKETS]
         return s.map(lambda m: [dict(zip(names, p)) for p in parse(bytes(m))[0]] if m is not None else [])
 
     return media.select(*keep, F.inline(packets(media_col)))
 
 
+def cue_table(media: DataFrame, media_col: str, *keep: str | Column) -> DataFrame:
+    """One row for each cue of each file: time in nanoseconds, track, and the places of its cluster and, if told, block."""
+
+    @F.pandas_udf(f"array<{CUE}>")
+    def cues(s):
+        return s.map(lambda m: [dict(zip(("time", "track", "cluster", "block"), c)) for c in parse(bytes(m))[1]] if m is not None else [])
+
+    return media.select(*keep, F.inline(cues(media_col)))
+
+
 _DIGEST = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, cues int, packets array<{PACKET}>"
 
 
@@ -225,8 +289,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column(1).cast(pa.binary()).to_pylist():
                 media = write(pad(text or b""))
                 packets, cues = parse(media)
-                payload = b"".join([media[p[2] : p[2] + p[3]] for p in packets])
-                rows.append((len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), cues))
+                payload = b"".join([media[p[3] : p[3] + p[4]] for p in packets])
+                rows.append((len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), len(cues)))
                 flat += packets
                 ends.append(len(flat))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32())
@@ -248,7 +312,7 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     feature = F.concat(
         F.lit("packets="), F.size("packets"), F.lit(" cues="), F.col("cues"),
         F.lit(" cued="), F.size(F.filter("packets", lambda p: p["cued"])),
-        F.lit(" ms="), F.element_at("packets", -1)["timestamp"] + FRAME_MS,
+        F.lit(" ms="), F.expr("(element_at(packets, -1).timestamp + element_at(packets, -1).duration) div 1000000"),
         count("none", NO_LACING), count("xiph", XIPH), count("fixed", FIXED), count("ebml", EBML_LACING),
     )
     return done.select(F.col("doc_id").alias(id_col), *done.columns[1:7], feature.alias("feature"))
