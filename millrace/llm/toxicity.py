@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin ones and digits and signs
-that stand for letters to these, and turns everything else that is no letter into one space. Terms are whole words
+Folding lower-cases, takes compatibility forms (full-width, mathematical, circled letters) and letters with marks apart,
+drops marks and characters without width, maps look-alike letters of other scripts to Latin ones and digits and signs that
+stand for letters to these, and turns everything else that is no letter into one space. Terms are whole words
 (`` word ``) or beginnings of words (`` beg``). A word counts once, with its heaviest term; words inside of an exception
 phrase do not count. The sum is divided by the logarithm of the length, and one threshold maps it to a score.
 
@@ -11,6 +12,7 @@ The lexicon's words here are a seed; weights, further terms and the threshold ar
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,19 +20,29 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import drop_staged, staged
+
 SEED = dict.fromkeys(("idiot", "moron", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting", "imbecile", "vermin"), 4.0)
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clown school", "disgusting taste", "pathetic fallacy", "sore loser")
 
+#: Look-alikes of Latin letters that are no compatibility forms, then digits and signs that stand for letters.
 _ALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ԁ": "d", "к": "k", "м": "m", "т": "t",
-    "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "κ": "k",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ԁ": "d", "к": "k", "м": "m", "т": "t", "ј": "j", "һ": "h",
+    "ԛ": "q", "ԝ": "w", "п": "n", "г": "r", "в": "b", "н": "h", "ү": "y", "ӏ": "l", "ё": "e", "є": "e", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v",
+    "ρ": "p", "τ": "t", "υ": "u", "κ": "k", "η": "n", "χ": "x", "γ": "y", "σ": "o", "ω": "w", "β": "b", "ց": "g", "օ": "o", "ս": "u", "հ": "h", "ո": "n",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʏ": "y", "ɪ": "i", "ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ŧ": "t", "ƒ": "f", "æ": "ae", "œ": "oe", "ß": "ss",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "£": "l",
 }
-_FOLD = str.maketrans(_ALIKE | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
+_FOLD = str.maketrans(_ALIKE)
+#: Marks and characters without width: what is left of a letter once its marks are apart, and what may stand inside of words unseen.
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+").sub
+#: Signs that stand for a letter between letters only.
+_INSIDE = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])").sub
 _GAPS = re.compile(r"[\W\d_]+").sub
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6)
@@ -38,7 +50,9 @@ BEGINNINGS = (4, 5, 6)
 
 def fold(text: str) -> str:
     """Folded words, each between single spaces."""
-    return " " + _GAPS(" ", text.lower().translate(_FOLD)).strip() + " "
+    if not text.isascii():
+        text = _UNSEEN("", unicodedata.normalize("NFKD", text))
+    return " " + _GAPS(" ", _INSIDE("i", text.lower()).translate(_FOLD)).strip() + " "
 
 
 @dataclass(frozen=True)
@@ -143,12 +157,15 @@ def fit(
 ) -> Model:
     """Learns term weights and the threshold from labelled rows, as :func:`labelled_sample` bounds them.
 
-    The bound keeps fitting the same work at any size of the corpus; scoring covers every row. Copies count once. A term
-    needs ``least_share`` of the toxic rows and a log odds ratio of ``least_weight``; at most ``most_terms`` are kept,
-    the heaviest. Without toxic or without clean rows the seed alone is the lexicon.
+    The bound keeps fitting the same work at any size of the corpus; scoring covers every row. Of copies (rows of one
+    label that share their least hash of word triples) the least text counts, so the model follows from the rows alone. A
+    term needs ``least_share`` of the toxic rows and a log odds ratio of ``least_weight``; that leaves at most 1 /
+    ``least_share`` times the terms of a mean toxic row to look at. At most ``most_terms`` are kept, the heaviest, equal
+    ones in the order of the alphabet. Without toxic or without clean rows the seed alone is the lexicon.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_signed, "label int, text string, sign long").dropDuplicates(["label", "sign"]).persist()
+    rows = rows.mapInArrow(_signed, "label int, text string, sign long").groupBy("label", "sign").agg(F.min("text").alias("text"))
+    rows = staged(rows.select("label", "text", "sign"), "labelled")
     try:
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -157,7 +174,7 @@ def fit(
             return Model(terms, exceptions, 1.0)
         least = max(3, least_share * bad)
         summed = lambda y, only: rows.where(F.col("label") == y).mapInArrow(_counted(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        often = {r["term"]: r["n"] for r in summed(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(50_000).collect()}
+        often = {r["term"]: r["n"] for r in summed(1, None).where(F.col("n") >= least).collect()}
         clean = {r["term"]: r["n"] for r in summed(0, frozenset(often)).collect()}
         weight = {t: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, n in often.items()}
         heavy = sorted((t for t, w in weight.items() if w >= least_weight), key=lambda t: (-weight[t], t))[:most_terms]
@@ -167,7 +184,7 @@ def fit(
         bins = levels.groupBy("bin", "label").count().collect()
         return Model(terms, exceptions, threshold({(r["bin"], r["label"]): r["count"] for r in bins}))
     finally:
-        rows.unpersist()
+        drop_staged(rows)
 
 
 def threshold(counts: dict[tuple[int, int], int]) -> float:

@@ -14,6 +14,8 @@ SF = "/root/testdata/sf0.1"  # 120 toxic rows are held out there
 
 def test_folding():
     assert tox.fold("1d10t") == tox.fold("ІDІОТ") == tox.fold("ｉｄｉｏｔ") == tox.fold("!ID!IOT".replace("!", "")) == " idiot "
+    for hidden in ("id\u200biot", "i\u0301d\u0308iot", "𝓲𝓭𝓲𝓸𝓽", "ⓘⓓⓘⓞⓣ", "id!ot!", "ıdıοt", "IDI\u00adOT", "\ufeff1di0т"):
+        assert tox.fold(hidden) == " idiot "
     assert tox.fold("") == tox.fold(" -- ") == "  " and tox.fold("a_b-c") == " a b c "
 
 
@@ -68,6 +70,18 @@ def test_fit_without_labels(spark, odd):
     assert set(model.terms) == {f" {w} " for w in tox.SEED}
 
 
+def test_fit_follows_from_the_rows(spark):
+    """Copies in any order and partitioning give one model, however many terms there are."""
+    rng = random.Random(2)
+    rows = [(i % 2, " ".join(rng.choice(["bad", "worse"] if i % 2 and rng.random() < 0.2 else [f"w{rng.randrange(40)}"]) for _ in range(30))) for i in range(120)]
+    rows += [(y, t + " tail") for y, t in rows[:60]]
+    models = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        models.append(tox.fit(spark.createDataFrame(rows, "label int, text string").repartition(parts), label="label", text="text"))
+    assert models[0] == models[1] and " bad " in models[0].terms
+
+
 def test_held_out_accuracy(spark):
     scored = queries.op8_toxicity(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
