@@ -100,12 +100,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, capacity:
     """Encodes doc_id and text, appends ``end_id`` and cuts only what is longer than ``capacity``: one row a piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocabulary)
         end, width = end_id.to_bytes(4, "little"), 4 * capacity
-        for part, texts in tokens.texts(batches):
+        for part, texts in tokens.encoded(batches, vocabulary):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(part.column(0).to_pylist(), texts):
-                ids = enc.encode(text) + end
+                ids = text.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     one = ids[at : at + width]
                     for column, value in zip(rows, (doc, k, at // 4, len(one) // 4, zlib.crc32(one))):

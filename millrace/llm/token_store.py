@@ -6,12 +6,14 @@ passages give equal chunks wherever they stand. The store is three Parquet table
 * ``chunks``: digest (sha256 of the ids as little-endian unsigned 32-bit integers), n, and the ids, stored once each as
   16-bit integers where all fit and 32-bit ones otherwise, compressed by zstd;
 * ``recipes``: for each document, in ascending order of ids over its files: start (ids of all documents before it),
-  n_tokens, its chunks' digests and lengths in order, and its Merkle root over these;
+  n_tokens, its chunks' digests and where each ends, in order, and its Merkle root over these;
 * ``manifest``: for each range of recipes: documents, ids and the Merkle root over their roots.
 
-Chunks are dealt by digest once; each task sends a digest's ids at most once, so a passage that fills a third of the
-corpus costs one chunk for each task. Reading back digests each stored chunk by itself and puts documents' checksums
-together from their chunks' (crc32 is linear), so no ids are shuffled to verify the whole store.
+Chunks are dealt by digest once and sorted there, so that copies meet as neighbours and no task remembers digests; each
+task sends a digest's ids at most once, so a passage that fills a third of the corpus costs one chunk for each task.
+Reading back digests each stored chunk by itself, makes every recipe's Merkle root anew and compares it, and compares the
+manifest with the roots. Documents' checksums are put together from their chunks' (crc32 is linear), so no ids are
+shuffled to verify the whole store.
 """
 
 from __future__ import annotations
@@ -52,10 +54,10 @@ def borders(ids: np.ndarray) -> list[int]:
         while end - at > MOST:
             at += MOST
             out.append(at)
-        if end - at >= LEAST or end == n:
+        if end - at >= LEAST or at < end == n:
             at = end
             out.append(at)
-    return out if out[-1] == n else [*out, n]
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -84,29 +86,28 @@ def thaw(stored: bytes) -> bytes:
 
 _ROWS = pa.schema(
     [("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("stored", pa.binary()),
-     ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32()))]
+     ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64()))]
 )
-_SPARK_ROWS = "kind string, doc_id long, n long, digest binary, stored binary, digests array<binary>, lengths array<int>"
+_SPARK_ROWS = "kind string, doc_id long, n long, digest binary, stored binary, digests array<binary>, ends array<long>"
 
 
 def _cut(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, sent = tokens.encoder(vocabulary), end_id.to_bytes(4, "little"), set()
-        for part, texts in tokens.texts(batches):
+        end, sent = np.array([end_id], "<u4"), set()
+        for part, texts in tokens.encoded(batches, vocabulary):
             rows = []
             for doc, text in zip(part.column(0).to_pylist(), texts):
-                ids = enc.encode(text) + end
-                at, digests, lengths = 0, [], []
-                for to in borders(np.frombuffer(ids, "<u4")):
-                    one = ids[4 * at : 4 * to]
+                ids = np.concatenate([text, end])
+                raw, ends, at, digests = ids.tobytes(), borders(ids), 0, []
+                for to in ends:
+                    one = raw[4 * at : 4 * to]
                     digest = hashlib.sha256(one).digest()
                     digests.append(digest)
-                    lengths.append(to - at)
                     if digest not in sent:
                         sent.add(digest)
                         rows.append(("chunk", None, to - at, digest, freeze(one), None, None))
                     at = to
-                rows.append(("recipe", doc, len(ids) // 4, merkle(digests), None, digests, lengths))
+                rows.append(("recipe", doc, len(ids), merkle(digests), None, digests, ends))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
     return run
@@ -147,35 +148,34 @@ def write_store(docs: DataFrame, vocabulary: str, *, end_id: int = 2, id_col: st
     path = path or new_path(spark, "store")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = slim.mapInArrow(_cut(vocabulary, end_id), _SPARK_ROWS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.when(F.col("kind") == "chunk", F.col("digest")).otherwise(F.unhex(F.md5(F.concat("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))))
-    dealt = rows.withColumn("__key", F.xxhash64(key)).repartition(parts, "__key").mapInArrow(_once, _SPARK_ROWS)
+    dealt = rows.withColumn("__key", F.xxhash64(key)).repartition("__key").sortWithinPartitions("__key", "digest").mapInArrow(_once, _SPARK_ROWS)
     dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
     parts_read = spark.read.schema(_SPARK_ROWS).parquet(f"{path}/parts")
     recipes = parts_read.where("kind = 'recipe'").select(
-        "doc_id", F.col("n").alias("n_tokens"), F.col("digest").alias("root"), "digests", "lengths"
+        "doc_id", F.col("n").alias("n_tokens"), F.col("digest").alias("root"), "digests", "ends"
     )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = running_total(recipes, ["doc_id", "root"], "n_tokens", "start", parts)
     ordered.repartitionByRange(parts, "__range", "doc_id", "root").sortWithinPartitions("__range", "doc_id", "root").write.option(
         "compression", "zstd"
     ).parquet(f"{path}/recipes")
     kept = spark.read.parquet(f"{path}/recipes")
-    kept.select("__range", "doc_id", "root", "n_tokens").repartition(parts, "__range").sortWithinPartitions(
+    kept.select("__range", "doc_id", "root", "n_tokens").repartition("__range").sortWithinPartitions(
         "__range", "doc_id", "root"
     ).mapInPandas(_manifest, "range int, documents long, ids long, root binary").write.parquet(f"{path}/manifest")
     return path
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops further copies of chunks; all copies of a digest are in one partition."""
-    seen: set[bytes] = set()
+    """Drops further copies of chunks; all copies of a digest stand in a row, but for recipes between them."""
+    last = None
     for batch in batches:
         keep = []
         for kind, digest in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-            new = kind != "chunk" or digest not in seen
-            if new and kind == "chunk":
-                seen.add(digest)
-            keep.append(new)
+            keep.append(kind != "chunk" or digest != last)
+            if kind == "chunk":
+                last = digest
         yield batch.select(_ROWS.names).filter(pa.array(keep, pa.bool_()))
 
 
@@ -230,43 +230,51 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"__digest": pdf["digest"], "__crc": [zlib.crc32(i) for i in raw]})
 
 
+def _refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk of each recipe, with the bytes after it; recipes that do not give their root are an error."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            digests, ends, n, roots = (part.column(i) for i in (3, 4, 2, 5))
+            for leaves, to, ids, root in zip(digests.to_pylist(), ends.to_pylist(), n.to_pylist(), roots.to_pylist()):
+                if merkle(leaves) != root or len(to) != len(leaves) or to[-1] != ids or any(a >= b for a, b in zip([0, *to], to)):
+                    raise ValueError(f"a recipe does not give its Merkle root {root.hex()}")
+            row = np.repeat(np.arange(part.num_rows), np.diff(digests.offsets.to_numpy()))
+            after = (n.to_numpy()[row] - ends.flatten().to_numpy()) * 4
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i).take(pa.array(row)) for i in range(3)), digests.flatten(), pa.array(after)], ["doc_id", "start", "n_tokens", "__digest", "__after"]
+            )
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files, with every chunk verified.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the store's files, with everything verified.
 
-    Also ``whole``: all its chunks are there and their digests give its Merkle root.
+    A stored chunk that does not give its digest, a recipe that does not give its Merkle root, a chunk that is missing
+    and a manifest that does not agree with the recipes are errors.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
+    if not verify_manifest(spark, path).where("NOT whole").isEmpty():
+        raise ValueError(f"the manifest of {path} does not agree with its recipes")
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "digests", "ends", "root")
     digests = chunks(spark, path).mapInPandas(_digested, "__digest binary, __crc long")
-    refs = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode(F.arrays_zip("digests", "lengths")).alias("k", "__c"), "lengths")
-    after = F.aggregate(F.slice("lengths", F.col("k") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x)
-    refs = refs.select("doc_id", "start", "n_tokens", F.col("__c.digests").alias("__digest"), (after * 4).alias("__after"))
-    shift = F.pandas_udf(lambda crc, zeros: pd.Series(shift_crc(crc.fillna(0).to_numpy(), zeros.to_numpy()).astype(np.int64)), "long")
+    refs = recipes.mapInArrow(_refs, "doc_id long, start long, n_tokens long, __d binary, __after long")
+    shift = F.pandas_udf(lambda crc, zeros: pd.Series(shift_crc(crc.to_numpy(), zeros.to_numpy()).astype(np.int64)), "long")
+    found = F.coalesce("__crc", F.raise_error(F.concat(F.lit("a chunk is missing: "), F.hex("__d"))).cast("long"))
     return (
-        refs.join(digests, "__digest", "left")
-        .groupBy("doc_id", "start", "n_tokens")
-        .agg(F.bit_xor(shift("__crc", "__after")).alias("ids_crc32"), F.bool_and(F.col("__crc").isNotNull()).alias("whole"))
+        refs.join(digests, F.col("__d") == F.col("__digest"), "left").withColumn("__crc", found)
+        .groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor(shift("__crc", "__after")).alias("ids_crc32"))
     )
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """For each range of recipes, whether documents' digests give their roots and the roots give the manifest's."""
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def checked():
-            for pdf in batches:
-                pdf = pdf.copy()
-                pdf["root"] = [merkle([bytes(d) for d in ds]) for ds in pdf["digests"]]
-                yield pdf
-
-        return _manifest(checked())
-
+    """For each range of recipes, whether there are as many documents and ids, and their roots give its root."""
     found = (
-        spark.read.parquet(f"{path}/recipes").repartition(8, "__range").sortWithinPartitions("__range", "doc_id", "root")
-        .select("__range", "n_tokens", "root", "digests").mapInPandas(again, "range int, documents long, ids long, root binary")
+        spark.read.parquet(f"{path}/recipes").select("__range", "doc_id", "root", "n_tokens").repartition("__range")
+        .sortWithinPartitions("__range", "doc_id", "root").mapInPandas(_manifest, "range int, documents long, ids long, root binary")
     )
-    told = spark.read.parquet(f"{path}/manifest").withColumnsRenamed({"root": "told", "documents": "td", "ids": "ti"})
+    told = spark.read.parquet(f"{path}/manifest").withColumnsRenamed({"range": "told_range", "root": "told", "documents": "td", "ids": "ti"})
     ok = (F.col("root") == F.col("told")) & (F.col("documents") == F.col("td")) & (F.col("ids") == F.col("ti"))
-    return told.join(found, "range", "left").select("range", F.coalesce(ok, F.lit(False)).alias("whole"))
+    both = told.join(found, F.col("told_range") == F.col("range"), "full")
+    return both.select(F.coalesce("told_range", "range").alias("range"), F.coalesce(ok, F.lit(False)).alias("whole"))
 
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, inside Spark tasks.
 
 Invented and natural corpora repeat their words, and both public vocabularies never merge across a single space between
-two characters that are no white space. So a text is cut there, each distinct piece goes through the library once, and
-its ids are kept in a bounded cache of the worker. tests/llm/test_tokens.py compares this with whole-text encoding.
+two characters that are no white space. So texts are cut there, many at a time by Arrow; each distinct piece goes through
+the library once, its ids are kept in a bounded cache of the worker, and numpy puts the texts' ids together from them.
+tests/llm/test_tokens.py compares this with whole-text encoding.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import array
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A cut is safe where one plain space stands between characters that no Unicode version counts as white space.
 _SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
@@ -19,106 +22,128 @@ _SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
 _OTHER_SPACE = [c for c in map(chr, [*range(9), *range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]) if c != "\n"]
 
 
-def _regular(text: str) -> bool:
-    """Whether every plain space and every line feed stands alone between characters that are no white space."""
-    if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    for c in _OTHER_SPACE:
-        if c in text and (f" {c}" in text or f"{c} " in text or f"\n{c}" in text or f"{c}\n" in text):
-            return False
-    return True
+_SPACES = "".join(rf"\x{{{ord(c):x}}}" for c in [*_OTHER_SPACE, " ", "\n"])
+#: Texts in which some plain space or line feed does not stand alone between characters that are no white space; and those
+#: with the character that marks a text's first piece.
+_IRREGULAR = rf"\A[ \n]|[ \n]\z|[ \n][{_SPACES}]|[{_SPACES}][ \n]|\x01"
+_FIRST = "\x01"
 
 
 #: Longer pieces are encoded each time, so that keys stay small.
 LONGEST_KEY = 64
-#: Letters whose lower case is one letter and that no normal form changes when they stand in a row, and some stops.
+#: Letters whose lower case is one letter and that no normal form changes when they stand in a row.
 _PLAIN_CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
-_PLAIN = re.compile(f"([{_PLAIN_CHARACTERS}]+)([.,!?]*)").fullmatch
+#: A piece's mark, its word, and signs after it, which are one word for either pre-tokenizer.
+_PLAIN = re.compile(rf"([\n\x01]?)([{_PLAIN_CHARACTERS}]+)([!-/:-@\[-`{{-~]*)").fullmatch
 
 
 class _Generations(dict):
-    """piece -> ids as bytes. When it is full the older half goes; what is used again is kept."""
+    """key -> ids as bytes. When it is full the older half goes; what is used again is kept."""
 
     def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.pop(piece, None)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
         if ids is None:
-            ids = array.array("I", self.encode(piece)).tobytes()
-        if len(piece) <= LONGEST_KEY:
+            ids = self.encode(key)
+        if len(key) <= LONGEST_KEY:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[key] = ids
         return ids
 
 
-class _Ends(dict):
-    """Final punctuation -> ids."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, end: str) -> list[int]:
-        ids = [x.id for x in self.model.tokenize(end)]
-        if len(self) < 1000:
-            self[end] = ids
-        return ids
+def _bytes(ids: list[int]) -> bytes:
+    return array.array("I", ids).tobytes()
 
 
 class Encoder:
-    """encode(text) gives little-endian unsigned 32-bit ids. Strings of special tokens in a text are ordinary text.
+    """Ids of texts as the library gives them without added special tokens; such tokens' strings in a text are tokens.
 
-    Lines of regular texts are cut apart too: a lone line feed is a piece of its own. A piece of Latin letters and final
-    punctuation is two words for either pre-tokenizer; such pieces go to the library's model directly, all others
-    through its whole chain.
+    Lines of regular texts are cut apart too: a lone line feed is a piece of its own. A piece of Latin letters and then
+    signs is two words for either pre-tokenizer; such pieces go to the library's model directly, all others
+    through its whole chain. Texts with the string of a special token go through it whole.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         self.lower = t.normalizer is not None and t.normalizer.normalize_str("A") == "a"
         self.spaced = t.pre_tokenizer.pre_tokenize_str(" a")[0][0] != "a"
         stand_in = {chr(c): t.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in map(ord, _PLAIN_CHARACTERS)}
         self.table = str.maketrans(stand_in)
         self.space = t.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if self.spaced else ""
-        self.model, self.ends = t.model, _Ends(t.model)
-        self.first = _Generations(lambda p: self.plain("", p), 100_000)
-        self.next = _Generations(lambda p: self.plain(" ", p), cache_entries)
-        self.feed = array.array("I", self.whole("\n")).tobytes()
+        self.model = t.model
+        self.feed = _bytes(self.whole("\n"))
+        self.words, self.signs = _Generations(self.word, cache_entries), _Generations(self.word, 10_000)
+        self.pieces = _Generations(self.piece, cache_entries)
+        special = [re.escape(a.content) for a in t.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)").search
+        self.irregular = "|".join([_IRREGULAR, *special])
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def plain(self, before: str, piece: str) -> list[int]:
-        """The ids of ``piece`` with ``before`` (a space or nothing) in front."""
-        m = _PLAIN(piece)
+    def word(self, word: str) -> bytes:
+        """The ids of what the pre-tokenizer makes one word, in its alphabet."""
+        return _bytes([x.id for x in self.model.tokenize(word)])
+
+    def piece(self, key: str) -> bytes:
+        """The ids of a piece: after a line feed (then with the feed's), first in its text (marked), or after a space."""
+        m = _PLAIN(key)
         if m is None:
-            return self.whole(before + piece)
-        word, end = m.groups()
+            if key[:1] == "\n":
+                return self.feed + _bytes(self.whole(key[1:]))
+            return _bytes(self.whole(key[1:] if key[:1] == _FIRST else " " + key))
+        mark, word, signs = m.groups()
         if self.lower:
             word = word.lower()
         if not word.isascii():
             word = word.translate(self.table)
-        ids = [x.id for x in self.model.tokenize(self.space + word if before else word)]
-        return ids + self.ends[end] if end else ids
+        ids = self.words[word if mark else self.space + word]
+        if mark == "\n":
+            ids = self.feed + ids
+        return ids + self.signs[signs] if signs else ids
+
+    def one(self, text: str) -> np.ndarray:
+        """The ids of any text, cut where that is safe."""
+        if self.special(text):
+            return np.array(self.whole(text), "<u4")
+        first, *rest = _SAFE.split(text)
+        ids = [_bytes(self.whole(first))]
+        for p in rest:
+            ids.append(self.pieces[p] if p[0] != _FIRST else _bytes(self.whole(" " + p)))
+        return np.frombuffer(b"".join(ids), "<u4")
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.irregular)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.one(texts[i].as_py())
+        regular = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        if len(regular):
+            marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts.take(pa.array(regular)), "\n", " \n"), "")
+            cut = pc.split_pattern(marked, " ")
+            keys = cut.flatten().dictionary_encode()
+            ids = [self.pieces[k] for k in keys.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            stock, index = np.frombuffer(b"".join(ids), "<u4"), keys.indices.to_numpy()
+            n = size[index]
+            ends = np.cumsum(n)
+            flat = stock[np.repeat((np.cumsum(size) - size)[index] - (ends - n), n) + np.arange(ends[-1])]
+            stops = ends[cut.offsets.to_numpy()[1:] - 1].tolist()
+            for i, a, b in zip(regular.tolist(), [0, *stops], stops):
+                out[i] = flat[a:b]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not _regular(text):
-            pieces = iter(_SAFE.split(text))
-            return self.first[next(pieces)] + b"".join(map(self.next.__getitem__, pieces))
-        lines, first, rest = [], self.first, self.next.__getitem__
-        for line in text.split("\n"):
-            pieces = iter(line.split(" "))
-            lines.append(first[next(pieces)] + b"".join(map(rest, pieces)))
-        return self.feed.join(lines)
-
-
+        return self.many(pa.array([text], pa.string()))[0].tobytes()
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -129,9 +154,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def texts(batches: Iterable[pa.RecordBatch], *, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their last column as strings; null is empty."""
+def encoded(batches: Iterable[pa.RecordBatch], path: str, *, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches, of about ``most_bytes`` of text or one row, with the ids of their last column's texts."""
+    enc = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+        column = batch.column(batch.num_columns - 1)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + most_bytes)))
+            yield batch.slice(at, to - at), enc.many(column.slice(at, to - at))
+            at = to

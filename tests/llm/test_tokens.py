@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import packing, token_store, tokens
@@ -17,7 +19,6 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 def whole(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
@@ -26,12 +27,22 @@ def both(request):
     return tokens.Encoder(public_tokenizers.path(request.param), cache_entries=50), whole(request.param)
 
 
-@given(st.text(alphabet=st.sampled_from("abcXYZéßΣσς .,!'?%&#*$\n\t\r 　​0123文字́\U0001f600<|>"), max_size=60))
+@given(st.text(alphabet=st.sampled_from("abcXYZéßΣσς .,!'?%&#*$\n\t\r 　​0123文字́\x01\U0001f600<|>"), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_encoder(both, text):
     assert both[0].encode(text) == both[1](text).tobytes()
 
 
+def test_encoder_on_special_tokens(both):
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y  z\nq", "one <|endoftext |> two", "<|ENDOFTEXT|>", "a\n<|endoftext|>\nb."):
+        assert both[0].encode(text) == both[1](text).tobytes()
+
+
+def test_encoder_on_many(both):
+    texts = ["a plain text, twice.", None, "", "a plain text, twice.", " odd  spaces ", "lines\nand %%% signs.!!\nhere", "it's <|endoftext|> done", "word'"] * 3
+    assert [x.tolist() for x in both[0].many(pa.array(texts))] == [both[1](t).tolist() for t in texts]
+
+
 def test_encoder_on_documents(spark, both):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect():
         assert both[0].encode(r["text"]) == both[1](r["text"]).tobytes()
@@ -90,7 +101,6 @@ def test_store(spark, odd, none):
         got = token_store.read_store(spark, store).collect()
         texts = [(r["doc_id"], np.append(ids(r["text"]), np.uint32(2)).astype("<u4")) for r in docs.collect()]
         assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(((d, len(x), zlib.crc32(x.tobytes())) for d, x in texts), key=str)
-        assert all(r["whole"] for r in got)
         at = 0
         for r in sorted(got, key=lambda r: r["start"]):
             assert r["start"] == at
@@ -114,6 +124,23 @@ def test_damage_is_found(spark, tmp_path):
         rows.mapInPandas(token_store._digested, "__digest binary, __crc long").collect()
 
 
+@pytest.mark.parametrize("what", ["swapped", "lost", "manifest", "row"])
+def test_damaged_recipes_are_found(spark, tmp_path, what):
+    text = " ".join(f"word{i}" for i in range(2000))
+    store = token_store.write_store(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    name = {"lost": "parts", "manifest": "manifest"}.get(what, "recipes")
+    rows = spark.read.parquet(f"{store}/{name}")
+    bad = {
+        "swapped": lambda: rows.withColumn("digests", F.reverse("digests")), "lost": lambda: rows.where("kind <> 'chunk' OR n < 20"),
+        "manifest": lambda: rows.withColumn("ids", F.col("ids") + 1), "row": lambda: rows.where("doc_id = 1"),
+    }[what]()
+    kept = [tuple(r) for r in bad.collect()]
+    out = spark.createDataFrame(kept, bad.schema)
+    (out.write.mode("overwrite").partitionBy("kind") if what == "lost" else out.write.mode("overwrite")).parquet(f"{store}/{name}")
+    with pytest.raises(Exception, match="Merkle root|missing|manifest"):
+        token_store.read_store(spark, store).collect()
+
+
 def test_borders_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 30_000).astype("<u4")
@@ -121,6 +148,8 @@ def test_borders_follow_content():
     assert ends[-1] == len(ids) and all(0 < b - a <= token_store.MOST for a, b in zip([0, *ends], ends))
     moved = token_store.borders(np.concatenate([ids[:7], ids]))
     assert len({e + 7 for e in ends} & set(moved)) > 0.8 * len(ends)
+    for n in ends:  # also where a border is the end
+        assert token_store.borders(ids[:n]) == ends[: ends.index(n) + 1]
     assert token_store.borders(ids[:0]) == [0] and token_store.borders(ids[:5]) == [5]
 
 
