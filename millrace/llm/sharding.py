@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import utf8
+from millrace.llm.shared import staged, utf8
 
 #: 48 bits of md5 make one draw.
 DRAW_BITS = 48
@@ -25,11 +25,16 @@ def draw(key: Column, shard: int) -> Column:
     return (F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("double") + 0.5) / float(2**DRAW_BITS)
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of ``key`` among ``len(weights)`` shards. A null key is one key of its own."""
+def best_bid(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """struct(bid, shard): the least bid for ``key`` of the shards from ``first`` on. A null key is one key of its own."""
     key = F.coalesce(key.cast("string"), F.lit("null"))
-    bids = [F.struct((-F.log(draw(key, i)) / F.lit(float(w))).alias("bid"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
-    return F.array_min(F.array(*bids))["shard"]
+    bids = [F.struct((-F.log(draw(key, i)) / F.lit(float(w))).alias("bid"), F.lit(i).alias("shard")) for i, w in enumerate(weights) if i >= first]
+    return F.array_min(F.array(*bids))
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard of ``key`` among ``len(weights)`` shards."""
+    return best_bid(key, weights)["shard"]
 
 
 def shard_records(
@@ -38,10 +43,11 @@ def shard_records(
 ) -> DataFrame:
     """Places each row of ``df``: key, size, text_crc32, shard, slot, and grown_shard with the weights ``grown``.
 
-    ``slot`` numbers a shard's rows from 0 without gaps, in order of (block, key, size, crc). Blocks are parts of a
-    shard chosen by the key's hash; they number their own rows, and offsets come from one count for each block, so a
-    shard of any size is numbered by many tasks. Rows with equal keys and texts get neighbouring slots in either order.
+    ``slot`` numbers a shard's rows from 0 without gaps. Blocks are parts of a shard chosen by a hash of a row's key and
+    its place in the scan, so a key that a third of all rows share is in many of them; they number their own rows, and
+    offsets come from one count for each block, so a shard of any size is numbered by many tasks.
     A null text has no bytes and crc 0; a null key is placed like any other key. An empty table gives no rows.
+    Placed rows, a few numbers each, are written once for the counts and the slots.
     """
     weights = list(weights)
     n = df.count()
@@ -51,13 +57,16 @@ def shard_records(
         (F.octet_length(utf8(F.col(text))) + extra_bytes).cast("long").alias("size"),
         F.crc32(utf8(F.col(text))).alias("text_crc32"),
     ).withColumn("__text", F.coalesce(F.col("__key").cast("string"), F.lit("null")))
-    rows = rows.withColumn("shard", rendezvous(F.col("__text"), weights)).withColumn(
-        "__block", F.pmod(F.conv(F.substring(F.md5(F.col("__text").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(blocks))
-    )
+    block = F.pmod(F.xxhash64("__text", F.monotonically_increasing_id()), F.lit(blocks))
+    rows = rows.withColumn("__best", best_bid(F.col("__text"), weights)).withColumn("shard", F.col("__best.shard")).withColumn("__block", block)
     if grown is None:
         rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    elif list(grown[: len(weights)]) == weights:  # the old shards' bids are known
+        more = F.least("__best", best_bid(F.col("__text"), grown, len(weights))) if len(grown) > len(weights) else F.col("__best")
+        rows = rows.withColumn("grown_shard", more["shard"])
     else:
         rows = rows.withColumn("grown_shard", rendezvous(F.col("__text"), grown))
+    rows = staged(rows.drop("__text", "__best"), "placed")
     counts = rows.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
