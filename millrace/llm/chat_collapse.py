@@ -10,64 +10,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of one conversation that one task hashes together; longer conversations are hashed block by block.
+from millrace.llm.shared import drop_staged, staged
+
+#: Turns of one conversation in one part of its rendering.
 BLOCK = 256
 
 
 def prefix_hashes(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """conv, turn, place, n (turns up to here), h1 and h2: the running hashes, and ``last``: it is the final turn.
+    """conv, turn, role, text, block, n (turns up to here), h1 and h2: the running hashes, and ``last``: the final turn.
 
     Turns are ordered by (turn, role, text), nulls first; their place in this order is hashed, so gaps in the numbers do
-    not matter. Two hashes of 64 bits with other seeds make chance agreement of unequal prefixes negligible.
+    not matter. Two hashes of 64 bits with other seeds make chance agreement of unequal prefixes negligible. Turns are
+    dealt by range of (conv, turn, role, text), so a conversation that holds a third of all turns, numbered or not, is
+    hashed by many tasks, block by block; only counts and sums of blocks meet.
     """
-    t = turns.select(
-        F.col(conv).alias("__c"), F.col(turn).cast("long").alias("__t"), F.col(role).alias("__r"), F.col(text).alias("__x")
-    ).withColumn("__b", F.floor(F.coalesce(F.col("__t"), F.lit(-1)) / BLOCK))
-    blocks = t.groupBy("__c", "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("__c")
-    blocks = blocks.select(
-        "__c", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(over).alias("__total")
-    )
+    t = turns.select(F.col(conv).alias("__c"), F.col(turn).cast("long").alias("__t"), F.col(role).alias("__r"), F.col(text).alias("__x"))
+    t = t.repartitionByRange("__c", "__t", "__r", "__x").withColumn("__b", F.spark_partition_id())
     within = Window.partitionBy("__c", "__b").orderBy("__t", "__r", "__x")
-    t = t.withColumn("__k", F.row_number().over(within))
-    joined = t.join(
-        blocks.withColumnsRenamed({"__c": "__bc", "__b": "__bb"}),
-        F.col("__c").eqNullSafe(F.col("__bc")) & (F.col("__b") == F.col("__bb")),
-    ).withColumn("n", F.col("__base") + F.col("__k"))
+    t = staged(t.withColumn("__k", F.row_number().over(within)), "dealt")
+    before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("__c", "__b").agg(F.count("*").alias("__n")).select(
+        F.col("__c").alias("__bc"), F.col("__b").alias("__bb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
+        F.sum("__n").over(Window.partitionBy("__c")).alias("__total"),
+    )
+    joined = t.join(blocks, F.col("__c").eqNullSafe(F.col("__bc")) & (F.col("__b") == F.col("__bb"))).withColumn("n", F.col("__base") + F.col("__k"))
     parts = [F.col("n"), F.col("__r"), F.col("__x"), F.col("__r").isNull(), F.col("__x").isNull()]
-    h = joined.withColumn("__h1", F.xxhash64(F.lit(11), *parts)).withColumn("__h2", F.xxhash64(F.lit(97), *parts))
-    sums = h.groupBy("__c", "__b").agg(F.bit_xor("__h1").alias("__s1"), F.bit_xor("__h2").alias("__s2"))
-    sums = sums.select(
-        F.col("__c").alias("__sc"), F.col("__b").alias("__sb"),
-        F.coalesce(F.bit_xor("__s1").over(before), F.lit(0)).alias("__b1"),
-        F.coalesce(F.bit_xor("__s2").over(before), F.lit(0)).alias("__b2"),
-    )
     upto = Window.partitionBy("__c", "__b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # by place: equal turns keep theirs
+    h = joined.withColumn("__h1", F.xxhash64(F.lit(11), *parts)).withColumn("__h2", F.xxhash64(F.lit(97), *parts))
     h = h.withColumn("__r1", F.bit_xor("__h1").over(upto)).withColumn("__r2", F.bit_xor("__h2").over(upto))
+    h = staged(h.select("__c", "__t", "__r", "__x", "__b", "n", "__h1", "__h2", "__r1", "__r2", (F.col("n") == F.col("__total")).alias("last")), "running")
+    drop_staged(t)
+    sums = h.groupBy("__c", "__b").agg(F.bit_xor("__h1").alias("__s1"), F.bit_xor("__h2").alias("__s2")).select(
+        F.col("__c").alias("__sc"), F.col("__b").alias("__sb"),
+        F.coalesce(F.bit_xor("__s1").over(before), F.lit(0)).alias("__b1"), F.coalesce(F.bit_xor("__s2").over(before), F.lit(0)).alias("__b2"),
+    )
     return h.join(sums, F.col("__c").eqNullSafe(F.col("__sc")) & (F.col("__b") == F.col("__sb"))).select(
-        F.col("__c").alias(conv), F.col("__t").alias(turn), F.col("__r").alias(role), F.col("__x").alias(text), "n",
-        F.col("__r1").bitwiseXOR(F.col("__b1")).alias("h1"), F.col("__r2").bitwiseXOR(F.col("__b2")).alias("h2"),
-        (F.col("n") == F.col("__total")).alias("last"),
-    )
+        F.col("__c").alias(conv), F.col("__t").alias(turn), F.col("__r").alias(role), F.col("__x").alias(text), F.col("__b").alias("__block"), "n",
+        F.col("__r1").bitwiseXOR(F.col("__b1")).alias("h1"), F.col("__r2").bitwiseXOR(F.col("__b2")).alias("h2"), "last",
+    )
 
 
 def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The turns of maximal conversations, with ``n`` (place from 1) and ``n_turns``.
 
     Conversations are keyed by all their turns, so rows with a null id form one conversation; repeated turns are turns
-    of their own; null roles and texts differ from empty ones; an empty table gives no rows. Prefixes are made distinct
-    before they meet, so a first turn that opens a third of all conversations is one row.
+    of their own, as are turns without a number; null roles and texts differ from empty ones; an empty table gives no
+    rows. Prefixes are made distinct before they meet, so a first turn that opens a third of all conversations is one row.
     """
     h = prefix_hashes(turns, conv, turn, role, text)
+    keys = h.select(conv, "__block", "n", "h1", "h2", "last")
     whole = (
-        h.where("last").groupBy("n", "h1", "h2")
+        keys.where("last").groupBy("n", "h1", "h2")
         .agg(F.min(F.struct(F.col(conv).isNotNull().alias("some"), F.col(conv).alias("id"))).alias("__w"))
         .select("n", "h1", "h2", F.col("__w.id").alias("__id"))
     )
-    proper = h.where(~F.col("last")).select("n", "h1", "h2").distinct()
+    proper = keys.where(~F.col("last")).select("n", "h1", "h2").distinct()
     maximal = whole.join(proper, ["n", "h1", "h2"], "left_anti").select("__id", F.col("n").alias("n_turns"))
-    return h.join(maximal, F.col(conv).eqNullSafe(F.col("__id"))).select(conv, turn, role, text, "n", "n_turns")
+    blocks = keys.select(F.col(conv).alias("__bc"), F.col("__block").alias("__bb")).distinct()
+    kept = maximal.join(blocks, F.col("__id").eqNullSafe(F.col("__bc"))).select("__bc", "__bb", "n_turns")
+    return h.join(kept, F.col(conv).eqNullSafe(F.col("__bc")) & (F.col("__block") == F.col("__bb"))).select(conv, turn, role, text, "n", "n_turns")
 
 
 def render(turns: DataFrame, conv: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
