@@ -5,9 +5,11 @@ All of them group or order by session alone, so one shuffle on session_id serves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import checkpointed
+
 RECORDS = ("scope", "flow", "parameter", "calculation", "pivot", "smart_skip")
 INTENTS = ("select_best", "refine_same", "pivot_query", "calculate", "smart_skip")
 LLM_VIEW = ("scope", "flow", "parameter")
@@ -22,6 +24,11 @@ def view(actions: DataFrame, name: str = "workbench") -> DataFrame:
     return actions.where(F.col("record_type").isin(*LLM_VIEW)) if name == "llm" else actions
 
 
+def number(action_id: Column) -> Column:
+    """The number in an action's id, of any length; null for special ids."""
+    return F.regexp_extract(action_id, r"^ACT_(\d+)$", 1).try_cast("long")
+
+
 def linked() -> Column:
     return F.col("link_to").isNotNull() & (F.col("link_to") != "")
 
@@ -93,7 +100,7 @@ def summary_text(actions: DataFrame, which: str, before: str | None = None) -> D
     """The session as text: one line for each action of the view, up to an action id if one is given."""
     rows = view(actions, which)
     if before is not None:
-        rows = rows.where(F.col("action_id") < before)
+        rows = rows.where(number(F.col("action_id")) < int(before.split("_")[1]))
     line = F.concat(F.lit("["), F.col("action_id"), F.lit("] "), F.col("record_type"), F.lit(" "), F.col("name"), F.lit(" ("), F.col("category"), F.lit(")"))
     return rows.groupBy("session_id").agg(ordered_text(line, "\n").alias("summary"), F.count("*").alias("lines"))
 
@@ -142,21 +149,44 @@ def guards(actions: DataFrame, pivots_in: int = 10, records_in: int = 20, most_p
     return rows.withColumn("blocked", (F.col("recent_pivots") >= most_pivots) | (F.col("recent_records") >= most_records))
 
 
-def chains(spark: SparkSession, actions: DataFrame, depth: int = 20) -> DataFrame:
-    """For each linked action its chain's root and depth. Each round follows every pointer to its pointer's end, so a
-    chain of n links takes log2(n) rounds and the edges of all sessions move together."""
+def chains(actions: DataFrame) -> DataFrame:
+    """For each action its chain's root and how many links it is away; a link to an action that is not there ends a chain.
+
+    Each round follows every pointer to its pointer's end, until none moves: a chain of n links takes log2(n) rounds, and
+    the links of all sessions move together. Links that form a ring have no root; rounds end once no chain could be longer.
+    """
     at = actions.select("session_id", "action_id", F.when(linked(), F.col("link_to")).alias("to"))
-    at = at.select("session_id", "action_id", F.coalesce("to", "action_id").alias("root"), F.col("to").isNotNull().cast("int").alias("depth"))
-    for _ in range(max(1, depth.bit_length())):
-        ends = at.select(F.col("session_id").alias("__s"), F.col("action_id").alias("__a"), F.col("root").alias("__r"), F.col("depth").alias("__d"))
-        at = at.join(ends, (F.col("session_id") == F.col("__s")) & (F.col("root") == F.col("__a")), "left").select(
-            "session_id", "action_id", F.coalesce("__r", "root").alias("root"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth")
+    at = at.select("session_id", "action_id", F.coalesce("to", "action_id").alias("root"), F.col("to").isNotNull().cast("long").alias("depth"))
+    at = checkpointed(at)
+    for _ in range(at.count().bit_length()):
+        ends = at.where("depth > 0").select(F.col("session_id").alias("__s"), F.col("action_id").alias("__a"), F.col("root").alias("__r"), F.col("depth").alias("__d"))
+        at = at.join(ends, (F.col("session_id") == F.col("__s")) & (F.col("root") == F.col("__a")) & (F.col("depth") > 0), "left").select(
+            "session_id", "action_id", F.coalesce("__r", "root").alias("root"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"), F.col("__r").isNotNull().alias("__moved")
         )
-    return at
+        at = checkpointed(at)
+        if at.where("__moved").isEmpty():
+            break
+        at = at.drop("__moved")
+    return at.select("session_id", "action_id", "root", "depth")
+
+
+#: Names of scope parameters, the last of former versions.
+SCOPE_NAMES = ("Function Unit", "System Boundary", "Geographical Scope", "Functional Unit")
+
+
+def validate_scopes(scopes: DataFrame) -> DataFrame:
+    """Adds ``error``: null where ``parameter_name`` is a scope parameter's."""
+    valid = F.coalesce(F.col("parameter_name").isin(*SCOPE_NAMES), F.lit(False))
+    return scopes.withColumn("error", F.when(~valid, "invalid parameter_name"))
+
+
+def evidence(chunk_id: Column, link_to: Column) -> Column:
+    """Where a record comes from: a document's chunk, a calculation it links to, or neither, which warns and never rejects."""
+    return F.when(chunk_id.isNotNull() & (chunk_id != ""), "document").when(link_to.startswith("ACT_"), "calculation").otherwise("none")
 
 
 def validate(records: DataFrame, inputs, outputs) -> DataFrame:
-    """Adds ``error`` (null where a record is valid) and ``evidence``, which warns and never rejects."""
+    """Adds ``error`` (null where a record is valid) and ``evidence`` (from ``chunk_id`` and ``link_to``)."""
     error = (
         F.when(~F.col("flow_type").isin("Input", "Output") | F.col("flow_type").isNull(), "flow_type must be Input or Output")
         .when(F.col("category").isNull() | ~F.col("category").isin(*inputs, *outputs), "unknown category")
@@ -164,7 +194,7 @@ def validate(records: DataFrame, inputs, outputs) -> DataFrame:
         .when((F.col("flow_type") == "Output") & ~F.col("category").isin(*outputs), "not an output category")
         .when(F.col("value").isNull(), "value is missing")
     )
-    return records.withColumn("error", error)
+    return records.withColumn("error", error).withColumn("evidence", evidence(F.col("chunk_id"), F.col("link_to")))
 
 
 def repeated_queries(actions: DataFrame) -> DataFrame:
@@ -185,29 +215,47 @@ def summary(actions: DataFrame) -> DataFrame:
     )
 
 
-def scenario(actions: DataFrame) -> DataFrame:
-    """The suggestion scenario of each action: a decision tree over record type, intent, evidence and link."""
-    r, i, chunk = F.col("record_type"), F.col("intent"), F.col("chunk_id").isNotNull()
-    tree = (
-        F.when(r == "scope", F.when(chunk, "scope_from_document").otherwise("scope_assumed"))
-        .when(r == "flow", F.when(i == "refine_same", "flow_refined").when(linked() & chunk, "flow_after_pivot").when(linked(), "flow_calculated").when(chunk, "flow_from_document").otherwise("flow_without_source"))
-        .when(r == "parameter", F.when(i == "refine_same", "parameter_refined").otherwise("parameter_recorded"))
-        .when(r == "calculation", "calculation").when(r == "pivot", "pivot").when(r == "smart_skip", "skip")
-    )
-    return actions.withColumn("scenario", F.coalesce(tree, F.lit("unknown")))
-
-
-def scenario_payload(actions: DataFrame) -> DataFrame:
-    """What a scenario's suggestion is told, as key=value pairs."""
-    s = F.col("scenario")
-    pair = lambda k, c: F.concat(F.lit(f"{k}="), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    payload = (
-        F.when(s.startswith("scope"), pair("name", "name"))
-        .when(s.startswith("flow"), F.concat_ws(";", pair("category", "category"), pair("name", "name"), pair("chunk", "chunk_id")))
-        .when(s.startswith("parameter"), F.concat_ws(";", pair("name", "name"), pair("k", "k")))
-        .when(s == "skip", pair("category", "category")).otherwise(pair("query", "search_query"))
+def scenario() -> Column:
+    """The suggestion scenario of a request, null where none fits.
+
+    A request has intent, tool, last_intent, flow_type and the flags uncertain, ambiguous, scope_unclear, from_calculation
+    and inference_required (null: false).
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    side = F.when(F.col("flow_type") == "Input", "input").when(F.col("flow_type") == "Output", "output")
+    inferred = F.coalesce(F.concat(F.lit("record_flow_"), side, F.lit("_with_inference")), F.lit("record_parameter_with_inference"))
+    parameter = (
+        F.when(flag("uncertain"), "record_parameter_uncertain").when(flag("ambiguous"), "record_parameter_ambiguous")
+        .when(flag("inference_required"), "record_parameter_with_inference").otherwise("record_parameter_direct")
+    )
+    flow = (
+        F.when(flag("scope_unclear"), "record_flow_uncertain")
+        .when(flag("from_calculation") | F.coalesce(F.col("last_intent") == "calculate", F.lit(False)), "record_flow_from_calculation")
+        .when(flag("inference_required"), inferred).otherwise(F.coalesce(F.concat(F.lit("record_flow_"), side), F.lit("record_flow_uncertain")))
+    )
+    pivot = F.when(flag("ambiguous"), "record_parameter_ambiguous").otherwise("pivot_query_no_results")
+    return (
+        F.when(F.col("intent") == "refine_same", "refine_same_chunk").when(F.col("intent") == "pivot_query", pivot)
+        .when(F.col("tool") == "record_parameter", parameter).when(F.col("tool") == "record_process_flow", flow)
+    )
+
+
+def scenario_payload(s: Column) -> Column:
+    """What scenario ``s`` tells its suggestion: a map. Requests have chunk_id, search_query, name, value, unit and raw_evidence."""
+    c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    of = lambda **pairs: F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+    known = F.coalesce(F.col("name") != "", F.lit(False)) & F.col("value").isNotNull()
+    plain, told = of(name=c("name"), value=c("value"), unit=c("unit")), of(data=F.trim(F.concat_ws(" ", c("value"), c("unit"), c("name"))))
+    raw = F.coalesce(F.col("raw_evidence"), F.concat(F.lit("Raw_"), c("name")))
+    inferred = of(raw_evidence=raw, value=c("value"), unit=c("unit"), specific_material=c("name"))
+    note = of(note=F.when(F.contains(F.lower(c("name")), F.lit("reuse")), "for Reuse").otherwise(""))
+    parameter = F.when(~known, of(data=F.lit("the extracted parameter value"))).when(s == "record_parameter_direct", plain).when(s == "record_parameter_with_inference", inferred).otherwise(told)
+    flow = F.when(~known, of(data=F.lit("the extracted flow data"))).when(s == "record_flow_uncertain", told).when(s.endswith("_with_inference"), F.map_concat(inferred, note)).otherwise(plain)
+    return (
+        F.when(s == "refine_same_chunk", of(chunk_id=F.coalesce(F.col("chunk_id"), F.lit("Unknown"))))
+        .when(s.isin("pivot_query_no_results", "record_parameter_ambiguous"), of(query=F.coalesce(F.nullif("search_query", F.lit("")), F.lit("search query"))))
+        .when(F.contains(s, F.lit("parameter")), parameter).when(F.contains(s, F.lit("flow")), flow)
     )
-    return scenario(actions).select("session_id", "action_id", "scenario", payload.alias("payload"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

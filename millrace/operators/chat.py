@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +45,10 @@ def user_first(messages: DataFrame) -> DataFrame:
     """Text of assistant turns before the first user turn goes in front of that turn; those turns go."""
     rows = messages.where("role <> 'system'").withColumn("first", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(conversation()))
     early = F.col("turn") < F.col("first")
-    lead = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(early, F.struct("turn", "text"))).over(conversation())), lambda s: s["text"]), "\n")
-    rows = rows.withColumn("lead", lead).where(~early | F.col("first").isNull())
-    merged = F.when((F.col("turn") == F.col("first")) & (F.col("lead") != ""), F.concat("lead", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "role", merged.alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n")
+    leads = rows.where(early).groupBy(F.col("conv_id").alias("__c"), F.col("first").alias("__f")).agg(text.alias("lead"))
+    rest = rows.where(~early | F.col("first").isNull()).join(leads, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__f")), "left")
+    return rest.select("conv_id", "turn", "role", F.concat_ws("\n", F.nullif("lead", F.lit("")), "text").alias("text"))
 
 
 def drop_leading(messages: DataFrame) -> DataFrame:
@@ -68,10 +71,78 @@ def tool_calls(text: Column, n: int = 10) -> Column:
     return F.slice(F.array_distinct(F.transform(calls, lambda c: F.concat_ws(" ", F.get_json_object(c, "$.name"), F.get_json_object(c, "$.arguments")))), 1, n)
 
 
+# What replies say where nothing is left of them.
+COMPLETED = "I have completed the requested operations. The data has been recorded successfully. Please check the session summary for details."
+SEARCHED = (
+    "✅ I have completed searching and recording data from the document.\n\nThe extracted information has been recorded in the database. "
+    "Please check the session summary for detailed action IDs and values."
+)
+ANALYZED = "I've analyzed your request. Please let me know if you need more details."
+PROCESSED = "I've processed your request. The data has been recorded successfully."
+_RESPONSES = r"(?s)<tool_response>.*?</tool_response>"
+
+
 def cleaned(text: Column) -> Column:
-    """A reply without tags; one under 50 characters is replaced."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<(think|tool_call|tool_response)>.*?</(think|tool_call|tool_response)>", ""), r"\s+", " "))
-    return F.when(F.length(bare) < 50, F.lit("Recorded. Continue with the next item.")).otherwise(bare)
+    """struct(thinking, reply) of a raw reply, without tool responses, which a model should not write, and their stray tags.
+
+    A reply under 50 characters without thinking or tool calls is replaced. ``thinking`` is the first one's text; the
+    reply has none, and no stray ends.
+    """
+    cut = lambda c, *patterns: cut(F.trim(F.regexp_replace(c, patterns[0], "")), *patterns[1:]) if patterns else c
+    bare = cut(text, r"(?s)^[^<]*</tool_response>", _RESPONSES, "</?tool_response>")
+    short = (F.length(bare) < 50) & ~F.contains(bare, F.lit("<think>")) & ~F.contains(bare, F.lit("<tool_call>"))
+    kept = F.when(short, F.lit(COMPLETED)).otherwise(bare)
+    reply = F.when(F.rlike(kept, F.lit("(?s)<think>.*?</think>")), cut(kept, "(?s)<think>.*?</think>", "(?i)</think>", _RESPONSES)).otherwise(kept)
+    return F.struct(F.trim(F.regexp_extract(kept, "(?s)<think>(.*?)</think>", 1)).alias("thinking"), reply.alias("reply"))
+
+
+def with_fallback(text: Column, results: Column) -> Column:
+    """struct(thinking, content) of a reply, with what to say where it holds tool calls or thinking alone.
+
+    ``results``: array of struct(tool_name, result). Thinking that is not closed ends the reply. Recorded tools are those
+    whose result says success or recorded, each once, in the order of the alphabet.
+    """
+    closed, opened = F.contains(text, F.lit("</think>")), F.contains(text, F.lit("<think>"))
+    thinking = F.trim(F.when(closed, F.regexp_extract(text, "(?s)<think>(.*?)</think>", 1)).when(opened, F.regexp_extract(text, "(?s)<think>(.*)$", 1)).otherwise(""))
+    content = F.when(closed, F.regexp_replace(text, "(?s)<think>.*?</think>", "")).when(opened, F.substring_index(text, "<think>", 1)).otherwise(text)
+    for pattern in (r"</?tool_call>?", r"<\|/?tool_call\|>?", r'\{"name":\s*"[^"]*"[^}]*\}?'):
+        content = F.regexp_replace(content, pattern, "")
+    content = F.trim(content)
+    done = F.filter(results, lambda r: F.rlike(F.lower(r["result"]), F.lit("success|recorded")))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(done, lambda r: r["tool_name"]))), ", ")
+    said = F.concat(
+        F.lit("I've successfully recorded the data using "), F.size(results).cast("string"), F.lit(" tool calls. The recorded items include: "), names,
+        F.lit(". Let me know if you need more details or want to extract additional data."),
+    )
+    fallback = F.when(F.size(results) > 0, F.when(F.size(done) > 0, said).otherwise(PROCESSED)).when(thinking != "", ANALYZED).otherwise("")
+    return F.struct(thinking.alias("thinking"), F.when(content == "", fallback).otherwise(content).alias("content"))
+
+
+def leaks_json(content: Column) -> Column:
+    """Whether a final reply shows raw table rows or JSON: a row break, two of the log's keys together, or over 50 quotes."""
+    has = lambda *words: reduce(and_, [F.contains(content, F.lit(w)) for w in words])
+    quotes = F.length(content) - F.length(F.replace(content, F.lit('"'), F.lit("")))
+    return has("|\n|") | has("|\\n|") | has('"action_id"', '"record_type"') | has('"session_id"', '"timestamp"') | (quotes > 50)
+
+
+def without_leaks(content: Column) -> Column:
+    return F.when(leaks_json(content), F.lit(SEARCHED)).otherwise(content)
+
+
+# What code may not hold, and the modules it may import.
+DANGEROUS = (
+    "import os", "import subprocess", "import shutil", "import socket", "import urllib", "import requests", "open(", "file(", "exec(", "eval(", "__import__", "globals()",
+    "locals()", "rm ", "del ", "rmdir", "unlink",
+)
+ALLOWED_IMPORTS = ("olca", "uuid", "decimal", "json", "math", "datetime", "numpy", "pandas", "brightway2", "bw2data", "bw2calc")
+
+
+def safe_code(code: Column) -> Column:
+    """Whether code holds nothing dangerous in any case and imports allowed modules alone. Null is not safe."""
+    banned = F.exists(F.array(*[F.lit(w) for w in DANGEROUS]), lambda w: F.contains(F.lower(code), w))
+    imports = F.filter(F.transform(F.split(code, "\n"), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit("^(?:import|from) ")))
+    modules = F.transform(imports, lambda x: F.regexp_extract(x, r"^(?:import|from)\s+([^\s.]*)", 1))
+    return F.coalesce(~banned & F.forall(modules, lambda m: m.isin(*ALLOWED_IMPORTS)), F.lit(False))
 
 
 def prompt(messages: DataFrame) -> DataFrame:
@@ -86,20 +157,61 @@ def tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.greatest(F.lit(1), F.ceil(F.length(text) / 4))).otherwise(0).cast("long")
 
 
+# Phrases of reasoning that found nothing, tools that record, and the mark of a place to be filled.
+NOT_FOUND = ("couldn't find", "not found", "no data", "没找到", "未找到")
+RECORDING = ("record_process_flow", "record_parameter", "define_lca_scope")
+PLACEHOLDER = "[SMART_SKIP_PLACEHOLDER"
+
+
 def validate(samples: DataFrame) -> DataFrame:
-    """(sample, place, issue): one row for each broken rule of each message (role, content, reasoning, call, arguments)."""
-    m, role = F.col, F.col("role")
-    empty = lambda c: m(c).isNull() | (F.trim(m(c)) == "")
-    called = m("call").isNotNull()
+    """(sample, place, call, issue): one row for each broken rule of each message or, with ``call`` set, tool call.
+
+    Messages have role, content, reasoning and tool_calls, a JSON list (null: none). Null and empty texts are missing;
+    the first message may be an empty one of the user.
+    """
+    role, empty = F.col("role"), lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    rows = samples.withColumn("__calls", F.coalesce(F.from_json("tool_calls", "array<string>"), F.array().cast("array<string>")))
+    called, first = F.size("__calls") > 0, F.get_json_object(F.get("__calls", F.lit(0)), "$.name")
+    nothing = F.exists(F.array(*[F.lit(p) for p in NOT_FOUND]), lambda p: F.contains(F.lower("reasoning"), p))
     rules = {
-        "missing_reasoning": (role == "assistant") & empty("reasoning"), "missing_content": (role == "assistant") & empty("content") & ~called,
-        "missing_tool_name": (role == "assistant") & called & (m("call") == ""), "missing_tool_args": (role == "assistant") & called & m("arguments").isNull(),
-        "invalid_tool_args": (role == "assistant") & called & m("arguments").isNotNull() & F.try_parse_json("arguments").isNull(),
-        "placeholder_not_replaced": F.coalesce(F.contains("content", F.lit("{{")), F.lit(False)), "empty_tool_response": (role == "tool") & empty("content"),
-        "empty_user_content": (role == "user") & empty("content"),
+        "missing_reasoning": (role == "assistant") & called & empty("reasoning"), "missing_content": (role == "assistant") & ~called & empty("content"),
+        "reasoning_action_mismatch": (role == "assistant") & called & nothing & first.isin(*RECORDING),
+        "placeholder_not_replaced": (role == "assistant") & F.contains("reasoning", F.lit(PLACEHOLDER)),
+        "empty_tool_calls": (role == "assistant") & F.col("tool_calls").isNotNull() & ~called, "empty_tool_response": (role == "tool") & empty("content"),
+        "empty_user_content": (role == "user") & empty("content") & (F.col("place") > 0),
     }
-    issues = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return samples.select("sample", "place", F.explode(issues).alias("issue"))
+
+    def faults(call: Column, i: Column) -> Column:
+        arguments = F.get_json_object(call, "$.arguments")
+        wrong = F.when(~F.startswith(F.trim(call), F.lit("{")), F.array(F.lit("invalid_tool_call"))).otherwise(F.array_compact(F.array(
+            F.when(F.get_json_object(call, "$.name").isNull(), "missing_tool_name"),
+            F.when(arguments.isNull(), "missing_tool_args").when(~F.startswith(arguments, F.lit("{")), "invalid_tool_args"),
+        )))
+        return F.transform(wrong, lambda w: F.struct(i.alias("call"), w.alias("issue")))
+
+    of_message = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(None).cast("int").alias("call"), F.lit(name).alias("issue"))) for name, rule in rules.items()]))
+    of_calls = F.when(role == "assistant", F.flatten(F.transform("__calls", faults))).otherwise(F.array().cast("array<struct<call:int,issue:string>>"))
+    return rows.select("sample", "place", F.inline(F.concat(of_message, of_calls)))
+
+
+def validate_files(files: DataFrame) -> DataFrame:
+    """(file, issue) of files (file, content) that are no JSON, or neither a list nor an object with messages.
+
+    Parsers stop where a first value ends; that nothing follows is seen by the content as the only item of a list.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), F.col("content"), F.lit("]"))) == 1
+    parsed = F.when(F.coalesce(alone, F.lit(False)), F.try_parse_json("content"))
+    shaped = F.startswith(F.ltrim("content"), F.lit("[")) | F.try_variant_get(parsed, "$.messages", "variant").isNotNull()
+    issue = F.when(parsed.isNull(), "json_error").when(~shaped, "format_error")
+    return files.select("file", issue.alias("issue")).where("issue IS NOT NULL")
+
+
+def validation_report(files: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """One row: files, files with issues, and the rate of those without, in per cent to one digit."""
+    bad = issues.select(F.col(key).alias("__k")).distinct()
+    rows = files.select(key).distinct().join(bad, F.col(key) == F.col("__k"), "left")
+    n, wrong = F.count("*"), F.count("__k")
+    return rows.agg(n.alias("files"), wrong.alias("files_with_issues"), F.round(100 * (1 - wrong / F.greatest(n, F.lit(1))), 1).alias("pass_rate"))
 
 
 def split_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import checkpointed
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -43,3 +45,37 @@ def first_by_name(predictions: DataFrame, truth: DataFrame, file: str, place: st
     first = first.select(F.col(file).alias("__f"), F.col("__n").alias("__k"), F.col("value").alias("predicted"), F.lit(True).alias("found"))
     rows = truth.withColumn("__n", normalized(F.col("name")))
     return rows.join(first, (F.col(file) == F.col("__f")) & (F.col("__n") == F.col("__k")), "left").drop("__f", "__k", "__n")
+
+
+def positions(rows: DataFrame, key: str) -> DataFrame:
+    """Each distinct ``key`` with its place from 0 in ascending order. Keys are dealt by range; only ranges' counts meet."""
+    keys = checkpointed(rows.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = keys.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return keys.join(bases, "__range").select(key, (F.col("__base") + within).alias("position"))
+
+
+def zipped(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: files, em, numbers, right, num_acc, grounded and grounding, of records compared file by file.
+
+    Files are paired by their places, the first predicted with the first true one, whatever their names; those beyond the
+    shorter side count for ``files`` (of predictions) alone. Records have file, place, flow_name, category, unit, value
+    and chunk_id. ``em`` is the mean share of a true file's texts among the predicted ones; a true record is compared
+    with the first predicted one of its name.
+    """
+    p = predictions.join(positions(predictions, "file").withColumnRenamed("file", "__f"), F.col("file") == F.col("__f"))
+    t = truth.join(positions(truth, "file").withColumnRenamed("file", "__f"), F.col("file") == F.col("__f"))
+    texts = lambda rows: rows.select("position", F.explode(F.array_compact(F.array(normalized(F.col("flow_name")), *[F.when(F.col(c).isNotNull(), normalized(F.col(c))) for c in ("category", "unit")]))).alias("text")).distinct()
+    shared = texts(t).join(texts(p).withColumn("__hit", F.lit(1)), ["position", "text"], "left").groupBy("position").agg((F.count("__hit") / F.count("*")).alias("recall"))
+    shared = shared.join(positions(predictions, "file").select("position"), "position", "left_semi")
+    n = predictions.select("file").where("file IS NOT NULL").distinct().agg(F.count("*").alias("files"))
+    em = shared.agg(F.coalesce(F.sum("recall"), F.lit(0.0)).alias("__recall"))
+    first = p.groupBy(F.col("position").alias("__p"), normalized(F.col("flow_name")).alias("__n")).agg(F.min_by(F.struct("value", "chunk_id"), "place").alias("__m"))
+    pairs = t.join(first, (F.col("position") == F.col("__p")) & (normalized(F.col("flow_name")) == F.col("__n"))).where("value IS NOT NULL AND __m.value IS NOT NULL")
+    right = close(F.col("__m.value"), F.col("value"))
+    counts = pairs.agg(F.count("*").alias("numbers"), F.count_if(right).alias("right"), F.count_if(right & F.col("chunk_id").eqNullSafe(F.col("__m.chunk_id"))).alias("grounded"))
+    return n.join(em).join(counts).select(
+        "files", F.round(ratio(F.col("__recall"), F.col("files")), 6).alias("em"), "numbers", "right", F.round(ratio(F.col("right"), F.col("numbers")), 6).alias("num_acc"),
+        "grounded", F.round(ratio(F.col("grounded"), F.col("right")), 6).alias("grounding"),
+    )

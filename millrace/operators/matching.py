@@ -67,14 +67,50 @@ def top_k(scored: DataFrame, by: list[str], score: str, tie: list[str], k: int)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarities(queries: DataFrame, corpus: DataFrame, eps: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, similarity) of a stated query set (query_id, q, in one row each) against all corpus rows.
+#: Queries that ride along with a corpus row in one array.
+QUERY_BLOCK = 1024
+
+
+def against_all(queries: DataFrame, corpus: DataFrame, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Every corpus row with every query of a stated set: query_id and q beside the corpus' columns.
 
-    Queries are gathered into one array, which rides along with each corpus row; the set is bounded by its caller.
+    Queries go in arrays of about ``query_block``. One such array is broadcast, its size being bounded; of more, each
+    meets the corpus in shares dealt by ``vec_id``, so that no task holds all of either side.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "q", norm(F.col("q")).alias("n"))).alias("__qs"))
-    rows = corpus.withColumn("__n", norm(F.col("v"))).join(F.broadcast(packed)).withColumn("__q", F.explode("__qs"))
-    return rows.select("__q.query_id", "vec_id", (dot(F.col("__q.q"), F.col("v")) / (F.col("__q.n") * F.col("__n") + eps)).alias("similarity"))
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // query_block))
+    packed = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("__block").agg(F.collect_list(F.struct("query_id", "q")).alias("__qs"))
+    if blocks == 1:
+        rows = corpus.join(F.broadcast(packed))
+    else:
+        shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        packed = packed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumnsRenamed({"__block": "__b", "__share": "__s"})
+        dealt = corpus.withColumn("__share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = dealt.join(packed, (F.col("__block") == F.col("__b")) & (F.col("__share") == F.col("__s"))).drop("__share", "__s", "__b")
+    return rows.withColumn("__q", F.explode("__qs")).select(*corpus.columns, "__q.query_id", "__q.q")
+
+
+def similarities(queries: DataFrame, corpus: DataFrame, eps: float = 0.0) -> DataFrame:
+    """(query_id, vec_id, similarity) of a stated query set (query_id, q) and all corpus rows (vec_id, v) but a query itself."""
+    rows = against_all(queries, corpus).where(F.col("query_id") != F.col("vec_id"))
+    return rows.select("query_id", "vec_id", cosine(F.col("q"), F.col("v"), eps).alias("similarity"))
+
+
+def distances(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, vec_id, distance) likewise, by Euclid."""
+    rows = against_all(queries, corpus).where(F.col("query_id") != F.col("vec_id"))
+    d = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
+    return rows.select("query_id", "vec_id", d.alias("distance"))
+
+
+def match_quality(ranked: DataFrame, least: float) -> DataFrame:
+    """One row: queries, those whose best match has ``least`` similarity, their share, and their mean best similarity."""
+    best = ranked.groupBy("query_id").agg(F.max("similarity").alias("best"))
+    hit = F.col("best") >= least
+    return best.agg(
+        F.count("*").alias("total"), F.count_if(hit).alias("matched"), F.round(F.count_if(hit) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"),
+        F.round(F.coalesce(F.avg(F.when(hit, F.col("best"))), F.lit(0.0)), 6).alias("mean_similarity"),
+    )
 
 
 def keep_compatible(matches: DataFrame, query_unit: str, unit: str) -> DataFrame:

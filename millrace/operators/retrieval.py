@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the reranker and of query keywords.
 COVERAGE, DENSITY, TABLE = 0.15, 0.12, 0.18
-STOP_WORDS = ("the", "a", "an", "and", "or", "of", "in", "on", "for", "to", "is", "with")
+STOP_WORDS = ("的", "是", "在", "有", "和", "与", "或", "但", "而", "了", "着", "过")
 
 
 def words(text: Column) -> Column:
@@ -16,9 +16,10 @@ def words(text: Column) -> Column:
 
 
 def keywords(query: Column) -> Column:
-    """Distinct words of a query with more than one character that are no stop words, in order."""
+    """Words of a query, as they are, with more than one character that are no stop words, in order."""
     stops = F.array(*[F.lit(s) for s in STOP_WORDS])
-    return F.array_distinct(F.filter(words(query), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w)))
+    found = F.regexp_extract_all(query, F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
 
 
 def query_terms(query: Column) -> Column:
@@ -49,11 +50,6 @@ def table_boost(content: Column) -> Column:
     return F.when(pipes(content) >= 3, TABLE).otherwise(0.0)
 
 
-def lexical(content: Column, terms: Column) -> Column:
-    """The share of a query's terms that are words of the content: the similarity where no model is at hand."""
-    return F.size(F.array_intersect(terms, words(content))) / F.greatest(F.size(terms), F.lit(1))
-
-
 def search(chunks: DataFrame, queries: list[str], *, least: float = 0.3, per_query: int = 3, total: int = 10, distinct: bool = True) -> DataFrame:
     """Reranked chunks of one or several queries: chunk_key, query_no, similarity, boosted, rank.
 
@@ -61,9 +57,12 @@ def search(chunks: DataFrame, queries: list[str], *, least: float = 0.3, per_que
     all queries the best hit of each chunk (or all, if not ``distinct``), boosted by coverage, density and tables; of
     these ``total``. Each limit is a top-k that tasks apply to their own rows first.
     """
-    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(q.lower()).alias("query")) for i, q in enumerate(queries)]))
-    rows = chunks.withColumn("__q", asked).select("*", "__q.query_no", "__q.query").drop("__q")
-    rows = rows.withColumn("similarity", F.round(lexical(F.col("content"), query_terms(F.col("query"))), 6)).where("similarity > 0")
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("query_no"), query_terms(F.lit(q.lower())).alias("terms")) for i, q in enumerate(queries)]))
+    every = query_terms(F.lit("|".join(queries).lower()))
+    rows = chunks.withColumn("__w", F.array_intersect(every, words(F.col("content")))).where(F.size("__w") > 0)  # the words once, for all queries
+    rows = rows.withColumn("__q", asked).select("*", "__q.query_no", "__q.terms").drop("__q")
+    share = F.size(F.array_intersect("terms", "__w")) / F.greatest(F.size("terms"), F.lit(1))
+    rows = rows.withColumn("similarity", F.round(share, 6)).where("similarity > 0").drop("__w", "terms")
     over = Window.partitionBy("query_no").orderBy(F.desc("similarity"), "chunk_key")
     best = rows.withColumn("__r", F.row_number().over(over)).where(F.col("__r") <= 2 * per_query).where(F.col("similarity") >= least)
     best = best.withColumn("__r", F.row_number().over(over)).where(F.col("__r") <= per_query).drop("__r")
@@ -76,23 +75,42 @@ def search(chunks: DataFrame, queries: list[str], *, least: float = 0.3, per_que
     return best.select("chunk_key", "chunk_id", "query_no", "similarity", "boosted")
 
 
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int) -> DataFrame:
-    """Vector and keyword hits as one list by uuid; a vector hit wins; those without a score come last."""
-    both = vector_hits.select("uuid", F.lit(0).alias("source"), "score").unionByName(keyword_hits.select("uuid", F.lit(1).alias("source"), F.lit(None).cast("double").alias("score")))
-    one = both.where("uuid IS NOT NULL").groupBy("uuid").agg(F.min(F.struct("source", "score")).alias("__h")).select("uuid", "__h.source", F.coalesce("__h.score", F.lit(0.0)).alias("score"))
-    return one.orderBy(F.desc("score"), "source", "uuid").limit(k)
+def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+    """Vector and keyword hits of each query as one list by uuid; a vector hit wins; those without a score come last."""
+    none = F.lit(None).cast("double")
+    both = vector_hits.select(by, "uuid", F.lit(0).alias("source"), "score").unionByName(keyword_hits.select(by, "uuid", F.lit(1).alias("source"), none.alias("score")))
+    one = both.where("uuid IS NOT NULL").groupBy(by, "uuid").agg(F.min(F.struct("source", "score")).alias("__h")).select(by, "uuid", "__h.source", F.coalesce("__h.score", F.lit(0.0)).alias("score"))
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "source", "uuid"))
+    return one.withColumn("__r", best).where(F.col("__r") <= k).drop("__r")
+
+
+# Hits of each branch, and of all.
+TEXT_HITS, OTHER_HITS, ALL_HITS = 5, 3, 10
+
+
+def relevance(text: Column, query: str) -> Column:
+    """How well a name answers a query: the share of its words that are words of the query."""
+    ws = words(text)
+    asked = F.array(*[F.lit(q) for q in query.lower().split()])
+    return F.size(F.filter(ws, lambda w: F.array_contains(asked, w))) / F.greatest(F.size(ws), F.lit(1))
+
 
+def catalog_keyword_hits(catalog: DataFrame, term: str) -> DataFrame:
+    """Text, category and product hits of a term, in this order, each branch limited; the first of each uuid; ten of all.
 
-def catalog_keyword_hits(catalog: DataFrame, term: str, k: int = 5) -> DataFrame:
-    """Name, category and product hits of a term, in this order, each branch limited; the first of each uuid; ``k`` of all."""
-    t = F.lit(term.lower())
-    branches = (("name", F.contains(F.lower("name"), t), k), ("category", F.contains(F.lower("category"), t), k // 2), ("product", F.contains(F.lower("reference_product"), t), k // 2))
+    Text hits have a word of the query in their name and come by relevance, then by uuid; the others hold the query.
+    """
+    t, score = F.lit(term.lower()), F.round(relevance(F.col("name"), term), 6)
+    branches = (
+        ("text", score > 0, score, TEXT_HITS), ("category", F.exists("categories", lambda c: F.contains(F.lower(c), t)), F.lit(0.0), OTHER_HITS),
+        ("product", F.contains(F.lower("reference_product"), t), F.lit(0.0), OTHER_HITS),
+    )
     rows = None
-    for no, (name, hit, n) in enumerate(branches):
-        some = catalog.where(hit).orderBy(F.length("name"), "uuid").limit(n).select("uuid", F.lit(no).alias("branch"), F.lit(name).alias("found_in"), F.length("name").alias("len"))
+    for no, (name, hit, by, n) in enumerate(branches):
+        some = catalog.where(hit).select("uuid", F.lit(no).alias("branch"), F.lit(name).alias("found_in"), by.alias("score")).orderBy(F.desc("score"), "uuid").limit(n)
         rows = some if rows is None else rows.unionByName(some)
-    first = rows.groupBy("uuid").agg(F.min(F.struct("branch", "found_in", "len")).alias("h")).select("uuid", "h.*")
-    return first.orderBy("branch", "len", "uuid").limit(k).select("uuid", "found_in")
+    first = rows.groupBy("uuid").agg(F.min(F.struct("branch", "found_in", "score")).alias("h")).select("uuid", "h.*")
+    return first.orderBy("branch", F.desc("score"), "uuid").limit(ALL_HITS).select("uuid", "found_in", "score")
 
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:
@@ -121,15 +139,42 @@ def relevant_sentences(content: Column, query: Column) -> Column:
     return F.when(F.size(sentences) == 0, none).when(F.size(hits) == 0, first).otherwise(found)
 
 
+def sentences(text: Column) -> Column:
+    """Parts of a text between full stops of Chinese, and lines; trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, "[。！？；\n]"), lambda x: F.trim(x)), lambda s: s != "")
+
+
 def key_information(content: Column, query: Column) -> Column:
-    """The first three sentences with a keyword of the query, else the first 100 characters."""
-    asked = keywords(query)
-    sentences = F.filter(F.transform(F.split(content, "[。！？；.\n]"), lambda x: F.trim(x)), lambda s: s != "")
-    hits = F.slice(F.filter(sentences, lambda s: F.exists(asked, lambda k: F.contains(F.lower(s), k))), 1, 3)
-    return F.when(F.size(hits) > 0, F.array_join(hits, "; ")).otherwise(F.substring(content, 1, 100))
+    """The first three sentences with a keyword of the query, else the first 100 characters, with dots where there are more."""
+    asked = F.transform(keywords(query), lambda k: F.lower(k))
+    hits = F.slice(F.filter(sentences(content), lambda s: F.exists(asked, lambda k: F.contains(F.lower(s), k))), 1, 3)
+    start = F.concat(F.substring(content, 1, 100), F.when(F.length(content) > 100, "...").otherwise(""))
+    return F.when(F.size(hits) > 0, F.array_join(hits, " ")).otherwise(start)
+
 
+# Items of lists, numbered items, and sentences about methods and results.
+POINTS = (r"(?im)^\s*[-•]\s*(.+)", r"(?im)^\s*[0-9]+[.)]\s*(.+)", r"(?im)([A-Z][^.!?]*(?:method|approach|process|result|conclusion)[^.!?]*[.!?])")
 
-def key_points(content: Column) -> Column:
-    """The first three list items or numbered items of a text."""
-    items = lambda p: F.regexp_extract_all(content, F.lit(p), F.lit(1))
-    return F.slice(F.concat(items(r"(?m)^[ \t]*[-•][ \t]*(.+)"), items(r"(?m)^[ \t]*[0-9]+[.)][ \t]*(.+)")), 1, 3)
+
+def key_points(content: Column, query: Column) -> Column:
+    """struct(content, confidence): the first three points of a text as a list.
+
+    Points are list items, numbered items and sentences about methods and results; without any, sentences that share a
+    word with the query; without any of these, what :func:`relevant_sentences` gives.
+    """
+    marked = F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in POINTS])
+    asked = F.array_distinct(F.split(F.lower(F.trim(query)), r"\s+"))
+    parts = F.split(content, r"[.!?。！？]\s*")
+    shared = F.transform(F.filter(parts, lambda s: F.arrays_overlap(asked, F.split(F.lower(F.trim(s)), r"\s+"))), lambda s: F.trim(s))
+    points = F.slice(F.when(F.size(marked) > 0, marked).otherwise(shared), 1, 3)
+    listed = F.struct(F.concat(F.lit("• "), F.array_join(points, "\n• ")).alias("content"), F.lit(0.7).alias("confidence"))
+    return F.when(F.size(points) > 0, listed).otherwise(relevant_sentences(content, query))
+
+
+def extracted(hits: DataFrame, query: str, mode: str = "chunks", content: str = "content", score: str = "similarity") -> DataFrame:
+    """Adds extracted_content, confidence and extract_type to search hits: whole chunks, sentences or key points."""
+    if mode == "chunks":
+        return hits.withColumns({"extracted_content": F.col(content), "confidence": F.col(score), "extract_type": F.lit("chunk")})
+    of = relevant_sentences if mode == "sentences" else key_points
+    rows = hits.withColumn("__e", of(F.col(content), F.lit(query)))
+    return rows.withColumns({"extracted_content": F.col("__e.content"), "confidence": F.col("__e.confidence"), "extract_type": F.lit(mode)}).drop("__e")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,18 +13,25 @@ from pyspark.sql import functions as F
 UNITS = "kilowatt hour|millimeter|kilojoule|megajoule|kilogram|kilowatt|Celsius|Kelvin|tonne|joule|meter|gram|watt|kWh|MWh|cm³|mm³|cm3|mm3|Wh|kJ|MJ|GJ|kW|MW|mL|ml|kg|mg|m³|m3|cm|mm|μm|°C|g|t|L|l|J|W|m|℃"
 NUMBER = r"(?:[0-9]{1,3}(?:[ ,][0-9]{3})*(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]+(?:[eE][+-]?[0-9]+)?)"
 VALUE_UNIT = rf"(?i)(?<![0-9])({NUMBER})(?![0-9])\s*({UNITS})(?![\p{{L}}\p{{N}}_])"
-BASIS = r"(?i)(?:\bper +(?:part|batch|build|unit|hour|day|tonne|kg)|/t\b|/kg\b|/h\b|each\b)"
+BASIS = r"(?i)(?:\bper\s+(?:part|batch|build|unit|hour|day|tonne|kg)|/t\b|/kg\b|/h\b|each\b)"
 MATERIALS = (
-    r"(?i)\b(316L|304|X2CrNiMo[0-9]+|Ti-?6Al-?4V|Inconel|AlSi10Mg|17-?4 ?PH)\b", r"(?i)\b(stainless +steel|steel|aluminum|aluminium|titanium|copper|nickel|chromium)\b",
-    r"(?i)\b(PLA|ABS|PETG|nylon|polyethylene|polypropylene|plastic)\b", r"(?i)\b(electricity|power|energy|natural +gas)\b",
+    r"(?i)\b(316L|304|X2CrNiMo[0-9]+|Ti-?6Al-?4V|Inconel|AlSi10Mg|17-?4 ?PH)\b", r"(?i)\b(stainless\s+steel|steel|aluminum|aluminium|titanium|copper|nickel|chromium)\b",
+    r"(?i)\b(PLA|ABS|PETG|nylon|polyethylene|polypropylene|plastic)\b", r"(?i)\b(electricity|power|energy|natural\s+gas)\b",
 )
 PROCESSES = (
-    r"(?i)\b(SLM|SLS|FDM|EBM|DMLS|3D +printing|additive +manufacturing)\b", r"(?i)\b(atomization|milling|machining|heat +treatment)\b", r"(?i)\b(laser|sintering|melting|printing)\b",
+    r"(?i)\b(SLM|SLS|FDM|EBM|DMLS|3D\s+printing|additive\s+manufacturing)\b", r"(?i)\b(atomization|milling|machining|heat\s+treatment)\b", r"(?i)\b(laser|sintering|melting|printing)\b",
 )
+# Indicators and the words that name them.
 INDICATORS = {
-    "energy": "(?i)energy|electricity|kwh", "materials": "(?i)material|powder|steel", "emissions": "(?i)emission|co2|carbon", "water": "(?i)water|coolant",
-    "waste": "(?i)waste|scrap", "gas": "(?i)argon|nitrogen", "transport": "(?i)transport|freight", "process": "(?i)process|manufactur",
-}
+    "GWP": "global warming potential|gwp|全球变暖潜值|温室气体",
+    "CED": "cumulative energy demand|ced|累积能源需求|能源消耗",
+    "AP": "acidification potential|ap|酸化潜值",
+    "EP": "eutrophication potential|ep|富营养化潜值",
+    "POCP": "photochemical ozone creation potential|pocp|光化学臭氧",
+    "能耗": "energy consumption|能源消耗|电力消耗|燃料消耗",
+    "碳足迹": "carbon footprint|碳足迹|碳排放|co2.*排放",
+    "生命周期": "life cycle|lifecycle|生命周期|全生命周期",
+}
 
 
 def collapse(text: Column) -> Column:
@@ -48,58 +56,138 @@ def has_basis(text: Column) -> Column:
 
 
 def indicators(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(p)), F.lit(k)) for k, p in INDICATORS.items()]))
+    return F.array_compact(F.array(*[F.when(F.rlike(F.lower(text), F.lit(p)), F.lit(k)) for k, p in INDICATORS.items()]))
+
+
+def _warnings(count: Column, score: Column) -> Column:
+    """What is odd about the features: none is good."""
+    return F.array_compact(F.array(
+        F.when(score > 1, "QPS > 1.0, should be clamped to 1.0"), F.when((count == 0) & (score < 0.02), "Low quantitative evidence, consider Pivot"),
+    ))
+
+
+def _density(count: Column, clean: Column) -> Column:
+    return F.bround(F.least(count / F.greatest(F.size(F.split(clean, " ")), F.lit(1)), F.lit(1.0)), 3)
 
 
 def decision_features(text: Column) -> Column:
-    """struct of pattern_count, score (per word, three digits), examples, basis and warning of a narrative text."""
+    """struct of pattern_count, score (per word, three digits), examples, basis and warnings of a narrative text."""
     clean = collapse(text)
     hits = F.regexp_extract_all(clean, F.lit(VALUE_UNIT), F.lit(0))
-    count = F.size(hits)
-    score = F.bround(F.least(count / F.greatest(F.size(F.split(clean, " ")), F.lit(1)), F.lit(1.0)), 3)
+    score = _density(F.size(hits), clean)
     short = F.transform(hits, lambda h: F.when(F.length(F.trim(h)) > 20, F.concat(F.substring(F.trim(h), 1, 17), F.lit("..."))).otherwise(F.trim(h)))
+    lowered = F.transform(short, lambda h: F.lower(h))
+    first = F.filter(F.transform(short, lambda h, i: F.when(F.array_position(lowered, F.lower(h)) == i + 1, h)), lambda h: h.isNotNull())
     return F.struct(
-        count.alias("pattern_count"), score.alias("score"), F.slice(F.array_distinct(short), 1, 3).alias("examples"), has_basis(clean).alias("basis"),
-        F.when((count == 0) & (score < 0.02), "low evidence").alias("warning"),
+        F.size(hits).alias("pattern_count"), score.alias("score"), F.slice(first, 1, 3).alias("examples"), has_basis(clean).alias("basis"),
+        _warnings(F.size(hits), score).alias("warnings"), F.lit(False).alias("is_table"),
     )
 
 
-_TITLE, _SECTION = re.compile(r"(?i)(?:table|figure|fig\.?)\s*$"), re.compile(r"(?i)(?:section|page|ref\.?|see)\s*$")
-_NUM, _UNIT = re.compile(NUMBER), re.compile(rf"(?<![A-Za-z])(?:{UNITS})(?![A-Za-z³])")
+#: Chunk kinds whose numbers and units stand apart, the last two of former versions.
+TABLE_KINDS = ("table_section", "table_keyvalue", "table_full", "table_row")
+# Fixed values of the table rules.
+_TITLED, _CITED, _NUMBERED = re.compile(r"##?\s*[Tt]able|##?\s*[Ff]igure"), re.compile(r"page|p\.|ref|cite", re.I), re.compile(r"\b\d+\.\d+(\.\d+)?\b")
+_COMPOUND = tuple(re.compile(p, re.I) for p in (r"\b[A-Za-z]+/[A-Za-z]+\b", r"\b[A-Za-z]+[²³]\b", r"\b[A-Za-z]+\s*/\s*[A-Za-z]+\b"))
+_PARTS = {"L", "l", "g", "kg", "m", "cm", "mm", "min", "h", "hr", "kWh", "MJ", "kJ", "W", "kW"}
+_SINGLE = {"l", "g", "t", "m"}
+_NUM, _UNIT = re.compile(rf"(?<!\d){NUMBER}(?!\d)"), re.compile(f"(?:{UNITS})", re.I)
+
+
+def _around(text: str, a: int, b: int, before: int, after: int) -> str:
+    return text[max(0, a - before) : b + after]
+
+
+def table_numbers(text: str) -> list[re.Match]:
+    """Numbers that name no table, figure, section, page or reference, by the 15 characters on either side."""
+
+    def counts(m: re.Match) -> bool:
+        near = _around(text, m.start(), m.end(), 15, 15)
+        return not (_TITLED.search(near) or _CITED.search(near) or ("|" not in near and _NUMBERED.search(m.group())))
+
+    return [m for m in _NUM.finditer(text) if counts(m)]
+
 
+def compound_units(text: str) -> list[str]:
+    """Distinct units over units, squares and cubes that hold a known unit, pattern by pattern."""
+    found = (m.group() for p in _COMPOUND for m in p.finditer(text))
+    return list(dict.fromkeys(u for u in found if _PARTS & set(re.split(r"[/²³\s]+", u))))
 
-def table_numbers(text: str) -> tuple[list[str], list[str]]:
-    """Numbers that name no table, section or page by the 15 characters before, and units beside a number or in parentheses."""
-    numbers = [m for m in _NUM.finditer(text) if not _TITLE.search(text[max(0, m.start() - 15) : m.start()]) and not _SECTION.search(text[max(0, m.start() - 15) : m.start()])]
-    ends = {m.end() + gap for m in numbers for gap in range(6)}
-    units = [m for m in _UNIT.finditer(text) if m.start() in ends or text[m.start() - 1 : m.start()] == "("]
-    return [m.group() for m in numbers], [m.group() for m in units]
 
+def table_units(text: str, numbers: list[re.Match]) -> list[str]:
+    """Plain units: longer ones that occur at most three times, single letters near a number, in a unit column or a compound."""
+    found = list(_UNIT.finditer(text))
+    often = Counter(m.group().lower() for m in found)
 
-def _table_features(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        n, u = table_numbers(text or "")
-        most = min(set(u), key=lambda x: (-u.count(x), x)) if u else None
-        rows.append((len(n), len(u), min(len(n), len(u)), most))
-    return pd.DataFrame(rows, columns=["numbers", "units", "patterns", "frequent"])
+    def counts(m: re.Match) -> bool:
+        unit, n = m.group().lower(), often[m.group().lower()]
+        if len(unit) > 1:
+            return n <= 3
+        compound = bool(set("/²³") & set(_around(text, m.start(), m.end(), 2, 5)))
+        if unit not in _SINGLE or (n > 2 and not compound):
+            return False
+        column = _around(text, m.start(), m.end(), 30, 30).lower()
+        return compound or ("unit" in column and "|" in column) or any(abs(m.start() - x.end()) <= 5 or abs(m.end() - x.start()) <= 5 for x in numbers)
+
+    return [m.group() for m in found if counts(m)]
+
+
+def table_patterns(text: str) -> tuple[int, list[str]]:
+    """The lesser of numbers and units (compound ones where there are any), and three examples: numbers, then the units."""
+    numbers, compound = table_numbers(text), compound_units(text)
+    units = compound or table_units(text, numbers)
+    n, shown = min(len(numbers), len(units)), units[: 2 if compound else 3]
+    examples = [m.group() for m in numbers[: min(3, n) if n or compound else 3]]
+    if shown and (n or compound):
+        examples.append(f"({', '.join(dict.fromkeys(shown))})")
+    return n, examples[:3]
+
+
+def _table_patterns(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([table_patterns(t or "") for t in texts], columns=["n", "examples"])
 
 
 def table_features(text: Column) -> Column:
-    """Of tables: numbers, units, the lesser of both, and the unit that occurs most."""
-    return F.pandas_udf(_table_features, "numbers int, units int, patterns int, frequent string")(text)
+    """The same struct as :func:`decision_features` for a table, in which numbers and units are counted apart."""
+    clean = collapse(F.coalesce(text, F.lit("")))
+    found = F.pandas_udf(_table_patterns, "n int, examples array<string>")(clean)
+    score = _density(found["n"], clean)
+    return F.struct(
+        found["n"].alias("pattern_count"), score.alias("score"), found["examples"].alias("examples"), has_basis(clean).alias("basis"),
+        _warnings(found["n"], score).alias("warnings"), F.lit(True).alias("is_table"),
+    )
+
+
+def chunk_features(chunks: DataFrame, text: str = "text", kind: str = "chunk_type") -> DataFrame:
+    """Adds ``features``: of chunks of the table kinds as tables, of all others, and those without a kind, as texts."""
+    tables = F.coalesce(F.col(kind).isin(*TABLE_KINDS), F.lit(False))
+    narrative = chunks.where(~tables).withColumn("features", decision_features(F.coalesce(F.col(text), F.lit(""))))
+    return narrative.unionByName(chunks.where(tables).withColumn("features", table_features(F.col(text))))
+
+
+# Values with units, by pattern; the third gives percentages.
+FACTS = (
+    r"(\d+\.?\d*)\s*(kWh/kg|MJ/kg|kg/m²|g/片|kg|ton|kWh|MJ|℃|°C|MPa|bar)", r"(\d+\.?\d*)\s*(kwh|mj|kg|g|ton|celsius|pascal|watt|w)", r"(\d+\.?\d*)\s*(%)",
+    r"(\d+\.?\d*)\s*(小时|hour|h|分钟|min|秒|s)",
+)
+_FACT = "array<struct<value:double,unit:string,formatted:string,context:string,start:int,end:int>>"
 
 
 def numeric_facts(text: Column) -> Column:
-    """Values with units and 20 characters around them."""
-    return F.pandas_udf(_numeric_facts, "array<struct<value:double,unit:string,context:string>>")(text)
+    """Values with units, pattern by pattern, with up to 20 characters on either side and their place."""
+    return F.pandas_udf(_numeric_facts, _FACT)(text)
+
+
+def facts(text: str) -> list[dict]:
+    found = [m for p in FACTS for m in re.finditer(p, text, re.I)]
+    return [
+        dict(value=float(m[1]), unit=m[2], formatted=f"{m[1]} {m[2]}", context=_around(text, m.start(), m.end(), 20, 20).strip(), start=m.start(), end=m.end())
+        for m in found
+    ]
 
 
 def _numeric_facts(texts: pd.Series) -> pd.Series:
-    pattern = re.compile(r"(\d+\.?\d*)\s*(kWh/kg|MJ/kg|kg/h|kWh|MJ|kg|%|°C|bar|h)\b")
-    return pd.Series(
-        [[dict(value=float(m[1]), unit=m[2], context=t[max(0, m.start() - 20) : m.end() + 20].strip()) for m in pattern.finditer(t)] if t else [] for t in texts]
-    )
+    return pd.Series([facts(t or "") for t in texts], dtype=object)
 
 
 def lines(text: Column) -> Column:
@@ -129,13 +217,59 @@ def looks_like_table(content: Column) -> Column:
     return titled | piped
 
 
+#: Endings of sentences, which titles do not have, and what is no title.
+SENTENCE_ENDS = "[.。,，;；]$"
+NO_TITLES = (r"^\d{4}$", r"^(abstract|摘要)$", r"^(page|第.*?页)", r"^(author|作者|by)\s*:")
+
+
 def title(content: Column) -> Column:
-    """The first line as a title: 20 to 250 characters, no closing punctuation, no excluded opening; else null."""
-    first = F.trim(F.element_at(F.split(content, "\n"), 1))
-    bad = F.rlike(first, F.lit(r"[.,;:!?]$")) | F.rlike(first, F.lit("(?i)^(abstract|introduction|keywords|doi)"))
+    """The first line that is not blank as a title: 20 to 250 characters, no sentence's end, no excluded form; else null."""
+    first = F.try_element_at(F.filter(F.transform(F.split(content, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), F.lit(1))
+    bad = F.rlike(first, F.lit(SENTENCE_ENDS)) | F.rlike(first, F.lit("(?i)" + "|".join(NO_TITLES)))
     return F.when(F.length(first).between(20, 250) & ~bad, first)
 
 
+#: Heads of tables that are made from lines of text.
+_MADE_HEAD = "| Parameter | Value | Unit | Description |\n|-----------|-------|------|-------------|\n"
+_TABLE_TITLE = r"(?i)(?:Table|表格|表)\s*\d+"
+
+
+def text_to_markdown(text: Column) -> Column:
+    """A text that is a table as Markdown: its title, then its lines as they are if any has a pipe, else one row a line.
+
+    ``name: value`` gives two cells, anything else one; lines that name a table are the title, or go.
+    """
+    ls = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    named = F.filter(ls, lambda x: F.rlike(x, F.lit(_TABLE_TITLE)))
+    head = F.concat(F.lit("## "), F.coalesce(F.try_element_at(named, F.lit(1)), F.lit("Table (Detected)")), F.lit("\n\n"))
+    pair = r"^(.+?)\s*[:|]\s*(.+)$"
+    row = lambda x: F.when(F.rlike(x, F.lit(pair)), F.concat(F.lit("| "), F.trim(F.regexp_extract(x, pair, 1)), F.lit(" | "), F.trim(F.regexp_extract(x, pair, 2)), F.lit(" | | |\n"))).otherwise(F.concat(F.lit("| "), x, F.lit(" | | | |\n")))
+    made = F.concat(F.lit(_MADE_HEAD), F.array_join(F.transform(F.filter(ls, lambda x: ~F.rlike(x, F.lit(_TABLE_TITLE))), row), ""))
+    return F.concat(head, F.when(F.exists(ls, lambda x: F.contains(x, F.lit("|"))), F.array_join(ls, "\n")).otherwise(made))
+
+
+def pipes_to_html(text: Column) -> Column:
+    """The pipe table in a text as HTML: lines with three pipes and more, the first of them the head, rules left out.
+
+    A text with fewer than two such lines stays as it is.
+    """
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\|", ""), r"\|$", "")
+    kept = F.transform(F.filter(F.split(F.trim(text), "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 3), bare)
+    rows = F.filter(kept, lambda x: ~F.rlike(x, F.lit(r"^[-: |]*$")))
+    cells_ = lambda x, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.split(x, r"\|"), lambda c: F.concat(F.lit(f"<{tag}>"), F.trim(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: cells_(x, "td")), "")
+    head = F.coalesce(F.transform(F.slice(rows, 1, 1), lambda x: cells_(x, "th"))[0], F.lit(""))
+    html = F.concat(F.lit("<table><thead>"), head, F.lit("</thead><tbody>"), body, F.lit("</tbody></table>"))
+    return F.when(F.size(kept) >= 2, html).otherwise(text)
+
+
+def clean_table(rows: Column) -> Column:
+    """Rows of a raw table (array of arrays): nulls empty, cells trimmed, empty rows gone; no rows where fewer than two are left."""
+    trimmed = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    kept = F.filter(trimmed, lambda r: F.exists(r, lambda c: c != ""))
+    return F.when(F.size(kept) >= 2, kept).otherwise(F.slice(kept, 1, 0))
+
+
 def enhanced_query(name: Column, category: Column, text: Column) -> Column:
     """Name, category and the text's materials and processes, distinct but for case."""
     parts = F.concat(F.array(name, category), materials(text), processes(text))
@@ -153,19 +287,42 @@ def cells(tables: DataFrame) -> DataFrame:
     return body.select("table_id", "row", "headers", F.posexplode(F.slice("cells", 1, F.size("headers"))).alias("col", "value")).withColumn("header", F.get("headers", F.col("col"))).drop("headers")
 
 
+def keyvalues(cells_: DataFrame) -> DataFrame:
+    """One text for each row of a table: its cells that are not empty as ``header: value``, a line each."""
+    pair = F.struct("col", F.concat("header", F.lit(": "), "value").alias("kv"))
+    lines_ = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda s: s["kv"]), "\n")
+    return cells_.where("value <> ''").groupBy("table_id", "row").agg(lines_.alias("content"))
+
+
+# What cells are about, and how a summary names it.
 CELL_KINDS = {
-    "energy_consumption": "energy|electricity|kwh|mj|power", "material_flows": "material|substance|kg|ton|mass", "emissions": "emission|co2|ghg|carbon",
-    "process_parameters": "process|temperature|pressure|time",
-}
+    "energy_consumption": ("电[力耗]|energy|electricity|kwh|mj|功率|power|瓦特|watt", "耗电|用电|电量|能源|能耗|消耗"),
+    "material_flows": ("材料|material|substance|kg|ton|gram|质量|重量", "原料|物料|成分|组分|投入|input"),
+    "emissions": ("排放|emission|co2|ghg|carbon|废气|污染", "温室气体|碳排放|二氧化碳|甲烷|氧化亚氮"),
+    "process_parameters": ("工艺|process|temperature|pressure|时间|温度|压力", "参数|条件|设定|操作|运行"),
+}
+KIND_NAMES = {"energy_consumption": "能源消耗", "material_flows": "材料流", "emissions": "排放", "process_parameters": "工艺参数"}
 
 
 def classified(cells_: DataFrame) -> DataFrame:
-    """Cells by kind, from what they and their headers say, with the last number and unit in them."""
-    hit = [F.when(F.rlike(F.lower(F.concat_ws(" ", "value", "header")), F.lit(p)), F.lit(k)) for k, p in CELL_KINDS.items()]
-    number = F.regexp_extract_all(F.col("value"), F.lit(r"([0-9]+\.?[0-9]*)"), F.lit(1))
-    return cells_.where("value <> ''").withColumn("kind", F.explode(F.array_compact(F.array(*hit)))).withColumn(
-        "number", F.when(F.size(number) > 0, F.element_at(number, -1)).try_cast("double")
-    )
+    """Cells that are not empty, once for each kind that they or their headers name, with the last value and unit in them."""
+    either = F.lower(F.concat_ws("\n", "value", "header"))
+    hit = [F.when(F.rlike(either, F.lit("|".join(p))), F.lit(k)) for k, p in CELL_KINDS.items()]
+    found = lambda i: F.try_element_at(F.regexp_extract_all(F.lower("value"), F.lit(r"([0-9]+\.?[0-9]*)\s*([a-zA-Z/]+)"), F.lit(i)), F.lit(-1))
+    rows = cells_.where("value <> ''").withColumn("kind", F.explode(F.array_compact(F.array(*hit))))
+    rows = rows.withColumn("number", found(1).try_cast("double")).withColumn("unit", found(2))
+    return rows.withColumn("formatted", F.concat(found(1), F.lit(" "), "unit"))
+
+
+def table_summary(cells_: DataFrame) -> DataFrame:
+    """table_id and summary: how many rows and columns a table has, and how many cells of each kind."""
+    size = cells_.groupBy("table_id").agg(F.countDistinct("row").alias("rows"), F.countDistinct("col").alias("cols"))
+    kinds = classified(cells_).groupBy(F.col("table_id").alias("__t")).pivot("kind", list(CELL_KINDS)).count()
+    named = [F.when(F.col(k) > 0, F.concat(F.lit(f"{KIND_NAMES[k]}: "), F.col(k).cast("string"), F.lit("项"))) for k in CELL_KINDS]
+    listed = F.array_join(F.array_compact(F.array(*named)), ", ")
+    told = F.concat(F.lit("表格包含"), F.col("rows").cast("string"), F.lit("行"), F.col("cols").cast("string"), F.lit("列数据"))
+    rows = size.join(kinds, F.col("table_id") == F.col("__t"), "left")
+    return rows.select("table_id", F.concat(told, F.when(listed != "", F.concat(F.lit(" | LCA数据: "), listed)).otherwise("")).alias("summary"))
 
 
 def markdown_sections(rows: DataFrame, size: int = 600) -> DataFrame:

@@ -97,9 +97,39 @@ def _(spark, sf):
     return _tagged(spark, sf).select("conv_id", "turn", F.size(H.tool_calls(C("tagged"))).cast("long").alias("calls"))
 
 
-@add("reply_cleanup", None)
+_RAW = """CASE turn % 5 WHEN 0 THEN 'left over</tool_response> ' || text WHEN 1 THEN '<tool_response>' || text || '</tool_response>' WHEN 2 THEN '<think> as ' || role || ' <tool_response>x</tool_response></think> ' || text || '</think></tool_response>'
+  WHEN 3 THEN '<tool_call>{"name": "t"}</tool_call>' ELSE substring(text, 1, 30) END"""
+
+
+def _raw(spark, sf):
+    return _msgs(spark, sf).select("conv_id", "turn", F.expr(_RAW).alias("raw"))
+
+
+_DONE = "'I have completed the requested operations. The data has been recorded successfully. Please check the session summary for details.'"
+
+
+@add("reply_cleanup", f"""WITH r AS (SELECT conv_id, turn, {_RAW} AS t FROM conversations), b AS (SELECT conv_id, turn, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(t, '(?s)^[^<]*</tool_response>', '')), '(?s)<tool_response>.*?</tool_response>', '', 'g')), '</?tool_response>', '', 'g')) AS t FROM r),
+  k AS (SELECT conv_id, turn, CASE WHEN length(t) < 50 AND NOT contains(t, '<think>') AND NOT contains(t, '<tool_call>') THEN {_DONE} ELSE t END AS t FROM b)
+  SELECT conv_id, turn, trim(regexp_extract(t, '(?s)<think>(.*?)</think>', 1)) AS thinking,
+  CASE WHEN regexp_matches(t, '(?s)<think>.*?</think>') THEN trim(regexp_replace(trim(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')), '(?i)</think>', '', 'g')) ELSE t END AS reply FROM k""")
 def _(spark, sf):
-    return _tagged(spark, sf).select("conv_id", "turn", H.cleaned(C("tagged")).alias("reply"))
+    return _raw(spark, sf).select("conv_id", "turn", H.cleaned(C("raw")).alias("c")).select("conv_id", "turn", "c.thinking", "c.reply")
+
+
+_CALLED = """CASE turn % 4 WHEN 0 THEN '<tool_call>{"name": "record_flow", "arguments": 1}</tool_call>' WHEN 1 THEN '<think>only thoughts of ' || role WHEN 2 THEN '<think>a</think>' ELSE 'said: ' || role END"""
+
+
+@add("reply_fallback", f"""WITH r AS (SELECT conv_id, turn, {_CALLED} AS t, conv_id % 3 AS m FROM conversations), c AS (SELECT *, trim(CASE WHEN contains(t, '</think>') THEN regexp_extract(t, '(?s)<think>(.*?)</think>', 1) WHEN contains(t, '<think>') THEN regexp_extract(t, '(?s)<think>(.*)$', 1) ELSE '' END) AS thinking,
+  trim(regexp_replace(regexp_replace(CASE WHEN contains(t, '</think>') THEN regexp_replace(t, '(?s)<think>.*?</think>', '', 'g') WHEN contains(t, '<think>') THEN split_part(t, '<think>', 1) ELSE t END, '</?tool_call>?', '', 'g'), '\\{{"name":\\s*"[^"]*"[^}}]*\\}}?', '', 'g')) AS content FROM r)
+  SELECT conv_id, turn, thinking, CASE WHEN content <> '' THEN content WHEN m = 0 THEN CASE WHEN thinking <> '' THEN 'I''ve analyzed your request. Please let me know if you need more details.' ELSE '' END
+  WHEN m = 1 THEN 'I''ve processed your request. The data has been recorded successfully.'
+  ELSE 'I''ve successfully recorded the data using 3 tool calls. The recorded items include: calculate, record_flow. Let me know if you need more details or want to extract additional data.' END AS content FROM c""".replace("\\\\", "\\"))
+def _(spark, sf):
+    call = lambda tool, result: F.struct(F.lit(tool).alias("tool_name"), F.lit(result).alias("result"))
+    none, bad = F.array().cast("array<struct<tool_name:string,result:string>>"), F.array(call("search", "an error"))
+    good = F.array(call("record_flow", "Recorded."), call("calculate", "SUCCESS"), call("record_flow", "success"))
+    results = F.when(C("conv_id") % 3 == 0, none).when(C("conv_id") % 3 == 1, bad).otherwise(good)
+    return _msgs(spark, sf).select("conv_id", "turn", H.with_fallback(F.expr(_CALLED), results).alias("c")).select("conv_id", "turn", "c.thinking", "c.content")
 
 
 @add("chat_prompt_text", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn) AS prompt, count(*) AS n FROM conversations GROUP BY conv_id")
@@ -174,21 +204,28 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("7:"), C("doc_id").cast("string")).cast("binary"))).limit(10)
 
 
-_FAULTS = """SELECT conv_id AS sample, turn AS place, role, CASE WHEN (conv_id + turn) % 7 = 0 THEN ' ' WHEN (conv_id + turn) % 11 = 0 THEN 'a {{x}} b' ELSE text END AS content,
-  CASE WHEN turn % 4 <> 3 THEN 'because' END AS reasoning, CASE WHEN turn % 5 = 1 THEN CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'tool' END END AS call,
-  CASE WHEN turn % 5 = 1 AND conv_id % 4 <> 0 THEN CASE WHEN conv_id % 9 = 1 THEN '{bad' ELSE '{"k": 1}' END END AS arguments FROM conversations"""
+_FAULT_COLUMNS = {
+    "sample": "conv_id", "place": "turn", "role": "CASE WHEN turn % 6 = 5 THEN 'tool' ELSE role END",
+    "content": "CASE WHEN (conv_id + turn) % 7 = 0 THEN '' WHEN (conv_id + turn) % 11 = 0 THEN NULL ELSE text END",
+    "reasoning": "CASE turn % 5 WHEN 1 THEN concat('Sorry, I COULDN', chr(39), 'T FIND any') WHEN 2 THEN '[SMART_SKIP_PLACEHOLDER:3]' WHEN 3 THEN '' WHEN 4 THEN 'because' END",
+    "tool_calls": """CASE (conv_id + turn) % 6 WHEN 0 THEN '[{"name": "record_parameter", "arguments": {"k": 1}}]' WHEN 1 THEN '[{"arguments": {"k": 1}}, {"name": "search"}]' WHEN 2 THEN '[]'
+      WHEN 3 THEN '[{"name": "define_lca_scope", "arguments": "k"}, {"name": "x", "arguments": [1]}]' WHEN 4 THEN '["record_parameter"]' END""",
+}
+_FAULTS = "SELECT " + ", ".join(f"{e} AS {name}" for name, e in _FAULT_COLUMNS.items())
 
 
 def _faulty(spark, sf):
-    _msgs(spark, sf).createOrReplaceTempView("__conversations")
-    return spark.sql(_FAULTS.replace("FROM conversations", "FROM __conversations"))
+    return _msgs(spark, sf).selectExpr(*[f"{e} AS {name}" for name, e in _FAULT_COLUMNS.items()])
 
 
-_ISSUES = f"""WITH m AS ({_FAULTS}), e AS (SELECT *, content IS NULL OR trim(content) = '' AS ec FROM m), i AS (SELECT sample, place, unnest([CASE WHEN role = 'assistant' AND reasoning IS NULL THEN 'missing_reasoning' END,
-  CASE WHEN role = 'assistant' AND ec AND call IS NULL THEN 'missing_content' END, CASE WHEN role = 'assistant' AND call = '' THEN 'missing_tool_name' END,
-  CASE WHEN role = 'assistant' AND call IS NOT NULL AND arguments IS NULL THEN 'missing_tool_args' END, CASE WHEN role = 'assistant' AND call IS NOT NULL AND arguments IS NOT NULL AND NOT json_valid(arguments) THEN 'invalid_tool_args' END,
-  CASE WHEN contains(content, '{{{{') THEN 'placeholder_not_replaced' END, CASE WHEN role = 'tool' AND ec THEN 'empty_tool_response' END, CASE WHEN role = 'user' AND ec THEN 'empty_user_content' END]) AS issue FROM e)"""
-_ISSUES = _ISSUES.replace("{{{{", "{{")
+_ISSUES = f"""WITH m AS ({_FAULTS} FROM conversations), e AS (SELECT *, coalesce(content, '') = '' AS ec, coalesce(reasoning, '') = '' AS er, coalesce(tool_calls, '[]') <> '[]' AS called, role = 'assistant' AS a FROM m),
+c AS (SELECT sample, place, CAST(i AS INTEGER) AS call, json_extract(tool_calls, '$[' || i || ']') AS c FROM (SELECT *, unnest(range(CAST(json_array_length(tool_calls) AS BIGINT))) AS i FROM e WHERE a AND called)),
+i AS (SELECT sample, place, CAST(NULL AS INTEGER) AS call, unnest([CASE WHEN a AND called AND er THEN 'missing_reasoning' END, CASE WHEN a AND NOT called AND ec THEN 'missing_content' END,
+  CASE WHEN a AND called AND contains(lower(reasoning), 'couldn''t find') AND json_extract_string(tool_calls, '$[0].name') IN ('record_process_flow', 'record_parameter', 'define_lca_scope') THEN 'reasoning_action_mismatch' END,
+  CASE WHEN a AND contains(reasoning, '[SMART_SKIP_PLACEHOLDER') THEN 'placeholder_not_replaced' END, CASE WHEN a AND tool_calls = '[]' THEN 'empty_tool_calls' END,
+  CASE WHEN role = 'tool' AND ec THEN 'empty_tool_response' END, CASE WHEN role = 'user' AND ec AND place > 0 THEN 'empty_user_content' END]) AS issue FROM e
+UNION ALL SELECT sample, place, call, unnest(CASE WHEN json_type(c) <> 'OBJECT' THEN ['invalid_tool_call'] ELSE [CASE WHEN NOT json_exists(c, '$.name') THEN 'missing_tool_name' END,
+  CASE WHEN NOT json_exists(c, '$.arguments') THEN 'missing_tool_args' WHEN json_type(c, '$.arguments') <> 'OBJECT' THEN 'invalid_tool_args' END] END) FROM c)"""
 
 
 @add("training_validation", _ISSUES + " SELECT * FROM i WHERE issue IS NOT NULL")
@@ -201,9 +238,23 @@ def _(spark, sf):
     return H.validate(_faulty(spark, sf)).groupBy("issue").agg(F.count("*").alias("n"), F.countDistinct("sample").alias("samples"))
 
 
-@add("message_cleaning", f"WITH m AS ({_FAULTS}) SELECT sample, place, role, nullif(trim(content), '') AS content, reasoning, nullif(call, '') AS call FROM m")
+@add("validation_report", _ISSUES + """, b AS (SELECT DISTINCT sample FROM i WHERE issue IS NOT NULL), s AS (SELECT DISTINCT conv_id FROM conversations)
+  SELECT count(*) AS files, count(sample) AS files_with_issues, round(100 * (1 - count(sample) / greatest(count(*), 1)), 1) AS pass_rate FROM s LEFT JOIN b ON sample = conv_id""")
+def _(spark, sf):
+    return H.validation_report(_msgs(spark, sf).select(C("conv_id").alias("sample")), H.validate(_faulty(spark, sf)), "sample")
+
+
+_FILE = """CASE event_id % 5 WHEN 0 THEN substring(props, 2) WHEN 1 THEN '[' || props || ']' WHEN 2 THEN '{"messages": [' || props || ']}' ELSE props END"""
+
+
+@add("file_validation", f"SELECT event_id AS file, CASE WHEN event_id % 5 = 0 THEN 'json_error' ELSE 'format_error' END AS issue FROM events WHERE event_id % 5 NOT IN (1, 2)")
+def _(spark, sf):
+    return H.validate_files(V.table(spark, sf, "events").select(C("event_id").alias("file"), F.expr(_FILE).alias("content")))
+
+
+@add("message_cleaning", f"WITH m AS ({_FAULTS} FROM conversations) SELECT sample, place, role, nullif(trim(content), '') AS content, reasoning, nullif(tool_calls, '[]') AS tool_calls FROM m")
 def _(spark, sf):
-    return _faulty(spark, sf).select("sample", "place", "role", F.nullif(F.trim("content"), F.lit("")).alias("content"), "reasoning", F.nullif("call", F.lit("")).alias("call"))
+    return _faulty(spark, sf).select("sample", "place", "role", F.nullif(F.trim("content"), F.lit("")).alias("content"), "reasoning", F.nullif("tool_calls", F.lit("[]")).alias("tool_calls"))
 
 
 def _exported(spark, sf):
@@ -320,10 +371,34 @@ def _(spark, sf):
     return E.first_by_name(solo, x.select("file", "name").distinct(), "file", "place").select("file", "name", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+_RECORDS = """SELECT l_orderkey AS file, l_linenumber AS place, l_partkey, l_suppkey, 'Part ' || (l_partkey % 9) AS flow_name, CASE WHEN l_partkey % 2 = 0 THEN 'Gas' END AS category, 'kg' AS unit, l_quantity AS value, 'c' || (l_suppkey % 4) AS chunk_id FROM lineitem"""
+
+
+def _records(spark, sf):
+    return V.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS file", "(l_linenumber * 100000000 + l_partkey) * 1000000 + l_suppkey AS place", "concat('Part ', l_partkey % 9) AS flow_name", "CASE WHEN l_partkey % 2 = 0 THEN 'Gas' END AS category", "'kg' AS unit",
+        "l_quantity AS value", "concat('c', l_suppkey % 4) AS chunk_id",
+    )
+
+
+@add("eval_zip", f"""WITH r AS ({_RECORDS}), t0 AS (SELECT * FROM r WHERE file % 40 <> 1), p0 AS (SELECT file, (place * 100000000 + l_partkey) * 1000000 + l_suppkey AS place, flow_name || '!' AS flow_name, category, unit, CASE WHEN file % 3 = 0 THEN value * 1.05 ELSE value * 1.001 END AS value, chunk_id FROM r WHERE file % 40 <> 3),
+tp AS (SELECT file, row_number() OVER (ORDER BY file) AS position FROM (SELECT DISTINCT file FROM t0)), pp AS (SELECT file, row_number() OVER (ORDER BY file) AS position FROM (SELECT DISTINCT file FROM p0)),
+t AS (SELECT * FROM t0 JOIN tp USING (file)), p AS (SELECT * FROM p0 JOIN pp USING (file)),
+tt AS (SELECT DISTINCT position, unnest(list_filter([lower(flow_name), lower(category), unit], lambda x: x IS NOT NULL)) AS text FROM t), pt AS (SELECT DISTINCT position, unnest(list_filter([replace(lower(flow_name), '!', ''), lower(category), unit], lambda x: x IS NOT NULL)) AS text FROM p),
+s AS (SELECT position, count(pt.text) / count(*) AS recall FROM tt LEFT JOIN pt USING (position, text) WHERE position IN (SELECT position FROM pp) GROUP BY position),
+f AS (SELECT position, replace(lower(flow_name), '!', '') AS n, arg_min(value, place) AS pv, arg_min(chunk_id, place) AS pc FROM p GROUP BY ALL), j AS (SELECT t.*, pv, pc, abs(pv - value) <= abs(value) * 0.01 AS ok FROM t JOIN f ON f.position = t.position AND f.n = lower(t.flow_name)),
+c AS (SELECT count(*) AS numbers, count(*) FILTER (ok) AS right_, count(*) FILTER (ok AND pc = chunk_id) AS grounded FROM j)
+SELECT (SELECT count(*) FROM pp) AS files, round((SELECT sum(recall) FROM s) / (SELECT count(*) FROM pp), 6) AS em, numbers, right_ AS "right", round(right_ / numbers, 6) AS num_acc, grounded, round(grounded / right_, 6) AS grounding FROM c""")
+def _(spark, sf):
+    r = _records(spark, sf)
+    off = F.when(C("file") % 3 == 0, C("value") * 1.05).otherwise(C("value") * 1.001)
+    return E.zipped(r.where("file % 40 <> 3").withColumns({"flow_name": F.concat("flow_name", F.lit("!")), "value": off}), r.where("file % 40 <> 1"))
+
+
 # --- calculation -----------------------------------------------------------------------------------------------------
-@add("safe_calculate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round(l_quantity * l_discount + sqrt(abs(l_tax - 1)), 6) AS result, true AS success FROM lineitem WHERE l_linenumber = 1")
+@add("safe_calculate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round(l_quantity * l_discount + sqrt(abs(l_tax - 1)), 6) AS result, true AS success FROM lineitem")
 def _(spark, sf):
-    rows = V.table(spark, sf, "lineitem").where("l_linenumber = 1")
+    rows = V.table(spark, sf, "lineitem")
     variables = F.create_map(F.lit("q"), "l_quantity", F.lit("d"), "l_discount", F.lit("t"), "l_tax")
     r = calculate(F.lit("q * d + sqrt(abs(t - 1))"), variables)
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.round(r["result"], 6).alias("result"), r["success"].alias("success"))
@@ -342,12 +417,19 @@ def _(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", get.alias("a")).select("p_partkey", F.coalesce("a.value", "a.quantity", "a.amount", "a.val", F.lit(1.0)).alias("value"))
 
 
-@add("code_safety", "SELECT doc_id, contains(lower(text), 'import os') OR contains(lower(text), 'eval(') OR contains(lower(text), 'password') AS banned FROM documents")
+_CODE = """concat(CASE conv_id % 9 WHEN 0 THEN 'import numpy as np' WHEN 1 THEN 'from json import loads' WHEN 2 THEN 'import Os' WHEN 3 THEN '  import sys' WHEN 4 THEN 'x = EVAL(1)' WHEN 5 THEN 'from pandas.core import frame'
+  WHEN 6 THEN 'import math, json' WHEN 7 THEN 'model' ELSE 'x = 1' END, chr(10), 'y = ', turn)"""
+
+
+@add("code_safety", "SELECT conv_id, turn, conv_id % 9 IN (0, 1, 5, 7, 8) AS safe FROM conversations")
 def _(spark, sf):
-    words = F.array(*[F.lit(w) for w in ("import os", "eval(", "password")])
-    return V.table(spark, sf, "documents").select("doc_id", F.exists(words, lambda w: F.contains(F.lower("text"), w)).alias("banned"))
+    return _msgs(spark, sf).select("conv_id", "turn", H.safe_code(F.expr(_CODE)).alias("safe"))
+
+
+_LEAK = """CASE event_id % 6 WHEN 0 THEN concat('a |', chr(10), '| b') WHEN 1 THEN '{"action_id": 1, "record_type": 2}' WHEN 2 THEN '"session_id" alone' WHEN 3 THEN repeat('"', 50) WHEN 4 THEN repeat('"', 51) ELSE props END"""
 
 
-@add("json_leak", "SELECT event_id, starts_with(props, '{') AND length(props) - length(replace(props, '\"', '')) >= 2 AS leaked FROM events")
+@add("json_leak", "SELECT event_id, event_id % 6 IN (0, 1, 4) AS leaked, event_id % 6 IN (0, 1, 4) AS replaced FROM events")
 def _(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", (C("props").startswith("{") & (F.length("props") - F.length(F.replace("props", F.lit('"'), F.lit(""))) >= 2)).alias("leaked"))
+    text = F.expr(_LEAK)
+    return V.table(spark, sf, "events").select("event_id", H.leaks_json(text).alias("leaked"), (H.without_leaks(text) != text).alias("replaced"))

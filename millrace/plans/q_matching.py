@@ -218,9 +218,9 @@ def _(spark, sf):
     return M.exact(V.lci(spark, sf).groupBy("name").agg(F.count("*").alias("n")), V.catalog(spark, sf)).select("name", "uuid", "n")
 
 
-@add("flow_name_search", f"WITH {V.CATALOG} SELECT uuid, name FROM v_catalog WHERE contains(lower(name), '1') ORDER BY name, uuid LIMIT 20")
+@add("flow_name_search", f"WITH {V.CATALOG} SELECT uuid, name FROM v_catalog WHERE contains(lower(name), 'gear') ORDER BY name, uuid LIMIT 20")
 def _(spark, sf):
-    return M.search_names(V.catalog(spark, sf), "1").select("uuid", "name")
+    return M.search_names(V.catalog(spark, sf), "Gear").select("uuid", "name")
 
 
 def _flow_queries(spark, sf):
@@ -243,12 +243,13 @@ def _(spark, sf):
 
 
 def _vectors(spark, sf):
+    """The query set, every vector whose id is divisible by 100, and all vectors."""
     e = V.table(spark, sf, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("v"), "label")
-    return e.where("vec_id < 5").select(C("vec_id").alias("query_id"), C("v").alias("q")), e.where("vec_id >= 5")
+    return e.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("v").alias("q")), e
 
 
 _VEC = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label,
-  list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + {eps}) AS sim, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id < 5 AND b.vec_id >= 5)"""
+  list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + {eps}) AS sim, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
 @add("flow_match_topk", _VEC.format(eps="1e-8") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
@@ -272,13 +273,18 @@ def _(spark, sf):
     return M.top_k(s, ["query_id"], "similarity", ["label"], 3).select("query_id", "label", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@add("distance_to_similarity", _VEC.format(eps="0") + " SELECT query_id, vec_id, round(CASE WHEN dist / 8 > 1 THEN 1 / (1 + dist / 8) ELSE greatest(0.0, least(1.0, dist / 8)) END, 6) AS similarity FROM s")
+@add("distance_to_similarity", _VEC.format(eps="0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM s)
+  SELECT query_id, vec_id, round(CASE WHEN dist / 8 > 1 THEN 1 / (1 + dist / 8) ELSE greatest(0.0, least(1.0, dist / 8)) END, 6) AS similarity FROM r WHERE rank <= 20""")
 def _(spark, sf):
-    q, c = _vectors(spark, sf)
-    packed = q.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = c.join(F.broadcast(packed)).withColumn("x", F.explode("qs"))
-    d = F.sqrt(F.aggregate(F.zip_with("x.q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)) / 8
-    return rows.select("x.query_id", "vec_id", F.round(M.similarity_of_distance(d), 6).alias("similarity"))
+    d = M.distances(*_vectors(spark, sf)).withColumn("near", -F.round("distance", 9))
+    near = M.top_k(d, ["query_id"], "near", ["vec_id"], 20)
+    return near.select("query_id", "vec_id", F.round(M.similarity_of_distance(C("distance") / 8), 6).alias("similarity"))
+
+
+@add("match_quality", _VEC.format(eps="1e-8") + """, b AS (SELECT query_id, max(sim) AS best FROM s GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (best >= 0.3) AS matched, round(count(*) FILTER (best >= 0.3) / count(*), 6) AS rate,
+  round(coalesce(avg(best) FILTER (best >= 0.3), 0), 6) AS mean_similarity FROM b""")
+def _(spark, sf):
+    return M.match_quality(M.similarities(*_vectors(spark, sf), 1e-8), 0.3)
 
 
 @add("flow_match_unit_filter", _VEC.format(eps="1e-8").replace("WITH e", f"WITH {V.CATALOG}, {units.SQL}, e") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s),

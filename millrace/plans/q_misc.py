@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon
 from millrace.operators import layout
+from millrace.operators.matching import similarities, top_k
 from millrace.plans import views as V
+from millrace.plans.q_matching import _VEC, _vectors
 from millrace.sources import tables as S
 from millrace.streaming import sessions as T
 
@@ -29,12 +28,6 @@ def add(name, sql):
     return deco
 
 
-def scratch(spark, name):
-    """A folder for a sink's files: below the shared folder if the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    return f"{root.rstrip('/')}/sinks/{uuid.uuid4().hex}-{name}"
-
-
 # --- lexicon ---------------------------------------------------------------------------------------------------------
 def _asked(spark, sf):
     names = list(lexicon.LEXICON)
@@ -155,6 +148,12 @@ def _(spark, sf):
     return T.idle(V.table(spark, sf, "events"))
 
 
+@add("session_touch", """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+  SELECT user_id, event_id, CAST(floor(epoch(ts)) - floor(epoch(b)) AS BIGINT) AS idle_seconds, coalesce(floor(epoch(ts)) - floor(epoch(b)) <= 7200, false) AS alive FROM l""")
+def _(spark, sf):
+    return T.touched(V.table(spark, sf, "events"))
+
+
 @add("session_stats", "SELECT source, count(*) AS documents, sum(strlen(text)) / 1048576.0 AS mb, count(*) FILTER (n_chars > 1000) AS long_ones FROM documents GROUP BY source")
 def _(spark, sf):
     d = V.table(spark, sf, "documents")
@@ -177,7 +176,7 @@ def _(spark, sf):
     """The stream over the events file, run to its end, as a table."""
     batch = V.table(spark, sf, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = scratch(spark, "sequenced")
+    out = S.scratch(spark, "sequenced")
     query = T.sequenced(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.parquet(out)
@@ -203,16 +202,15 @@ def _(spark, sf):
 
 @add("json_source_roundtrip", "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    path = scratch(spark, "orders")
-    rows = V.table(spark, sf, "lineitem").groupBy((C("l_orderkey") % 16).alias("file")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "l_quantity"))).alias("value"))
-    rows.repartition("file").write.partitionBy("file").text(path)
+    path = S.scratch(spark, "orders")
+    S.write_json_lists(V.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity"), path)
     rows = S.read_json_list(spark, path, "l_orderkey long, l_quantity double")
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
 
 
 @add("jsonl_sinks", "SELECT CASE WHEN conv_id % 10 = 0 THEN 'eval' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1")
 def _(spark, sf):
-    path = scratch(spark, "samples")
+    path = S.scratch(spark, "samples")
     S.write_samples(V.table(spark, sf, "conversations").withColumn("part", F.when(C("conv_id") % 10 == 0, "eval").otherwise("train")), path)
     rows = spark.read.schema("conv_id long, turn long, role string, text string, part string").json(path)
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
@@ -220,17 +218,40 @@ def _(spark, sf):
 
 @add("partitioned_sink", "SELECT lang AS difficulty, source AS doc_type, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark, sf):
-    path = scratch(spark, "documents")
+    path = S.scratch(spark, "documents")
     S.write_documents(V.table(spark, sf, "documents").select("doc_id", C("lang").alias("difficulty"), C("source").alias("doc_type")), path)
     return spark.read.json(path).groupBy("difficulty", "doc_type").agg(F.count("*").alias("n"))
 
 
-@add("vector_index_lifecycle", None)
+@add("vector_index_lifecycle", _VEC.format(eps="1e-8") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def _(spark, sf):
+    """A temporary collection is built, asked and dropped; the answers are written before it goes."""
+    path = S.scratch(spark, "collection")
+    queries, vectors = _vectors(spark, sf)
+    S.build_collection(vectors.select("vec_id", "v"), path)
+    scored = similarities(queries, spark.read.parquet(path), 1e-8).withColumn("similarity", F.round("similarity", 9))
+    hits = S.checkpointed(top_k(scored, ["query_id"], "similarity", ["vec_id"], 3).select("query_id", "vec_id", "rank"))
+    S.delete(spark, path)
+    return hits
+
+
+@add("tagged_sources", "SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def _(spark, sf):
+    path = S.scratch(spark, "tagged")
+    e = V.table(spark, sf, "events")
+    for kind in ("purchase", "view", "signup", "error", "click"):
+        e.where(C("event_type") == kind).select("event_id").write.json(f"{path}/{kind}")
+    return S.read_tagged(spark, path, "event_id long").groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@add("session_rewrite", "SELECT user_id % 4 AS session_id, CASE WHEN user_id % 4 = 2 THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 9, 'appended', count(*) FROM events WHERE event_id % 2 = 0")
 def _(spark, sf):
-    e = V.table(spark, sf, "embeddings").persist()
-    out = e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 5).alias("mean"))
-    e.unpersist()
-    return out
+    path = S.scratch(spark, "sessions")
+    rows = V.table(spark, sf, "events").select("event_id", F.lit("old").alias("version"), (C("user_id") % 4).alias("session_id"))
+    rows.write.partitionBy("session_id").parquet(path)
+    S.rewrite_sessions(spark, path, rows.where("session_id = 2").withColumn("version", F.lit("new")))
+    S.append(rows.where("event_id % 2 = 0").withColumns({"version": F.lit("appended"), "session_id": F.lit(9).cast("long")}), path, "session_id")
+    return spark.read.schema("event_id long, version string, session_id long").parquet(path).groupBy("session_id", "version").agg(F.count("*").alias("n"))
 
 
 @add("tool_schema", "SELECT * FROM (VALUES ('calculate', 'expression,variables'), ('record_flow', 'category,name,value,unit'), ('search_document', 'query,max_results')) t(tool, arguments)")

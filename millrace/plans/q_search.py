@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import retrieval as R
 from millrace.operators import text_features as T
-from millrace.operators.matching import similarities, top_k
+from millrace.operators.matching import distances, similarities, similarity_of_distance, top_k
 from millrace.plans import views as V
 from millrace.plans.q_matching import _VEC, _vectors
 
@@ -48,15 +48,20 @@ def _boost(queries):
   + CASE WHEN length(content) - length(replace(content, '|', '')) >= 3 THEN 0.18::DOUBLE ELSE 0 END"""
 
 
-def _search_sql(queries, distinct=True):
+def _search_ctes(queries, distinct=True):
+    """Common table expressions of a search; its result is ``found``."""
     sims = " UNION ALL ".join(
-        f"SELECT {i} AS query_no, chunk_key, chunk_id, content, round(len(list_intersect({_terms(q)}, ws)) / {len(dict.fromkeys(q.split()))}::DOUBLE, 6) AS similarity FROM w" for i, q in enumerate(queries)
+        f"SELECT {i} AS query_no, chunk_key, chunk_id, content, round(len(list_intersect({_terms(q)}, ws)) / {len(dict.fromkeys(q.split()))}::DOUBLE, 6) AS similarity FROM s0" for i, q in enumerate(queries)
     )
-    return f"""WITH {V.CHUNKS}, w AS (SELECT *, {_KEYED} AS chunk_key, {_WORDS} AS ws FROM v_chunks), s AS (SELECT * FROM ({sims}) WHERE similarity > 0),
-a AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY similarity DESC, chunk_key) AS r FROM s),
-b AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_no ORDER BY similarity DESC, chunk_key) AS r FROM a WHERE r <= 6 AND similarity >= 0.3),
-c AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY chunk_key ORDER BY similarity DESC, query_no) AS r FROM b WHERE r <= 3)
-SELECT chunk_key, chunk_id, query_no, similarity, round(similarity + {_boost(queries)}, 6) AS boosted FROM c {'WHERE r = 1' if distinct else ''} ORDER BY boosted DESC, chunk_key, query_no LIMIT 10"""
+    return f"""{V.CHUNKS}, s0 AS (SELECT *, {_KEYED} AS chunk_key, {_WORDS} AS ws FROM v_chunks), s1 AS (SELECT * FROM ({sims}) WHERE similarity > 0),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY similarity DESC, chunk_key) AS r FROM s1),
+s3 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_no ORDER BY similarity DESC, chunk_key) AS r FROM s2 WHERE r <= 6 AND similarity >= 0.3),
+s4 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY chunk_key ORDER BY similarity DESC, query_no) AS r FROM s3 WHERE r <= 3),
+found AS (SELECT chunk_key, chunk_id, query_no, similarity, round(similarity + {_boost(queries)}, 6) AS boosted FROM s4 {'WHERE r = 1' if distinct else ''} ORDER BY boosted DESC, chunk_key, query_no LIMIT 10)"""
+
+
+def _search_sql(queries, distinct=True):
+    return f"WITH {_search_ctes(queries, distinct)} SELECT * FROM found"
 
 
 @add("document_search_single", _search_sql(ASKED[:1]))
@@ -83,13 +88,17 @@ def _(spark, sf):
     return rows.groupBy("kind", "numbers", "pipes", "boost").agg(F.count("*").alias("n"))
 
 
-@add("catalog_keyword_search", f"""WITH {V.CATALOG}, b AS (
-  (SELECT uuid, 0 AS branch, 'name' AS found_in, length(name) AS len FROM v_catalog WHERE contains(lower(name), 'co') ORDER BY length(name), uuid LIMIT 5) UNION ALL
-  (SELECT uuid, 1, 'category', length(name) FROM v_catalog WHERE contains(lower(category), 'co') ORDER BY length(name), uuid LIMIT 2) UNION ALL
-  (SELECT uuid, 2, 'product', length(name) FROM v_catalog WHERE contains(lower(reference_product), 'co') ORDER BY length(name), uuid LIMIT 2)),
-  f AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY branch) AS r FROM b) SELECT uuid, found_in FROM f WHERE r = 1 ORDER BY branch, len, uuid LIMIT 5""")
+_PHRASE = "small"
+_KW = """kw AS (SELECT *, list_transform(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+'), lambda x: x) AS ws FROM v_catalog), rel AS (SELECT *, round(len(list_filter(ws, lambda w: w = 'small')) / greatest(len(ws), 1), 6) AS score FROM kw),
+  b AS ((SELECT uuid, 0 AS branch, 'text' AS found_in, score FROM rel WHERE score > 0 ORDER BY score DESC, uuid LIMIT 5) UNION ALL
+  (SELECT uuid, 1, 'category', 0.0 FROM v_catalog WHERE len(list_filter(categories, lambda c: contains(lower(c), 'small'))) > 0 ORDER BY uuid LIMIT 3) UNION ALL
+  (SELECT uuid, 2, 'product', 0.0 FROM v_catalog WHERE contains(lower(reference_product), 'small') ORDER BY uuid LIMIT 3)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY branch) AS r FROM b), hits AS (SELECT uuid, found_in, CAST(score AS DOUBLE) AS score FROM f WHERE r = 1 ORDER BY branch, score DESC, uuid LIMIT 10)"""
+
+
+@add("catalog_keyword_search", f"WITH {V.CATALOG}, {_KW} SELECT * FROM hits")
 def _(spark, sf):
-    return R.catalog_keyword_hits(V.catalog(spark, sf), "co")
+    return R.catalog_keyword_hits(V.catalog(spark, sf), _PHRASE)
 
 
 @add("catalog_by_category", f"WITH {V.CATALOG} SELECT uuid, name FROM v_catalog WHERE list_contains(categories, 'Brand#11') OR list_contains(categories, 'Brand#1')")
@@ -102,26 +111,22 @@ def _(spark, sf):
     return V.catalog(spark, sf).where("location = 'GLO1'").select("uuid", "name", "location")
 
 
-@add("catalog_hybrid_search", _VEC.format(eps="1e-8").replace("WITH e", f"WITH {V.CATALOG}, e") + """, v AS (SELECT CAST(vec_id AS VARCHAR) AS uuid, 0 AS source, round(sim, 6) AS score FROM s WHERE query_id = 0 AND sim >= 0.05 ORDER BY round(sim, 6) DESC, vec_id LIMIT 10),
-  k AS (SELECT uuid, 1 AS source, CAST(NULL AS DOUBLE) AS score FROM v_catalog WHERE contains(lower(name), 'a') ORDER BY length(name), uuid LIMIT 5),
-  u AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY source) AS r FROM (SELECT * FROM v UNION ALL SELECT * FROM k)) SELECT uuid, source, coalesce(score, 0.0) AS score FROM u WHERE r = 1 ORDER BY coalesce(score, 0.0) DESC, source, uuid LIMIT 12""")
+@add("catalog_hybrid_search", _VEC.format(eps="1e-8").replace("WITH e", f"WITH {V.CATALOG}, e") + """, v0 AS (SELECT query_id, vec_id, round(sim, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, vec_id) AS r FROM s WHERE sim >= 0.05),
+  v AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS uuid, 0 AS source, score FROM v0 WHERE r <= 10), k AS (SELECT uuid FROM v_catalog WHERE contains(lower(name), 'a') ORDER BY length(name), uuid LIMIT 5),
+  kq AS (SELECT vec_id AS query_id, uuid, 1 AS source, CAST(NULL AS DOUBLE) AS score FROM embeddings, k WHERE vec_id % 100 = 0), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, uuid ORDER BY source) AS r FROM (SELECT * FROM v UNION ALL SELECT * FROM kq)),
+  w AS (SELECT query_id, uuid, source, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, source, uuid) AS p FROM u WHERE r = 1) SELECT query_id, uuid, source, score FROM w WHERE p <= 12""")
 def _(spark, sf):
     q, c = _vectors(spark, sf)
-    hits = similarities(q.where("query_id = 0"), c, 1e-8).where("similarity >= 0.05").select(C("vec_id"), F.round("similarity", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    scored = similarities(q, c, 1e-8).where("similarity >= 0.05").withColumn("score", F.round("similarity", 6))
+    hits = top_k(scored, ["query_id"], "score", ["vec_id"], 10).select("query_id", C("vec_id").cast("string").alias("uuid"), "score")
     words = V.catalog(spark, sf).where(F.contains(F.lower("name"), F.lit("a"))).orderBy(F.length("name"), "uuid").limit(5)
-    return R.fuse(hits.select(C("vec_id").cast("string").alias("uuid"), "score"), words, 12)
+    return R.fuse(hits, q.select("query_id").join(F.broadcast(words.select("uuid"))), 12)
 
 
 @add("chunk_vector_query", _VEC.format(eps="0") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM s) SELECT query_id, vec_id, round(CASE WHEN dist > 1 THEN 1 / (1 + dist) ELSE greatest(0.0, least(1.0, dist)) END, 6) AS similarity FROM r WHERE rank <= 4")
 def _(spark, sf):
-    q, c = _vectors(spark, sf)
-    packed = q.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = c.join(F.broadcast(packed)).withColumn("x", F.explode("qs"))
-    d = F.round(F.sqrt(F.aggregate(F.zip_with("x.q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)), 9)
-    near = rows.select("x.query_id", "vec_id", (-d).alias("near"), d.alias("d"))
-    from millrace.operators.matching import similarity_of_distance
-
-    return top_k(near, ["query_id"], "near", ["vec_id"], 4).select("query_id", "vec_id", F.round(similarity_of_distance(C("d")), 6).alias("similarity"))
+    near = distances(*_vectors(spark, sf)).withColumn("near", -F.round("distance", 9))
+    return top_k(near, ["query_id"], "near", ["vec_id"], 4).select("query_id", "vec_id", F.round(similarity_of_distance(C("distance")), 6).alias("similarity"))
 
 
 _HASH = "list_transform(generate_series(0, 15), lambda i: CAST(('0x' || md5(text)[i * 2 + 1 : i * 2 + 2]) AS INTEGER) / 255::DOUBLE)"
@@ -142,13 +147,10 @@ def _(spark, sf):
     return rows.select("doc_id", F.when(C("doc_id") % 3 == 0, "kept").otherwise("made").alias("origin"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
-_STOP = "[" + ",".join(f"'{s}'" for s in R.STOP_WORDS) + "]"
-
-
-@add("query_keywords", rf"""WITH w AS (SELECT item_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS x FROM benchmark)),
-  d AS (SELECT item_id, w, min(i) AS i FROM w WHERE length(w) > 1 AND NOT list_contains({_STOP}, w) GROUP BY ALL) SELECT item_id, string_agg(w, ' ' ORDER BY i) AS keywords, count(*) AS n FROM d GROUP BY item_id""")
+@add("query_keywords", r"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(text || ' 的 是 了', '[\p{L}\p{M}\p{N}_]+'), lambda w: length(w) > 1 AND NOT list_contains(['的', '是', '在', '有', '和', '与', '或', '但', '而', '了', '着', '过'], w)) AS k FROM benchmark)
+  SELECT item_id, array_to_string(k, ' ') AS keywords, CAST(len(k) AS BIGINT) AS n FROM w""")
 def _(spark, sf):
-    k = R.keywords(C("text"))
+    k = R.keywords(F.concat("text", F.lit(" 的 是 了")))
     return V.table(spark, sf, "benchmark").select("item_id", F.array_join(k, " ").alias("keywords"), F.size(k).cast("long").alias("n"))
 
 
@@ -158,29 +160,38 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", r["content"].alias("content"), F.round(r["confidence"], 6).alias("confidence"))
 
 
-@add("key_information", None)
+@add("key_information", r"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。！？；\n]'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+  h AS (SELECT doc_id, text, list_filter(p, lambda x: contains(lower(x), 'the') OR contains(lower(x), 'thing') OR contains(lower(x), 'energy') OR contains(lower(x), 'of'))[1:3] AS p FROM s)
+  SELECT doc_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ' ') ELSE substring(text, 1, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END END AS info FROM h""")
+def _(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", R.key_information(C("text"), F.lit("The thing of energy")).alias("info"))
+
+
+@add("key_points", None)
 def _(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", R.key_information(C("text"), F.lit("the thing of energy")).alias("info"), F.size(R.key_points(C("text"))).alias("points"))
+    p = R.key_points(C("text"), F.lit("the thing of energy"))
+    return V.table(spark, sf, "documents").select("doc_id", p["content"].alias("content"), F.round(p["confidence"], 6).alias("confidence"))
 
 
-@add("search_endpoint", f"WITH {V.CATALOG} " + _search_sql(ASKED[:1]).replace("WITH ", ", ", 1).replace("SELECT chunk_key, chunk_id, query_no", "SELECT chunk_key, chunk_id, 'chunk' AS kind, query_no"))
+@add("search_endpoint", f"WITH {V.CATALOG}, {_KW}, {_search_ctes(ASKED[:1])} SELECT 'document' AS kind, chunk_key AS id, boosted AS score FROM found UNION ALL SELECT 'catalog', uuid, score FROM hits")
 def _(spark, sf):
-    return R.search(_keyed(spark, sf), ASKED[:1]).withColumn("kind", F.lit("chunk"))
+    chunks = R.search(_keyed(spark, sf), ASKED[:1]).select(F.lit("document").alias("kind"), C("chunk_key").alias("id"), C("boosted").alias("score"))
+    return chunks.unionByName(R.catalog_keyword_hits(V.catalog(spark, sf), _PHRASE).select(F.lit("catalog").alias("kind"), C("uuid").alias("id"), "score"))
 
 
 # --- text features -------------------------------------------------------------------------------------------------
 @add("decision_features_text", None)
 def _(spark, sf):
-    f = T.decision_features(C("text"))
-    return V.texts(spark, sf).select(*V.TEXT_KEY, f["pattern_count"].alias("pattern_count"), f["score"].alias("score"), f["examples"].alias("examples"), f["basis"].alias("basis"), f["warning"].alias("warning"))
+    return V.texts(spark, sf).select(*V.TEXT_KEY, T.decision_features(C("text")).alias("f")).select(*V.TEXT_KEY, "f.*")
 
 
 @add("decision_features_table", None)
 def _(spark, sf):
-    return V.texts(spark, sf).where("l_partkey % 4 = 1").select(*V.TEXT_KEY, T.table_features("text").alias("f")).select(*V.TEXT_KEY, "f.*")
+    rows = V.texts(spark, sf).withColumn("chunk_type", F.when(C("l_partkey") % 4 == 1, "table_section").when(C("l_partkey") % 8 == 2, "table_row").otherwise("text"))
+    return T.chunk_features(rows).select(*V.TEXT_KEY, "chunk_type", "features.*")
 
 
-@add("basis_tokens", rf"WITH {V.TEXTS} SELECT l_partkey % 4 AS kind, regexp_matches(text, '(?i)(?:\bper +(?:part|batch|build|unit|hour|day|tonne|kg)|/t\b|/kg\b|/h\b|each\b)') AS basis, count(*) AS n FROM v_text GROUP BY ALL")
+@add("basis_tokens", rf"WITH {V.TEXTS} SELECT l_partkey % 4 AS kind, regexp_matches(text, '(?i)(?:\bper\s+(?:part|batch|build|unit|hour|day|tonne|kg)|/t\b|/kg\b|/h\b|each\b)') AS basis, count(*) AS n FROM v_text GROUP BY ALL")
 def _(spark, sf):
     return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), T.has_basis(C("text")).alias("basis")).agg(F.count("*").alias("n"))
 
@@ -212,12 +223,16 @@ def _(spark, sf):
     return V.texts(spark, sf).select(*V.TEXT_KEY, T.enhanced_query(F.lit("Steel"), F.lit("Raw Material"), C("text")).alias("query"))
 
 
-_IND = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in T.INDICATORS.items())
+_SAID = "text || CASE l_suppkey % 6 WHEN 0 THEN ' Global Warming Potential' WHEN 1 THEN ' 碳足迹' WHEN 2 THEN ' co2 的 排放' WHEN 3 THEN ' Life Cycle' ELSE '' END"
+_IND = r"""[CASE WHEN regexp_matches(x, 'global warming potential|gwp|全球变暖潜值|温室气体') THEN 'GWP' END, CASE WHEN regexp_matches(x, 'cumulative energy demand|ced|累积能源需求|能源消耗') THEN 'CED' END,
+  CASE WHEN regexp_matches(x, 'acidification potential|ap|酸化潜值') THEN 'AP' END, CASE WHEN regexp_matches(x, 'eutrophication potential|ep|富营养化潜值') THEN 'EP' END,
+  CASE WHEN regexp_matches(x, 'photochemical ozone creation potential|pocp|光化学臭氧') THEN 'POCP' END, CASE WHEN regexp_matches(x, 'energy consumption|能源消耗|电力消耗|燃料消耗') THEN '能耗' END,
+  CASE WHEN regexp_matches(x, 'carbon footprint|碳足迹|碳排放|co2.*排放') THEN '碳足迹' END, CASE WHEN regexp_matches(x, 'life cycle|lifecycle|生命周期|全生命周期') THEN '生命周期' END]"""
 
 
-@add("lca_indicators", f"WITH {V.TEXTS} SELECT l_partkey % 4 AS kind, array_to_string(list_filter([{_IND}], lambda x: x IS NOT NULL), ',') AS indicators, count(*) AS n FROM v_text GROUP BY ALL")
+@add("lca_indicators", f"WITH {V.TEXTS}, y AS (SELECT l_partkey % 4 AS kind, lower({_SAID}) AS x FROM v_text) SELECT kind, array_to_string(list_filter({_IND}, lambda i: i IS NOT NULL), ',') AS indicators, count(*) AS n FROM y GROUP BY ALL")
 def _(spark, sf):
-    return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), F.array_join(T.indicators(C("text")), ",").alias("indicators")).agg(F.count("*").alias("n"))
+    return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), F.array_join(T.indicators(F.expr(_SAID)), ",").alias("indicators")).agg(F.count("*").alias("n"))
 
 
 @add("numeric_facts", None)
@@ -244,10 +259,10 @@ def _(spark, sf):
     return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), T.looks_like_table(C("text")).alias("is_table")).agg(F.count("*").alias("n"))
 
 
-_T1 = "trim(string_split(text, chr(10))[1])"
+_FIRST = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1]".replace("\\\\", "\\")
 
 
-@add("doc_title", f"SELECT doc_id, CASE WHEN length({_T1}) BETWEEN 20 AND 250 AND NOT regexp_matches({_T1}, '[.,;:!?]$') AND NOT regexp_matches({_T1}, '(?i)^(abstract|introduction|keywords|doi)') THEN {_T1} END AS title FROM documents")
+@add("doc_title", f"WITH f AS (SELECT doc_id, {_FIRST} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) BETWEEN 20 AND 250 AND NOT regexp_matches(t, '[.。,，;；]$') AND NOT regexp_matches(t, '(?i)^(abstract|摘要)$|^(page|第.*?页)|^(author|作者|by)\\s*:') THEN t END AS title FROM f".replace("\\\\", "\\"))
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.title(C("text")).alias("title"))
 
@@ -256,24 +271,59 @@ def _tables(spark, sf):
     return V.texts(spark, sf).where("l_partkey % 4 = 1").select(F.concat_ws("-", *V.TEXT_KEY).alias("table_id"), "text").dropDuplicates(["table_id"])
 
 
-@add("table_keyvalue", None)
+_CELLS = f"""WITH {V.TEXTS}, tb AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS table_id, min(text) AS text FROM v_text WHERE l_partkey % 4 = 1 GROUP BY 1),
+ln AS (SELECT table_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[ \\-|]+$')) AS ls FROM tb), rw AS (SELECT table_id, unnest(ls[2:]) AS line, generate_subscripts(ls[2:], 1) AS row, ls[1] AS head FROM ln),
+cl AS (SELECT table_id, CAST(row AS INTEGER) AS row, trim(string_split(trim(line, '| '), '|')[i]) AS value, trim(string_split(trim(head, '| '), '|')[i]) AS header, CAST(i - 1 AS INTEGER) AS col FROM rw, (VALUES (1), (2)) v(i))""".replace("\\\\", "\\")
+_KINDS = r"""kd AS (SELECT *, lower(value || chr(10) || header) AS e FROM cl WHERE value <> ''), ks AS (SELECT table_id, row, col, header, value, unnest(list_filter([CASE WHEN regexp_matches(e, '电[力耗]|energy|electricity|kwh|mj|功率|power|瓦特|watt|耗电|用电|电量|能源|能耗|消耗') THEN 'energy_consumption' END,
+  CASE WHEN regexp_matches(e, '材料|material|substance|kg|ton|gram|质量|重量|原料|物料|成分|组分|投入|input') THEN 'material_flows' END, CASE WHEN regexp_matches(e, '排放|emission|co2|ghg|carbon|废气|污染|温室气体|碳排放|二氧化碳|甲烷|氧化亚氮') THEN 'emissions' END,
+  CASE WHEN regexp_matches(e, '工艺|process|temperature|pressure|时间|温度|压力|参数|条件|设定|操作|运行') THEN 'process_parameters' END], lambda k: k IS NOT NULL)) AS kind FROM kd)"""
+
+
+@add("table_keyvalue", _CELLS + " SELECT table_id, row, string_agg(header || ': ' || value, chr(10) ORDER BY col) AS content FROM cl WHERE value <> '' GROUP BY ALL")
 def _(spark, sf):
-    rows = T.cells(_tables(spark, sf))
-    pair = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.concat("header", F.lit(": "), "value").alias("kv")))), lambda s: s["kv"]), "; ")
-    return rows.where("value <> ''").groupBy("table_id", "row").agg(pair.alias("content"))
+    return T.keyvalues(T.cells(_tables(spark, sf)))
 
 
-@add("table_lca_cells", None)
+@add("table_lca_cells", _CELLS + ", " + _KINDS + r""", n AS (SELECT *, nullif(list_last(regexp_extract_all(lower(value), '([0-9]+\.?[0-9]*)\s*([a-zA-Z/]+)', 1)), '') AS num, nullif(list_last(regexp_extract_all(lower(value), '([0-9]+\.?[0-9]*)\s*([a-zA-Z/]+)', 2)), '') AS unit FROM ks)
+  SELECT table_id, row, col, header, value, kind, CAST(num AS DOUBLE) AS number, unit, num || ' ' || unit AS formatted FROM n""")
 def _(spark, sf):
     return T.classified(T.cells(_tables(spark, sf)))
 
 
-@add("table_lca_summary", None)
+@add("table_lca_summary", _CELLS + ", " + _KINDS + """, z AS (SELECT table_id, count(DISTINCT row) AS rows, count(DISTINCT col) AS cols FROM cl GROUP BY 1), k AS (SELECT table_id, count(*) FILTER (kind = 'energy_consumption') AS a, count(*) FILTER (kind = 'material_flows') AS b,
+  count(*) FILTER (kind = 'emissions') AS c, count(*) FILTER (kind = 'process_parameters') AS d FROM ks GROUP BY 1), s AS (SELECT z.*, array_to_string(list_filter([CASE WHEN a > 0 THEN '能源消耗: ' || a || '项' END, CASE WHEN b > 0 THEN '材料流: ' || b || '项' END,
+  CASE WHEN c > 0 THEN '排放: ' || c || '项' END, CASE WHEN d > 0 THEN '工艺参数: ' || d || '项' END], lambda x: x IS NOT NULL), ', ') AS l FROM z LEFT JOIN k USING (table_id))
+  SELECT table_id, '表格包含' || rows || '行' || cols || '列数据' || CASE WHEN l <> '' THEN ' | LCA数据: ' || l ELSE '' END AS summary FROM s""")
+def _(spark, sf):
+    return T.table_summary(T.cells(_tables(spark, sf)))
+
+
+@add("table_sections", f"""WITH {V.TEXTS}, x AS (SELECT l_partkey % 4 AS kind, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM v_text WHERE l_linenumber < 8),
+  y AS (SELECT kind, ls, '## ' || coalesce(list_filter(ls, lambda l: regexp_matches(l, '(?i)(?:Table|表格|表)\\s*\\d+'))[1], 'Table (Detected)') || chr(10) || chr(10) AS head FROM x)
+  SELECT kind, md5(head || CASE WHEN len(list_filter(ls, lambda l: contains(l, '|'))) > 0 THEN array_to_string(ls, chr(10)) ELSE '| Parameter | Value | Unit | Description |' || chr(10) || '|-----------|-------|------|-------------|' || chr(10) ||
+  array_to_string(list_transform(list_filter(ls, lambda l: NOT regexp_matches(l, '(?i)(?:Table|表格|表)\\s*\\d+')), lambda l: CASE WHEN regexp_matches(l, '^(.+?)\\s*[:|]\\s*(.+)$') THEN '| ' || trim(regexp_extract(l, '^(.+?)\\s*[:|]\\s*(.+)$', 1)) || ' | ' || trim(regexp_extract(l, '^(.+?)\\s*[:|]\\s*(.+)$', 2)) || ' | | |' || chr(10)
+  ELSE '| ' || l || ' | | | |' || chr(10) END), '') END) AS md, count(*) AS n FROM y GROUP BY ALL""".replace(" WHERE l_linenumber < 8", "").replace("\\\\", "\\"))
+def _(spark, sf):
+    return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), F.md5(T.text_to_markdown(C("text")).cast("binary")).alias("md")).agg(F.count("*").alias("n"))
+
+
+_WIDE = "CASE WHEN l_partkey % 5 = 0 THEN 'no table' ELSE 'Table' || chr(10) || '| Part | Qty |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || l_partkey || ' | ' || l_linenumber || ' |' || CASE WHEN l_partkey % 3 = 0 THEN chr(10) || ' a | b | c | d ' ELSE '' END END"
+
+
+@add("table_html", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN 'no table' ELSE '<table><thead><tr><th>Part</th><th>Qty</th></tr></thead><tbody><tr><td>' || l_partkey || '</td><td>' || l_linenumber || '</td></tr>'
+  || CASE WHEN l_partkey % 3 = 0 THEN '<tr><td>a</td><td>b</td><td>c</td><td>d</td></tr>' ELSE '' END || '</tbody></table>' END AS html FROM lineitem""")
+def _(spark, sf):
+    wide = F.expr(_WIDE)
+    return V.table(spark, sf, "lineitem").select(*V.TEXT_KEY, T.pipes_to_html(wide).alias("html"))
+
+
+@add("table_clean", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'a,b|' || l_partkey || ',' ELSE 'a,b|,x|c,' END AS rows FROM lineitem""")
 def _(spark, sf):
-    rows = T.classified(T.cells(_tables(spark, sf)))
-    counts = rows.groupBy("table_id", "kind").agg(F.count("*").alias("n"))
-    parts = F.array_sort(F.collect_list(F.concat("kind", F.lit(": "), C("n").cast("string"))))
-    return counts.groupBy("table_id").agg(F.array_join(parts, ", ").alias("summary"))
+    row = lambda *cells: F.array(*[F.lit(c) if not hasattr(c, "cast") else c.cast("string") for c in cells])
+    none = F.lit(None).cast("string")
+    raw = F.when(C("l_linenumber") % 3 == 0, F.array(row("a", " b "), row(" ", none))).when(C("l_linenumber") % 3 == 1, F.array(row("a", " b "), row(none, ""), row(C("l_partkey"), none))).otherwise(F.array(row("a", "b"), row("", " x"), row("c ", none)))
+    shown = F.array_join(F.transform(T.clean_table(raw), lambda r: F.array_join(r, ",")), "|")
+    return V.table(spark, sf, "lineitem").select(*V.TEXT_KEY, shown.alias("rows"))
 
 
 _TROWS = "r0 AS (SELECT l_orderkey AS table_id, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS row FROM lineitem)"
@@ -333,10 +383,11 @@ def _(spark, sf):
     return split_documents(V.table(spark, sf, "documents"))
 
 
-@add("word_set_ops", r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')))) AS w FROM benchmark WHERE item_id < 5)
-  SELECT doc_id, len(list_intersect(d.w, b.w)) AS shared, len(d.w) - len(list_intersect(d.w, b.w)) AS own FROM d, b""")
+@add("word_set_ops", r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+  u AS (SELECT doc_id, unnest(w) AS w FROM d), s AS (SELECT doc_id, count(*) AS shared FROM u JOIN b USING (w) GROUP BY 1) SELECT d.doc_id, coalesce(shared, 0) AS shared, len(d.w) - coalesce(shared, 0) AS own FROM d LEFT JOIN s ON s.doc_id = d.doc_id""")
 def _(spark, sf):
     ws = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
-    few = V.table(spark, sf, "benchmark").where("item_id < 5").agg(F.array_distinct(F.flatten(F.collect_list(ws("text")))).alias("b"))
-    rows = V.table(spark, sf, "documents").join(F.broadcast(few))
-    return rows.select("doc_id", F.size(F.array_intersect(ws("text"), "b")).cast("long").alias("shared"), F.size(F.array_except(ws("text"), "b")).cast("long").alias("own"))
+    told = V.table(spark, sf, "benchmark").select(F.explode(ws("text")).alias("w")).distinct().withColumn("hit", F.lit(1))
+    rows = V.table(spark, sf, "documents").select("doc_id", F.explode_outer(ws("text")).alias("w")).join(told, "w", "left")
+    shared = F.count("hit")
+    return rows.groupBy("doc_id").agg(shared.alias("shared"), (F.count("w") - shared).alias("own"))

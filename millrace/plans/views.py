@@ -114,13 +114,21 @@ SIZE, STEP = 600, 450
 
 
 def chunks(spark: SparkSession, sf: str, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """Windows of ``size`` characters, each ``step`` after the last, until one reaches the end."""
+    """Windows of ``size`` characters, each ``step`` after the last, until one reaches the end; ``size`` is at most twice ``step``.
+
+    A text is cut once into pieces of ``step`` characters; a window is a piece and the beginning of the next, so the work
+    grows with the text's length, and rows carry their windows alone.
+    """
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int")
-    d = d.select("doc_id", "source", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    content = F.substring("text", F.col("chunk_index") * step + 1, F.lit(size))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
+    rows = d.select("doc_id", "source", pieces.alias("pieces"), last.alias("last"))
+    piece = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+    windows = F.transform(F.sequence(F.lit(0), "last"), lambda i: F.concat(piece(i), F.substring(piece(i + 1), 1, size - step)))
+    d = rows.select("doc_id", "source", F.posexplode(windows).alias("chunk_index", "content"))
+    content = F.col("content")
     return d.select(
-        "doc_id", "source", "chunk_index", content.alias("content"),
+        "doc_id", "source", "chunk_index", content,
         F.concat(F.format_string("file_%03d_", "chunk_index"), F.substring(F.md5(content.cast("binary")), 1, 8)).alias("chunk_id"),
         (F.floor(F.col("chunk_index") / 3) + 1).cast("int").alias("page"),
     )
@@ -147,11 +155,11 @@ def _text_case(engine: str) -> str:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_linenumber <= 2").join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.expr(_text_case("spark")).alias("text"))
 
 
 TEXTS = f"""
 v_text AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_text_case("duckdb")} AS text
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 TEXT_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

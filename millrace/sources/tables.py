@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path for a sink or a temporary collection."""
+    return f"{shared_folder(spark)}/sinks/{uuid.uuid4().hex}-{name}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that further rounds start from files and survive lost executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON files that hold one object or a list of objects each."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json_lists(rows: DataFrame, path: str, per_file: int = 20_000) -> None:
+    """Files that hold a JSON list of about ``per_file`` rows each, however many rows there are and whatever they hold."""
+    files = max(1, -(-rows.count() // per_file))
+    dealt = rows.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files)).alias("file"))
+    dealt.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("file").text(path)
+
+
 def read_tagged(spark: SparkSession, path: str, schema: str, pattern: str = "*.json*") -> DataFrame:
     """JSON lines below a folder, at any depth, with ``kind``: the name of the folder they lie in."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
@@ -19,7 +57,7 @@ def read_tagged(spark: SparkSession, path: str, schema: str, pattern: str = "*.j
 
 def read_texts(spark: SparkSession, path: str, without: str = r"(mapping|log)\.[a-z]+$") -> DataFrame:
     """Whole text files but those whose names match ``without``: name, text."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return rows.select(name.alias("name"), F.col("value").alias("text")).where(~F.rlike("name", F.lit(without)))
 
@@ -34,8 +72,13 @@ def decoded(payload: Column) -> Column:
     return F.unbase64(payload).cast("string")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def build_collection(vectors: DataFrame, path: str) -> None:
+    """A temporary vector collection (vec_id, v) as files that every task can read."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def append(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("append").partitionBy(*by).parquet(path)
 
 
 def write_documents(rows: DataFrame, path: str) -> None:

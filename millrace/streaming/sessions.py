@@ -38,6 +38,13 @@ def idle(events: DataFrame, seconds: int = 7200) -> DataFrame:
     return rows.select("user_id", "n", "last_ts", gap.alias("idle_seconds"), (gap > seconds).alias("expired"))
 
 
+def touched(events: DataFrame, seconds: int = 7200) -> DataFrame:
+    """For each access the idle seconds since the one before, and whether it found its session alive: each access renews it."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(before)
+    return events.select("user_id", "event_id", gap.alias("idle_seconds"), F.coalesce(gap <= seconds, F.lit(False)).alias("alive"))
+
+
 def sequenced(events: DataFrame) -> DataFrame:
     """Numbers the events of each user as they arrive, keeping one counter for each user: user_id, event_id, action_id."""
 

@@ -83,11 +83,17 @@ def test_lines(spark):
 
 
 def test_validation_names_each_fault(spark):
-    rows = [(1, 0, "user", " ", None, None, None), (1, 1, "assistant", None, None, "tool", "{bad"), (1, 2, "assistant", "a {{x}}", "r", None, None), (1, 3, "tool", "", None, None, None)]
-    found = chat.validate(spark.createDataFrame(rows, "sample int, place int, role string, content string, reasoning string, call string, arguments string"))
-    assert {(r["place"], r["issue"]) for r in found.collect()} == {
-        (0, "empty_user_content"), (1, "missing_reasoning"), (1, "invalid_tool_args"), (2, "placeholder_not_replaced"), (3, "empty_tool_response"),
-    }
+    one_call = '[{"name": "record_parameter", "arguments": {}}]'
+    rows = [
+        (0, "user", "", None, None), (1, "assistant", None, None, one_call), (2, "assistant", "", "r", None), (3, "assistant", "a", "Data was NOT FOUND", one_call),
+        (4, "assistant", "a", "[SMART_SKIP_PLACEHOLDER_1]", "[]"), (5, "tool", "", None, None), (6, "user", None, None, None), (7, "assistant", None, "r", '[7, {"name": "x"}, {"arguments": "y"}]'),
+        (8, "assistant", "all is well", None, None), (9, "system", "", None, None),
+    ]
+    found = chat.validate(spark.createDataFrame([(1, *r) for r in rows], "sample int, place int, role string, content string, reasoning string, tool_calls string"))
+    assert {(r["place"], r["call"], r["issue"]) for r in found.collect()} == {
+        (1, None, "missing_reasoning"), (2, None, "missing_content"), (3, None, "reasoning_action_mismatch"), (4, None, "placeholder_not_replaced"), (4, None, "empty_tool_calls"),
+        (5, None, "empty_tool_response"), (6, None, "empty_user_content"), (7, 0, "invalid_tool_call"), (7, 1, "missing_tool_args"), (7, 2, "missing_tool_name"), (7, 2, "invalid_tool_args"),
+    }
 
 
 def test_stream_equals_batch(spark, tmp_path):
