@@ -45,6 +45,11 @@ def factor(unit: Column) -> Column:
     return F.try_element_at(_map(FACTORS.items()), normalize(unit))
 
 
+def valid(unit: Column) -> Column:
+    """Whether the unit belongs to a group."""
+    return group(unit).isNotNull()
+
+
 def compatible(a: Column, b: Column) -> Column:
     """Of one group; where a group is unknown, the same unit."""
     return F.when(group(a).isNull() | group(b).isNull(), normalize(a) == normalize(b)).otherwise(group(a) == group(b))

@@ -13,6 +13,8 @@ from millrace.sources.tables import checkpointed
 RECORDS = ("scope", "flow", "parameter", "calculation", "pivot", "smart_skip")
 INTENTS = ("select_best", "refine_same", "pivot_query", "calculate", "smart_skip")
 LLM_VIEW = ("scope", "flow", "parameter")
+#: Names under which the functional unit is recorded.
+UNIT_SCOPES = ("Function Unit", "Functional Unit")
 
 
 def by_seq():
@@ -51,13 +53,13 @@ def intent_counts(actions: DataFrame) -> DataFrame:
 
 
 def quality(actions: DataFrame) -> DataFrame:
-    """Mean evidence of flows that name a process: 1 with a source chunk, 0.5 without; and what is complete."""
+    """Mean evidence, to three digits, of flows that name a process: 1 with a source chunk, 0.5 without; and what is complete."""
     flow = F.col("record_type") == "flow"
     scored = F.when(flow & F.col("process_name").isNotNull(), F.when(F.col("chunk_id").isNotNull(), 1.0).otherwise(0.5))
     has = lambda c: F.coalesce(F.bool_or(flow & c), F.lit(False))
     return actions.groupBy("session_id").agg(
-        F.round(F.avg(scored), 6).alias("quality"),
-        F.bool_or(F.col("record_type") == "scope").alias("has_scope"),
+        F.round(F.avg(scored), 3).alias("quality"),
+        F.coalesce(F.bool_or((F.col("record_type") == "scope") & F.col("name").isin(*UNIT_SCOPES)), F.lit(False)).alias("has_unit"),
         has(F.col("category") == "Product").alias("has_product"),
         has(F.col("process_name").isNotNull()).alias("has_process"),
         F.bool_or(F.col("record_type") == "parameter").alias("has_parameter"),

@@ -214,10 +214,21 @@ def validation_report(files: DataFrame, issues: DataFrame, key: str) -> DataFram
     return rows.agg(n.alias("files"), wrong.alias("files_with_issues"), F.round(100 * (1 - wrong / F.greatest(n, F.lit(1))), 1).alias("pass_rate"))
 
 
-def split_sample(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
-    """Adds ``part``: eval for the first ``n`` rows of each ``by`` in ``order``, else train."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("part", F.when(F.row_number().over(w) <= n, "eval").otherwise("train"))
+#: How many samples of each kind are for evaluation.
+EVAL_SAMPLES = {"FULL": 3, "SHORT_E": 4, "SHORT_QA": 5}
+
+
+def split_sample(rows: DataFrame, by: str, order: Column, sizes: dict[str, int] = EVAL_SAMPLES) -> DataFrame:
+    """Adds ``part``: eval for the first rows of each kind in ``order``, as many as ``sizes`` says, else train."""
+    n = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col(by))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("part", F.when(place <= F.coalesce(n, F.lit(0)), "eval").otherwise("train"))
+
+
+def arguments(told: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """Arguments of a tool call (JSON) by their own names: of an argument's aliases the first that is given; nulls go."""
+    given = [F.struct(F.lit(name).alias("key"), F.coalesce(*[F.get_json_object(told, f"$.{a}") for a in others]).alias("value")) for name, others in aliases.items()]
+    return F.map_from_entries(F.filter(F.array(*given), lambda e: e["value"].isNotNull()))
 
 
 def changes(messages: DataFrame) -> DataFrame:

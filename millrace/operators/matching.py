@@ -23,24 +23,55 @@ def search_names(catalog: DataFrame, term: str, n: int = 20) -> DataFrame:
     return catalog.where(F.contains(F.lower("name"), F.lit(term.lower()))).orderBy("name", "uuid").limit(n)
 
 
-def category_filter(category: Column, flow_type: Column, categories: Column) -> Column:
+def is_waste(categories: Column) -> Column:
+    """Whether any of a catalog flow's categories names waste."""
+    return F.exists(categories, lambda c: F.rlike(c, F.lit("(?i)brushed|waste")))
+
+
+def category_filter(category: Column, flow_type: Column, waste: Column) -> Column:
     """Which catalog flows a recorded category may match: energy, gas, waste and emission have rules, others none."""
-    waste = F.exists(categories, lambda c: F.rlike(c, F.lit("(?i)brushed|waste")))
     return (
         F.when(category.endswith("Energy"), flow_type == "PRODUCT_FLOW").when(category == "Gas", flow_type.isin("PRODUCT_FLOW", "ELEMENTARY_FLOW"))
         .when(category == "Waste", (flow_type == "WASTE_FLOW") | waste).when(category == "Emission", flow_type == "ELEMENTARY_FLOW").otherwise(F.lit(True))
     )
 
 
-def candidates(flows: DataFrame, catalog: DataFrame, least: int = 10) -> DataFrame:
-    """(query, uuid, filtered): flows that share a keyword with the query; where fewer than ``least`` pass the category's
-    filter, all of them. Words meet by an equi-join on the word, not by comparing every pair of names."""
+def candidates(flows: DataFrame, catalog: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
+    """(query_id, uuid, fits, rank): at most ``most`` catalog flows that share a keyword with each query.
+
+    Those that fit the category come alone where there are ``least``, else all. They are ranked by how many keywords they
+    share, then by their names' lengths and uuids. Words meet by an equi-join with distinct names; of equal names with
+    equal kinds only the first ``most`` can be candidates, so a frequent word brings no more than these for each name.
+    """
     q = flows.select("query_id", "category", F.explode(F.array_distinct(keywords(F.col("name")))).alias("word"))
-    c = catalog.select("uuid", "flow_type", "categories", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("__w"))
-    hits = q.join(c, F.col("word") == F.col("__w")).select("query_id", "category", "uuid", "flow_type", "categories").dropDuplicates(["query_id", "uuid"])
-    hits = hits.withColumn("fits", category_filter(F.col("category"), F.col("flow_type"), F.col("categories")))
-    counts = hits.groupBy("query_id").agg(F.count_if("fits").alias("fitting"))
-    return hits.join(counts, "query_id").where(F.col("fits") | (F.col("fitting") < least)).select("query_id", "uuid", "fits")
+    kinds = Window.partitionBy("__name", "flow_type", "__waste").orderBy("uuid")
+    c = catalog.select("uuid", "flow_type", is_waste(F.col("categories")).alias("__waste"), F.lower("name").alias("__name"))
+    c = c.withColumn("__k", F.row_number().over(kinds)).where(F.col("__k") <= most).drop("__k")
+    names = c.select("__name").distinct().select(F.col("__name").alias("__n"), F.explode(F.array_distinct(F.split("__name", " "))).alias("__w"))
+    shared = q.join(names, F.col("word") == F.col("__w")).groupBy("query_id", "category", "__n").agg(F.count("*").alias("__shared"))
+    hits = shared.join(c, F.col("__n") == F.col("__name")).withColumn("fits", category_filter(F.col("category"), F.col("flow_type"), F.col("__waste")))
+    order = F.desc("__shared"), F.length("__name"), "uuid"
+    hits = hits.withColumn("__fit", F.row_number().over(Window.partitionBy("query_id", "fits").orderBy(*order))).withColumn("__all", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    hits = hits.where((F.col("fits") & (F.col("__fit") <= most)) | (F.col("__all") <= most))
+    enough = F.max(F.when(F.col("fits"), F.col("__fit"))).over(Window.partitionBy("query_id")) >= least
+    hits = hits.withColumn("rank", F.when(F.coalesce(enough, F.lit(False)), F.when(F.col("fits"), F.col("__fit"))).otherwise(F.col("__all")))
+    return hits.where(F.col("rank") <= most).select("query_id", "uuid", "fits", "rank")
+
+
+def match_flows(flows: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, uuid, rank, similarity, unit, compatible): the stages of matching, one after the other.
+
+    ``flows`` (query_id, name, category, unit, q) with an equal name in ``catalog`` (uuid, name, flow_type, categories,
+    unit, v) match that alone, with similarity 1. Others rank their :func:`candidates` by cosine; of the best ``k`` those
+    in a compatible unit stay, or all where none is.
+    """
+    found = exact(flows, catalog)
+    one = found.where("uuid IS NOT NULL").select("query_id", "uuid", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity"), F.col("unit").alias("__qu"))
+    rest = found.where("uuid IS NULL").drop("uuid")
+    pairs = candidates(rest, catalog).select("query_id", "uuid").join(rest.select("query_id", "q", F.col("unit").alias("__qu")), "query_id").join(catalog.select("uuid", "v"), "uuid")
+    ranked = top_k(pairs.withColumn("similarity", F.round(cosine(F.col("q"), F.col("v"), 1e-8), 9)), ["query_id"], "similarity", ["uuid"], k)
+    both = one.unionByName(ranked.select(*one.columns)).join(catalog.select("uuid", "unit"), "uuid")
+    return keep_compatible(both, "__qu", "unit").select("query_id", "uuid", "rank", F.round("similarity", 6).alias("similarity"), "unit", "compatible")
 
 
 def norm(v: Column) -> Column:
@@ -120,22 +151,22 @@ def keep_compatible(matches: DataFrame, query_unit: str, unit: str) -> DataFrame
     return rows.withColumn("__some", some).where(F.col("compatible") | ~F.col("__some")).drop("__some")
 
 
-def first_mapping(mapping: DataFrame) -> DataFrame:
+def first_mapping(mapping: DataFrame, keys: list[str]) -> DataFrame:
     """The first mapping of each action."""
-    return mapping.groupBy("action_key").agg(F.min_by("uuid", "place").alias("mapped"))
+    return mapping.groupBy(*keys).agg(F.min_by("uuid", "place").alias("mapped"))
 
 
-def exchanges(rows: DataFrame, mapping: DataFrame, catalog: DataFrame) -> DataFrame:
+def exchanges(rows: DataFrame, mapping: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Recorded flows with a mapped or stored match, in the matched flow's unit where it can be converted."""
-    rows = rows.join(first_mapping(mapping), "action_key", "left").withColumn("uuid", F.coalesce("mapped", "stored")).where("uuid IS NOT NULL")
+    rows = rows.join(first_mapping(mapping, keys), keys, "left").withColumn("uuid", F.coalesce("mapped", "stored")).where("uuid IS NOT NULL")
     found = rows.join(catalog.select("uuid", F.col("unit").alias("flow_unit"), F.col("name").alias("flow_name")), "uuid", "left")
     new = units.convert(F.col("value"), F.col("unit"), F.col("flow_unit"))
-    return found.withColumn("amount", F.coalesce(new, F.col("value"))).withColumn("amount_unit", F.when(new.isNotNull(), F.col("flow_unit")).otherwise(F.col("unit")))
+    return found.withColumn("__new", new).withColumn("amount", F.coalesce("__new", "value")).withColumn("amount_unit", F.when(F.col("__new").isNotNull(), F.col("flow_unit")).otherwise(F.col("unit")))
 
 
-def coverage(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+def coverage(rows: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
     """Mapped rows of all, by session, and whether any is."""
-    rows = rows.join(first_mapping(mapping), "action_key", "left")
+    rows = rows.join(first_mapping(mapping, keys), keys, "left")
     n = F.count_if(F.coalesce("mapped", "stored").isNotNull())
     return rows.groupBy("session_id").agg(n.alias("mapped"), F.count("*").alias("total"), (n > 0).alias("ready"))
 

@@ -89,28 +89,28 @@ TEXT_HITS, OTHER_HITS, ALL_HITS = 5, 3, 10
 
 
 def relevance(text: Column, query: str) -> Column:
-    """How well a name answers a query: the share of its words that are words of the query."""
-    ws = words(text)
-    asked = F.array(*[F.lit(q) for q in query.lower().split()])
-    return F.size(F.filter(ws, lambda w: F.array_contains(asked, w))) / F.greatest(F.size(ws), F.lit(1))
+    """How well a name answers a query: how many of the query's words it has."""
+    asked = F.array(*[F.lit(q) for q in dict.fromkeys(query.lower().split())])
+    return F.size(F.array_intersect(asked, words(text)))
 
 
 def catalog_keyword_hits(catalog: DataFrame, term: str) -> DataFrame:
     """Text, category and product hits of a term, in this order, each branch limited; the first of each uuid; ten of all.
 
-    Text hits have a word of the query in their name and come by relevance, then by uuid; the others hold the query.
+    Text hits have a word of the query in their name and come by relevance; the others hold the query. Equally good hits
+    come by their names' lengths, then by uuid.
     """
-    t, score = F.lit(term.lower()), F.round(relevance(F.col("name"), term), 6)
+    t, score = F.lit(term.lower()), relevance(F.col("name"), term)
     branches = (
-        ("text", score > 0, score, TEXT_HITS), ("category", F.exists("categories", lambda c: F.contains(F.lower(c), t)), F.lit(0.0), OTHER_HITS),
-        ("product", F.contains(F.lower("reference_product"), t), F.lit(0.0), OTHER_HITS),
+        ("text", score > 0, score, TEXT_HITS), ("category", F.exists("categories", lambda c: F.contains(F.lower(c), t)), F.lit(0), OTHER_HITS),
+        ("product", F.contains(F.lower("reference_product"), t), F.lit(0), OTHER_HITS),
     )
-    rows = None
+    rows, order = None, (F.desc("score"), "len", "uuid")
     for no, (name, hit, by, n) in enumerate(branches):
-        some = catalog.where(hit).select("uuid", F.lit(no).alias("branch"), F.lit(name).alias("found_in"), by.alias("score")).orderBy(F.desc("score"), "uuid").limit(n)
+        some = catalog.where(hit).select("uuid", F.lit(no).alias("branch"), F.lit(name).alias("found_in"), by.alias("score"), F.length("name").alias("len")).orderBy(*order).limit(n)
         rows = some if rows is None else rows.unionByName(some)
-    first = rows.groupBy("uuid").agg(F.min(F.struct("branch", "found_in", "score")).alias("h")).select("uuid", "h.*")
-    return first.orderBy("branch", F.desc("score"), "uuid").limit(ALL_HITS).select("uuid", "found_in", "score")
+    first = rows.groupBy("uuid").agg(F.min(F.struct("branch", "found_in", "score", "len")).alias("h")).select("uuid", "h.*")
+    return first.orderBy("branch", *order).limit(ALL_HITS).select("uuid", "found_in", "score")
 
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:

@@ -23,7 +23,7 @@ _l = ", ".join(f"count(*) FILTER (record_type = '{r}' AND link_to IS NOT NULL) A
 _add("session_record_type_counts", L.record_counts, f"SELECT session_id, count(*) AS n_actions, {_n}, count(link_to) AS linked_all, {_l} FROM v_actions GROUP BY session_id")
 _add("session_intent_counts", L.intent_counts, "SELECT session_id, intent, count(*) AS n FROM v_actions GROUP BY ALL")
 _q = "CASE WHEN record_type = 'flow' AND process_name IS NOT NULL THEN CASE WHEN chunk_id IS NOT NULL THEN 1.0 ELSE 0.5 END END"
-_add("session_quality_score", L.quality, f"""SELECT session_id, round(CAST(avg({_q}) AS DOUBLE), 6) AS quality, bool_or(record_type = 'scope') AS has_scope,
+_add("session_quality_score", L.quality, f"""SELECT session_id, round(CAST(avg({_q}) AS DOUBLE), 3) AS quality, bool_or(record_type = 'scope' AND name IN ('Function Unit', 'Functional Unit')) AS has_unit,
   bool_or(record_type = 'flow' AND category = 'Product') AS has_product, bool_or(record_type = 'flow' AND process_name IS NOT NULL) AS has_process,
   bool_or(record_type = 'parameter') AS has_parameter FROM v_actions GROUP BY session_id""")
 _add("scope_last_write", L.scope_last_write, "SELECT session_id, name, arg_max(value, seq) AS value, arg_max(action_id, seq) AS action_id, count(*) AS writes FROM v_actions WHERE record_type = 'scope' GROUP BY session_id, name")

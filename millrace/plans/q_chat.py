@@ -182,10 +182,10 @@ def _(spark, sf):
 
 
 # --- export, validation, split --------------------------------------------------------------------------------------
-@add("token_stats", "WITH t AS (SELECT source, CASE WHEN length(text) > 0 THEN greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) ELSE 0 END AS n FROM documents) SELECT source, count(*) AS files, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean, count(*) FILTER (n > 512) AS over_512, count(*) FILTER (n > 2048) AS over_2048 FROM t GROUP BY source")
+@add("token_stats", "WITH t AS (SELECT source, CASE WHEN length(text) > 0 THEN greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) ELSE 0 END AS n FROM documents) SELECT source, count(*) AS files, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean, count(*) FILTER (n > 8192) AS over_8192, count(*) FILTER (n > 16384) AS over_16384, count(*) FILTER (n > 32768) AS over_32768 FROM t GROUP BY source")
 def _(spark, sf):
     rows, n = V.table(spark, sf, "documents").select("source", H.tokens(C("text")).alias("n")), C("n")
-    return rows.groupBy("source").agg(F.count("*").alias("files"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n > 512).alias("over_512"), F.count_if(n > 2048).alias("over_2048"))
+    return rows.groupBy("source").agg(F.count("*").alias("files"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n).alias("total"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n > 8192).alias("over_8192"), F.count_if(n > 16384).alias("over_16384"), F.count_if(n > 32768).alias("over_32768"))
 
 
 @add("token_top20", "SELECT doc_id, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 20")
@@ -193,10 +193,12 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", H.tokens(C("text")).alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
 
 
-@add("train_eval_split", "WITH c AS (SELECT conv_id, CASE WHEN count(*) >= 5 THEN 'full' ELSE 'short' END AS kind FROM conversations GROUP BY 1), x AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || conv_id)) AS r FROM c) SELECT conv_id, kind, CASE WHEN r <= 9 THEN 'eval' ELSE 'train' END AS part FROM x")
+@add("train_eval_split", """WITH c AS (SELECT conv_id, CASE WHEN count(*) >= 5 THEN 'FULL' WHEN conv_id % 2 = 0 THEN 'SHORT_E' ELSE 'SHORT_QA' END AS kind FROM conversations GROUP BY 1), x AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || conv_id)) AS r FROM c)
+  SELECT conv_id, kind, CASE WHEN r <= CASE kind WHEN 'FULL' THEN 3 WHEN 'SHORT_E' THEN 4 ELSE 5 END THEN 'eval' ELSE 'train' END AS part FROM x""")
 def _(spark, sf):
-    c = _msgs(spark, sf).groupBy("conv_id").agg(F.when(F.count("*") >= 5, "full").otherwise("short").alias("kind"))
-    return H.split_sample(c, "kind", F.md5(F.concat(F.lit("42:"), C("conv_id").cast("string")).cast("binary")), 9)
+    kind = F.when(F.count("*") >= 5, "FULL").when(C("conv_id") % 2 == 0, "SHORT_E").otherwise("SHORT_QA")
+    c = _msgs(spark, sf).groupBy("conv_id").agg(kind.alias("kind"))
+    return H.split_sample(c, "kind", F.md5(F.concat(F.lit("42:"), C("conv_id").cast("string")).cast("binary")))
 
 
 @add("sample_files", "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id) LIMIT 10")
@@ -410,11 +412,12 @@ def _(spark, sf):
     return V.table(spark, sf, "part").groupBy((C("p_size") % 5).alias("kind"), calculate(e)["success"].alias("success")).agg(F.count("*").alias("n"))
 
 
-@add("argument_aliases", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN 0.0 END, CASE WHEN p_size % 3 = 0 THEN p_retailprice END, 1.0) AS value FROM part")
+@add("argument_aliases", """SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN 0.5 END, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) END) AS value, CASE WHEN p_size % 5 = 0 THEN 'kg' END AS unit,
+  (p_size % 2 = 0 OR p_size % 3 = 0)::INTEGER + (p_size % 5 = 0)::INTEGER AS given FROM part""")
 def _(spark, sf):
-    j = F.to_json(F.struct(F.when(C("p_size") % 2 == 0, 0.0).alias("value"), F.when(C("p_size") % 3 == 0, C("p_retailprice")).alias("amount")))
-    get = F.from_json(j, "value double, quantity double, amount double, val double")
-    return V.table(spark, sf, "part").select("p_partkey", get.alias("a")).select("p_partkey", F.coalesce("a.value", "a.quantity", "a.amount", "a.val", F.lit(1.0)).alias("value"))
+    told = F.to_json(F.struct(F.when(C("p_size") % 2 == 0, 0.5).alias("value"), F.when(C("p_size") % 3 == 0, C("p_size").cast("double")).alias("amount"), F.when(C("p_size") % 5 == 0, "kg").alias("unit"), F.lit(None).cast("string").alias("note")))
+    rows = V.table(spark, sf, "part").select("p_partkey", H.arguments(told, {"value": ("value", "quantity", "amount", "val"), "unit": ("unit",), "note": ("note",)}).alias("a"))
+    return rows.select("p_partkey", C("a")["value"].try_cast("double").alias("value"), C("a")["unit"].alias("unit"), F.size("a").alias("given"))
 
 
 _CODE = """concat(CASE conv_id % 9 WHEN 0 THEN 'import numpy as np' WHEN 1 THEN 'from json import loads' WHEN 2 THEN 'import Os' WHEN 3 THEN '  import sys' WHEN 4 THEN 'x = EVAL(1)' WHEN 5 THEN 'from pandas.core import frame'

@@ -37,10 +37,10 @@ def _(spark, sf):
     return V.lci(spark, sf).groupBy("unit").agg(F.count("*").alias("n")).select("unit", units.normalize(C("unit")).alias("normal"), "n")
 
 
-@add("unit_group", f"{UG} SELECT unit, g AS unit_group, count(*) AS n FROM (SELECT unit FROM v_lci UNION ALL SELECT unit || ' ' FROM v_catalog UNION ALL SELECT 'furlong') LEFT JOIN unit_groups ON u = {NORM.format('unit')} GROUP BY ALL")
+@add("unit_group", f"{UG} SELECT unit, g AS unit_group, g IS NOT NULL AS valid, count(*) AS n FROM (SELECT unit FROM v_lci UNION ALL SELECT unit || ' ' FROM v_catalog UNION ALL SELECT 'furlong') LEFT JOIN unit_groups ON u = {NORM.format('unit')} GROUP BY ALL")
 def _(spark, sf):
     rows = V.lci(spark, sf).select("unit").unionByName(V.catalog(spark, sf).select(F.concat("unit", F.lit(" ")).alias("unit"))).unionByName(spark.sql("SELECT 'furlong' AS unit"))
-    return rows.groupBy("unit").agg(F.count("*").alias("n")).select("unit", units.group(C("unit")).alias("unit_group"), "n")
+    return rows.groupBy("unit").agg(F.count("*").alias("n")).select("unit", units.group(C("unit")).alias("unit_group"), units.valid(C("unit")).alias("valid"), "n")
 
 
 _UP = f"""{UG}, p AS (SELECT l.*, c.unit AS to_unit, c.uuid FROM v_lci l JOIN v_catalog c ON l_partkey = p_partkey),
@@ -133,17 +133,20 @@ def _(spark, sf):
     return V.lci(spark, sf).groupBy("session_id").agg(of(inp).alias("inputs"), of(~inp).alias("outputs"))
 
 
+_KEY = ["session_id", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
 def _recorded(spark, sf):
-    key = F.concat_ws("-", "session_id", "l_partkey", "l_suppkey", "l_linenumber")
-    one = Window.partitionBy("session_id", "l_partkey", "l_suppkey", "l_linenumber").orderBy("value")
-    rows = V.lci(spark, sf).withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn")
-    return rows.withColumn("action_key", key).withColumn("stored", F.when(C("l_partkey") % 3 == 0, C("l_partkey").cast("string")))
+    """Recorded flows, one for each key: of repeated ones the least value."""
+    rows = V.lci(spark, sf).groupBy(*_KEY, "name", "category", "flow_type", "unit").agg(F.min("value").alias("value"))
+    return rows.withColumn("stored", F.when(C("l_partkey") % 3 == 0, C("l_partkey").cast("string")))
 
 
 def _mapping(spark, sf):
-    rows = _recorded(spark, sf).where("l_suppkey % 2 = 0")
-    first = rows.select("action_key", C("l_suppkey").cast("string").alias("uuid"), F.lit(1).alias("place"))
-    return first.unionByName(rows.select("action_key", F.lit("1").alias("uuid"), F.lit(2).alias("place")))
+    """Two mappings of every other supplier's flows."""
+    keys = V.table(spark, sf, "lineitem").where("l_suppkey % 2 = 0").select(C("l_orderkey").alias("session_id"), *_KEY[1:])
+    each = F.inline(F.array(F.struct(C("l_suppkey").cast("string").alias("uuid"), F.lit(1).alias("place")), F.struct(F.lit("1").alias("uuid"), F.lit(2).alias("place"))))
+    return keys.select(*_KEY, each)
 
 
 _REC = f"""WITH {V.LCI}, {V.CATALOG}, {units.SQL}, rec AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) WHEN l_partkey % 3 = 0 THEN CAST(l_partkey AS VARCHAR) END AS uuid
@@ -152,7 +155,7 @@ _REC = f"""WITH {V.LCI}, {V.CATALOG}, {units.SQL}, rec AS (SELECT *, CASE WHEN l
 
 @add("mapping_coverage", f"{_REC} SELECT session_id, count(uuid) AS mapped, count(*) AS total, count(uuid) > 0 AS ready FROM rec GROUP BY session_id")
 def _(spark, sf):
-    return M.coverage(_recorded(spark, sf), _mapping(spark, sf))
+    return M.coverage(_recorded(spark, sf), _mapping(spark, sf), _KEY)
 
 
 _EX = f"""{_REC}, ex AS (SELECT r.*, c.unit AS flow_unit, c.name AS flow_name FROM rec r LEFT JOIN v_catalog c USING (uuid) WHERE uuid IS NOT NULL),
@@ -163,7 +166,7 @@ ex3 AS (SELECT *, coalesce(conv, value) AS amount, CASE WHEN conv IS NOT NULL TH
 
 
 def _exchanges(spark, sf):
-    return M.exchanges(_recorded(spark, sf), _mapping(spark, sf), V.catalog(spark, sf))
+    return M.exchanges(_recorded(spark, sf), _mapping(spark, sf), V.catalog(spark, sf), _KEY)
 
 
 @add("exchange_preparation", f"{_EX} SELECT uuid, unit, flow_unit, amount_unit, count(*) AS n, count(flow_name) AS named FROM ex3 GROUP BY ALL")
@@ -228,20 +231,38 @@ def _flow_queries(spark, sf):
     return p.select(C("p_partkey").alias("query_id"), C("p_name").alias("name"), V.pick(V.CATEGORIES, C("p_partkey") / 50 % 10).alias("category"))
 
 
-_FQ = f"""WITH {V.CATALOG}, q AS (SELECT p_partkey AS query_id, p_name AS name, {V._CATEGORY.format('p_partkey // 50 % 10')} AS category FROM part WHERE p_partkey % 50 = 0),
+_FQ = f"""q AS (SELECT p_partkey AS query_id, p_name AS name, {V._CATEGORY.format('p_partkey // 50 % 10')} AS category FROM part WHERE p_partkey % 50 = 0),
 qw AS (SELECT DISTINCT query_id, category, w FROM (SELECT query_id, category, unnest(string_split(lower(name), ' ')[1:3]) AS w FROM q) WHERE length(w) > 2),
-cw AS (SELECT DISTINCT uuid, unnest(string_split(lower(name), ' ')) AS w FROM v_catalog),
-h AS (SELECT DISTINCT query_id, category, uuid FROM qw JOIN cw USING (w)),
-f AS (SELECT h.query_id, h.uuid, CASE WHEN h.category LIKE '%Energy' THEN flow_type = 'PRODUCT_FLOW' WHEN h.category = 'Gas' THEN flow_type IN ('PRODUCT_FLOW', 'ELEMENTARY_FLOW')
+cw AS (SELECT DISTINCT uuid, length(name) AS len, unnest(string_split(lower(name), ' ')) AS w FROM v_catalog),
+h AS (SELECT query_id, category, uuid, len, count(*) AS shared FROM qw JOIN cw USING (w) GROUP BY ALL),
+f AS (SELECT h.*, CASE WHEN h.category LIKE '%Energy' THEN flow_type = 'PRODUCT_FLOW' WHEN h.category = 'Gas' THEN flow_type IN ('PRODUCT_FLOW', 'ELEMENTARY_FLOW')
   WHEN h.category = 'Waste' THEN flow_type = 'WASTE_FLOW' OR len(list_filter(categories, lambda c: regexp_matches(c, '(?i)brushed|waste'))) > 0 WHEN h.category = 'Emission' THEN flow_type = 'ELEMENTARY_FLOW' ELSE true END AS fits
-  FROM h JOIN v_catalog USING (uuid))"""
+  FROM h JOIN v_catalog USING (uuid)), g AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY query_id) >= 10 AS enough FROM f),
+cand AS (SELECT query_id, uuid, fits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, len, uuid) AS INTEGER) AS rank FROM g WHERE fits OR NOT enough QUALIFY rank <= 100)"""
 
 
-@add("flow_keyword_candidates", f"{_FQ} SELECT query_id, uuid, fits FROM (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY query_id) AS n FROM f) WHERE fits OR n < 10")
+@add("flow_keyword_candidates", f"WITH {V.CATALOG}, {_FQ} SELECT query_id, uuid, fits, rank FROM cand")
 def _(spark, sf):
     return M.candidates(_flow_queries(spark, sf), V.catalog(spark, sf))
 
 
+@add("flow_matching", f"""WITH {V.CATALOG}, {units.SQL}, {_FQ.replace("p_name AS name", "CASE WHEN p_partkey % 100 = 0 THEN p_name || ' x' ELSE p_name END AS name")}, v AS (SELECT CAST(vec_id AS VARCHAR) AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT lower(name) AS k, min(uuid) AS uuid FROM v_catalog SEMI JOIN v USING (uuid) GROUP BY 1), qv AS (SELECT q.*, v.v, list_extract(['kg','kWh','L'], CAST(query_id % 3 AS INTEGER) + 1) AS qu FROM q JOIN v ON v.uuid = CAST(query_id AS VARCHAR)),
+one AS (SELECT query_id, n.uuid, 1 AS rank, 1.0::DOUBLE AS sim, qu FROM qv JOIN n ON n.k = lower(name)), vh AS (SELECT h.* FROM h JOIN v USING (uuid)),
+vf AS (SELECT f.*, count(*) FILTER (fits) OVER (PARTITION BY query_id) >= 10 AS enough FROM f SEMI JOIN v USING (uuid)),
+vc AS (SELECT query_id, uuid, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, len, uuid) AS r FROM vf WHERE fits OR NOT enough QUALIFY r <= 100),
+p AS (SELECT qv.query_id, vc.uuid, qu, round(list_inner_product(qv.v, v.v) / (sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(v.v, v.v)) + 1e-8), 9) AS sim FROM qv JOIN vc USING (query_id) JOIN v ON v.uuid = vc.uuid WHERE query_id NOT IN (SELECT query_id FROM one)),
+r AS (SELECT query_id, uuid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uuid) AS INTEGER) AS rank, sim, qu FROM p QUALIFY rank <= 5), m AS (SELECT x.*, c.unit FROM (SELECT * FROM one UNION ALL SELECT * FROM r) x JOIN v_catalog c USING (uuid)),
+k AS (SELECT m.*, CASE WHEN a.g IS NULL OR b.g IS NULL THEN {NORM.format('unit')} = {NORM.format('qu')} ELSE a.g = b.g END AS compatible FROM m LEFT JOIN unit_groups a ON a.u = {NORM.format('qu')} LEFT JOIN unit_groups b ON b.u = {NORM.format('unit')})
+SELECT query_id, uuid, rank, round(sim, 6) AS similarity, unit, compatible FROM k QUALIFY compatible OR NOT bool_or(compatible) OVER (PARTITION BY query_id)""")
+def _(spark, sf):
+    vectors = V.table(spark, sf, "embeddings").select(C("vec_id").cast("string").alias("uuid"), C("embedding").cast("array<double>").alias("v"))
+    catalog = V.catalog(spark, sf).join(vectors, "uuid")
+    asked = _flow_queries(spark, sf).withColumn("name", F.when(C("query_id") % 100 == 0, F.concat("name", F.lit(" x"))).otherwise(C("name"))).withColumn("unit", V.pick(("kg", "kWh", "L"), C("query_id") % 3))
+    asked = asked.join(vectors.select(C("uuid").alias("__u"), C("v").alias("q")), C("query_id").cast("string") == C("__u")).drop("__u")
+    return M.match_flows(asked, catalog)
+
+
 def _vectors(spark, sf):
     """The query set, every vector whose id is divisible by 100, and all vectors."""
     e = V.table(spark, sf, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("v"), "label")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon
-from millrace.operators import layout
+from millrace.operators import layout, tools
 from millrace.operators.matching import similarities, top_k
 from millrace.plans import views as V
 from millrace.plans.q_matching import _VEC, _vectors
@@ -148,6 +148,11 @@ def _(spark, sf):
     return T.idle(V.table(spark, sf, "events"))
 
 
+@add("chat_expiry", "WITH l AS (SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1), e AS (SELECT max(ts) AS now FROM events) SELECT user_id, n, last_ts, CAST(floor(epoch(now)) - floor(epoch(last_ts)) AS BIGINT) AS idle_seconds, floor(epoch(now)) - floor(epoch(last_ts)) >= 3600 AS expired FROM l, e")
+def _(spark, sf):
+    return T.idle(V.table(spark, sf, "events"), T.CHAT_TIMEOUT, inclusive=True)
+
+
 @add("session_touch", """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
   SELECT user_id, event_id, CAST(floor(epoch(ts)) - floor(epoch(b)) AS BIGINT) AS idle_seconds, coalesce(floor(epoch(ts)) - floor(epoch(b)) <= 7200, false) AS alive FROM l""")
 def _(spark, sf):
@@ -254,11 +259,11 @@ def _(spark, sf):
     return spark.read.schema("event_id long, version string, session_id long").parquet(path).groupBy("session_id", "version").agg(F.count("*").alias("n"))
 
 
-@add("tool_schema", "SELECT * FROM (VALUES ('calculate', 'expression,variables'), ('record_flow', 'category,name,value,unit'), ('search_document', 'query,max_results')) t(tool, arguments)")
+@add("tool_schema", """SELECT * FROM (VALUES ('process_document', 'file_content,filename'), ('search_document', ''), ('record_document_preview', ''), ('build_lca_system', 'system_description,functional_unit'), ('search_lci_database', 'query'),
+  ('define_lca_scope', 'parameter_name,description'), ('record_process_flow', 'flow_type,category,name,value,unit'), ('record_parameter', 'parameter_name,parameter_value,selected_chunk'), ('record_calculation', 'calculation_expression,calculation_result,data_dependencies,expert_decision'),
+  ('execute_calculation', 'expression'), ('get_session_summary', '')) t(tool, arguments)""")
 def _(spark, sf):
-    rows = [("calculate", "session_id", "expression", "variables"), ("record_flow", "session_id", "category", "name", "value", "unit"), ("search_document", "session_id", "query", "max_results")]
-    tools = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), F.array(*[F.lit(x) for x in a]).alias("a")) for t, *a in rows])).alias("t")
-    return spark.range(1).select(tools).select("t.tool", F.array_join(F.array_remove("t.a", "session_id"), ",").alias("arguments"))
+    return tools.offered(spark)
 
 
 @add("flow_type_display", f"WITH {V.LCI} SELECT category, CASE WHEN category = 'Emission' THEN 'Output' ELSE flow_type END AS stored, count(*) AS n FROM v_lci GROUP BY ALL")

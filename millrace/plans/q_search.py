@@ -89,11 +89,11 @@ def _(spark, sf):
 
 
 _PHRASE = "small"
-_KW = """kw AS (SELECT *, list_transform(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+'), lambda x: x) AS ws FROM v_catalog), rel AS (SELECT *, round(len(list_filter(ws, lambda w: w = 'small')) / greatest(len(ws), 1), 6) AS score FROM kw),
-  b AS ((SELECT uuid, 0 AS branch, 'text' AS found_in, score FROM rel WHERE score > 0 ORDER BY score DESC, uuid LIMIT 5) UNION ALL
-  (SELECT uuid, 1, 'category', 0.0 FROM v_catalog WHERE len(list_filter(categories, lambda c: contains(lower(c), 'small'))) > 0 ORDER BY uuid LIMIT 3) UNION ALL
-  (SELECT uuid, 2, 'product', 0.0 FROM v_catalog WHERE contains(lower(reference_product), 'small') ORDER BY uuid LIMIT 3)),
-  f AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY branch) AS r FROM b), hits AS (SELECT uuid, found_in, CAST(score AS DOUBLE) AS score FROM f WHERE r = 1 ORDER BY branch, score DESC, uuid LIMIT 10)"""
+_KW = """rel AS (SELECT uuid, length(name) AS len, CASE WHEN list_contains(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]+'), 'small') THEN 1 ELSE 0 END AS score FROM v_catalog),
+  b AS ((SELECT uuid, 0 AS branch, 'text' AS found_in, score, len FROM rel WHERE score > 0 ORDER BY score DESC, len, uuid LIMIT 5) UNION ALL
+  (SELECT uuid, 1, 'category', 0, length(name) FROM v_catalog WHERE len(list_filter(categories, lambda c: contains(lower(c), 'small'))) > 0 ORDER BY length(name), uuid LIMIT 3) UNION ALL
+  (SELECT uuid, 2, 'product', 0, length(name) FROM v_catalog WHERE contains(lower(reference_product), 'small') ORDER BY length(name), uuid LIMIT 3)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY branch) AS r FROM b), hits AS (SELECT uuid, found_in, CAST(score AS INTEGER) AS score FROM f WHERE r = 1 ORDER BY branch, score DESC, len, uuid LIMIT 10)"""
 
 
 @add("catalog_keyword_search", f"WITH {V.CATALOG}, {_KW} SELECT * FROM hits")
@@ -173,10 +173,10 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", p["content"].alias("content"), F.round(p["confidence"], 6).alias("confidence"))
 
 
-@add("search_endpoint", f"WITH {V.CATALOG}, {_KW}, {_search_ctes(ASKED[:1])} SELECT 'document' AS kind, chunk_key AS id, boosted AS score FROM found UNION ALL SELECT 'catalog', uuid, score FROM hits")
+@add("search_endpoint", f"WITH {V.CATALOG}, {_KW}, {_search_ctes(ASKED[:1])} SELECT 'document' AS kind, chunk_key AS id, boosted AS score FROM found UNION ALL SELECT 'catalog', uuid, CAST(score AS DOUBLE) FROM hits")
 def _(spark, sf):
     chunks = R.search(_keyed(spark, sf), ASKED[:1]).select(F.lit("document").alias("kind"), C("chunk_key").alias("id"), C("boosted").alias("score"))
-    return chunks.unionByName(R.catalog_keyword_hits(V.catalog(spark, sf), _PHRASE).select(F.lit("catalog").alias("kind"), C("uuid").alias("id"), "score"))
+    return chunks.unionByName(R.catalog_keyword_hits(V.catalog(spark, sf), _PHRASE).select(F.lit("catalog").alias("kind"), C("uuid").alias("id"), C("score").cast("double").alias("score")))
 
 
 # --- text features -------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 INPUTS = ("Raw Material", "Process Energy", "Post-processing Energy", "Feedstock Energy", "Gas", "Cooling Media")
 OUTPUTS = ("Product", "Recovered Material", "Waste", "Emission")
 CATEGORIES = INPUTS + OUTPUTS
+SCOPES = ("Function Unit", "System Boundary", "Geographical Scope", "Functional Unit")
 UNITS = ("kg", "g", "kWh", "MJ", "m3", "L", "item(s)")
 CATALOG_UNITS = ("kg", "MJ", "m3", "item(s)", "kBq")
 FLOW_TYPES = ("PRODUCT_FLOW", "ELEMENTARY_FLOW", "WASTE_FLOW")
@@ -48,7 +49,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(
         F.concat(F.lit("S"), F.col("user_id")).alias("session_id"), "seq", "action_id", "record_type", "intent",
         F.when(linked, before_id).alias("link_to"), F.col("ts").alias("created_at"), F.col("value"), k.alias("k"),
-        pick(CATEGORIES, k % 10).alias("category"), F.concat(F.lit("item "), k % 7).alias("name"),
+        pick(CATEGORIES, k % 10).alias("category"), F.when(F.col("record_type") == "scope", pick(SCOPES, k % 4)).otherwise(F.concat(F.lit("item "), k % 7)).alias("name"),
         F.concat(F.lit("query "), F.floor(F.col("event_id") / 3) % 4).alias("search_query"),
         F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("chunk_"), k)).alias("chunk_id"),
         F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("process "), k % 3)).alias("process_name"),
@@ -67,7 +68,7 @@ v2 AS (SELECT *, printf('ACT_%04d', seq) AS action_id, lag(intent) OVER (PARTITI
 v_actions AS (SELECT 'S' || user_id AS session_id, seq, action_id, record_type, intent,
   CASE WHEN record_type IN ('pivot', 'smart_skip', 'calculation') OR intent = 'refine_same' OR (intent = 'select_best' AND before = 'pivot_query')
     OR (record_type = 'flow' AND before = 'calculate') THEN lag(action_id) OVER (PARTITION BY user_id ORDER BY seq) END AS link_to,
-  ts AS created_at, value, k, {_CATEGORY.format('k % 10')} AS category, 'item ' || (k % 7) AS name,
+  ts AS created_at, value, k, {_CATEGORY.format('k % 10')} AS category, CASE WHEN record_type = 'scope' THEN list_extract(['Function Unit', 'System Boundary', 'Geographical Scope', 'Functional Unit'], CAST(k % 4 AS INTEGER) + 1) ELSE 'item ' || (k % 7) END AS name,
   'query ' || (event_id // 3 % 4) AS search_query, CASE WHEN event_id % 3 <> 0 THEN 'chunk_' || k END AS chunk_id,
   CASE WHEN event_id % 5 <> 0 THEN 'process ' || (k % 3) END AS process_name FROM v2)"""
 

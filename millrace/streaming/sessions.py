@@ -29,13 +29,20 @@ def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> Da
     return stream.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-def idle(events: DataFrame, seconds: int = 7200) -> DataFrame:
-    """Per user: last event, idle seconds at the log's end by the full difference, and whether the session is expired."""
+#: Seconds after which uploaded documents and chats expire.
+UPLOAD_TIMEOUT, CHAT_TIMEOUT = 7200, 3600
+
+
+def idle(events: DataFrame, seconds: int = UPLOAD_TIMEOUT, inclusive: bool = False) -> DataFrame:
+    """Per user: last event, idle seconds at the log's end by the full difference, and whether the session is expired.
+
+    It is after more than ``seconds``; if ``inclusive``, after as many, too.
+    """
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     end = events.agg(F.max("ts").alias("now"))
     rows = last.join(F.broadcast(end))
     gap = F.unix_timestamp("now") - F.unix_timestamp("last_ts")
-    return rows.select("user_id", "n", "last_ts", gap.alias("idle_seconds"), (gap > seconds).alias("expired"))
+    return rows.select("user_id", "n", "last_ts", gap.alias("idle_seconds"), ((gap >= seconds) if inclusive else (gap > seconds)).alias("expired"))
 
 
 def touched(events: DataFrame, seconds: int = 7200) -> DataFrame:
