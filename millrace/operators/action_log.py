@@ -5,7 +5,7 @@ All of them group or order by session alone, so one shuffle on session_id serves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import checkpointed
@@ -31,6 +31,19 @@ def number(action_id: Column) -> Column:
     return F.regexp_extract(action_id, r"^ACT_(\d+)$", 1).try_cast("long")
 
 
+def derived_link(session: WindowSpec) -> Column:
+    """The action that an action links to by default, in a session's order: the one before it, if it follows from that.
+
+    Pivots, skips, calculations and refinements do, the best choice after a pivot, and a flow after a calculation.
+    """
+    before = F.lag("intent").over(session)
+    follows = (
+        F.col("record_type").isin("pivot", "smart_skip", "calculation") | (F.col("intent") == "refine_same")
+        | ((F.col("intent") == "select_best") & (before == "pivot_query")) | ((F.col("record_type") == "flow") & (before == "calculate"))
+    )
+    return F.when(follows, F.lag("action_id").over(session))
+
+
 def linked() -> Column:
     return F.col("link_to").isNotNull() & (F.col("link_to") != "")
 

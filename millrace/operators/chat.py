@@ -25,6 +25,14 @@ def history(messages: DataFrame, n: int) -> DataFrame:
     return messages.where("role <> 'system'")
 
 
+def history_text(messages: DataFrame, n: int = 3) -> DataFrame:
+    """The last ``n`` messages of each conversation, a line each, 200 characters of each."""
+    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    rows = messages.withColumn("__b", F.row_number().over(back)).where(F.col("__b") <= n)
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.upper("role"), F.lit(": "), F.substring("text", 1, 200)).alias("l"))))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda r: r["l"]), "\n").alias("history"))
+
+
 def context(messages: DataFrame, n: int = 15) -> DataFrame:
     """The first system message and the last ``n`` others."""
     system = F.col("role") == "system"
@@ -57,6 +65,22 @@ def drop_leading(messages: DataFrame) -> DataFrame:
     return messages.withColumn("__f", first).where((F.col("role") != "system") & (F.col("turn") >= F.col("__f"))).drop("__f")
 
 
+def session_tag(text: Column) -> Column:
+    """The session that a message's tag names; empty without a tag."""
+    return F.regexp_extract(text, r"^\[PDF_SESSION_ID:([^\]]*)\]", 1)
+
+
+def sse(event: Column, data: Column) -> Column:
+    """A server-sent event."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
+
+
+def sse_parts(sent: Column) -> Column:
+    """struct(event, data) of a server-sent event with one line of data."""
+    lines = F.split(sent, "\n")
+    return F.struct(F.regexp_replace(F.get(lines, F.lit(0)), "^event: ", "").alias("event"), F.regexp_replace(F.get(lines, F.lit(1)), "^data: ", "").alias("data"))
+
+
 def parse_response(text: Column) -> Column:
     """struct(think, tool_names, content) of a tagged reply."""
     calls = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.calculator import calculate
 from millrace.operators import chat as H
 from millrace.operators import evaluation as E
+from millrace.operators import export as X
+from millrace.operators import prompts as P
 from millrace.plans import views as V
 
 QUERIES: dict = {}
@@ -170,15 +172,37 @@ def _(spark, sf):
 @add("session_tag", "SELECT conv_id, turn, regexp_extract('[PDF_SESSION_ID:s' || conv_id || '] ' || text, '^\\[PDF_SESSION_ID:([^\\]]*)\\]', 1) AS session_id FROM conversations")
 def _(spark, sf):
     t = F.concat(F.lit("[PDF_SESSION_ID:s"), C("conv_id").cast("string"), F.lit("] "), "text")
-    return _msgs(spark, sf).select("conv_id", "turn", F.regexp_extract(t, r"^\[PDF_SESSION_ID:([^\]]*)\]", 1).alias("session_id"))
+    return _msgs(spark, sf).select("conv_id", "turn", H.session_tag(t).alias("session_id"))
 
 
 @add("sse_decode", "SELECT conv_id, turn, 'message' AS event, role AS kind, length(text) AS n FROM conversations")
 def _(spark, sf):
-    line = F.concat(F.lit("event: message\ndata: "), F.to_json(F.struct(C("role").alias("kind"), "text")), F.lit("\n\n"))
-    rows = _msgs(spark, sf).select("conv_id", "turn", F.split(line, "\n").alias("ls"))
-    data = F.from_json(F.substring_index(F.element_at("ls", 2), "data: ", -1), "kind string, text string")
-    return rows.select("conv_id", "turn", F.substring_index(F.element_at("ls", 1), "event: ", -1).alias("event"), data.alias("d")).select("conv_id", "turn", "event", "d.kind", F.length("d.text").cast("long").alias("n"))
+    sent = H.sse(F.lit("message"), F.to_json(F.struct(C("role").alias("kind"), "text")))
+    rows = _msgs(spark, sf).select("conv_id", "turn", H.sse_parts(sent).alias("p"))
+    rows = rows.select("conv_id", "turn", "p.event", F.from_json("p.data", "kind string, text string").alias("d"))
+    return rows.select("conv_id", "turn", "event", "d.kind", F.length("d.text").cast("long").alias("n"))
+
+
+_TOLD = """CASE turn % 6 WHEN 0 THEN '{"results": [{"chunk_id": "c1", "content": "one"}, {"chunk_id": "c2", "content": "two"}]}' WHEN 1 THEN '{"results": []}' WHEN 2 THEN '{"data": {"action_id": "ACT_0007", "parameter_name": "System Boundary"}}'
+  WHEN 3 THEN '{"completeness_score": 70, "session_id": "s1"}' WHEN 4 THEN text ELSE '{"data": {}}' END"""
+_TOOL = "CASE turn % 6 WHEN 0 THEN 'search_document' WHEN 1 THEN 'search_document' WHEN 2 THEN 'define_lca_scope' WHEN 3 THEN 'process_document' WHEN 4 THEN 'search_document' ELSE 'record_process_flow' END"
+
+
+@add("tool_response_summary", """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Found 2 chunks:' || chr(10) || '  - Chunk c1: one' || chr(10) || '  - Chunk c2: two' WHEN 1 THEN 'No results found' WHEN 2 THEN 'Scope defined: System Boundary, action_id: ACT_0007'
+  WHEN 3 THEN 'Document processed successfully, session: s1' WHEN 4 THEN substring(text, 1, 500) ELSE 'Flow recorded successfully, action_id: unknown' END AS summary FROM conversations""")
+def _(spark, sf):
+    return _msgs(spark, sf).select("conv_id", "turn", P.response_summary(F.expr(_TOOL), F.expr(_TOLD)).alias("summary"))
+
+
+@add("agent_history", """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND text <> '' THEN '**User**: ' || CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END
+  WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN '**Your Previous Reasoning**: so then' || chr(10) || chr(10) ELSE '' END || '**Your Previous Action**: Record parameter: p' || turn || ' = 3 kg' END AS line FROM conversations)
+  SELECT conv_id, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY turn), '(No previous actions)') AS history FROM m GROUP BY conv_id""")
+def _(spark, sf):
+    rows = _msgs(spark, sf).withColumns({
+        "content": C("text"), "name": F.lit(None).cast("string"), "reasoning": F.when(C("turn") % 3 == 0, "so [SMART_SKIP_PLACEHOLDER:7]then"),
+        "tool_calls": F.concat(F.lit('[{"name": "record_parameter", "arguments": {"parameter_name": "p'), C("turn").cast("string"), F.lit('", "value": 3, "unit": "kg"}}]')),
+    })
+    return P.conversation_history(rows)
 
 
 # --- export, validation, split --------------------------------------------------------------------------------------
@@ -259,21 +283,6 @@ def _(spark, sf):
     return _faulty(spark, sf).select("sample", "place", "role", F.nullif(F.trim("content"), F.lit("")).alias("content"), "reasoning", F.nullif("tool_calls", F.lit("[]")).alias("tool_calls"))
 
 
-def _exported(spark, sf):
-    """Message rows of each session: a call row and a response row for each action that emits a query or record."""
-    from millrace.operators.action_log import repeated_queries
-
-    a = V.actions(spark, sf)
-    q = repeated_queries(a).select(C("session_id").alias("s"), C("seq").alias("q"), "emitted")
-    a = a.join(q, (C("session_id") == C("s")) & (C("seq") == C("q"))).drop("s", "q")
-    call = F.when(C("emitted"), F.concat(F.lit("search:"), "search_query"))
-    record = F.concat(F.lit("record_"), "record_type", F.lit(":"), "name")
-    kinds = F.array_compact(F.array(F.when(call.isNotNull(), F.struct(F.lit(0).alias("k"), F.lit("assistant").alias("role"), call.alias("content"))),
-                                    F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), record.alias("content")),
-                                    F.struct(F.lit(2).alias("k"), F.lit("tool").alias("role"), C("action_id").alias("content"))))
-    return a.select("session_id", "seq", F.inline(kinds))
-
-
 _EXPORT = f"""WITH {V.ACTIONS}, a AS (SELECT *, coalesce(search_query IS DISTINCT FROM lag(search_query) OVER (PARTITION BY session_id ORDER BY seq), false) AS emitted FROM v_actions),
   m AS (SELECT session_id, seq, 0 AS k, 'assistant' AS role, 'search:' || search_query AS content FROM a WHERE emitted UNION ALL SELECT session_id, seq, 1, 'assistant', 'record_' || record_type || ':' || name FROM a
   UNION ALL SELECT session_id, seq, 2, 'tool', action_id FROM a)"""
@@ -281,24 +290,23 @@ _EXPORT = f"""WITH {V.ACTIONS}, a AS (SELECT *, coalesce(search_query IS DISTINC
 
 @add("export_chat", _EXPORT + " SELECT session_id, seq, k, role, content FROM m")
 def _(spark, sf):
-    return _exported(spark, sf)
+    return X.chat_rows(V.actions(spark, sf))
 
 
 @add("export_chat_samples", _EXPORT + " SELECT session_id, string_agg(role || '|' || content, chr(10) ORDER BY seq, k) AS messages, count(*) AS n FROM m GROUP BY session_id")
 def _(spark, sf):
-    rows = F.array_sort(F.collect_list(F.struct("seq", "k", F.concat("role", F.lit("|"), "content").alias("m"))))
-    return _exported(spark, sf).groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["m"]), "\n").alias("messages"), F.count("*").alias("n"))
+    return X.chat_samples(V.actions(spark, sf))
 
 
-@add("export_qa", f"""WITH {V.ACTIONS} SELECT r.session_id, r.action_id, 'What is the ' || r.category || ' of ' || r.name || '?' AS question, c.action_id IS NOT NULL AS calculated,
-  CASE WHEN c.action_id IS NOT NULL THEN 'It was calculated as ' ELSE 'The document reports ' END || r.name AS answer FROM v_actions r LEFT JOIN v_actions c ON c.session_id = r.session_id AND c.action_id = r.link_to AND c.record_type = 'calculation' AND c.seq < r.seq WHERE r.record_type = 'flow'""")
+@add("export_qa", f"""WITH {V.ACTIONS}, r AS (SELECT r.*, c.action_id IS NOT NULL AS calculated, CASE WHEN r.k % 13 = 0 THEN '' WHEN r.category IN ('Raw Material', 'Process Energy', 'Post-processing Energy', 'Feedstock Energy', 'Gas', 'Cooling Media') THEN 'Input' ELSE 'Output' END AS flow_type,
+  CAST(floor(r.value) AS BIGINT) || ' kg' AS amount FROM v_actions r LEFT JOIN v_actions c ON c.session_id = r.session_id AND c.action_id = r.link_to AND c.record_type = 'calculation' AND c.seq < r.seq WHERE r.record_type IN ('flow', 'scope', 'parameter'))
+  SELECT session_id, action_id, calculated, CASE WHEN record_type = 'scope' THEN 'The functional unit is: ' || name WHEN record_type = 'parameter' THEN 'The ' || name || ' is ' || amount || '.' WHEN calculated THEN 'Based on the calculation, the ' || name || ' is ' || amount || '.'
+  WHEN flow_type = 'Input' THEN 'The process consumed ' || amount || ' of ' || name || '.' WHEN flow_type = '' THEN 'The ' || name || ' is ' || amount || '.' WHEN category = 'Product' THEN 'The process produced ' || amount || ' of ' || name || '.'
+  WHEN category = 'Waste' THEN 'The process generated ' || amount || ' of ' || name || ' waste.' WHEN category = 'Emission' THEN 'The process emitted ' || amount || ' of ' || name || '.' ELSE 'The output is ' || amount || ' of ' || name || '.' END AS answer FROM r""")
 def _(spark, sf):
-    a = V.actions(spark, sf)
-    calc = a.where("record_type = 'calculation'").select(C("session_id").alias("cs"), C("action_id").alias("ca"), C("seq").alias("cq"))
-    rows = a.where("record_type = 'flow'").join(calc, (C("session_id") == C("cs")) & (C("link_to") == C("ca")) & (C("cq") < C("seq")), "left")
-    was = C("ca").isNotNull()
-    question = F.concat(F.lit("What is the "), "category", F.lit(" of "), "name", F.lit("?"))
-    return rows.select("session_id", "action_id", question.alias("question"), was.alias("calculated"), F.concat(F.when(was, "It was calculated as ").otherwise("The document reports "), "name").alias("answer"))
+    side = F.when(C("k") % 13 == 0, "").when(C("category").isin(*V.INPUTS), "Input").otherwise("Output")
+    rows = V.actions(spark, sf).withColumns({"value": F.floor("value").cast("long"), "unit": F.lit("kg"), "flow_type": side, "parameter_name": C("name"), "description": F.lit("")})
+    return X.qa_pairs(rows).select("session_id", "action_id", "calculated", "answer")
 
 
 @add("ground_truth_records", f"WITH {V.ACTIONS} SELECT session_id AS file, category, count(*) AS records, CAST(sum(k) AS BIGINT) AS total FROM v_actions WHERE record_type = 'flow' GROUP BY ALL")

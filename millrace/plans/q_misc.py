@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon
+from millrace.operators import chat as H
 from millrace.operators import layout, tools
+from millrace.operators import prompts as P
 from millrace.operators.matching import similarities, top_k
 from millrace.plans import views as V
 from millrace.plans.q_matching import _VEC, _vectors
@@ -100,29 +102,23 @@ def _(spark, sf):
 
 @add("flow_text", f"WITH {V.CATALOG} SELECT uuid, name || ' ' || array_to_string(categories, ' ') || ' ' || substring(category, 1, 200) AS text FROM v_catalog")
 def _(spark, sf):
-    return V.catalog(spark, sf).select("uuid", F.concat_ws(" ", "name", "categories", F.substring("category", 1, 200)).alias("text"))
+    return V.catalog(spark, sf).select("uuid", P.flow_text(C("name"), C("categories"), C("category")).alias("text"))
 
 
 @add("vector_text", f"WITH {V.CATALOG} SELECT uuid, concat_ws(' | ', 'Name: ' || name, 'Category: ' || nullif(category, ''), CASE WHEN p_size % 2 = 0 THEN 'Location: ' || location END, 'Unit: ' || unit) AS text FROM v_catalog")
 def _(spark, sf):
-    label = lambda k, c: F.concat(F.lit(f"{k}: "), F.nullif(c, F.lit("")))
     rows = V.catalog(spark, sf).join(V.table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
-    place = F.when(C("p_size") % 2 == 0, label("Location", C("location")))
-    return rows.select("uuid", F.concat_ws(" | ", label("Name", C("name")), label("Category", C("category")), place, label("Unit", C("unit"))).alias("text"))
+    return rows.select("uuid", P.labelled(Name=C("name"), Category=C("category"), Location=F.when(C("p_size") % 2 == 0, C("location")), Unit=C("unit")).alias("text"))
 
 
 @add("prompt_preview", "SELECT doc_id, 'Document: ' || source || chr(10) || CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 500) || '...' END AS prompt FROM documents")
 def _(spark, sf):
-    body = F.when(F.length("text") <= 500, C("text")).otherwise(F.concat(F.substring("text", 1, 500), F.lit("...")))
-    return V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Document: "), "source", F.lit("\n"), body).alias("prompt"))
+    return V.table(spark, sf, "documents").select("doc_id", P.preview(C("source"), C("text")).alias("prompt"))
 
 
 @add("history_text", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) SELECT conv_id, string_agg(upper(role) || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS history FROM x WHERE b <= 3 GROUP BY conv_id")
 def _(spark, sf):
-    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = V.table(spark, sf, "conversations").withColumn("b", F.row_number().over(back)).where("b <= 3")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.upper("role"), F.lit(": "), F.substring("text", 1, 200)).alias("l"))))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda r: r["l"]), "\n").alias("history"))
+    return H.history_text(V.table(spark, sf, "conversations"))
 
 
 _HINT = "CASE WHEN contains(lower(x), 'steel') THEN 'metal' WHEN contains(lower(x), 'nylon') THEN 'polymer' WHEN contains(lower(x), 'argon') THEN 'gas' WHEN contains(lower(x), 'kwh') OR contains(lower(x), 'mj') THEN 'energy' ELSE 'other' END"
@@ -138,8 +134,17 @@ def _(spark, sf):
 @add("rewrite_cleanup", "WITH x AS (SELECT p_partkey, trim(regexp_replace('<think>about ' || p_type || '</think> \"' || p_name || '\" ', '(?s)<think>.*?</think>', '', 'g')) AS t FROM part) SELECT p_partkey, CASE WHEN length(trim(t, '\"')) < 100 THEN trim(t, '\"') END AS name FROM x")
 def _(spark, sf):
     raw = F.concat(F.lit("<think>about "), "p_type", F.lit('</think> "'), "p_name", F.lit('" '))
-    bare = F.trim(F.trim(F.regexp_replace(raw, "(?s)<think>.*?</think>", "")), F.lit('"'))
-    return V.table(spark, sf, "part").select("p_partkey", F.when(F.length(bare) < 100, bare).alias("name"))
+    return V.table(spark, sf, "part").select("p_partkey", P.rewritten(raw).alias("name"))
+
+
+@add("context_summary", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'No PDF context information available' ELSE 'Section 1: ' || p_name || '...' || chr(10) || 'Section 2: ' || p_type || '...' || chr(10) || 'Section 3: ...' END AS context,
+  CASE WHEN p_size % 5 = 0 THEN 'No available LCI flow data' ELSE '- ' || p_name || ', UUID: ' || p_partkey || ', Unit: , Location: GLO' END AS flows FROM part""")
+def _(spark, sf):
+    some = C("p_size") % 5 != 0
+    contents = F.when(some, F.array("p_name", "p_type", F.lit(None).cast("string"), "p_brand")).otherwise(F.array().cast("array<string>"))
+    flow = F.struct(C("p_name").alias("name"), C("p_partkey").cast("string").alias("uuid"), F.lit(None).cast("string").alias("unit"), F.lit("GLO").alias("location"))
+    flows = F.when(some, F.array(flow)).otherwise(F.slice(F.array(flow), 1, 0))
+    return V.table(spark, sf, "part").select("p_partkey", P.context_summary(contents).alias("context"), P.lci_summary(flows).alias("flows"))
 
 
 # --- sessions and time -------------------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.action_log import derived_link
+
 INPUTS = ("Raw Material", "Process Energy", "Post-processing Energy", "Feedstock Energy", "Gas", "Cooling Media")
 OUTPUTS = ("Product", "Recovered Material", "Waste", "Emission")
 CATEGORIES = INPUTS + OUTPUTS
@@ -40,15 +42,10 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
     )
     session = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.withColumn("intent", intent).withColumn("seq", F.row_number().over(session)).withColumn("action_id", F.format_string("ACT_%04d", "seq"))
-    before, before_id = F.lag("intent").over(session), F.lag("action_id").over(session)
-    linked = (
-        F.col("record_type").isin("pivot", "smart_skip", "calculation") | (F.col("intent") == "refine_same")
-        | ((F.col("intent") == "select_best") & (before == "pivot_query")) | ((F.col("record_type") == "flow") & (before == "calculate"))
-    )
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.concat(F.lit("S"), F.col("user_id")).alias("session_id"), "seq", "action_id", "record_type", "intent",
-        F.when(linked, before_id).alias("link_to"), F.col("ts").alias("created_at"), F.col("value"), k.alias("k"),
+        derived_link(session).alias("link_to"), F.col("ts").alias("created_at"), F.col("value"), k.alias("k"),
         pick(CATEGORIES, k % 10).alias("category"), F.when(F.col("record_type") == "scope", pick(SCOPES, k % 4)).otherwise(F.concat(F.lit("item "), k % 7)).alias("name"),
         F.concat(F.lit("query "), F.floor(F.col("event_id") / 3) % 4).alias("search_query"),
         F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("chunk_"), k)).alias("chunk_id"),
