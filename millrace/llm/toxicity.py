@@ -143,9 +143,10 @@ def _counted(only: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                terms = _terms(text or "")
-                counts.update(terms if only is None else terms & only)
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(1).slice(at, 256).to_pylist():
+                    terms = _terms(text or "")
+                    counts.update(terms if only is None else terms & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return run

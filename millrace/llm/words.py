@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -82,16 +83,18 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of rows of a batch with their texts' bytes (null: empty), about ``most_bytes`` each; one text at least."""
-    texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most_bytes:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, texts[at:]
+    """Runs of rows of a batch with their texts' bytes (null: empty), about ``most_bytes`` each; one text at least.
+
+    Only one run's texts are Python objects at a time.
+    """
+    texts = batch.column(column)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1) if batch.num_rows else np.zeros(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + most_bytes)))
+        yield at, [t or b"" for t in texts.slice(at, to - at).cast(pa.binary()).to_pylist()]
+        at = to
 
 
 def of(batches: Iterable[pa.RecordBatch], column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
