@@ -197,10 +197,10 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = members.withColumn("block", F.explode(F.when(hubs[0] & hubs[1], F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
     links = staged(dealt.groupBy("family", "block").applyInPandas(_linked(percent), "a long, b long"), "links")
-    large = members.where("blocks > 1")
+    labels, large = components(links), members.where("blocks > 1")
     if large.isEmpty():
-        return components(links)
-    labels = components(links)
+        drop_staged(members, links)
+        return labels
     large = large.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node")).drop("label")
     counted = large.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
     counted = counted.select(F.col("family").alias("__f"), F.col("m.root").alias("giant"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("rest"))
@@ -212,7 +212,9 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     visits = large.where(rest).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", mine)
     more = meets.unionByName(visits).select("node", "family", "sketch", "shingles", "root", "block", "other")
     more = more.groupBy("family", "block", "other").applyInPandas(_linked(percent), "a long, b long")
-    return components(links.unionByName(more))
+    joined = components(links.unionByName(more))
+    drop_staged(members, links)
+    return joined
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
