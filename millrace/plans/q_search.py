@@ -218,7 +218,9 @@ def _(spark, sf):
     return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), F.array_join(T.processes(C("text")), ",").alias("processes")).agg(F.count("*").alias("n"))
 
 
-@add("enhanced_query", None)
+@add("enhanced_query", f"""WITH {V.TEXTS}, x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_ALL} AS m0, {_ALLP} AS p0 FROM v_text), y AS (SELECT * EXCLUDE (m0, p0), list_concat(['Steel', 'Raw Material'], list_concat(list_filter(m0, lambda z, i: list_position(m0, z) = i)[1:5],
+  list_filter(p0, lambda z, i: list_position(p0, z) = i)[1:3])) AS parts FROM x), w AS (SELECT *, list_transform(parts, lambda z: lower(z)) AS low FROM y)
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, array_to_string(list_filter(parts, lambda z, i: list_position(low, lower(z)) = i), ' ') AS query FROM w""")
 def _(spark, sf):
     return V.texts(spark, sf).select(*V.TEXT_KEY, T.enhanced_query(F.lit("Steel"), F.lit("Raw Material"), C("text")).alias("query"))
 
