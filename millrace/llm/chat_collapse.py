@@ -14,6 +14,8 @@ from millrace.llm.shared import drop_staged, staged
 
 #: Turns of one conversation in one part of its rendering.
 BLOCK = 256
+#: Characters of a text by which turns are dealt; whole texts order the turns of a range.
+SAMPLED = 64
 
 
 def prefix_hashes(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -21,11 +23,12 @@ def prefix_hashes(turns: DataFrame, conv: str, turn: str, role: str, text: str)
 
     Turns are ordered by (turn, role, text), nulls first; their place in this order is hashed, so gaps in the numbers do
     not matter. Two hashes of 64 bits with other seeds make chance agreement of unequal prefixes negligible. Turns are
-    dealt by range of (conv, turn, role, text), so a conversation that holds a third of all turns, numbered or not, is
-    hashed by many tasks, block by block; only counts and sums of blocks meet.
+    dealt by range of (conv, turn, role, the text's beginning), so a conversation that holds a third of all turns,
+    numbered or not, is hashed by many tasks, block by block; only counts and sums of blocks meet, and the driver sees
+    beginnings of sampled texts alone.
     """
     t = turns.select(F.col(conv).alias("__c"), F.col(turn).cast("long").alias("__t"), F.col(role).alias("__r"), F.col(text).alias("__x"))
-    t = t.repartitionByRange("__c", "__t", "__r", "__x").withColumn("__b", F.spark_partition_id())
+    t = t.repartitionByRange("__c", "__t", "__r", F.substring("__x", 1, SAMPLED)).withColumn("__b", F.spark_partition_id())
     within = Window.partitionBy("__c", "__b").orderBy("__t", "__r", "__x")
     t = staged(t.withColumn("__k", F.row_number().over(within)), "dealt")
     before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
