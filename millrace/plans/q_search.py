@@ -70,7 +70,7 @@ def _(spark, sf):
 
 
 @add("document_search_multi", _search_sql(ASKED))
-def document_search(spark, sf):
+def _(spark, sf):
     return R.search(_keyed(spark, sf), ASKED)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import action_log, chat, matching, retrieval, text_features
+from millrace.operators import action_log, chat, export, matching, prompts, retrieval, text_features
 from millrace.sources import tables
 
 
@@ -176,3 +176,32 @@ def test_sources(spark, tmp_path):
     tables.write_json_lists(spark.range(95).withColumn("x", F.lit("same")), str(tmp_path / "lists"), per_file=10)
     assert tables.read_json_list(spark, str(tmp_path / "lists"), "id long").agg(F.count("*"), F.sum("id")).first()[:] == (95, 95 * 47)
     assert len([p for p in (tmp_path / "lists").iterdir() if p.name.startswith("file=")]) > 5
+
+
+def test_search_arguments(spark):
+    assert one(spark, export.search_arguments(F.array(F.lit("a")))) == '{"query":"a"}'
+    assert one(spark, export.search_arguments(F.array(F.lit("a"), F.lit("b")))) == '{"queries":["a","b"]}'
+
+
+@pytest.mark.parametrize(
+    "tool, content, said",
+    [
+        ("search_document", '{"results": [{"chunk_id": "c", "content": "x"}]}', "Found 1 chunks:\n  - Chunk c: x"), ("search_document", "{}", "No results found"),
+        ("record_process_flow", '{"data": {"action_id": "ACT_0001"}}', "Flow recorded successfully, action_id: ACT_0001"), ("get_session_summary", '{"completeness_score": 40}', "Completeness: 40%, Missing: []"),
+        ("other", '{"a": 1}', '{"a": 1}'), ("search_document", "x" * 600, "x" * 500),
+    ],
+)
+def test_response_summaries(spark, tool, content, said):
+    assert one(spark, prompts.response_summary(F.lit(tool), F.lit(content))) == said
+
+
+@pytest.mark.parametrize(
+    "call, said",
+    [
+        ('{"name": "search_document", "arguments": {"queries": ["a", "b"]}}', "Search the document for: a, b"), ('{"name": "execute_calculation", "arguments": {"formula": "1 + 1"}}', "Execute calculation: 1 + 1"),
+        ('{"name": "record_process_flow", "arguments": {"flow_type": "Input", "category": "Gas", "name": "argon", "value": 2.5, "unit": "kg"}}', "Record Input flow - Gas: argon (2.5 kg)"),
+        ('{"name": "get_session_summary"}', "Check the session summary to assess extraction progress"), ('{"name": "build"}', "Call tool: build"),
+    ],
+)
+def test_next_actions(spark, call, said):
+    assert one(spark, prompts.next_action(F.lit(call))) == said
