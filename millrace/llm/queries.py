@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_collapse, decontamination, licenses, matroska, near_dedup, packing, sharding, substring_dedup, token_store, toxicity
+from millrace.llm import chat_collapse, decontamination, fim, licenses, matroska, near_dedup, packing, quality, sharding, substring_dedup, token_store, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,42 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), seed=1))
+
+
+OP11_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), numbered AS (
+  SELECT doc_id, t, n, CAST('0x' || s[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || s[9:16] AS BIGINT) % (n + 1) AS c2,
+    CAST('0x' || s[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || s[25:32] AS BIGINT) % 100 AS h4 FROM hashed
+), parted AS (
+  SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    substring(t, 1, least(c1, c2)) AS p, substring(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS m, substring(t, greatest(c1, c2) + 1) AS s FROM numbered
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parted
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from rows that are not held out."""
+    return quality.fit(quality.labelled_sample(docs, labels.where(~quality.held_out()), label="quality"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_matroska": op2_matroska,
@@ -146,5 +182,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
+    "op11_fim": op11_fim,
+    "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
-ORACLE = {"op1_near_dedup": OP1_SQL, "op3_chat_collapse": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE = {"op1_near_dedup": OP1_SQL, "op3_chat_collapse": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_fim": OP11_SQL}
