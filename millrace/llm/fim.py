@@ -34,9 +34,9 @@ def _index(text: Column, mark: str, n: Column) -> Column:
 
 def _check(markers: tuple[str, str, str]) -> None:
     """Markers must be told apart wherever they stand: none may end as another, or itself, begins, nor hold another."""
-    for a in markers:
-        for b in markers:
-            if not a or (a is not b and a in b) or any(a.endswith(b[:i]) for i in range(1, len(b))):
+    for i, a in enumerate(markers):
+        for j, b in enumerate(markers):
+            if not a or (i != j and a in b) or any(a.endswith(b[:n]) for n in range(1, len(b))):
                 raise ValueError(f"markers {markers} can't be told apart")
 
 

@@ -49,7 +49,9 @@ def remaindered(residues: list[int], moduli: list[int]) -> int:
 
 
 def integers(vector: Column, scale: int = SCALE, offset: int = OFFSET) -> Column:
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * scale) + F.lit(offset).cast("long"))
+    """floor(scale * c) + offset of each entry, as longs. What is too large for these stays beyond ``LARGEST``."""
+    most = 2.0**60
+    return F.transform(vector, lambda c: F.floor(F.least(F.greatest(c.cast("double") * scale, F.lit(-most)), F.lit(most))) + F.lit(offset).cast("long"))
 
 
 def finite(vector: Column) -> Column:
@@ -119,8 +121,8 @@ class Model:
 
     def centred(self, x: np.ndarray) -> np.ndarray:
         """n * x - S, exactly."""
-        if self.reach < 2**62:
-            return x * np.int64(self.n) - np.array(self.sums, np.int64)
+        if self.reach < 2**62:  # products and sums may wrap, differences come out right
+            return x * np.int64(self.n) - np.array([(s + 2**63) % 2**64 - 2**63 for s in self.sums], np.int64)
         return x.astype(object) * self.n - np.array(self.sums, dtype=object)
 
     def whitened(self, centred: np.ndarray) -> np.ndarray:
@@ -212,6 +214,7 @@ def whiten(
     and shorter ones, whose last entries are missing, are left out too. Equal vectors count once in the fit and each has
     its rows. A null id stays null; ids may repeat. There are at most ``components`` components, and as many as the
     covariance has eigenvalues above nought: none for a single distinct vector, which gives no rows, as no vectors do.
+    Entries beyond ``LARGEST`` once scaled raise ValueError.
     Other columns are not read. The fit list is written to the shared folder and dropped once the model is made.
     """
     read = rows.select(F.col(id_col).alias("__id"), F.col(vector_col).alias("__v")).where(finite(F.col("__v")))
