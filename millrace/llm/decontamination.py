@@ -109,7 +109,7 @@ class Matcher:
 _HIT = "array<struct<item_id:long,distance:int,end_word:long,n_words:long>>"
 
 
-def held(text: Column, items: list[tuple[int, list[str]]], share: float) -> Column:
+def held(text: Column, items: list[tuple[int | None, list[str]]], share: float) -> Column:
     """The items, each an id and words, that each text of a column holds. Items are told apart by their place in the list."""
 
     @F.pandas_udf(_HIT)
@@ -122,12 +122,12 @@ def held(text: Column, items: list[tuple[int, list[str]]], share: float) -> Colu
     return run(text)
 
 
-def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, list[str]]]]]:
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[int | None, list[str]]]]]:
     """The number of blocks, at least one, of about ``block_bytes`` of text; and each block's items' ids and words.
 
     A block is collected when it is asked for. Repeated items come once.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
 
     def words() -> Iterator[list[tuple[int, list[str]]]]:
@@ -147,7 +147,7 @@ def contaminated(
     Of several passages the nearest, then the first counts; ``end_word`` is the place after it among the document's
     normalised words. Null or wordless texts and items match nothing; items under 8 words match unchanged only; equal
     items are reported each, also those with equal ids and other texts; equal items with equal ids are one item.
-    Repeated rows are reported each. Items with a null id match nothing. Other columns are not read.
+    Repeated rows are reported each. Items with a null id are items as any other, reported with it. Other columns are not read.
     An empty table on either side gives no rows. Items go to tasks in blocks of about ``block_bytes`` of text, as many
     as the benchmark needs by its measured size; of several, each one's hits are written before the next is collected,
     so what is held and sent at once does not grow with it.

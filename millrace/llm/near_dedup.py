@@ -37,13 +37,15 @@ _A, _B = (_R.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) +
 _NULL_ID = -(2**63)
 
 
-def shingles(w: words.Words, sums: np.ndarray, text: int, k: int) -> np.ndarray:
-    """The sorted set of hashes of a text's shingles of ``k`` words; the whole text is one where it has fewer."""
+def shingles(w: words.Words, grams: np.ndarray, text: int, k: int) -> np.ndarray:
+    """The sorted set of hashes of a text's shingles of ``k`` words; the whole text is one where it has fewer.
+
+    ``grams``: the hashes of ``k`` words from each word on.
+    """
     a, b = int(w.first[text]), int(w.first[text + 1])
     if b - a >= k:
-        at = np.arange(a, b - k + 1)
-        return np.unique(words.spans(sums, at, at + k))
-    return words.spans(sums, np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
+        return np.unique(grams[a : b - k + 1])
+    return words.spans(w.hashes, np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
 
 
 def minhash(shingle_set: np.ndarray) -> np.ndarray:
@@ -83,9 +85,9 @@ _FEATURES = "__id long, __h long, n_shingles long, set binary, bands array<long>
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in words.of(batches, 2, lower=True):
-            sums, n, digests, all_bands, sketches = w.sums(), [], [], [], []
+            grams, n, digests, all_bands, sketches = words.windows(w.hashes, k), [], [], [], []
             for i in range(batch.num_rows):
-                s = shingles(w, sums, i, k)
+                s = shingles(w, grams, i, k)
                 samples = minhash(s)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -104,8 +106,8 @@ def _features(k: int):
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in words.of(batches, 3, lower=True):
-            sums = w.sums()
-            sets = [shingles(w, sums, i, k).tobytes() for i in range(batch.num_rows)]
+            grams = words.windows(w.hashes, k)
+            sets = [shingles(w, grams, i, k).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["node", "family", "sketch", "shingles"])
 
     return run
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows are linked where 100 * intersection >= percent * union of their sets; component_id is the least id reachable.
     Null and empty texts have no shingles and no links. Rows with equal ids and other texts are nodes of their own, but
     the least id names their components. A null id counts as less than any other. Repeated rows are linked, and each
-    has ``kept`` where its id is the component's. Other columns are not read. No rows give no rows.
+    has ``kept`` where its id is the component's; but one of them is compared with others. Other columns are not read. No rows give no rows.
     """
     feats, named = _named(docs, id_col, text_col, shingle, percent)
     least = named.groupBy("label").agg(F.min("__id").alias("component_id"))
@@ -190,7 +192,9 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     drop_staged(banded)
     sized = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("__l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     wanted = sets.select("node", "__id", "__h", "sketch").join(families, "node").select("node", F.col("label").alias("family"), "sketch", "__id", "__h")
-    one_text = keyed.withColumnsRenamed({"__id": "__ki", "__h": "__kh"}).join(wanted, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")))
+    # a row listed often is one text before it meets its node
+    texts = keyed.groupBy(F.col("__id").alias("__ki"), F.col("__h").alias("__kh")).agg(F.first("__text").alias("__text"))
+    one_text = texts.join(wanted, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")))
     members = one_text.select("node", "family", "sketch", "__text").mapInArrow(_members(shingle), "node long, family long, sketch binary, shingles binary")
     members = staged(members.join(sized, F.col("family") == F.col("__l")).drop("__l"), "members")
     hubs = F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("blocks") * BLOCK / HUB)) == 0

@@ -69,7 +69,10 @@ def pack(
     share arrives in blocks of ``block`` pieces, each sorted from long to short, as best-fit wastes least that way; with
     ``most_open`` no less than ``block``, short pieces of a block still find the bins that its long ones opened.
     Null or longer lengths are an error; equal lengths and repeated rows are packed like others; no rows give no rows.
+    Columns named sequence_id, offset, __row or __share would clash with what is added and are an error.
     """
+    if clash := {"sequence_id", "offset", "__row", "__share"} & set(pieces.columns):
+        raise ValueError(f"columns {sorted(clash)} are added here")
     numbered = pieces.withColumn("__row", F.monotonically_increasing_id())
     full = numbered.where(F.col(length) == capacity).select(
         *pieces.columns, (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

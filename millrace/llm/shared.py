@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and driver and tasks are one process (a local master, as in tests), a local one; else an error,
+    as executors would write to folders that nobody else can read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -77,7 +84,8 @@ def utf8(c: Column) -> Column:
 def running_total(df: DataFrame, order: list[str], value: str, out: str, parts: int) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before, in ``order`` (nulls first).
 
-    Rows are dealt by range, so that no task holds all rows; the dealt table is written with its range number, and only
+    Rows that are equal in ``order`` come one after the other in any order, so their sums are told apart but may change
+    places. Rows are dealt by range, so that no task holds all rows; the dealt table is written with its range number, and only
     one sum for each range is brought together.
     """
     dealt = (

@@ -59,7 +59,7 @@ def anchors(w: words.Words, width: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     h, size = w.hashes, 1
     while size < short:
-        h = words.mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:])
+        h = words.combine(h[:-size], h[size:])
         size *= 2
     bits = max(20, int(n).bit_length())
     low = np.uint64(2**bits - 1)
@@ -73,7 +73,7 @@ def anchors(w: words.Words, width: int) -> tuple[np.ndarray, ...]:
     runs = np.diff(np.concatenate([new, [len(start)]]))
     first = start[new]
     text = np.searchsorted(w.first, first, side="right") - 1
-    whole = words.spans(w.sums(), first, first + runs + width - 1)
+    whole = words.spans(w.hashes, first, first + runs + width - 1)
     return text, h[at[new]].view(np.int64), whole.view(np.int64), first - w.first[text], at[new] - first, runs
 
 
@@ -108,7 +108,7 @@ def _extended(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in words.of(batches, 2):
-            sums, runs = w.sums(), batch.column(3)
+            runs = batch.column(3)
             flat, listed = runs.flatten(), np.diff(runs.offsets.to_numpy())
             text = np.repeat(np.arange(batch.num_rows), listed)
             start, lead, n, anchor, copies = (flat.field(i).to_numpy() for i in range(5))
@@ -120,7 +120,7 @@ def _extended(width: int):
             for m in _further(width):
                 at = np.minimum(at, within + width - m)
                 new = first | np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
-                levels += [words.spans(sums, base + at, base + at + m).view(np.int64), new]
+                levels += [words.spans(w.hashes, base + at, base + at + m).view(np.int64), new]
             ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             columns = [ids[text[row]], hashes[text[row]], anchor[row], within.astype(np.int32), copies[row], *levels]
             names = ["__id", "__h", "anchor", "start", "copies", *(x for m in _further(width) for x in (f"h{m}", f"new{m}"))]
@@ -147,7 +147,8 @@ def repeated_runs(keyed: DataFrame, width: int) -> DataFrame:
     chosen = found.where("mixed").groupBy("anchor", "span").agg(one).select("r.*", "anchor")
     listed = chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "lead", "n", "anchor", "copies")).alias("__runs"))
     settled = found.where("copies > 1").select(*_KEY, "start", "n")
-    rows = staged(keyed.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_extended(width), _extended_schema(width)), "extended")
+    texts = keyed.groupBy(*_KEY).agg(F.first("__text").alias("__text"))  # a row listed often is one text here
+    rows = staged(texts.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_extended(width), _extended_schema(width)), "extended")
     for m in _further(width):
         if rows.isEmpty():
             break
@@ -201,8 +202,8 @@ def _without(raw: bytes, keep: np.ndarray) -> bytes:
 
 
 def _listed(keyed: DataFrame, width: int) -> DataFrame:
-    """The runs of each row's key; a text's runs are no more than its words."""
-    runs = repeated_runs(keyed, width).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("__r"))
+    """The runs of each row's key, once each however often the row is listed; a text's runs are no more than its words."""
+    runs = repeated_runs(keyed, width).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n")).alias("__r"))
     return runs.select(*_KEY, F.col("__r.start").alias("__starts"), F.col("__r.n").alias("__runs"))
 
 

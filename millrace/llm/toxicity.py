@@ -154,15 +154,15 @@ def _counted(only: frozenset[str] | None):
 
 def fit(
     labelled: DataFrame, *, label: str, text: str, least_share: float = 0.02, least_weight: float = 2.5,
-    most_terms: int = 2_000, seed: dict[str, float] = SEED, exceptions: tuple[str, ...] = EXCEPTIONS,
+    seed: dict[str, float] = SEED, exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """Learns term weights and the threshold from labelled rows, as :func:`labelled_sample` bounds them.
 
     The bound keeps fitting the same work at any size of the corpus; scoring covers every row. Of copies (rows of one
     label that share their least hash of word triples) the least text counts, so the model follows from the rows alone. A
     term needs ``least_share`` of the toxic rows and a log odds ratio of ``least_weight``; that leaves at most 1 /
-    ``least_share`` times the terms of a mean toxic row to look at. At most ``most_terms`` are kept, the heaviest, equal
-    ones in the order of the alphabet. Without toxic or without clean rows the seed alone is the lexicon.
+    ``least_share`` times the terms of a mean toxic row to look at, and none of those that weigh enough is left out.
+    Null texts are empty; rows without a label are left out. Without toxic or without clean rows the seed alone is the lexicon.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
     rows = rows.mapInArrow(_signed, "label int, text string, sign long").groupBy("label", "sign").agg(F.min("text").alias("text"))
@@ -178,8 +178,7 @@ def fit(
         often = {r["term"]: r["n"] for r in summed(1, None).where(F.col("n") >= least).collect()}
         clean = {r["term"]: r["n"] for r in summed(0, frozenset(often)).collect()}
         weight = {t: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, n in often.items()}
-        heavy = sorted((t for t, w in weight.items() if w >= least_weight), key=lambda t: (-weight[t], t))[:most_terms]
-        terms |= {t: weight[t] for t in heavy}
+        terms |= {t: w for t, w in sorted(weight.items()) if w >= least_weight}
         model = Model(terms, exceptions, 1.0)
         levels = rows.select("label", weighed(F.col("text"), model).alias("w")).select("label", F.floor(level(F.col("w")) * 8).alias("bin"))
         bins = levels.groupBy("bin", "label").count().collect()
@@ -213,19 +212,24 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", most: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``most``, as they are."""
+    """The rows of ``docs`` that score below ``most``, as they are. Null and empty texts score 0 and stay; repeated rows
+    go or stay together; columns may have any names; no rows give no rows."""
     rows = docs.select(F.struct("*").alias("row"), weighed(F.col(text_col), model).alias("w"))
     return rows.where(score_of(F.col("w"), model) < most).select("row.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 12_000) -> DataFrame:
-    """(label, text) of about ``most_rows`` labelled documents, chosen by their id's hash. Ids with several labels count once for each."""
+    """(label, text) of about ``most_rows`` labelled documents, chosen by their id's hash.
+
+    Ids with several labels count once for each. Null ids are left out, null texts come as they are, and a text that is
+    listed several times with one label comes once, so rows that are repeated don't outgrow the bound.
+    """
     chosen = labels.select(F.col(id_col).alias("__l"), F.col(label).alias("label")).where(F.col("__l").isNotNull()).distinct()
     n = chosen.count()
     if n > most_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("__l"), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("__d") == F.col("__l")).select("label", "text")
+    return texts.join(F.broadcast(chosen), F.col("__d") == F.col("__l")).select("label", "text").distinct()
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,36 +1,24 @@
-"""Words of whole texts as arrays of 64-bit hashes, many documents at a time."""
+"""Words of whole texts as arrays of 64-bit hashes, many documents at a time.
+
+A word of up to 64 bytes is mixed eight bytes at a time, one of up to eight bytes without loss; a longer one has a
+cryptographic hash. Runs of words are hashed by doubling: the hash of 2**k words mixes those of its halves. Each step is
+non-linear, so no words or runs collide by their structure, as all polynomials modulo a power of two do on some.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RANDOM = np.random.default_rng(20240607)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-
-
-class _Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse; they grow with the longest slice seen."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 2**64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 2**64))])
-        return self.up, self.down
-
-
-_OF_BYTES, _OF_WORDS = _Powers(_BASE), _Powers(0xC2B2AE3D27D4EB4F)
+_STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
+#: Bytes of words that are mixed here.
+_SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,6 +27,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in order."""
+    return mix(a * _STEP + b)
+
+
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes."""
+    size = end - start
+    out = size.astype(np.uint64) * _SIZE
+    lanes = np.ndarray((len(raw) + 1,), "<u8", raw.tobytes() + bytes(8), strides=(1,))  # eight bytes from each place on
+    left = np.arange(len(start))
+    for at in range(0, _SHORT, 8):
+        rest = size[left] - at
+        lane = lanes[start[left] + at]
+        few = np.flatnonzero(rest < 8)
+        lane[few] &= (np.uint64(1) << (rest[few] * 8).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix(out[left] * _STEP ^ lane)
+        left = left[rest > 8]
+        if not len(left):
+            return out
+    for i in left.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words (runs without white space: bytes 32 and 9 to 13) of some UTF-8 texts, in order.
 
@@ -57,18 +70,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_at = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.start, self.text_at)
-        up, down = _OF_BYTES.to(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hashes = mix((sums[self.end] - sums[self.start]) * down[self.start] + size * np.uint64(0xA24BAED4963EE407))
-
-    def sums(self) -> np.ndarray:
-        """Prefix sums for :func:`spans`."""
-        up, _ = _OF_WORDS.to(len(self.hashes) + 1)
-        out = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * up[: len(self.hashes)], out=out[1:])
-        return out
+        self.hashes = _hashed(raw, self.start, self.end)
 
     def room(self) -> np.ndarray:
         """For each word: how many words its text has from there on."""
@@ -76,10 +78,25 @@ class Words:
         return ends - np.arange(len(self.hashes))
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the word sequences from ``start`` to ``end``, wherever they stand."""
-    _, down = _OF_WORDS.to(len(sums) + 1)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences from ``start`` to ``end``, wherever they stand: two runs of a power of two words that
+    cover the sequence, and its length. Empty sequences have 0."""
+    size = end - start
+    out, level = np.zeros(len(start), np.uint64), np.frexp(size.astype(np.float64))[1] - 1
+    most, step, runs = int(level.max(initial=-1)), 1, hashes
+    for k in range(most + 1):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = mix(combine(runs[start[at]], runs[end[at] - step]) + size[at].astype(np.uint64) * _SIZE)
+        if k < most:
+            runs, step = combine(runs[:-step], runs[step:]), 2 * step
+    return out
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all sequences of ``width`` words, by where they begin; as :func:`spans` gives them."""
+    at = np.arange(max(0, len(hashes) - width + 1))
+    return spans(hashes, at, at + width)
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import components, near_dedup, substring_dedup, words
 
@@ -185,5 +186,66 @@ def test_word_hashes():
     w = words.Words([b"a bb  a", b"", b"\nBB a\x0bx\xc2\xa0y"], lower=True)
     assert list(np.diff(w.first)) == [3, 0, 3]
     assert w.hashes[0] == w.hashes[2] == w.hashes[4] and w.hashes[1] == w.hashes[3]
-    s = w.sums()
-    assert words.spans(s, np.array([1]), np.array([3])) == words.spans(s, np.array([3]), np.array([5]))
+    assert words.spans(w.hashes, np.array([1]), np.array([3])) == words.spans(w.hashes, np.array([3]), np.array([5]))
+    assert words.spans(w.hashes, np.array([2]), np.array([2])) == 0
+
+
+def thue_morse(n, a, b):
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+
+
+def test_hashes_tell_structured_runs_apart():
+    """Sequences on which polynomials modulo a power of two collide, as bytes of a word and as words of a run."""
+    one, other = ("".join(thue_morse(2048, *p)).encode() for p in ("ab", "ba"))
+    assert len(set(words.Words([one, other, one]).hashes.tolist())) == 2
+    for n in (512, 1024, 3000):
+        runs = words.Words([" ".join(thue_morse(n, *p)).encode() for p in (("x", "y"), ("y", "x"), ("x", "y"))])
+        got = words.spans(runs.hashes, runs.first[:-1], runs.first[1:])
+        assert got[0] == got[2] != got[1]
+
+
+def test_hashes_of_words_of_all_lengths():
+    """Words differ in hash where they differ in bytes or length; a word's hash does not depend on what stands around it."""
+    rng = random.Random(3)
+    texts = {bytes(rng.choice(b"ab") for _ in range(n)) for n in list(range(1, 140)) * 20} | {b"a" * n for n in range(1, 200)}
+    texts |= {b"a" * n + b"b" for n in range(1, 200)} | {"ä".encode() * n for n in range(1, 90)}
+    texts = sorted(texts)
+    alone = [words.Words([t]).hashes[0] for t in texts]
+    assert len(set(alone)) == len(texts)
+    assert words.Words([b" \n".join(texts)]).hashes.tolist() == alone
+    assert words.Words([t.upper() for t in texts if t.isascii()], lower=True).hashes.tolist() == [h for t, h in zip(texts, alone) if t.isascii()]
+
+
+def test_spans_against_sequences():
+    rng = random.Random(4)
+    w = words.Words([" ".join(rng.choice("ab") for _ in range(400)).encode()])
+    names = {}
+    for size in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 35, 64, 100):
+        for i, h in enumerate(words.windows(w.hashes, size).tolist()):
+            names.setdefault(h, set()).add(tuple(w.hashes[i : i + size].tolist()))
+    assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
+
+
+def test_long_words_of_one_structure_are_not_linked_or_removed(spark):
+    one, other = ("".join(thue_morse(2048, *p)) for p in ("ab", "ba"))
+    rest = [f"w{i}" for i in range(41)]
+    docs = [(1, one), (2, other), (3, " ".join(rest[:20] + [one] + rest[21:])), (4, " ".join(rest[:20] + [other] + rest[21:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, shingle=3, percent=90).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 4: 4} == {d: v[1] for d, v in brute(docs, 3, 90).items()}
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(df, width=35).collect()} == {0}
+
+
+def test_a_row_listed_very_often(spark):
+    """A repeated row is one set to compare and one list of runs."""
+    base = " ".join(f"w{i}" for i in range(90))
+    copies = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(base).alias("text"))
+    others = spark.createDataFrame([(6, base.replace("w40", "x")), (7, base + " and more"), (8, "apart")], "doc_id long, text string")
+    docs = copies.union(others).repartition(8)
+    got = near_dedup.near_duplicates(docs, shingle=3, percent=85).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(5, 5, True, 20_000), (6, 5, False, 1), (7, 5, False, 1), (8, 8, True, 1)]
+    keyed = substring_dedup._keyed(docs, "doc_id", "text")
+    listed = substring_dedup._listed(keyed, 35).collect()
+    assert len(listed) == 3 and all(len(r["__runs"]) <= 90 and len(set(zip(r["__starts"], r["__runs"]))) == len(r["__runs"]) for r in listed)
+    removed = substring_dedup.remove_repeats(docs, width=35).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, removed)) == [(5, 90, 90, 20_000), (6, 90, 89, 1), (7, 92, 90, 1), (8, 1, 0, 1)]

@@ -167,3 +167,28 @@ def test_contaminated(spark, odd, none):
     assert dec.contaminated(table, empty).collect() == [] and dec.contaminated(none, bench).collect() == []
     kept = dec.without_contaminated(odd, empty)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_items_without_an_id(spark):
+    """Benchmark items with a null id are matched as others are, and documents that hold them go."""
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "something else"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), (None, None), (4, "another item of eight words is not here")], "item_id long, text string")
+    got = dec.contaminated(docs, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in got] == [(1, None, 0)]
+    assert sorted(r["doc_id"] for r in dec.without_contaminated(docs, bench).collect()) == [2, 3]
+
+
+def test_every_heavy_term_is_kept(spark):
+    """No limit but share and weight stands between a term and the lexicon."""
+    bad = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000))
+    rows = [(1, f"{bad} end{'abcdefgh'[i]}") for i in range(8)] + [(0, f"clean words {'abcdefghijklmnopqrstuvwxyz'[i]}") for i in range(26)] * 4
+    model = tox.fit(spark.createDataFrame(rows, "label int, text string"), label="label", text="text", least_weight=1.0)
+    assert len(model.terms) >= 3000
+
+
+def test_a_bounded_sample_of_repeated_rows(spark):
+    docs = spark.range(3000).selectExpr("id % 5 AS doc_id", "concat('text ', id % 5) AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(None, 1), (0, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, tox.labelled_sample(docs, labels, label="toxic").collect()))
+    assert got == sorted([(i % 2, f"text {i}") for i in range(5)] + [(1, "text 0")])
