@@ -104,8 +104,10 @@ def _features(k: int):
 
 
 def _members(k: int):
+    """A row listed often is one set: the join before brings its copies to one task, or to few where it is split."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in words.of(batches, 3, lower=True):
+        for batch, w in words.of(words.once(batches, 0), 3, lower=True):
             grams = words.windows(w.hashes, k)
             sets = [shingles(w, grams, i, k).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["node", "family", "sketch", "shingles"])
@@ -192,9 +194,7 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     drop_staged(banded)
     sized = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("__l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     wanted = sets.select("node", "__id", "__h", "sketch").join(families, "node").select("node", F.col("label").alias("family"), "sketch", "__id", "__h")
-    # a row listed often is one text before it meets its node
-    texts = keyed.groupBy(F.col("__id").alias("__ki"), F.col("__h").alias("__kh")).agg(F.first("__text").alias("__text"))
-    one_text = texts.join(wanted, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")))
+    one_text = keyed.withColumnsRenamed({"__id": "__ki", "__h": "__kh"}).join(wanted, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")))
     members = one_text.select("node", "family", "sketch", "__text").mapInArrow(_members(shingle), "node long, family long, sketch binary, shingles binary")
     members = staged(members.join(sized, F.col("family") == F.col("__l")).drop("__l"), "members")
     hubs = F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("blocks") * BLOCK / HUB)) == 0

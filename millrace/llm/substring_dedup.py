@@ -103,11 +103,12 @@ def _extended_schema(width: int) -> str:
 def _extended(width: int):
     """The long windows of the runs that a row names (start, lead, n, anchor, copies), each with its extended windows.
 
-    ``h16``: the hash of the window of 16 words; ``new16``: this row is the first in its run with that window.
+    ``h16``: the hash of the window of 16 words; ``new16``: this row is the first in its run with that window. A row
+    listed often is one here: the join before brings its copies to one task, or to few where it is split.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in words.of(batches, 2):
+        for batch, w in words.of(words.once(batches, 0, 1), 2):
             runs = batch.column(3)
             flat, listed = runs.flatten(), np.diff(runs.offsets.to_numpy())
             text = np.repeat(np.arange(batch.num_rows), listed)
@@ -147,8 +148,7 @@ def repeated_runs(keyed: DataFrame, width: int) -> DataFrame:
     chosen = found.where("mixed").groupBy("anchor", "span").agg(one).select("r.*", "anchor")
     listed = chosen.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "lead", "n", "anchor", "copies")).alias("__runs"))
     settled = found.where("copies > 1").select(*_KEY, "start", "n")
-    texts = keyed.groupBy(*_KEY).agg(F.first("__text").alias("__text"))  # a row listed often is one text here
-    rows = staged(texts.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_extended(width), _extended_schema(width)), "extended")
+    rows = staged(keyed.join(listed, _KEY).select(*_KEY, "__text", "__runs").mapInArrow(_extended(width), _extended_schema(width)), "extended")
     for m in _further(width):
         if rows.isEmpty():
             break

@@ -114,6 +114,15 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Ite
         at = to
 
 
+def once(batches: Iterable[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose key, which these columns make, no earlier row of the task has."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in columns))
+        new = [k not in seen and not seen.add(k) for k in keys]
+        yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+
 def of(batches: Iterable[pa.RecordBatch], column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Each slice of the batches with its words."""
     for batch in batches:
