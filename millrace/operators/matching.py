@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import units
+from millrace.operators.retrieval import hash_embedding
+from millrace.operators.substrings import holders
+from millrace.operators.text_features import materials, processes
+from millrace.sources.tables import checkpointed
 
 
 def keywords(text: Column, n: int = 3) -> Column:
-    """The first ``n`` words of a name that have more than two characters among its first ``n`` words."""
-    return F.filter(F.slice(F.split(F.lower(text), " "), 1, n), lambda w: F.length(w) > 2)
+    """Those of the first ``n`` words of a name, in lower case, that have more than two characters."""
+    return F.filter(F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0)), 1, n), lambda w: F.length(w) > 2)
 
 
 def exact(flows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -23,68 +29,167 @@ def search_names(catalog: DataFrame, term: str, n: int = 20) -> DataFrame:
     return catalog.where(F.contains(F.lower("name"), F.lit(term.lower()))).orderBy("name", "uuid").limit(n)
 
 
-def is_waste(categories: Column) -> Column:
-    """Whether any of a catalog flow's categories names waste."""
-    return F.exists(categories, lambda c: F.rlike(c, F.lit("(?i)brushed|waste")))
+# What catalog flows the recorded categories may match.
+MATERIAL, MATERIAL_TYPES = ("Raw Material", "Gas", "Cooling Media"), ("PRODUCT_FLOW", "ELEMENTARY_FLOW")
+ENERGY = ("Process Energy", "Post-processing Energy", "Feedstock Energy")
+ENERGY_NAMES, ENERGY_CATEGORIES = "(?i)electricity|energy|power", ("Energy carriers and technologies",)
+EMISSION, EMISSION_TYPE, EMISSION_CATEGORIES = "Emission", "ELEMENTARY_FLOW", ("Emission to air", "Emission to water", "Emission to soil")
+WASTE, WASTE_TYPE, WASTE_CATEGORIES = "Waste", "WASTE_FLOW", "(?i)waste"
 
 
-def category_filter(category: Column, flow_type: Column, waste: Column) -> Column:
-    """Which catalog flows a recorded category may match: energy, gas, waste and emission have rules, others none."""
+def rule_of(category: Column) -> Column:
+    """The name of the rule that a recorded category sets; ``any`` where it sets none."""
     return (
-        F.when(category.endswith("Energy"), flow_type == "PRODUCT_FLOW").when(category == "Gas", flow_type.isin("PRODUCT_FLOW", "ELEMENTARY_FLOW"))
-        .when(category == "Waste", (flow_type == "WASTE_FLOW") | waste).when(category == "Emission", flow_type == "ELEMENTARY_FLOW").otherwise(F.lit(True))
+        F.when(category.isin(*MATERIAL), "material").when(category.isin(*ENERGY), "energy").when(category == EMISSION, "emission")
+        .when(category == WASTE, "waste").otherwise("any")
     )
 
 
+def rules(name: Column, flow_type: Column, categories: Column) -> Column:
+    """The names of the rules that a catalog flow fits; ``any`` always. Nulls fit nothing else."""
+    listed = lambda known: F.arrays_overlap(categories, F.array(*[F.lit(c) for c in known]))
+    fits = {
+        "material": flow_type.isin(*MATERIAL_TYPES), "energy": F.coalesce(F.rlike(name, F.lit(ENERGY_NAMES)), F.lit(False)) | F.coalesce(listed(ENERGY_CATEGORIES), F.lit(False)),
+        "emission": (flow_type == EMISSION_TYPE) & listed(EMISSION_CATEGORIES),
+        "waste": F.coalesce(flow_type == WASTE_TYPE, F.lit(False)) | F.coalesce(F.exists(categories, lambda c: F.rlike(c, F.lit(WASTE_CATEGORIES))), F.lit(False)),
+    }
+    return F.array_compact(F.array(F.lit("any"), *[F.when(fit, F.lit(rule)) for rule, fit in fits.items()]))
+
+
+def needles(name: Column) -> Column:
+    """What a catalog name must hold one of: the whole name asked for, or one of its keywords."""
+    return F.array_distinct(F.concat(F.array(F.lower(name)), keywords(name)))
+
+
 def candidates(flows: DataFrame, catalog: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
-    """(query_id, uuid, fits, rank): at most ``most`` catalog flows that share a keyword with each query.
+    """(query_id, uuid, fits, rank): the first ``most`` catalog flows whose names hold a query's name or one of its keywords.
 
-    Those that fit the category come alone where there are ``least``, else all. They are ranked by how many keywords they
-    share, then by their names' lengths and uuids. Words meet by an equi-join with distinct names; of equal names with
-    equal kinds only the first ``most`` can be candidates, so a frequent word brings no more than these for each name.
+    Those that fit the category's rule come alone where there are ``least``, else all. First are short names, then the
+    alphabet's, then uuids: an order that depends on no query, so the first ``most`` for a name, for a string and a rule,
+    and for a query follow from each other, and each step hands on no more than these. Strings are looked up once however
+    many queries ask them, by :func:`millrace.operators.substrings.holders`. Null and blank names have no candidates;
+    flows without a name are none.
     """
-    q = flows.select("query_id", "category", F.explode(F.array_distinct(keywords(F.col("name")))).alias("word"))
-    kinds = Window.partitionBy("__name", "flow_type", "__waste").orderBy("uuid")
-    c = catalog.select("uuid", "flow_type", is_waste(F.col("categories")).alias("__waste"), F.lower("name").alias("__name"))
-    c = c.withColumn("__k", F.row_number().over(kinds)).where(F.col("__k") <= most).drop("__k")
-    names = c.select("__name").distinct().select(F.col("__name").alias("__n"), F.explode(F.array_distinct(F.split("__name", " "))).alias("__w"))
-    shared = q.join(names, F.col("word") == F.col("__w")).groupBy("query_id", "category", "__n").agg(F.count("*").alias("__shared"))
-    hits = shared.join(c, F.col("__n") == F.col("__name")).withColumn("fits", category_filter(F.col("category"), F.col("flow_type"), F.col("__waste")))
-    order = F.desc("__shared"), F.length("__name"), "uuid"
-    hits = hits.withColumn("__fit", F.row_number().over(Window.partitionBy("query_id", "fits").orderBy(*order))).withColumn("__all", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    hits = hits.where((F.col("fits") & (F.col("__fit") <= most)) | (F.col("__all") <= most))
-    enough = F.max(F.when(F.col("fits"), F.col("__fit"))).over(Window.partitionBy("query_id")) >= least
-    hits = hits.withColumn("rank", F.when(F.coalesce(enough, F.lit(False)), F.when(F.col("fits"), F.col("__fit"))).otherwise(F.col("__all")))
-    return hits.where(F.col("rank") <= most).select("query_id", "uuid", "fits", "rank")
-
-
-def match_flows(flows: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, uuid, rank, similarity, unit, compatible): the stages of matching, one after the other.
-
-    ``flows`` (query_id, name, category, unit, q) with an equal name in ``catalog`` (uuid, name, flow_type, categories,
-    unit, v) match that alone, with similarity 1. Others rank their :func:`candidates` by cosine; of the best ``k`` those
-    in a compatible unit stay, or all where none is.
+    flows = flows.where(F.length(F.trim("name")) > 0).select("query_id", rule_of(F.col("category")).alias("rule"), needles(F.col("name")).alias("__needles"))
+    asked = flows.select("query_id", "rule", F.explode("__needles").alias("needle"))
+    known = catalog.where("name IS NOT NULL").select("uuid", F.lower("name").alias("name"), rules(F.col("name"), F.col("flow_type"), F.col("categories")).alias("__fits"))
+    known = known.withColumn("__rule", F.explode("__fits"))
+    firsts = known.withColumn("__k", F.row_number().over(Window.partitionBy("name", "__rule").orderBy("uuid"))).where(F.col("__k") <= most)
+    firsts = firsts.select(F.col("name").alias("__name"), "uuid", "__rule", "__fits")
+    held = holders(asked, known.select("name")).withColumnRenamed("needle", "__needle")
+    order = F.length("__name"), "__name", "uuid"
+    each = held.join(firsts, F.col("name") == F.col("__name")).drop("name")
+    each = each.withColumn("__k", F.row_number().over(Window.partitionBy("__needle", "__rule").orderBy(*order))).where(F.col("__k") <= most)
+    hits = asked.join(each, (F.col("needle") == F.col("__needle")) & F.col("__rule").isin("any", F.col("rule")))
+    hits = hits.select("query_id", "rule", "__rule", "__name", "uuid", F.array_contains("__fits", F.col("rule")).alias("fits")).distinct()
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "__rule").orderBy(*order))).where(F.col("rank") <= most)
+    own = F.col("rule") == F.col("__rule")
+    enough = F.coalesce(F.max(F.when(own, F.col("rank"))).over(Window.partitionBy("query_id")) >= least, F.lit(False))
+    hits = hits.withColumn("__enough", enough).where(F.when(F.col("__enough"), own).otherwise(F.col("__rule") == "any"))
+    return hits.select("query_id", "uuid", "fits", "rank")
+
+
+def ranked(flows: DataFrame, catalog: DataFrame, dims: int = 64) -> DataFrame:
+    """(query_id, uuid, similarity, unit): what each flow may match, in the catalog flows' units.
+
+    ``flows`` (query_id, name, category, q, query) with an equal name in ``catalog`` (uuid, name, flow_type, categories,
+    unit, v, text) match that alone, with similarity 1. Others have all of their :func:`candidates` with cosines. Flows
+    without a vector have one made from their text, queries from ``query``, of ``dims`` entries.
     """
     found = exact(flows, catalog)
-    one = found.where("uuid IS NOT NULL").select("query_id", "uuid", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity"), F.col("unit").alias("__qu"))
+    one = found.where("uuid IS NOT NULL").select("query_id", "uuid", F.lit(1.0).alias("similarity"))
     rest = found.where("uuid IS NULL").drop("uuid")
-    pairs = candidates(rest, catalog).select("query_id", "uuid").join(rest.select("query_id", "q", F.col("unit").alias("__qu")), "query_id").join(catalog.select("uuid", "v"), "uuid")
-    ranked = top_k(pairs.withColumn("similarity", F.round(cosine(F.col("q"), F.col("v"), 1e-8), 9)), ["query_id"], "similarity", ["uuid"], k)
-    both = one.unionByName(ranked.select(*one.columns)).join(catalog.select("uuid", "unit"), "uuid")
-    return keep_compatible(both, "__qu", "unit").select("query_id", "uuid", "rank", F.round("similarity", 6).alias("similarity"), "unit", "compatible")
+    with_norm = lambda df, v, text: df.withColumn("__v", F.coalesce(v, hash_embedding(F.coalesce(text, F.lit("")), dims))).withColumn("__n", norm(F.col("__v")))
+    asked = with_norm(rest, F.col("q"), F.col("query")).select("query_id", F.col("__v").alias("__q"), F.col("__n").alias("__qn"))
+    known = with_norm(catalog, F.col("v"), F.col("text")).select("uuid", "__v", "__n")
+    pairs = candidates(rest, catalog).select("query_id", "uuid").join(known, "uuid").join(asked, "query_id")
+    cosine = dot(F.col("__q"), F.col("__v")) / (F.col("__qn") * F.col("__n") + 1e-8)
+    return one.unionByName(pairs.select("query_id", "uuid", F.round(cosine, 9).alias("similarity"))).join(catalog.select("uuid", "unit", *_unit_columns("unit", "__c")), "uuid")
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+def match_flows(flows: DataFrame, catalog: DataFrame, k: int = 5, dims: int = 64) -> DataFrame:
+    """(query_id, uuid, rank, similarity, unit, compatible): the stages of matching, one after the other.
+
+    ``flows`` also have the ``unit`` that they ask for. Of what :func:`ranked` finds those in a compatible unit stay, or all
+    where none is or no unit is asked; then the best ``k`` are taken. An exact match stays whatever its unit.
+    """
+    both = ranked(flows, catalog, dims).join(flows.select("query_id", F.col("unit").alias("__qu"), *_unit_columns("unit", "__a")), "query_id")
+    kept = _kept(both, _comparable("__a", "__c"), "__qu")
+    return top_k(kept, ["query_id"], "similarity", ["uuid"], k).select("query_id", "uuid", "rank", F.round("similarity", 6).alias("similarity"), "unit", "compatible")
+
+
+def functional_units(scopes: DataFrame, flows: DataFrame) -> DataFrame:
+    """(session_id, functional_unit): a session's scope with the names of its raw materials.
+
+    ``scopes`` (session_id, seq, description, parameter_name), the first of which counts; ``flows`` (session_id, name,
+    category, seq). Names come in the order of ``seq``, repeated ones once each time; sessions with neither have no row.
+    """
+    first = F.min_by(F.coalesce(F.nullif("description", F.lit("")), F.col("parameter_name")), "seq")
+    scoped = scopes.groupBy(F.col("session_id").alias("__s")).agg(F.coalesce(first, F.lit("")).alias("__unit"))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("name", F.lit("")).alias("name")))), lambda r: r["name"]), ", ")
+    raw = flows.where("category = 'Raw Material'").groupBy("session_id").agg(named.alias("__materials"))
+    both = raw.join(scoped, F.col("session_id") == F.col("__s"), "full").withColumn("session_id", F.coalesce("session_id", "__s"))
+    unit = (
+        F.when(F.col("__materials").isNull(), F.col("__unit")).when(F.coalesce("__unit", F.lit("")) == "", F.concat(F.lit("Materials: "), "__materials"))
+        .otherwise(F.concat("__unit", F.lit(" (materials: "), "__materials", F.lit(")")))
+    )
+    return both.select("session_id", unit.alias("functional_unit"))
+
+
+def context_query(name: Column, category: Column, unit: Column, note: Column, chunk: Column) -> Column:
+    """What a flow is asked by: its name, materials of the functional unit, processes of the note, two materials of the chunk, its category.
+
+    Parts are distinct but for case; those of one character are left out. Without any context it is name and category.
+    """
+    chunk = F.when(F.length(chunk) > 10, chunk)
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.array(name), F.coalesce(materials(unit), none), F.coalesce(processes(note), none), F.coalesce(F.slice(materials(chunk), 1, 2), none), F.array(category))
+    # the parts are made once, as the one entry of an array, and looked at from there
+    named = F.transform(F.array(F.filter(parts, lambda p: F.length(p) > 1)), lambda ps: F.struct(ps.alias("ps"), F.transform(ps, lambda p: F.lower(p)).alias("low")))
+    unique = F.transform(named, lambda s: F.array_join(F.filter(s["ps"], lambda p, i: F.array_position(s["low"], F.lower(p)) == i + 1), " "))
+    return F.get(unique, F.lit(0))
+
+
+def batch_match(flows: DataFrame, scopes: DataFrame, catalog: DataFrame, k: int = 3, dims: int = 64) -> DataFrame:
+    """Every recorded flow with its matches, an array of struct(rank, uuid, similarity, unit, compatible), and why it has none.
+
+    ``flows`` (session_id, seq, name, category, unit, note, chunk and more). Products are not matched. Flows that ask the
+    same, by name, category and context, are ranked once, and filtered once for each unit, as by :func:`match_flows`.
+    """
+    rows = flows.join(functional_units(scopes, flows), "session_id", "left")
+    context = F.coalesce("functional_unit", "note", "chunk").isNotNull()
+    plain = F.concat_ws(" ", "name", "category")
+    query = F.when(context, context_query(F.col("name"), F.col("category"), F.col("functional_unit"), F.col("note"), F.col("chunk"))).otherwise(plain)
+    id_of = lambda *key: F.sha2(F.to_json(F.struct(*key)), 256)
+    rows = rows.withColumn("query", query)
+    rows = rows.withColumn("query_id", id_of("name", "category", "query")).withColumn("__ask", id_of("query_id", "unit"))
+    asked = rows.where(F.coalesce(F.col("category") != "Product", F.lit(True)))
+    each = checkpointed(asked.select("query_id", "name", "category", "query").distinct())  # read by many look-ups
+    found = ranked(each.withColumn("q", F.lit(None).cast("array<double>")), catalog, dims)
+    units_asked = asked.select(F.col("query_id").alias("__id"), "__ask", F.col("unit").alias("__qu")).distinct().select("*", *_unit_columns("__qu", "__a"))
+    both = found.join(units_asked, F.col("query_id") == F.col("__id")).drop("query_id", "__id").withColumnRenamed("__ask", "query_id")
+    got = top_k(_kept(both, _comparable("__a", "__c"), "__qu"), ["query_id"], "similarity", ["uuid"], k).withColumn("similarity", F.round("similarity", 6))
+    got = got.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "uuid", "similarity", "unit", "compatible"))).alias("__m"))
+    product = F.coalesce(F.col("category") == "Product", F.lit(False))
+    out = rows.join(got.withColumnRenamed("query_id", "__id"), (F.col("__ask") == F.col("__id")) & ~product, "left")
+    empty = F.array().cast(got.schema["__m"].dataType)
+    return out.select(*flows.columns, "query", F.coalesce("__m", empty).alias("matches"), F.when(product, SKIPPED).alias("skipped"))
+
+
+#: Fixed value: why products have no match.
+SKIPPED = "Product flows are system outputs, not environmental flows"
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
-def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
-    """Cosine similarity of two arrays of double; ``eps`` keeps zero vectors finite."""
-    return dot(a, b) / (norm(a) * norm(b) + eps)
+@F.arrow_udf("double")
+def dot(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Products of vectors of one length, a batch at a time."""
+    n = len(a)
+    left, right = (x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for x in (a, b))
+    return pa.array(np.einsum("ij,ij->i", left, right))
 
 
 def similarity_of_distance(d: Column) -> Column:
@@ -98,57 +203,49 @@ def top_k(scored: DataFrame, by: list[str], score: str, tie: list[str], k: int)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that ride along with a corpus row in one array.
-QUERY_BLOCK = 1024
+def match_quality(best: DataFrame, least: float) -> DataFrame:
+    """One row: queries, those whose best match (score) has ``least`` similarity, their share, and their mean best similarity."""
+    hit = F.col("score") >= least
+    return best.agg(
+        F.count("*").alias("total"), F.count_if(hit).alias("matched"), F.round(F.count_if(hit) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"),
+        F.round(F.coalesce(F.avg(F.when(hit, F.col("score"))), F.lit(0.0)), 6).alias("mean_similarity"),
+    )
 
 
-def against_all(queries: DataFrame, corpus: DataFrame, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Every corpus row with every query of a stated set: query_id and q beside the corpus' columns.
+def match_processes(asked: DataFrame, processes: DataFrame, k: int = 5, most: int = 500, dims: int = 64) -> DataFrame:
+    """(query_id, uuid, rank, similarity): the ``k`` best processes for a name and a location.
 
-    Queries go in arrays of about ``query_block``. One such array is broadcast, its size being bounded; of more, each
-    meets the corpus in shares dealt by ``vec_id``, so that no task holds all of either side.
+    ``asked`` (query_id, name, location), ``processes`` (uuid, name, categories). The first ``most`` processes by uuid are
+    candidates, a bound that makes them small enough to go to every task; texts are name and location, name and categories.
     """
-    spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // query_block))
-    packed = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("__block").agg(F.collect_list(F.struct("query_id", "q")).alias("__qs"))
-    if blocks == 1:
-        rows = corpus.join(F.broadcast(packed))
-    else:
-        shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        packed = packed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumnsRenamed({"__block": "__b", "__share": "__s"})
-        dealt = corpus.withColumn("__share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        rows = dealt.join(packed, (F.col("__block") == F.col("__b")) & (F.col("__share") == F.col("__s"))).drop("__share", "__s", "__b")
-    return rows.withColumn("__q", F.explode("__qs")).select(*corpus.columns, "__q.query_id", "__q.q")
-
-
-def similarities(queries: DataFrame, corpus: DataFrame, eps: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, similarity) of a stated query set (query_id, q) and all corpus rows (vec_id, v) but a query itself."""
-    rows = against_all(queries, corpus).where(F.col("query_id") != F.col("vec_id"))
-    return rows.select("query_id", "vec_id", cosine(F.col("q"), F.col("v"), eps).alias("similarity"))
-
-
-def distances(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, vec_id, distance) likewise, by Euclid."""
-    rows = against_all(queries, corpus).where(F.col("query_id") != F.col("vec_id"))
-    d = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
-    return rows.select("query_id", "vec_id", d.alias("distance"))
-
-
-def match_quality(ranked: DataFrame, least: float) -> DataFrame:
-    """One row: queries, those whose best match has ``least`` similarity, their share, and their mean best similarity."""
-    best = ranked.groupBy("query_id").agg(F.max("similarity").alias("best"))
-    hit = F.col("best") >= least
-    return best.agg(
-        F.count("*").alias("total"), F.count_if(hit).alias("matched"), F.round(F.count_if(hit) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"),
-        F.round(F.coalesce(F.avg(F.when(hit, F.col("best"))), F.lit(0.0)), 6).alias("mean_similarity"),
-    )
+    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), "categories")
+    with_norm = lambda df, text: df.withColumn("__v", hash_embedding(text, dims)).withColumn("__n", norm(F.col("__v")))
+    known = with_norm(processes.orderBy("uuid").limit(most), text).select("uuid", "__v", "__n")
+    rows = with_norm(asked, F.concat_ws(" ", "name", F.nullif("location", F.lit("")))).select("query_id", F.col("__v").alias("__q"), F.col("__n").alias("__qn"))
+    pairs = rows.join(F.broadcast(known)).withColumn("similarity", F.round(dot(F.col("__q"), F.col("__v")) / (F.col("__qn") * F.col("__n")), 9))
+    return top_k(pairs, ["query_id"], "similarity", ["uuid"], k).select("query_id", "uuid", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def keep_compatible(matches: DataFrame, query_unit: str, unit: str) -> DataFrame:
-    """Unit-compatible matches of each query; all of them where none is compatible."""
-    rows = matches.withColumn("compatible", units.compatible(F.col(query_unit), F.col(unit)))
+    """Unit-compatible matches of each query; all of them where none is compatible or the query has no unit."""
+    return _kept(matches, units.compatible(F.col(query_unit), F.col(unit)), query_unit)
+
+
+def _unit_columns(unit: str, name: str) -> list[Column]:
+    """A unit's group and normal form, made before rows meet."""
+    return [units.group(F.col(unit)).alias(f"{name}g"), units.normalize(F.col(unit)).alias(f"{name}n")]
+
+
+def _comparable(a: str, b: str) -> Column:
+    """What :func:`millrace.functions.units.compatible` says, by the columns of :func:`_unit_columns`."""
+    return F.coalesce(F.col(f"{a}g") == F.col(f"{b}g"), F.col(f"{a}n") == F.col(f"{b}n"))
+
+
+def _kept(matches: DataFrame, compatible: Column, query_unit: str) -> DataFrame:
+    rows = matches.withColumn("compatible", compatible)
     some = F.max("compatible").over(Window.partitionBy("query_id"))
-    return rows.withColumn("__some", some).where(F.col("compatible") | ~F.col("__some")).drop("__some")
+    asked = F.length(F.trim(F.coalesce(query_unit, F.lit("")))) > 0
+    return rows.withColumn("__some", some).where(F.col("compatible") | ~F.col("__some") | ~asked).drop("__some")
 
 
 def first_mapping(mapping: DataFrame, keys: list[str]) -> DataFrame:

@@ -115,9 +115,9 @@ def catalog_keyword_hits(catalog: DataFrame, term: str) -> DataFrame:
 
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """A deterministic vector from the bytes of the text's md5, each divided by 255, repeated over ``dims``."""
-    digest = F.md5(text.cast("binary"))
-    byte = lambda i: F.conv(F.substring(digest, (i % 16) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), byte)
+    byte = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
+    once = F.transform(F.array(F.md5(text.cast("binary"))), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: byte(digest, i)))
+    return F.slice(F.flatten(F.flatten(F.array_repeat(once, -(-dims // 16)))), 1, dims)
 
 
 def backfill(rows: DataFrame, dims: int) -> DataFrame:

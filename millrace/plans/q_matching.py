@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import units
 from millrace.operators import matching as M
+from millrace.operators import prompts as P
+from millrace.operators.vectors import nearest
 from millrace.plans import views as V
 
 QUERIES: dict = {}
@@ -227,40 +229,58 @@ def _(spark, sf):
 
 
 def _flow_queries(spark, sf):
-    p = V.table(spark, sf, "part").where("p_partkey % 50 = 0")
-    return p.select(C("p_partkey").alias("query_id"), C("p_name").alias("name"), V.pick(V.CATEGORIES, C("p_partkey") / 50 % 10).alias("category"))
-
-
-_FQ = f"""q AS (SELECT p_partkey AS query_id, p_name AS name, {V._CATEGORY.format('p_partkey // 50 % 10')} AS category FROM part WHERE p_partkey % 50 = 0),
-qw AS (SELECT DISTINCT query_id, category, w FROM (SELECT query_id, category, unnest(string_split(lower(name), ' ')[1:3]) AS w FROM q) WHERE length(w) > 2),
-cw AS (SELECT DISTINCT uuid, length(name) AS len, unnest(string_split(lower(name), ' ')) AS w FROM v_catalog),
-h AS (SELECT query_id, category, uuid, len, count(*) AS shared FROM qw JOIN cw USING (w) GROUP BY ALL),
-f AS (SELECT h.*, CASE WHEN h.category LIKE '%Energy' THEN flow_type = 'PRODUCT_FLOW' WHEN h.category = 'Gas' THEN flow_type IN ('PRODUCT_FLOW', 'ELEMENTARY_FLOW')
-  WHEN h.category = 'Waste' THEN flow_type = 'WASTE_FLOW' OR len(list_filter(categories, lambda c: regexp_matches(c, '(?i)brushed|waste'))) > 0 WHEN h.category = 'Emission' THEN flow_type = 'ELEMENTARY_FLOW' ELSE true END AS fits
-  FROM h JOIN v_catalog USING (uuid)), g AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY query_id) >= 10 AS enough FROM f),
-cand AS (SELECT query_id, uuid, fits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, len, uuid) AS INTEGER) AS rank FROM g WHERE fits OR NOT enough QUALIFY rank <= 100)"""
-
-
-@add("flow_keyword_candidates", f"WITH {V.CATALOG}, {_FQ} SELECT query_id, uuid, fits, rank FROM cand")
+    """Every part whose id is divisible by 100 asks: by its name, an inner piece of it, with a word more, or by a word's beginning."""
+    p, k = V.table(spark, sf, "part").where("p_partkey % 100 = 0"), F.floor(C("p_partkey") / 100)
+    n = C("p_name")
+    name = (
+        F.when(k % 4 == 0, n).when(k % 4 == 1, F.substr(n, F.lit(2), F.length(n) - 2)).when(k % 4 == 2, F.concat(n, F.lit(" x")))
+        .otherwise(F.concat(F.substring(F.split(n, " ")[1], 1, 3), F.lit(" item")))
+    )
+    return p.select(C("p_partkey").alias("query_id"), name.alias("name"), V.pick(V.CATEGORIES, k % 10).alias("category"), V.pick(("kg", "kWh", "L"), C("p_partkey") % 3).alias("unit"))
+
+
+_FQ = f"""q AS (SELECT p_partkey AS query_id, CASE p_partkey // 100 % 4 WHEN 0 THEN p_name WHEN 1 THEN substring(p_name, 2, length(p_name) - 2) WHEN 2 THEN p_name || ' x'
+  ELSE substring(string_split(p_name, ' ')[2], 1, 3) || ' item' END AS name, {V._CATEGORY.format('p_partkey // 100 % 10')} AS category, list_extract(['kg','kWh','L'], CAST(p_partkey % 3 AS INTEGER) + 1) AS qu
+  FROM part WHERE p_partkey % 100 = 0)"""
+#: Of queries q (query_id, name, category): cand.
+_CAND = r"""fl AS (SELECT uuid, lower(name) AS n, flow_type IN ('PRODUCT_FLOW', 'ELEMENTARY_FLOW') AS material, regexp_matches(name, '(?i)electricity|energy|power') OR list_contains(categories, 'Energy carriers and technologies') AS energy,
+  flow_type = 'ELEMENTARY_FLOW' AND list_has_any(categories, ['Emission to air', 'Emission to water', 'Emission to soil']) AS emission, flow_type = 'WASTE_FLOW' OR len(list_filter(categories, lambda c: contains(lower(c), 'waste'))) > 0 AS waste FROM v_catalog),
+ks AS (SELECT *, lower(name) AS phrase, list_filter(regexp_extract_all(lower(name), '\S+')[1:3], lambda w: length(w) > 2) AS kw FROM q),
+h AS (SELECT query_id, uuid, n, CASE WHEN category IN ('Raw Material', 'Gas', 'Cooling Media') THEN material WHEN category IN ('Process Energy', 'Post-processing Energy', 'Feedstock Energy') THEN energy
+  WHEN category = 'Emission' THEN emission WHEN category = 'Waste' THEN waste ELSE true END AS fits FROM ks, fl WHERE contains(n, phrase) OR (len(kw) > 0 AND contains(n, kw[1])) OR (len(kw) > 1 AND contains(n, kw[2])) OR (len(kw) > 2 AND contains(n, kw[3]))),
+g AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY query_id) >= 10 AS enough FROM h),
+cand AS (SELECT query_id, uuid, fits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(n), n, uuid) AS INTEGER) AS rank FROM g WHERE fits OR NOT enough QUALIFY rank <= 100)""".replace("\\\\", "\\")
+_H64 = "list_transform(generate_series(0, 63), lambda i: CAST(('0x' || md5({0})[i % 16 * 2 + 1 : i % 16 * 2 + 2]) AS INTEGER) / 255::DOUBLE)"
+#: Of queries q (query_id, name, category, v): sims (query_id, uuid, sim), exact matches with 1.
+_SIMS = f"""{_CAND}, ct AS (SELECT uuid, name || ' ' || array_to_string(categories, ' ') || ' ' || substring(category, 1, 200) AS t, embedding FROM v_catalog LEFT JOIN embeddings ON vec_id = p_partkey),
+cv AS (SELECT uuid, coalesce(CAST(embedding AS DOUBLE[]), {_H64.format('t')}) AS v FROM ct), eq AS (SELECT lower(name) AS k, min(uuid) AS uuid FROM v_catalog GROUP BY 1),
+one AS (SELECT query_id, eq.uuid FROM q JOIN eq ON eq.k = lower(q.name)),
+sims AS (SELECT query_id, uuid, 1.0::DOUBLE AS sim FROM one UNION ALL SELECT query_id, uuid, round(list_inner_product(q.v, cv.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(cv.v, cv.v)) + 1e-8), 9)
+  FROM cand JOIN q USING (query_id) JOIN cv USING (uuid) WHERE query_id NOT IN (SELECT query_id FROM one))"""
+_COMPATIBLE = f"CASE WHEN a.g IS NULL OR b.g IS NULL THEN {NORM.format('unit')} = {NORM.format('qu')} ELSE a.g = b.g END AS compatible"
+_GROUPS = f"LEFT JOIN unit_groups a ON a.u = {NORM.format('qu')} LEFT JOIN unit_groups b ON b.u = {NORM.format('unit')}"
+
+
+@add("flow_keyword_candidates", f"WITH {V.CATALOG}, {_FQ}, {_CAND} SELECT query_id, uuid, fits, rank FROM cand")
 def _(spark, sf):
     return M.candidates(_flow_queries(spark, sf), V.catalog(spark, sf))
 
 
-@add("flow_matching", f"""WITH {V.CATALOG}, {units.SQL}, {_FQ.replace("p_name AS name", "CASE WHEN p_partkey % 100 = 0 THEN p_name || ' x' ELSE p_name END AS name")}, v AS (SELECT CAST(vec_id AS VARCHAR) AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-n AS (SELECT lower(name) AS k, min(uuid) AS uuid FROM v_catalog SEMI JOIN v USING (uuid) GROUP BY 1), qv AS (SELECT q.*, v.v, list_extract(['kg','kWh','L'], CAST(query_id % 3 AS INTEGER) + 1) AS qu FROM q JOIN v ON v.uuid = CAST(query_id AS VARCHAR)),
-one AS (SELECT query_id, n.uuid, 1 AS rank, 1.0::DOUBLE AS sim, qu FROM qv JOIN n ON n.k = lower(name)), vh AS (SELECT h.* FROM h JOIN v USING (uuid)),
-vf AS (SELECT f.*, count(*) FILTER (fits) OVER (PARTITION BY query_id) >= 10 AS enough FROM f SEMI JOIN v USING (uuid)),
-vc AS (SELECT query_id, uuid, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, len, uuid) AS r FROM vf WHERE fits OR NOT enough QUALIFY r <= 100),
-p AS (SELECT qv.query_id, vc.uuid, qu, round(list_inner_product(qv.v, v.v) / (sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(v.v, v.v)) + 1e-8), 9) AS sim FROM qv JOIN vc USING (query_id) JOIN v ON v.uuid = vc.uuid WHERE query_id NOT IN (SELECT query_id FROM one)),
-r AS (SELECT query_id, uuid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uuid) AS INTEGER) AS rank, sim, qu FROM p QUALIFY rank <= 5), m AS (SELECT x.*, c.unit FROM (SELECT * FROM one UNION ALL SELECT * FROM r) x JOIN v_catalog c USING (uuid)),
-k AS (SELECT m.*, CASE WHEN a.g IS NULL OR b.g IS NULL THEN {NORM.format('unit')} = {NORM.format('qu')} ELSE a.g = b.g END AS compatible FROM m LEFT JOIN unit_groups a ON a.u = {NORM.format('qu')} LEFT JOIN unit_groups b ON b.u = {NORM.format('unit')})
-SELECT query_id, uuid, rank, round(sim, 6) AS similarity, unit, compatible FROM k QUALIFY compatible OR NOT bool_or(compatible) OVER (PARTITION BY query_id)""")
+def _catalog_texts(spark, sf):
+    """The catalog with its vectors, where there are any, and the texts that others are made from."""
+    e = V.table(spark, sf, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("v"))
+    rows = V.catalog(spark, sf).join(e, C("p_partkey") == C("vec_id"), "left")
+    return rows.withColumn("text", P.flow_text(C("name"), C("categories"), C("category")))
+
+
+@add("flow_matching", f"""WITH {V.CATALOG}, {units.SQL}, {_FQ.replace("q AS", "q0 AS")}, q AS (SELECT q0.*, coalesce(CAST(embedding AS DOUBLE[]), {_H64.format("name || ' ' || category")}) AS v FROM q0 LEFT JOIN embeddings ON vec_id = query_id), {_SIMS},
+k AS (SELECT query_id, uuid, sim, unit, {_COMPATIBLE} FROM sims JOIN q USING (query_id) JOIN v_catalog c USING (uuid) {_GROUPS}),
+f AS (SELECT * FROM k QUALIFY compatible OR NOT bool_or(compatible) OVER (PARTITION BY query_id))
+SELECT query_id, uuid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uuid) AS INTEGER) AS rank, round(sim, 6) AS similarity, unit, compatible FROM f QUALIFY rank <= 5""")
 def _(spark, sf):
-    vectors = V.table(spark, sf, "embeddings").select(C("vec_id").cast("string").alias("uuid"), C("embedding").cast("array<double>").alias("v"))
-    catalog = V.catalog(spark, sf).join(vectors, "uuid")
-    asked = _flow_queries(spark, sf).withColumn("name", F.when(C("query_id") % 100 == 0, F.concat("name", F.lit(" x"))).otherwise(C("name"))).withColumn("unit", V.pick(("kg", "kWh", "L"), C("query_id") % 3))
-    asked = asked.join(vectors.select(C("uuid").alias("__u"), C("v").alias("q")), C("query_id").cast("string") == C("__u")).drop("__u")
-    return M.match_flows(asked, catalog)
+    e = V.table(spark, sf, "embeddings").select(C("vec_id").alias("__v"), C("embedding").cast("array<double>").alias("q"))
+    asked = _flow_queries(spark, sf).withColumn("query", F.concat_ws(" ", "name", "category")).join(e, C("query_id") == C("__v"), "left").drop("__v")
+    return M.match_flows(asked, _catalog_texts(spark, sf))
 
 
 def _vectors(spark, sf):
@@ -275,70 +295,100 @@ _VEC = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM
 
 @add("flow_match_topk", _VEC.format(eps="1e-8") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
 def _(spark, sf):
-    q, c = _vectors(spark, sf)
-    s = M.similarities(q, c, 1e-8).withColumn("similarity", F.round("similarity", 9))
-    return M.top_k(s, ["query_id"], "similarity", ["vec_id"], 5).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+    return nearest(*_vectors(spark, sf), 5, eps=1e-8).select("query_id", "vec_id", "rank", F.round("score", 6).alias("similarity"))
 
 
-@add("vector_threshold_topk", _VEC.format(eps="0") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s WHERE sim >= 0.1) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+@add("vector_threshold_topk", _VEC.format(eps="0") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s WHERE sim >= 0.1) SELECT query_id, vec_id, label, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def _(spark, sf):
-    q, c = _vectors(spark, sf)
-    s = M.similarities(q, c).where("similarity >= 0.1").withColumn("similarity", F.round("similarity", 9))
-    return M.top_k(s, ["query_id"], "similarity", ["vec_id"], 10).select("query_id", "vec_id", "rank")
+    return nearest(*_vectors(spark, sf), 10, least=0.1, carry=("label",)).select("query_id", "vec_id", "label", "rank")
 
 
-@add("process_match", _VEC.format(eps="0") + ", l AS (SELECT query_id, label, max(sim) AS sim FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, label) AS rank FROM l) SELECT query_id, label, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 3")
+@add("label_match", _VEC.format(eps="0") + ", l AS (SELECT query_id, label, max(sim) AS sim FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, label) AS rank FROM l) SELECT query_id, label, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 3")
 def _(spark, sf):
-    q, c = _vectors(spark, sf)
-    s = M.similarities(q, c).join(c.select("vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.round(F.max("similarity"), 9).alias("similarity"))
-    return M.top_k(s, ["query_id"], "similarity", ["label"], 3).select("query_id", "label", "rank", F.round("similarity", 6).alias("similarity"))
+    """The labels of the best vectors: each task keeps one vector of each label."""
+    best = nearest(*_vectors(spark, sf), 1, per="label").drop("rank")
+    return M.top_k(best, ["query_id"], "score", ["label"], 3).select("query_id", "label", "rank", F.round("score", 6).alias("similarity"))
+
+
+_H64P = _H64.format("t")
+
+
+@add("process_match", f"""WITH {V.CATALOG}, c AS (SELECT uuid, name || ' ' || array_to_string(categories, ' ') AS t FROM v_catalog ORDER BY uuid LIMIT 500), cv AS (SELECT uuid, {_H64P} AS v FROM c),
+q AS (SELECT s_suppkey AS query_id, s_name || ' ' || n_name AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1), qv AS (SELECT query_id, {_H64P} AS v FROM q),
+s AS (SELECT query_id, uuid, round(list_inner_product(qv.v, cv.v) / (sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(cv.v, cv.v))), 9) AS sim FROM qv, cv)
+SELECT query_id, uuid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, uuid) AS INTEGER) AS rank, round(sim, 6) AS similarity FROM s QUALIFY rank <= 5""")
+def _(spark, sf):
+    """Suppliers' names as processes, every other with its nation as location, against the first 500 catalog processes."""
+    nations = V.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    asked = V.table(spark, sf, "supplier").join(F.broadcast(nations), C("s_nationkey") == C("n_nationkey"))
+    asked = asked.select(C("s_suppkey").alias("query_id"), C("s_name").alias("name"), F.when(C("s_suppkey") % 2 == 0, C("n_name")).alias("location"))
+    return M.match_processes(asked, V.catalog(spark, sf))
 
 
 @add("distance_to_similarity", _VEC.format(eps="0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM s)
   SELECT query_id, vec_id, round(CASE WHEN dist / 8 > 1 THEN 1 / (1 + dist / 8) ELSE greatest(0.0, least(1.0, dist / 8)) END, 6) AS similarity FROM r WHERE rank <= 20""")
 def _(spark, sf):
-    d = M.distances(*_vectors(spark, sf)).withColumn("near", -F.round("distance", 9))
-    near = M.top_k(d, ["query_id"], "near", ["vec_id"], 20)
-    return near.select("query_id", "vec_id", F.round(M.similarity_of_distance(C("distance") / 8), 6).alias("similarity"))
+    near = nearest(*_vectors(spark, sf), 20, metric="euclid")
+    return near.select("query_id", "vec_id", F.round(M.similarity_of_distance(C("score") / 8), 6).alias("similarity"))
 
 
 @add("match_quality", _VEC.format(eps="1e-8") + """, b AS (SELECT query_id, max(sim) AS best FROM s GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (best >= 0.3) AS matched, round(count(*) FILTER (best >= 0.3) / count(*), 6) AS rate,
   round(coalesce(avg(best) FILTER (best >= 0.3), 0), 6) AS mean_similarity FROM b""")
 def _(spark, sf):
-    return M.match_quality(M.similarities(*_vectors(spark, sf), 1e-8), 0.3)
+    return M.match_quality(nearest(*_vectors(spark, sf), 1, eps=1e-8), 0.3)
 
 
-@add("flow_match_unit_filter", _VEC.format(eps="1e-8").replace("WITH e", f"WITH {V.CATALOG}, {units.SQL}, e") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s),
-  m AS (SELECT query_id, vec_id, rank, c.unit, list_extract(['kg','kWh','L'], CAST(query_id % 3 AS INTEGER) + 1) AS qu FROM r JOIN v_catalog c ON c.p_partkey = vec_id WHERE rank <= 5),
-  x AS (SELECT m.*, CASE WHEN a.g IS NULL OR b.g IS NULL THEN {NORM.format('unit')} = {NORM.format('qu')} ELSE a.g = b.g END AS compatible FROM m LEFT JOIN unit_groups a ON a.u = {NORM.format('qu')} LEFT JOIN unit_groups b ON b.u = {NORM.format('unit')})
-  SELECT query_id, vec_id, unit, compatible FROM (SELECT *, bool_or(compatible) OVER (PARTITION BY query_id) AS any_ok FROM x) WHERE compatible OR NOT any_ok""")
+@add("flow_match_unit_filter", _VEC.format(eps="1e-8").replace("WITH e", f"WITH {V.CATALOG}, {units.SQL}, e") + f""", m AS (SELECT query_id, vec_id, round(sim, 9) AS sim, c.unit, list_extract(['kg','kWh','L'], CAST(query_id % 3 AS INTEGER) + 1) AS qu FROM s JOIN v_catalog c ON c.p_partkey = vec_id),
+  x AS (SELECT m.*, {_COMPATIBLE} FROM m {_GROUPS}), f AS (SELECT * FROM x QUALIFY compatible OR NOT bool_or(compatible) OVER (PARTITION BY query_id))
+  SELECT query_id, vec_id, unit, compatible, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""")
 def _(spark, sf):
+    """All flows are filtered by unit before the best are taken: each task keeps the best of each unit."""
     q, c = _vectors(spark, sf)
-    s = M.top_k(M.similarities(q, c, 1e-8).withColumn("similarity", F.round("similarity", 9)), ["query_id"], "similarity", ["vec_id"], 5)
-    m = s.join(V.catalog(spark, sf).select("p_partkey", "unit"), C("vec_id") == C("p_partkey")).withColumn("query_unit", V.pick(("kg", "kWh", "L"), C("query_id") % 3))
-    return M.keep_compatible(m, "query_unit", "unit").select("query_id", "vec_id", "unit", "compatible")
-
-
-_BATCH = f"""WITH {V.LCI}, {V.CATALOG}, n AS (SELECT lower(name) AS k, min(uuid) AS uuid FROM v_catalog GROUP BY 1), raw AS (SELECT session_id, string_agg(DISTINCT name, ',' ORDER BY name) AS materials FROM v_lci WHERE category = 'Raw Material' GROUP BY 1),
-b AS (SELECT l.session_id, l.name, l.category, CASE WHEN category = 'Product' THEN NULL ELSE n.uuid END AS uuid, CASE WHEN category = 'Product' THEN 'products are not matched' END AS skipped, materials FROM v_lci l LEFT JOIN n ON lower(l.name) = n.k LEFT JOIN raw USING (session_id))"""
+    flows = c.select("vec_id", "v").join(V.catalog(spark, sf).select("p_partkey", "unit"), C("vec_id") == C("p_partkey")).drop("p_partkey")
+    found = nearest(q, flows, 5, eps=1e-8, per="unit").drop("rank").withColumn("query_unit", V.pick(("kg", "kWh", "L"), C("query_id") % 3))
+    return M.top_k(M.keep_compatible(found, "query_unit", "unit"), ["query_id"], "score", ["vec_id"], 5).select("query_id", "vec_id", "unit", "compatible", "rank")
+
+
+_MAT = r"""regexp_extract_all(lower({0}), '(?i)\b(316L|304|X2CrNiMo\d+|Ti-?6Al-?4V|Inconel|AlSi10Mg|17-?4\s?PH)\b', 1) || regexp_extract_all(lower({0}), '(?i)\b(stainless\s+steel|steel|aluminum|aluminium|titanium|copper|nickel|chromium)\b', 1)
+  || regexp_extract_all(lower({0}), '(?i)\b(PLA|ABS|PETG|nylon|polyethylene|polypropylene|plastic)\b', 1) || regexp_extract_all(lower({0}), '(?i)\b(electricity|power|energy|natural\s+gas)\b', 1)"""
+_PROC = r"""regexp_extract_all(note, '(?i)\b(SLM|SLS|FDM|EBM|DMLS|3D\s+printing|additive\s+manufacturing)\b', 1) || regexp_extract_all(note, '(?i)\b(atomization|milling|machining|heat\s+treatment)\b', 1) || regexp_extract_all(note, '(?i)\b(laser|sintering|melting|printing)\b', 1)"""
+_UNIQUE = "list_filter({0}, lambda z, i: list_position({0}, z) = i)"
+_UNIT_TEXTS, _NOTE = ("1 kg 316L stainless steel washers", "aluminum frame, nylon clip", ""), "SLM machine, heat treatment after laser melting"
+_CHUNK = "Steel and copper, titanium powder"
+_BATCH = f"""WITH {V.LCI}, {V.CATALOG}, {units.SQL}, r0 AS (SELECT session_id, l_linenumber AS seq, CASE WHEN l_partkey % 4 = 0 THEN name || ' x' ELSE name END AS name, category, unit, CASE WHEN l_suppkey % 2 = 0 THEN '{_NOTE}' ELSE '10% of input' END AS note,
+  CASE WHEN l_linenumber % 2 = 0 THEN '{_CHUNK}' END AS chunk FROM v_lci), raw AS (SELECT session_id, string_agg(name, ', ' ORDER BY seq, name) AS materials FROM r0 WHERE category = 'Raw Material' GROUP BY 1),
+sc AS (SELECT o_orderkey AS session_id, coalesce(nullif(list_extract(['{"','".join(_UNIT_TEXTS)}'], CAST(o_orderkey % 4 AS INTEGER) + 1), ''), 'Function Unit') AS d FROM orders WHERE o_orderkey % 5 > 0),
+r1 AS (SELECT r0.*, CASE WHEN materials IS NULL THEN d WHEN d IS NULL THEN 'Materials: ' || materials ELSE d || ' (materials: ' || materials || ')' END AS fu FROM r0 LEFT JOIN raw USING (session_id) LEFT JOIN sc USING (session_id)),
+r2 AS (SELECT *, coalesce({_MAT.format('fu')}, []) AS m0, {_PROC} AS p0, coalesce({_MAT.format('chunk')}, []) AS c0 FROM r1), r3 AS (SELECT *, [name] || {_UNIQUE.format('m0')}[1:5] || {_UNIQUE.format('p0')}[1:3] || {_UNIQUE.format('c0')}[1:2] || [category] AS parts FROM r2),
+r4 AS (SELECT *, list_transform(parts, lambda z: lower(z)) AS low FROM r3), r AS (SELECT *, array_to_string(list_filter(parts, lambda z, i: list_position(low, lower(z)) = i), ' ') AS query, name || '|' || category AS nc FROM r4),
+q AS (SELECT nc || '|' || query AS query_id, name, category, {_H64.format('query')} AS v FROM (SELECT DISTINCT nc, query, name, category FROM r WHERE category <> 'Product')), {_SIMS},
+au AS (SELECT DISTINCT nc || '|' || query AS query_id, unit AS qu FROM r WHERE category <> 'Product'), k AS (SELECT au.query_id, qu, uuid, sim, c.unit, {_COMPATIBLE} FROM sims JOIN au USING (query_id) JOIN v_catalog c USING (uuid) {_GROUPS}),
+f AS (SELECT * FROM k QUALIFY compatible OR NOT bool_or(compatible) OVER (PARTITION BY query_id, qu)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, qu ORDER BY sim DESC, uuid) AS rank FROM f QUALIFY rank <= 3),
+m AS (SELECT query_id, qu, string_agg(uuid, ',' ORDER BY rank) AS uuids, round(max(sim), 6) AS best FROM t GROUP BY ALL),
+b AS (SELECT r.*, coalesce(uuids, '') AS uuids, best, CASE WHEN category = 'Product' THEN 'Product flows are system outputs, not environmental flows' END AS skipped FROM r LEFT JOIN m ON m.query_id = nc || '|' || query AND m.qu = r.unit AND category <> 'Product')"""
 
 
 def _batch(spark, sf):
-    rows = V.lci(spark, sf)
-    raw = rows.where("category = 'Raw Material'").groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("materials"))
-    product = C("category") == "Product"
-    found = M.exact(rows, V.catalog(spark, sf)).join(raw, "session_id", "left")
-    return found.withColumn("uuid", F.when(~product, C("uuid"))).withColumn("skipped", F.when(product, F.lit("products are not matched")))
+    """Recorded flows with other names for every fourth part, a note each and a chunk for every other; four orders of five have a scope."""
+    name, n = F.when(C("l_partkey") % 4 == 0, F.concat("name", F.lit(" x"))).otherwise(C("name")), C("l_linenumber")
+    note = F.when(C("l_suppkey") % 2 == 0, F.lit(_NOTE)).otherwise(F.lit("10% of input"))
+    flows = V.lci(spark, sf).select("session_id", n.alias("seq"), name.alias("name"), "category", "unit", note.alias("note"), F.when(n % 2 == 0, F.lit(_CHUNK)).alias("chunk"))
+    said = F.when(C("o_orderkey") % 4 < 3, V.pick(_UNIT_TEXTS, F.least(C("o_orderkey") % 4, F.lit(2))))
+    scopes = V.table(spark, sf, "orders").where("o_orderkey % 5 > 0").select(C("o_orderkey").alias("session_id"), F.lit(1).alias("seq"), said.alias("description"), F.lit("Function Unit").alias("parameter_name"))
+    return M.batch_match(flows, scopes, _catalog_texts(spark, sf))
 
 
-@add("batch_match", f"{_BATCH} SELECT session_id, category, skipped, materials, count(uuid) AS matched, count(*) AS n FROM b GROUP BY ALL")
+@add("batch_match", f"{_BATCH} SELECT name, category, unit, query, skipped, uuids, best, count(*) AS n FROM b GROUP BY ALL")
 def _(spark, sf):
-    return _batch(spark, sf).groupBy("session_id", "category", "skipped", "materials").agg(F.count("uuid").alias("matched"), F.count("*").alias("n"))
+    uuids = F.array_join(F.transform("matches", lambda m: m["uuid"]), ",")
+    best = F.get("matches", F.lit(0))["similarity"]
+    return _batch(spark, sf).groupBy("name", "category", "unit", "query", "skipped", uuids.alias("uuids"), best.alias("best")).agg(F.count("*").alias("n"))
 
 
-@add("match_stats", f"{_BATCH} SELECT session_id, count(uuid) AS matched, count(*) AS total, count(uuid) / greatest(count(*), 1) AS rate FROM b GROUP BY session_id")
+@add("match_stats", f"{_BATCH} SELECT session_id, count(*) FILTER (uuids <> '') AS matched, count(*) AS total, count(*) FILTER (uuids <> '') / greatest(count(*), 1) AS rate FROM b GROUP BY session_id")
 def _(spark, sf):
-    return _batch(spark, sf).groupBy("session_id").agg(F.count("uuid").alias("matched"), F.count("*").alias("total"), (F.count("uuid") / F.greatest(F.count("*"), F.lit(1))).alias("rate"))
+    hit = F.count_if(F.size("matches") > 0)
+    return _batch(spark, sf).groupBy("session_id").agg(hit.alias("matched"), F.count("*").alias("total"), (hit / F.greatest(F.count("*"), F.lit(1))).alias("rate"))
 
 
 @add("confirm_match", f"WITH {V.LCI}, {V.CATALOG} SELECT c.uuid, c.name, count(*) AS n FROM v_lci l JOIN v_catalog c ON c.uuid = CAST(l.l_suppkey AS VARCHAR) WHERE l.category = 'Waste' GROUP BY ALL")

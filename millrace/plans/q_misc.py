@@ -8,7 +8,7 @@ from millrace.functions import lexicon
 from millrace.operators import chat as H
 from millrace.operators import layout, tools
 from millrace.operators import prompts as P
-from millrace.operators.matching import similarities, top_k
+from millrace.operators.vectors import nearest
 from millrace.plans import views as V
 from millrace.plans.q_matching import _VEC, _vectors
 from millrace.sources import tables as S
@@ -238,8 +238,7 @@ def _(spark, sf):
     path = S.scratch(spark, "collection")
     queries, vectors = _vectors(spark, sf)
     S.build_collection(vectors.select("vec_id", "v"), path)
-    scored = similarities(queries, spark.read.parquet(path), 1e-8).withColumn("similarity", F.round("similarity", 9))
-    hits = S.checkpointed(top_k(scored, ["query_id"], "similarity", ["vec_id"], 3).select("query_id", "vec_id", "rank"))
+    hits = S.checkpointed(nearest(queries, spark.read.parquet(path), 3, eps=1e-8).select("query_id", "vec_id", "rank"))
     S.delete(spark, path)
     return hits
 

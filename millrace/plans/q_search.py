@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import retrieval as R
 from millrace.operators import text_features as T
-from millrace.operators.matching import distances, similarities, similarity_of_distance, top_k
+from millrace.operators.matching import similarity_of_distance
+from millrace.operators.vectors import nearest
 from millrace.plans import views as V
 from millrace.plans.q_matching import _VEC, _vectors
 
@@ -117,16 +118,15 @@ def _(spark, sf):
   w AS (SELECT query_id, uuid, source, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, source, uuid) AS p FROM u WHERE r = 1) SELECT query_id, uuid, source, score FROM w WHERE p <= 12""")
 def _(spark, sf):
     q, c = _vectors(spark, sf)
-    scored = similarities(q, c, 1e-8).where("similarity >= 0.05").withColumn("score", F.round("similarity", 6))
-    hits = top_k(scored, ["query_id"], "score", ["vec_id"], 10).select("query_id", C("vec_id").cast("string").alias("uuid"), "score")
+    hits = nearest(q, c, 10, eps=1e-8, least=0.05, digits=6).select("query_id", C("vec_id").cast("string").alias("uuid"), "score")
     words = V.catalog(spark, sf).where(F.contains(F.lower("name"), F.lit("a"))).orderBy(F.length("name"), "uuid").limit(5)
     return R.fuse(hits, q.select("query_id").join(F.broadcast(words.select("uuid"))), 12)
 
 
 @add("chunk_vector_query", _VEC.format(eps="0") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM s) SELECT query_id, vec_id, round(CASE WHEN dist > 1 THEN 1 / (1 + dist) ELSE greatest(0.0, least(1.0, dist)) END, 6) AS similarity FROM r WHERE rank <= 4")
 def _(spark, sf):
-    near = distances(*_vectors(spark, sf)).withColumn("near", -F.round("distance", 9))
-    return top_k(near, ["query_id"], "near", ["vec_id"], 4).select("query_id", "vec_id", F.round(similarity_of_distance(C("distance")), 6).alias("similarity"))
+    near = nearest(*_vectors(spark, sf), 4, metric="euclid")
+    return near.select("query_id", "vec_id", F.round(similarity_of_distance(C("score")), 6).alias("similarity"))
 
 
 _HASH = "list_transform(generate_series(0, 15), lambda i: CAST(('0x' || md5(text)[i * 2 + 1 : i * 2 + 2]) AS INTEGER) / 255::DOUBLE)"

@@ -16,6 +16,7 @@ CATEGORIES = INPUTS + OUTPUTS
 SCOPES = ("Function Unit", "System Boundary", "Geographical Scope", "Functional Unit")
 UNITS = ("kg", "g", "kWh", "MJ", "m3", "L", "item(s)")
 CATALOG_UNITS = ("kg", "MJ", "m3", "item(s)", "kBq")
+KINDS = ("Metals", "Energy carriers and technologies", "Emission to air", "Waste treatment", "Emission to water")
 FLOW_TYPES = ("PRODUCT_FLOW", "ELEMENTARY_FLOW", "WASTE_FLOW")
 
 
@@ -96,14 +97,14 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(False).alias("isRefFlowProperty"), F.lit("EUR").alias("refUnit")), F.struct((F.col("p_size") % 11 != 0).alias("isRefFlowProperty"), unit.alias("refUnit"))
     )
     return p.select(
-        F.col("p_partkey").cast("string").alias("uuid"), F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("categories"),
+        F.col("p_partkey").cast("string").alias("uuid"), F.col("p_name").alias("name"), F.array("p_type", "p_brand", pick(KINDS, F.col("p_partkey") % 5)).alias("categories"),
         pick(FLOW_TYPES, F.col("p_size") % 3).alias("flow_type"), unit.alias("unit"), F.col("p_brand").alias("reference_product"),
         F.col("p_type").alias("category"), F.concat(F.lit("GLO"), F.col("p_size") % 4).alias("location"), properties.alias("flow_properties"), "p_partkey",
     )
 
 
 CATALOG = f"""
-v_catalog AS (SELECT CAST(p_partkey AS VARCHAR) AS uuid, p_name AS name, [p_type, p_brand] AS categories,
+v_catalog AS (SELECT CAST(p_partkey AS VARCHAR) AS uuid, p_name AS name, [p_type, p_brand, list_extract(['{"','".join(KINDS)}'], CAST(p_partkey % 5 AS INTEGER) + 1)] AS categories,
   list_extract(['{"','".join(FLOW_TYPES)}'], CAST(p_size % 3 AS INTEGER) + 1) AS flow_type,
   list_extract(['{"','".join(CATALOG_UNITS)}'], CAST(p_size % 5 AS INTEGER) + 1) AS unit, p_brand AS reference_product,
   p_type AS category, 'GLO' || (p_size % 4) AS location, p_size, p_partkey FROM part)"""

@@ -124,25 +124,3 @@ def test_touches(spark):
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["event_id"]: (r["idle_seconds"], r["alive"]) for r in sessions.touched(events).collect()}
     assert got == {1: (None, False), 2: (7200, True), 3: (7201, False), 4: (172_801, False), 5: (None, False)}
-
-
-def test_matching_stages(spark):
-    catalog = spark.createDataFrame(
-        [("u1", "Steel plate", "PRODUCT_FLOW", ["metal"], "kg", [1.0, 0.0]), ("u2", "steel rod", "PRODUCT_FLOW", ["metal"], "MJ", [0.9, 0.1]), ("u3", "steel wire", "WASTE_FLOW", ["waste"], "kg", [0.0, 1.0])],
-        "uuid string, name string, flow_type string, categories array<string>, unit string, v array<double>",
-    )
-    flows = spark.createDataFrame(
-        [(1, "STEEL PLATE", "Raw Material", "g", [0.0, 1.0]), (2, "steel sheet", "Raw Material", "kg", [1.0, 0.0]), (3, "copper", "Gas", "kg", [1.0, 0.0])],
-        "query_id long, name string, category string, unit string, q array<double>",
-    )
-    got = {(r["query_id"], r["uuid"]): (r["rank"], r["similarity"], r["compatible"]) for r in matching.match_flows(flows, catalog).collect()}
-    assert got == {(1, "u1"): (1, 1.0, True), (2, "u1"): (1, 1.0, True), (2, "u3"): (3, 0.0, True)}
-
-
-def test_candidates_are_bounded(spark):
-    catalog = spark.range(500).select(F.format_string("u%03d", "id").alias("uuid"), F.lit("old steel").alias("name"), F.when(F.col("id") % 50 == 0, "WASTE_FLOW").otherwise("PRODUCT_FLOW").alias("flow_type"), F.array(F.lit("x")).alias("categories"))
-    flows = spark.createDataFrame([(1, "old steel pipe", "Raw Material"), (2, "steel", "Emission"), (3, "steel", "Waste")], "query_id long, name string, category string")
-    rows = matching.candidates(flows, catalog).collect()
-    of = {q: sorted(r["uuid"] for r in rows if r["query_id"] == q) for q in (1, 2, 3)}
-    assert of[1] == [f"u{i:03}" for i in range(100)] == of[2] and of[3] == [f"u{i:03}" for i in range(0, 500, 50)]
-    assert all(r["fits"] for r in rows if r["query_id"] == 3) and {r["rank"] for r in rows if r["query_id"] == 1} == set(range(1, 101))

@@ -158,14 +158,6 @@ def test_scenarios(spark, request_, scenario):
     assert row.select(action_log.scenario().alias("s")).first()["s"] == scenario
 
 
-def test_query_blocks(spark):
-    vectors = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
-    c = spark.createDataFrame(vectors, "vec_id long, v array<double>")
-    q = c.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    few, many = (sorted(map(tuple, matching.against_all(q, c, block).select("query_id", "vec_id").collect())) for block in (1000, 4))
-    assert few == many and len(few) == 15 * 60
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "t" / "deep").mkdir(parents=True)
     for name in ("a.txt", "token_mapping.txt", "run_log.txt", "deep/b.txt"):
