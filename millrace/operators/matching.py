@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions import units
 from millrace.operators.retrieval import hash_embedding
@@ -184,7 +185,7 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def dot(a: pa.Array, b: pa.Array) -> pa.Array:
     """Products of vectors of one length, a batch at a time."""
     n = len(a)
