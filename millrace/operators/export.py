@@ -1,28 +1,273 @@
-"""Training samples from the action log."""
+"""Training samples from the action log: messages with tool calls, their responses and reasoning, and question-answer forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.action_log import repeated_queries
+from millrace.operators.ordered import carried
 
+# What the exported messages say.
+CATEGORY_QUERIES = {
+    "Raw Material": "powder material feedstock", "Process Energy": "energy electricity power consumption", "Post-processing Energy": "heat treatment machining post-processing energy",
+    "Feedstock Energy": "powder production atomization feedstock energy", "Gas": "gas argon nitrogen shielding", "Cooling Media": "water cooling liquid coolant",
+    "Product": "product part manufactured output", "Recovered Material": "recovered reuse recycled powder", "Waste": "waste scrap trimmings dust disposal",
+    "Emission": "emissions CO2 exhaust gas", "Energy": "energy electricity power consumption", "Ancillary Material": "gas argon nitrogen auxiliary", "Water": "water cooling liquid",
+    "By-product": "recovered reuse recycled powder", "Emissions": "emissions CO2 exhaust gas", "Wastewater": "wastewater effluent discharge", "Transport Service": "transport shipping logistics",
+}
+SUMMARIES = ("summary", "summary_check")
+RECORDS = ("parameter", "flow", "calculation", "scope")
+DOCUMENT = '\n\n**DOCUMENT CONTEXT**: \nA PDF document has been uploaded and is ready for analysis.\n- Document Name: "{0}"\n- Document ID: {1}...\n'
+PREVIEWS = ('\n**CHUNK 0 PREVIEW** (Executive Summary / Introduction):\n"{0}"\n', '\n**CHUNK 1 PREVIEW**:\n"{0}"\n')
+INJECTION = (
+    "\n**AUTOMATIC SESSION INJECTION**: \nWhen you call document-related tools (search_document, record_parameter, record_calculation, record_process_flow, get_session_summary, define_lca_scope, "
+    "record_pivot_failure), the system will AUTOMATICALLY inject the session_id for you.\n\nYou do NOT need to ask the user for session_id. "
+    'Just call the tools directly with other required parameters (e.g., "query" for search_document).'
+)
+QA_INJECTION = (
+    "\n**AUTOMATIC SESSION INJECTION**: \nWhen you call search_document, the system will AUTOMATICALLY inject the session_id for you.\n\n"
+    "You do NOT need to ask the user for session_id. Just call the tool directly with the query parameter."
+)
+#: Fixed value: sessions of so many actions end with a reply though they end without a summary.
+SHORT_SESSION = 5
 
-def chat_rows(actions: DataFrame) -> DataFrame:
-    """Message rows (session_id, seq, k, role, content) of each session: for each action its query, if it is new, its record and the reply."""
-    q = repeated_queries(actions).select(F.col("session_id").alias("__s"), F.col("seq").alias("__q"), "emitted")
-    rows = actions.join(q, (F.col("session_id") == F.col("__s")) & (F.col("seq") == F.col("__q"))).drop("__s", "__q")
-    row = lambda k, role, content: F.struct(F.lit(k).alias("k"), F.lit(role).alias("role"), content.alias("content"))
-    call = F.when(F.col("emitted"), row(0, "assistant", F.concat(F.lit("search:"), "search_query")))
-    record = F.concat(F.lit("record_"), "record_type", F.lit(":"), "name")
-    kinds = F.array_compact(F.array(call, row(1, "assistant", record), row(2, "tool", F.col("action_id"))))
-    return rows.select("session_id", "seq", F.inline(kinds))
 
+# --- JSON as text ----------------------------------------------------------------------------------------------------
+def json_of(c: Column) -> Column:
+    """A scalar as JSON; null as null."""
+    told = F.to_json(F.array(c))
+    return F.when(c.isNull(), "null").otherwise(F.substr(told, F.lit(2), F.length(told) - 2))
 
-def chat_samples(actions: DataFrame) -> DataFrame:
-    """session_id, messages (a line each) and n."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "k", F.concat("role", F.lit("|"), "content").alias("m"))))
-    return chat_rows(actions).groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["m"]), "\n").alias("messages"), F.count("*").alias("n"))
+
+def compact(fields: dict[str, Column], *optional: str) -> Column:
+    """A JSON object of texts that are JSON already; ``optional`` ones are left out where they are null."""
+    pieces = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) if k in optional else F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+
+
+def indented(fields: dict[str, Column], depth: int = 1) -> Column:
+    """The same over several lines, two blanks for each level; null fields are left out."""
+    pieces = [F.concat(F.lit("  " * depth + f'"{k}": '), v) for k, v in fields.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *pieces), F.lit("\n" + "  " * (depth - 1) + "}"))
+
+
+def _listed(items: Column) -> Column:
+    """An array of JSON texts as an indented list, one level deep."""
+    return F.when(F.size(items) > 0, F.concat(F.lit("[\n    "), F.array_join(items, ",\n    "), F.lit("\n  ]"))).otherwise("[]")
+
+
+def response(fields: dict[str, Column]) -> Column:
+    return F.concat(F.lit("<tool_response>\n"), indented(fields), F.lit("\n</tool_response>"))
+
+
+# --- tool calls and their responses ----------------------------------------------------------------------------------
+def category_query(category: Column) -> Column:
+    """What to search for to find a category's flows; null for a category that is not known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_QUERIES.items() for x in pair]), category)
+
+
+def _asked(queries: Column, show) -> dict[str, Column]:
+    """``query`` for one, ``queries`` for several, each null where it is the other."""
+    many = F.size(queries) > 1
+    return {"queries": F.when(many, show(F.transform(queries, json_of))), "query": F.when(~many, json_of(F.get(queries, F.lit(0))))}
+
+
+def search_arguments(session_id: Column, queries: Column) -> Column:
+    """Arguments of a search as JSON."""
+    return compact({"session_id": json_of(session_id)} | _asked(queries, lambda q: F.concat(F.lit("["), F.array_join(q, ","), F.lit("]"))), "query", "queries")
+
+
+def search_response(queries: Column, found: Column) -> Column:
+    """What a search answers: chunks (chunk_id, content) that were found."""
+    found = F.coalesce(found, F.array().cast("array<struct<chunk_id:string,content:string>>"))
+    results = F.transform(found, lambda c: indented({"chunk_id": json_of(c["chunk_id"]), "content": json_of(c["content"])}, 3))
+    said = F.concat(F.lit('"Found '), F.size(found).cast("string"), F.lit(' relevant results"'))
+    return response({"success": F.lit("true"), "message": said, "results": _listed(results)} | _asked(queries, _listed))
+
+
+def call(name: str, arguments: Column) -> Column:
+    """A tool call as JSON."""
+    return F.concat(F.lit(f'{{"name":"{name}","arguments":'), arguments, F.lit("}"))
+
+
+def record_call(known) -> Column:
+    """The call that made a record, by its type; null for types that no tool makes.
+
+    ``known``: a function that gives a column of the action by name.
+    """
+    j = lambda name: json_of(known(name))
+    said = lambda name: F.when(F.length(known(name)) > 0, j(name))
+    chunk = compact({"chunk_id": json_of(known("selected_chunk")["chunk_id"]), "content": json_of(known("selected_chunk")["content"])})
+    session, r = {"session_id": j("session_id")}, known("record_type")
+    parameter = session | {n: j(n) for n in ("parameter_name", "parameter_value", "parameter_unit")} | {"selected_chunk": chunk, "note": said("note")}
+    flow = session | {n: j(n) for n in ("flow_type", "category", "name", "value", "unit")} | {"selected_chunk": chunk}
+    flow |= {n: said(n) for n in ("note", "process_name", "cas_number", "location")}
+    needs = F.coalesce(known("data_dependencies"), F.array().cast("array<string>"))
+    needs = F.concat(F.lit("["), F.array_join(F.transform(needs, json_of), ","), F.lit("]"))
+    scope = session | {n: j(n) for n in ("parameter_name", "description", "value", "unit", "source_content")} | {"selected_chunk": chunk, "note": said("note")}
+    optional = "note", "process_name", "cas_number", "location"
+    return (
+        F.when(r == "parameter", call("record_parameter", compact(parameter, *optional))).when(r == "flow", call("record_process_flow", compact(flow, *optional)))
+        .when(r == "calculation", call("execute_calculation", compact(session | {"expression": j("calculation_expression"), "dependencies": needs})))
+        .when(r == "scope", call("define_lca_scope", compact(scope, *optional)))
+        .when(_is_summary(known), call("get_session_summary", compact(session | {"format": F.lit('"text"')})))
+    )
+
+
+def _is_summary(known) -> Column:
+    return known("record_type").isin(*SUMMARIES) | F.coalesce(known("intent") == "get_summary", F.lit(False))
+
+
+def record_response(known, summary: Column) -> Column:
+    """What the call answers. ``summary``: the session's summary text, for calls that ask for it."""
+    j = lambda name: json_of(known(name))
+    words = lambda *parts: json_of(F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in parts]))
+    done, r = {"success": F.lit("true")}, known("record_type")
+    own = {"record_id": words(known("session_id"), "/", known("action_id")), "action_id": j("action_id"), "session_id": j("session_id")}
+    flow = own | {n: j(n) for n in ("flow_type", "category")} | {"name": json_of(F.coalesce(known("name"), F.lit("")))} | {n: j(n) for n in ("value", "unit")}
+    name, parameter = F.coalesce(known("name"), F.lit("")), F.coalesce(known("parameter_name"), F.lit(""))
+    return (
+        F.when(r == "parameter", response(done | {"message": words("Parameter recorded with action_id: ", known("action_id")), "new_action_id": j("action_id")}))
+        .when(r == "flow", response(done | {"message": words("Successfully recorded process flow: ", name), "data": indented(flow, 2)}))
+        .when(r == "calculation", response(done | {"message": F.lit('"Calculation executed successfully"'), "result": j("calculation_result"), "unit": j("calculation_unit")}))
+        .when(r == "scope", response(done | {"message": words("Successfully defined LCA scope: ", parameter), "data": indented(own | {"parameter_name": json_of(parameter)}, 2)}))
+        .when(_is_summary(known), response(done | {"summary": json_of(summary)}))
+    )
+
+
+def earlier_summaries(actions: DataFrame) -> DataFrame:
+    """(session_id, seq, summary) for each action that asks for a summary: of what its session had recorded before it.
+
+    Calculations are not told. Each such action meets its session's earlier records once; their lines are its text.
+    """
+    text = lambda name, other="None": F.coalesce(F.col(name).cast("string"), F.lit(other))
+    line = (
+        F.when(F.col("record_type") == "scope", F.concat(F.lit("  - "), text("parameter_name", "Unknown"), F.lit(": "), text("description", "")))
+        .when(F.col("record_type") == "flow", F.concat(F.lit("  - "), text("name"), F.lit(": "), text("value"), F.lit(" "), text("unit"), F.lit(" ("), text("flow_type"), F.lit("/"), text("category"), F.lit(")")))
+        .when(F.col("record_type") == "parameter", F.concat(F.lit("  - "), text("parameter_name"), F.lit(": "), text("parameter_value"), F.lit(" "), text("parameter_unit", "")))
+    )
+    asks = actions.where(_is_summary(F.col)).select(F.col("session_id").alias("__s"), F.col("seq").alias("__q"))
+    lines = actions.select("session_id", F.col("seq").alias("__at"), F.when(line.isNotNull(), F.struct(F.col("seq").alias("at"), F.col("record_type").alias("kind"), line.alias("line"))).alias("__line"))
+    met = asks.join(lines, (F.col("session_id") == F.col("__s")) & (F.col("__at") < F.col("__q")), "left")
+    told = met.groupBy("__s", "__q").agg(F.array_sort(F.collect_list("__line")).alias("l"), F.count("__at").alias("n"))
+    of = lambda kind: F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["line"])
+    count = lambda kind: F.size(of(kind)).cast("string")
+    block = lambda head, kind: F.when(F.size(of(kind)) > 0, F.concat(F.lit(head + "\n"), F.array_join(of(kind), "\n"), F.lit("\n\n"))).otherwise("")
+    counts = F.concat(F.lit("Scopes: "), count("scope"), F.lit(", Flows: "), count("flow"), F.lit(", Parameters: "), count("parameter"), F.lit("\n\n"))
+    blocks = F.concat(block("LCA Scope:", "scope"), block("Recorded Flows:", "flow"), block("Recorded Parameters:", "parameter"))
+    whole = F.concat(F.lit("Total Actions: "), F.size("l").cast("string"), F.lit("\n"), counts, blocks)
+    # lines are joined by ends of lines, so the last one has none
+    summary = F.when(F.col("n") > 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise("No previous records in this session.")
+    return told.select(F.col("__s").alias("session_id"), F.col("__q").alias("seq"), summary.alias("summary"))
+
+
+# --- the machine -----------------------------------------------------------------------------------------------------
+_ROW = "array<struct<k:int,role:string,content:string,reasoning_content:string,tool_calls:array<string>>>"
+
+
+def _row(k: int, role: str, content=None, reasoning=None, calls=None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(k).alias("k"), F.lit(role).alias("role"), (null if content is None else content).alias("content"),
+        (null if reasoning is None else reasoning).alias("reasoning_content"), (F.lit(None).cast("array<string>") if calls is None else calls).alias("tool_calls"),
+    )
+
+
+def told(actions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Actions but previews, each with what it says in a conversation.
+
+    ``kind``: pivot, skip or record. ``asked``, ``found``: its search and the chunks found. ``searches``: whether it says
+    the search, which is where its query differs from the last one that was said. ``pending``: the placeholder of a skip that is
+    the last message so far, which the next search or record takes on. ``stays``: whether a skip's own placeholder
+    remains without a call. A session of any length is dealt into ranges, as :func:`millrace.operators.ordered.carried` does.
+    """
+    rows = actions.where(F.coalesce(F.col("record_type") != "document_preview", F.lit(True)))
+    pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
+    kind = F.when(pivot, "pivot").when(F.col("intent") == "smart_skip", "skip").otherwise("record")
+    rows = rows.withColumn("kind", kind)
+    none = F.array().cast("array<struct<chunk_id:string,content:string>>")
+    slim = lambda c: F.transform(c, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["content"].alias("content")))
+    context = F.coalesce(slim(F.col("search_context")), none)
+    skipped = F.when((F.size(context) == 0) & F.col("skipped_chunk").isNotNull(), F.array(F.struct("skipped_chunk.chunk_id", "skipped_chunk.content"))).otherwise(context)
+    rows = rows.withColumn("asked", F.when(F.col("kind") == "pivot", F.col("failed_query")).otherwise(F.col("search_query")))
+    rows = rows.withColumn("found", F.when(F.col("kind") == "pivot", F.coalesce(slim(F.col("failed_context")), none)).when(F.col("kind") == "skip", skipped).otherwise(context))
+    may = (F.coalesce(F.size("asked"), F.lit(0)) > 0) & ((F.col("kind") != "record") | (F.size("found") > 0))
+    rows = rows.withColumn("__may", F.when(may, F.col("asked")))
+    rows = carried(rows, ["session_id"], ["seq"], parts, before_query=("before", F.col("__may")))
+    rows = rows.withColumn("searches", F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query"))).drop("__may", "before_query")
+    records = (F.col("kind") == "record") & (F.col("record_type").isin(*RECORDS) | _is_summary(F.col))
+    rows = rows.withColumn("records", F.coalesce(records, F.lit(False)))
+    placeholder = F.concat(F.lit("[SMART_SKIP_PLACEHOLDER: "), F.coalesce("category", F.lit("Unknown")), F.lit(" - "), F.coalesce("skip_reason", F.lit("already_recorded")), F.lit("]"))
+    rows = rows.withColumn("placeholder", F.when(F.col("kind") == "skip", placeholder))
+    speaks = F.when(F.col("searches") | F.col("records"), F.struct("kind", "placeholder"))
+    rows = carried(rows, ["session_id"], ["seq"], parts, __last=("before", speaks), __next=("after", speaks["kind"]))
+    stays = (F.col("kind") == "skip") & F.col("searches") & (F.col("__next").isNull() | (F.col("__next") == "pivot"))
+    return rows.withColumn("pending", F.col("__last")["placeholder"]).withColumn("stays", stays).drop("__last", "__next")
+
+
+def chat_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Message rows (session_id, seq, k, role, content, reasoning_content, tool_calls: JSON texts) of each session's actions.
+
+    ``actions`` are the log: session_id, seq, action_id, record_type, intent, category, name, value, unit, flow_type, note,
+    process_name, cas_number, location, parameter_name, parameter_value, parameter_unit, description, source_content,
+    calculation_expression, calculation_result, calculation_unit, data_dependencies, search_query, search_context,
+    selected_chunk, failed_query, failed_context, skip_reason, skipped_chunk. Searches that repeat the last one are not
+    said again; failed ones are said without a record; skips say their search and a placeholder of reasoning, which
+    the next call takes on. Types that no tool makes give their search alone. A session that ends with a summary, or
+    with a record after at most ``SHORT_SESSION`` actions, ends with an empty reply, to be filled in.
+    """
+    summaries = earlier_summaries(actions).withColumnsRenamed({"session_id": "__s", "seq": "__q"})
+    rows = told(actions, parts).join(summaries, (F.col("session_id") == F.col("__s")) & (F.col("seq") == F.col("__q")), "left")
+    empty = F.lit("")
+    takes = F.when(F.col("kind") != "pivot", F.coalesce("pending", empty)).otherwise(empty)
+    search = F.array(call("search_document", search_arguments(F.col("session_id"), F.col("asked"))))
+    said = F.array_compact(F.array(
+        F.when(F.col("searches"), _row(0, "assistant", reasoning=takes, calls=search)), F.when(F.col("searches"), _row(1, "tool", search_response(F.col("asked"), F.col("found")))),
+        F.when(F.col("stays"), _row(2, "assistant", reasoning=F.col("placeholder"), calls=F.array().cast("array<string>"))),
+        F.when(F.col("records"), _row(3, "assistant", reasoning=F.when(F.col("searches"), empty).otherwise(takes), calls=F.array(record_call(F.col)))),
+        F.when(F.col("records"), _row(4, "tool", record_response(F.col, F.col("summary")))),
+    ).cast(_ROW))
+    last = F.max_by(F.col("record_type"), F.col("seq")).alias("__type")
+    ends = actions.where(F.coalesce(F.col("record_type") != "document_preview", F.lit(True))).groupBy("session_id").agg(last, F.count("*").alias("__n"), F.max("seq").alias("seq"))
+    ends = ends.where((F.col("__type") == "summary_check") | (F.col("__type").isin(*RECORDS) & (F.col("__n") <= SHORT_SESSION)))
+    reply = F.array(_row(5, "assistant", content=empty, reasoning=empty)).cast(_ROW)
+    return rows.select("session_id", "seq", F.inline(said)).unionByName(ends.select("session_id", "seq", F.inline(reply)))
+
+
+def system_prompts(actions: DataFrame, base: str, injection: str = INJECTION, most: int | None = None) -> DataFrame:
+    """(session_id, prompt): ``base`` and, where a session has a preview of its document, that preview.
+
+    The first ``document_preview`` of a session counts (document_name, document_preview with chunk_0 and chunk_1, each
+    chunk_id and content). Chunks without content are left out; with ``most``, longer ones are cut to so many characters.
+    """
+    first = actions.where("record_type = 'document_preview'").groupBy(F.col("session_id").alias("__s")).agg(F.min_by(F.struct("document_name", "document_preview"), "seq").alias("__p"))
+    rows = actions.select("session_id").distinct().join(first, F.col("session_id") == F.col("__s"), "left")
+    cut = lambda c: c if most is None else F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+    def filled(form: str, *values: Column) -> Column:
+        pieces = [F.lit(form.split("{0}")[0]), values[0]]
+        rest = form.split("{0}")[1]
+        return F.concat(*pieces, F.lit(rest)) if len(values) == 1 else F.concat(*pieces, F.lit(rest.split("{1}")[0]), values[1], F.lit(rest.split("{1}")[1]))
+
+    chunk = lambda i: F.col("__p")["document_preview"][f"chunk_{i}"]["content"]
+    shown = [F.when(F.length(chunk(i)) > 0, filled(PREVIEWS[i], cut(chunk(i)))).otherwise("") for i in (0, 1)]
+    about = filled(DOCUMENT, F.coalesce(F.col("__p")["document_name"], F.lit("Unknown Document")), F.substring("session_id", 1, 8))
+    prompt = F.concat(F.lit(base), F.when(F.col("__p").isNotNull(), F.concat(about, *shown, F.lit(injection))).otherwise(""))
+    return rows.select("session_id", prompt.alias("prompt"))
+
+
+def _samples(rows: DataFrame, prompts: DataFrame) -> DataFrame:
+    """session_id, messages (role, content, reasoning_content, tool_calls) and n: the prompt, an empty question, and ``rows`` in order."""
+    opening = F.array(_row(-2, "system", content=F.col("prompt")), _row(-1, "user", content=F.lit(""))).cast(_ROW)
+    every = rows.unionByName(prompts.select("session_id", F.lit(None).cast("int").alias("seq"), F.inline(opening)))
+    message = F.struct("role", "content", "reasoning_content", "tool_calls").alias("m")
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "k", message)))
+    return every.groupBy("session_id").agg(F.transform(ordered, lambda r: r["m"]).alias("messages"), F.count("*").alias("n"))
+
+
+def chat_samples(actions: DataFrame, base: str, parts: int | None = None) -> DataFrame:
+    """One sample of nested messages for each session. A session's sample is one value, as it is one line of the file."""
+    return _samples(chat_rows(actions, parts), system_prompts(actions, base))
 
 
 def answer(calculated: Column) -> Column:
@@ -54,6 +299,34 @@ def qa_pairs(actions: DataFrame) -> DataFrame:
     return rows.withColumn("calculated", was).withColumn("answer", answer(was)).drop("__s", "__a", "__q")
 
 
-def search_arguments(queries: Column) -> Column:
-    """Arguments of a search as JSON: ``query`` for one, ``queries`` for several."""
-    return F.when(F.size(queries) > 1, F.to_json(F.struct(queries.alias("queries")))).otherwise(F.to_json(F.struct(F.get(queries, F.lit(0)).alias("query"))))
+_CHUNKS = "array<struct<chunk_id:string,content:string>>"
+
+
+def qa_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Message rows of the question-answer form: the searches with what they found, and one answer of all records.
+
+    Here a search is said whether or not it found anything, a skip finds the chunk that it skipped, and records are no calls.
+    """
+    context = F.coalesce("search_context", F.array().cast(_CHUNKS))
+    skip = F.col("intent") == "smart_skip"
+    found = F.when(skip, F.when(F.col("skipped_chunk").isNotNull(), F.array(F.struct("skipped_chunk.chunk_id", "skipped_chunk.content"))).otherwise(F.array().cast(_CHUNKS))).otherwise(context)
+    rows = actions.where(F.coalesce(F.col("record_type") != "document_preview", F.lit(True)))
+    pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
+    rows = rows.withColumn("asked", F.when(pivot, F.col("failed_query")).otherwise(F.col("search_query"))).withColumn("found", F.when(pivot, F.col("failed_context")).otherwise(found))
+    rows = rows.withColumn("__may", F.when(F.coalesce(F.size("asked"), F.lit(0)) > 0, F.col("asked")))
+    rows = carried(rows, ["session_id"], ["seq"], parts, before_query=("before", F.col("__may")))
+    searches = F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query"))
+    search = F.array(call("search_document", search_arguments(F.col("session_id"), F.col("asked"))))
+    said = F.array(_row(0, "assistant", reasoning=F.lit(""), calls=search), _row(1, "tool", search_response(F.col("asked"), F.col("found")))).cast(_ROW)
+    said = rows.where(searches).select("session_id", "seq", F.inline(said))
+    answers = qa_pairs(rows.where(~pivot & F.coalesce(~skip, F.lit(True)))).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "answer"))).alias("a"), F.max("seq").alias("seq"))
+    last = actions.groupBy(F.col("session_id").alias("__s")).agg(F.max("seq").alias("__last"))
+    text = F.array_join(F.transform("a", lambda x: x["answer"]), " ")
+    reply = F.array(_row(5, "assistant", content=text, reasoning=F.lit(""))).cast(_ROW)
+    answers = answers.drop("seq").join(last, F.col("session_id") == F.col("__s")).withColumnRenamed("__last", "seq")
+    return said.unionByName(answers.select("session_id", "seq", F.inline(reply)))
+
+
+def qa_samples(actions: DataFrame, base: str, parts: int | None = None) -> DataFrame:
+    """One question-answer sample for each session, previews cut to 500 characters."""
+    return _samples(qa_rows(actions, parts), system_prompts(actions, base, QA_INJECTION, 500))

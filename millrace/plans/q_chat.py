@@ -283,19 +283,178 @@ def _(spark, sf):
     return _faulty(spark, sf).select("sample", "place", "role", F.nullif(F.trim("content"), F.lit("")).alias("content"), "reasoning", F.nullif("tool_calls", F.lit("[]")).alias("tool_calls"))
 
 
-_EXPORT = f"""WITH {V.ACTIONS}, a AS (SELECT *, coalesce(search_query IS DISTINCT FROM lag(search_query) OVER (PARTITION BY session_id ORDER BY seq), false) AS emitted FROM v_actions),
-  m AS (SELECT session_id, seq, 0 AS k, 'assistant' AS role, 'search:' || search_query AS content FROM a WHERE emitted UNION ALL SELECT session_id, seq, 1, 'assistant', 'record_' || record_type || ':' || name FROM a
-  UNION ALL SELECT session_id, seq, 2, 'tool', action_id FROM a)"""
+def _log(spark, sf):
+    """The action log with what tools were given: previews, summaries, a type that no tool makes, chunks and calculations."""
+    a, seq, k = V.actions(spark, sf), C("seq"), C("k")
+    aside = C("intent").isin("pivot_query", "smart_skip")
+    kind = F.when(seq == 2, "document_preview").when(aside, C("record_type")).when(seq % 11 == 0, "summary_check").when(seq % 13 == 0, "note").otherwise(C("record_type"))
+    chunk = F.struct("chunk_id", F.concat(F.lit('text "of" '), "chunk_id").alias("content"))
+    chunks = F.when(C("chunk_id").isNotNull(), F.array(chunk)).otherwise(F.array().cast("array<struct<chunk_id:string,content:string>>"))
+    asked = F.when(k % 3 == 0, F.array("search_query", "category")).otherwise(F.array("search_query"))
+    content = lambda x: F.struct(F.lit(x).alias("chunk_id"), F.when(C("session_id") != "S1", F.concat(F.lit(f"page {x} of "), "session_id")).alias("content"))
+    value = F.floor("value") + F.lit(0.5)
+    return a.select(
+        "session_id", seq, "action_id", kind.alias("record_type"), F.when(seq != 2, C("intent")).alias("intent"), "link_to", "category", "name", value.alias("value"), F.lit("kg").alias("unit"),
+        F.when(C("category").isin(*V.INPUTS), "Input").otherwise("Output").alias("flow_type"), F.when(k % 4 == 0, "measured").when(k % 4 == 1, "").alias("note"), "process_name",
+        F.lit(None).cast("string").alias("cas_number"), F.when(k % 5 == 0, "GLO").alias("location"), C("name").alias("parameter_name"), value.alias("parameter_value"), F.when(k % 2 == 0, "kWh").alias("parameter_unit"),
+        F.when(k % 3 > 0, F.concat(F.lit("about "), "name")).otherwise("").alias("description"), F.concat(F.lit("line\n"), "name").alias("source_content"), F.concat("name", F.lit(" * 2")).alias("calculation_expression"),
+        (value * 2).alias("calculation_result"), F.when(k % 2 == 0, "kWh").alias("calculation_unit"), F.when(C("link_to").isNotNull(), F.array("link_to")).alias("data_dependencies"),
+        asked.alias("search_query"), chunks.alias("search_context"), F.when(C("chunk_id").isNotNull(), chunk).alias("selected_chunk"), asked.alias("failed_query"), chunks.alias("failed_context"),
+        F.when(k % 2 == 0, "duplicate").alias("skip_reason"), F.when(k % 7 > 0, F.struct(F.lit("skipped").alias("chunk_id"), C("name").alias("content"))).alias("skipped_chunk"),
+        F.when(k % 2 == 0, F.concat(F.lit("doc "), "session_id")).alias("document_name"), F.struct(content("0").alias("chunk_0"), content("1").alias("chunk_1")).alias("document_preview"),
+    )
+
+
+def _j(x):
+    return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+
+def _said(key, x):
+    return f"CASE WHEN coalesce({x}, '') <> '' THEN ',\"{key}\":' || {_j(x)} ELSE '' END"
+
+
+_CH = "'{\"chunk_id\":' || " + _j("chunk_id") + " || ',\"content\":' || " + _j("'text \"of\" ' || chunk_id") + " || '}'"
+_LOG = f"""{V.ACTIONS}, lg AS (SELECT session_id, seq, action_id, CASE WHEN seq = 2 THEN 'document_preview' WHEN intent IN ('pivot_query', 'smart_skip') THEN record_type WHEN seq % 11 = 0 THEN 'summary_check' WHEN seq % 13 = 0 THEN 'note' ELSE record_type END AS record_type,
+  CASE WHEN seq <> 2 THEN intent END AS intent, link_to, category, name, floor(value) + 0.5::DOUBLE AS value, k, chunk_id, process_name, CASE WHEN category IN ('Raw Material', 'Process Energy', 'Post-processing Energy', 'Feedstock Energy', 'Gas', 'Cooling Media') THEN 'Input' ELSE 'Output' END AS flow_type,
+  CASE WHEN k % 4 = 0 THEN 'measured' WHEN k % 4 = 1 THEN '' END AS note, CASE WHEN k % 5 = 0 THEN 'GLO' END AS location, CASE WHEN k % 3 > 0 THEN 'about ' || name ELSE '' END AS description, CASE WHEN k % 2 = 0 THEN 'kWh' END AS unit2,
+  CASE WHEN k % 3 = 0 THEN [search_query, category] ELSE [search_query] END AS asked, CASE WHEN chunk_id IS NOT NULL THEN [struct_pack(a := chunk_id, b := 'text "of" ' || chunk_id)] ELSE [] END AS found, CASE WHEN k % 7 > 0 THEN name END AS skipped,
+  CASE WHEN k % 2 = 0 THEN 'duplicate' ELSE 'already_recorded' END AS reason FROM v_actions)"""
+_KINDS = "CASE WHEN record_type = 'pivot' OR intent = 'pivot_query' THEN 'pivot' WHEN intent = 'smart_skip' THEN 'skip' ELSE 'record' END AS kind"
+_SEARCH = f"""'{{"name":"search_document","arguments":{{"session_id":' || {_j('session_id')} || CASE WHEN len(asked) > 1 THEN ',"queries":[' || array_to_string(list_transform(asked, lambda x: {_j('x')}), ',') || ']' ELSE ',"query":' || {_j('asked[1]')} END || '}}}}'"""
+_FOUND = f"""'<tool_response>
+{{
+  "success": true,
+  "message": "Found ' || len(found) || ' relevant results",
+  "results": ' || CASE WHEN len(found) > 0 THEN '[
+    ' || array_to_string(list_transform(found, lambda c: '{{
+      "chunk_id": ' || {_j('c.a')} || ',
+      "content": ' || {_j('c.b')} || '
+    }}'), ',
+    ') || '
+  ]' ELSE '[]' END || ',
+' || CASE WHEN len(asked) > 1 THEN '  "queries": [
+    ' || array_to_string(list_transform(asked, lambda x: {_j('x')}), ',
+    ') || '
+  ]' ELSE '  "query": ' || {_j('asked[1]')} END || '
+}}
+</tool_response>'"""
+_OPEN = "'{{\"name\":\"{0}\",\"arguments\":{{\"session_id\":' || " + _j("session_id")
+_CALL = f"""CASE record_type WHEN 'parameter' THEN {_OPEN.format('record_parameter')} || ',"parameter_name":' || {_j('name')} || ',"parameter_value":' || {_j('value')} || ',"parameter_unit":' || {_j('unit2')} || ',"selected_chunk":' || {_CH} || {_said('note', 'note')}
+  WHEN 'flow' THEN {_OPEN.format('record_process_flow')} || ',"flow_type":' || {_j('flow_type')} || ',"category":' || {_j('category')} || ',"name":' || {_j('name')} || ',"value":' || {_j('value')} || ',"unit":"kg","selected_chunk":' || {_CH} || {_said('note', 'note')} || {_said('process_name', 'process_name')} || {_said('location', 'location')}
+  WHEN 'calculation' THEN {_OPEN.format('execute_calculation')} || ',"expression":' || {_j("name || ' * 2'")} || ',"dependencies":[' || coalesce(CAST(to_json(link_to) AS VARCHAR), '') || ']'
+  WHEN 'scope' THEN {_OPEN.format('define_lca_scope')} || ',"parameter_name":' || {_j('name')} || ',"description":' || {_j('description')} || ',"value":' || {_j('value')} || ',"unit":"kg","source_content":' || {_j("'line' || chr(10) || name")} || ',"selected_chunk":' || {_CH} || {_said('note', 'note')}
+  ELSE {_OPEN.format('get_session_summary')} || ',"format":"text"' END || '}}}}'"""
+_OWN = f"""'{{
+    "record_id": ' || {_j("session_id || '/' || action_id")} || ',
+    "action_id": ' || {_j('action_id')} || ',
+    "session_id": ' || {_j('session_id')} || ',
+'"""
+_ANSWER = f"""'<tool_response>
+{{
+  "success": true,
+' || CASE record_type WHEN 'parameter' THEN '  "message": "Parameter recorded with action_id: ' || action_id || '",
+  "new_action_id": ' || {_j('action_id')} WHEN 'flow' THEN '  "message": ' || {_j("'Successfully recorded process flow: ' || name")} || ',
+  "data": ' || {_OWN} || '    "flow_type": ' || {_j('flow_type')} || ',
+    "category": ' || {_j('category')} || ',
+    "name": ' || {_j('name')} || ',
+    "value": ' || {_j('value')} || ',
+    "unit": "kg"
+  }}' WHEN 'calculation' THEN '  "message": "Calculation executed successfully",
+  "result": ' || {_j('value * 2')} || ',
+  "unit": ' || {_j('unit2')} WHEN 'scope' THEN '  "message": ' || {_j("'Successfully defined LCA scope: ' || name")} || ',
+  "data": ' || {_OWN} || '    "parameter_name": ' || {_j('name')} || '
+  }}' ELSE '  "summary": ' || {_j('summary')} END || '
+}}
+</tool_response>'"""
+_TOLD = f"""sm0 AS (SELECT a.session_id, a.seq, count(b.seq) AS n, list(b.name || ': ' || b.description ORDER BY b.seq) FILTER (b.record_type = 'scope') AS sc,
+  list(b.name || ': ' || CAST(b.value AS VARCHAR) || ' kg (' || b.flow_type || '/' || b.category || ')' ORDER BY b.seq) FILTER (b.record_type = 'flow') AS fl, list(b.name || ': ' || CAST(b.value AS VARCHAR) || ' ' || coalesce(b.unit2, '') ORDER BY b.seq) FILTER (b.record_type = 'parameter') AS pa
+  FROM lg a LEFT JOIN lg b ON a.session_id = b.session_id AND b.seq < a.seq WHERE a.record_type = 'summary_check' GROUP BY ALL),
+sm1 AS (SELECT session_id, seq, n, coalesce(len(sc), 0) AS s, coalesce(len(fl), 0) AS f, coalesce(len(pa), 0) AS p, sc, fl, pa FROM sm0),
+sm AS (SELECT session_id, seq, CASE WHEN n = 0 THEN 'No previous records in this session.' ELSE rtrim('Total Actions: ' || (s + f + p) || chr(10) || 'Scopes: ' || s || ', Flows: ' || f || ', Parameters: ' || p || chr(10) ||
+  CASE WHEN s > 0 THEN chr(10) || 'LCA Scope:' || chr(10) || '  - ' || array_to_string(sc, chr(10) || '  - ') || chr(10) ELSE '' END || CASE WHEN f > 0 THEN chr(10) || 'Recorded Flows:' || chr(10) || '  - ' || array_to_string(fl, chr(10) || '  - ') || chr(10) ELSE '' END ||
+  CASE WHEN p > 0 THEN chr(10) || 'Recorded Parameters:' || chr(10) || '  - ' || array_to_string(pa, chr(10) || '  - ') || chr(10) ELSE '' END, '') END AS summary FROM sm1),
+t0 AS (SELECT *, {_KINDS} FROM lg WHERE record_type <> 'document_preview'),
+t1 AS (SELECT * REPLACE (CASE WHEN kind = 'skip' AND len(found) = 0 AND skipped IS NOT NULL THEN [struct_pack(a := 'skipped', b := skipped)] ELSE found END AS found) FROM t0),
+t2 AS (SELECT *, CASE WHEN kind <> 'record' OR len(found) > 0 THEN asked END AS may FROM t1),
+t3 AS (SELECT *, last_value(may IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, kind = 'record' AND record_type <> 'note' AS records FROM t2),
+t4 AS (SELECT *, may IS NOT NULL AND may IS DISTINCT FROM was AS searches FROM t3), t5 AS (SELECT *, CASE WHEN searches OR records THEN kind END AS speaks, '[SMART_SKIP_PLACEHOLDER: ' || category || ' - ' || reason || ']' AS ph FROM t4),
+t6 AS (SELECT *, last_value(CASE WHEN speaks IS NOT NULL THEN CASE WHEN kind = 'skip' THEN ph ELSE '' END END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending,
+  first_value(speaks IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM t5),
+t AS (SELECT t6.*, summary, CASE WHEN kind = 'pivot' THEN '' ELSE coalesce(pending, '') END AS takes FROM t6 LEFT JOIN sm USING (session_id, seq)), nul AS (SELECT CAST(NULL AS VARCHAR) AS x),
+en AS (SELECT session_id, max(seq) AS seq, arg_max(record_type, seq) AS kind, count(*) AS n FROM t GROUP BY 1),
+m AS (SELECT session_id, seq, 0 AS k, 'assistant' AS role, x AS content, takes AS reasoning_content, '[' || {_SEARCH} || ']' AS tool_calls FROM t, nul WHERE searches
+  UNION ALL SELECT session_id, seq, 1, 'tool', {_FOUND}, NULL, NULL FROM t WHERE searches UNION ALL SELECT session_id, seq, 2, 'assistant', NULL, ph, '[]' FROM t WHERE kind = 'skip' AND searches AND coalesce(next, 'pivot') = 'pivot'
+  UNION ALL SELECT session_id, seq, 3, 'assistant', NULL, CASE WHEN searches THEN '' ELSE takes END, '[' || {_CALL} || ']' FROM t WHERE records UNION ALL SELECT session_id, seq, 4, 'tool', {_ANSWER}, NULL, NULL FROM t WHERE records
+  UNION ALL SELECT session_id, seq, 5, 'assistant', '', '', NULL FROM en WHERE kind = 'summary_check' OR (kind IN ('parameter', 'flow', 'calculation', 'scope') AND n <= 5))"""
+
+
+def _flat(calls):
+    return F.when(calls.isNotNull(), F.concat(F.lit("["), F.array_join(calls, ","), F.lit("]")))
+
+
+@add("export_chat", f"WITH {_LOG}, {_TOLD} SELECT * FROM m")
+def _(spark, sf):
+    return X.chat_rows(_log(spark, sf)).withColumn("tool_calls", _flat(C("tool_calls")))
+
+
+_BASE = "You are a life cycle inventory expert."
+_PROMPT = f"""pr0 AS (SELECT session_id, arg_min(k, seq) FILTER (record_type = 'document_preview') AS k FROM lg GROUP BY 1),
+pr AS (SELECT session_id, '{_BASE}' || CASE WHEN k IS NULL THEN '' ELSE chr(10) || chr(10) || '**DOCUMENT CONTEXT**: ' || chr(10) || 'A PDF document has been uploaded and is ready for analysis.' || chr(10) || '- Document Name: "' || CASE WHEN k % 2 = 0 THEN 'doc ' || session_id ELSE 'Unknown Document' END ||
+  '"' || chr(10) || '- Document ID: ' || session_id[1:8] || '...' || chr(10) || CASE WHEN session_id = 'S1' THEN '' ELSE chr(10) || '**CHUNK 0 PREVIEW** (Executive Summary / Introduction):' || chr(10) || '"page 0 of ' || session_id || '"' || chr(10) || chr(10) || '**CHUNK 1 PREVIEW**:' || chr(10) || '"page 1 of ' || session_id || '"' || chr(10) END ||
+  '{{injection}}' END AS prompt FROM pr0)"""
+
+
+@add("system_prompts", f"WITH {_LOG}, " + _PROMPT.format(injection=X.INJECTION) + " SELECT * FROM pr")
+def _(spark, sf):
+    return X.system_prompts(_log(spark, sf), _BASE)
+
+
+def _lines(samples):
+    """Messages as text: a line of role, reasoning, calls and content each."""
+    line = lambda m: F.concat_ws("|", m["role"], F.coalesce(m["reasoning_content"], F.lit("-")), F.coalesce(_flat(m["tool_calls"]), F.lit("-")), F.coalesce(m["content"], F.lit("-")))
+    return samples.select("session_id", "n", F.md5(F.array_join(F.transform("messages", line), "\n").cast("binary")).alias("digest"))
+
+
+_DIGEST = """, al AS (SELECT session_id, seq, k, role, content, reasoning_content, tool_calls FROM m UNION ALL SELECT session_id, -1, -2, 'system', prompt, NULL, NULL FROM pr UNION ALL SELECT session_id, -1, -1, 'user', '', NULL, NULL FROM pr)
+  SELECT session_id, count(*) AS n, md5(string_agg(role || '|' || coalesce(reasoning_content, '-') || '|' || coalesce(tool_calls, '-') || '|' || coalesce(content, '-'), chr(10) ORDER BY seq, k)) AS digest FROM al GROUP BY session_id"""
+
+
+@add("export_chat_samples", f"WITH {_LOG}, {_TOLD}, " + _PROMPT.format(injection=X.INJECTION) + _DIGEST)
+def _(spark, sf):
+    return _lines(X.chat_samples(_log(spark, sf), _BASE))
+
+
+_QA_TOLD = f"""u0 AS (SELECT *, {_KINDS} FROM lg WHERE record_type <> 'document_preview'), u1 AS (SELECT * REPLACE (CASE WHEN kind <> 'skip' THEN found WHEN skipped IS NOT NULL THEN [struct_pack(a := 'skipped', b := skipped)] ELSE [] END AS found) FROM u0),
+u AS (SELECT *, asked IS DISTINCT FROM lag(asked) OVER (PARTITION BY session_id ORDER BY seq) AS searches FROM u1),
+r AS (SELECT a.*, EXISTS (SELECT 1 FROM u c WHERE c.session_id = a.session_id AND c.action_id = a.link_to AND c.record_type = 'calculation' AND c.kind = 'record' AND c.seq < a.seq) AS calculated FROM u a WHERE a.kind = 'record' AND a.record_type IN ('flow', 'scope', 'parameter')),
+ra AS (SELECT session_id, seq, CASE record_type WHEN 'scope' THEN 'The functional unit is: ' || coalesce(nullif(description, ''), name) WHEN 'parameter' THEN 'The ' || lower(name) || ' is ' || CAST(value AS VARCHAR) || ' kg.' ELSE
+  CASE WHEN calculated THEN 'Based on the calculation, the ' || lower(name) || ' is ' || CAST(value AS VARCHAR) || ' kg.' WHEN flow_type = 'Input' THEN 'The process consumed ' || CAST(value AS VARCHAR) || ' kg of ' || lower(name) || '.'
+  WHEN category = 'Product' THEN 'The process produced ' || CAST(value AS VARCHAR) || ' kg of ' || lower(name) || '.' WHEN category = 'Waste' THEN 'The process generated ' || CAST(value AS VARCHAR) || ' kg of ' || lower(name) || ' waste.'
+  WHEN category = 'Emission' THEN 'The process emitted ' || CAST(value AS VARCHAR) || ' kg of ' || lower(name) || '.' ELSE 'The output is ' || CAST(value AS VARCHAR) || ' kg of ' || lower(name) || '.' END END AS answer FROM r),
+m AS (SELECT session_id, seq, 0 AS k, 'assistant' AS role, CAST(NULL AS VARCHAR) AS content, '' AS reasoning_content, '[' || {_SEARCH} || ']' AS tool_calls FROM u WHERE searches UNION ALL SELECT session_id, seq, 1, 'tool', {_FOUND}, NULL, NULL FROM u WHERE searches
+  UNION ALL SELECT session_id, (SELECT max(seq) FROM lg l WHERE l.session_id = ra.session_id), 5, 'assistant', string_agg(answer, ' ' ORDER BY seq), '', NULL FROM ra GROUP BY session_id)"""
+
+
+@add("export_qa_chat", f"WITH {_LOG}, {_QA_TOLD} SELECT * FROM m")
+def _(spark, sf):
+    return X.qa_rows(_log(spark, sf)).withColumn("tool_calls", _flat(C("tool_calls")))
 
 
-@add("export_chat", _EXPORT + " SELECT session_id, seq, k, role, content FROM m")
+@add("export_qa_samples", f"WITH {_LOG}, {_QA_TOLD}, " + _PROMPT.format(injection=X.QA_INJECTION) + _DIGEST)
 def _(spark, sf):
-    return X.chat_rows(V.actions(spark, sf))
+    return _lines(X.qa_samples(_log(spark, sf), _BASE))
+
+
+_QUERIES = {
+    "Raw Material": "powder material feedstock", "Process Energy": "energy electricity power consumption", "Post-processing Energy": "heat treatment machining post-processing energy", "Feedstock Energy": "powder production atomization feedstock energy",
+    "Gas": "gas argon nitrogen shielding", "Cooling Media": "water cooling liquid coolant", "Product": "product part manufactured output", "Recovered Material": "recovered reuse recycled powder", "Waste": "waste scrap trimmings dust disposal", "Emission": "emissions CO2 exhaust gas",
+}
 
 
-@add("export_chat_samples", _EXPORT + " SELECT session_id, string_agg(role || '|' || content, chr(10) ORDER BY seq, k) AS messages, count(*) AS n FROM m GROUP BY session_id")
+@add("category_queries", f"WITH {V.ACTIONS}, x AS (SELECT CASE WHEN k % 11 = 0 THEN 'other' ELSE category END AS category FROM v_actions) SELECT category, CASE category " + " ".join(f"WHEN '{c}' THEN '{q}'" for c, q in _QUERIES.items()) + " END AS query, count(*) AS n FROM x GROUP BY ALL")
 def _(spark, sf):
-    return X.chat_samples(V.actions(spark, sf))
+    category = F.when(C("k") % 11 == 0, "other").otherwise(C("category"))
+    return V.actions(spark, sf).groupBy(category.alias("category")).agg(F.count("*").alias("n")).select("category", X.category_query(C("category")).alias("query"), "n")
 
 
 @add("export_qa", f"""WITH {V.ACTIONS}, r AS (SELECT r.*, c.action_id IS NOT NULL AS calculated, CASE WHEN r.k % 13 = 0 THEN '' WHEN r.category IN ('Raw Material', 'Process Energy', 'Post-processing Energy', 'Feedstock Energy', 'Gas', 'Cooling Media') THEN 'Input' ELSE 'Output' END AS flow_type,

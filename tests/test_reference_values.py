@@ -171,8 +171,8 @@ def test_sources(spark, tmp_path):
 
 
 def test_search_arguments(spark):
-    assert one(spark, export.search_arguments(F.array(F.lit("a")))) == '{"query":"a"}'
-    assert one(spark, export.search_arguments(F.array(F.lit("a"), F.lit("b")))) == '{"queries":["a","b"]}'
+    assert one(spark, export.search_arguments(F.lit("s"), F.array(F.lit("a")))) == '{"session_id":"s","query":"a"}'
+    assert one(spark, export.search_arguments(F.lit("s"), F.array(F.lit("a"), F.lit("b")))) == '{"session_id":"s","queries":["a","b"]}'
 
 
 @pytest.mark.parametrize(
