@@ -225,7 +225,7 @@ def summary(actions: DataFrame) -> DataFrame:
     scored = F.when(flow & F.col("process_name").isNotNull(), F.when(F.col("chunk_id").isNotNull(), 1.0).otherwise(0.5))
     return actions.groupBy("session_id").agg(
         F.count("*").alias("actions"), *[of("record_type", r, f"n_{r}") for r in RECORDS], *[of("intent", i, f"i_{i}") for i in INTENTS],
-        F.count_if(linked()).alias("linked"), F.round(F.avg(scored), 6).alias("quality"), F.min("created_at").alias("first_at"),
+        F.count_if(linked()).alias("linked"), F.round(F.avg(scored), 3).alias("quality"), F.min("created_at").alias("first_at"),
         F.max_by("action_id", "seq").alias("last_action"), F.countDistinct(F.when(flow, F.col("category"))).alias("flow_categories"),
     )
 

@@ -31,11 +31,21 @@ def close(predicted: Column, true: Column) -> Column:
     return F.when(true == 0, F.abs(predicted) <= 0.01).otherwise(F.abs(predicted - true) <= F.abs(true) * 0.01)
 
 
-def field_score(predicted: Column, true: Column) -> Column:
-    """1 for equal normalised texts, 0.5 where they share half of the shorter one's words, else 0."""
+def name_score(predicted: Column, true: Column) -> Column:
+    """1 where one normalised text holds the other, 0.5 where they share half of the shorter one's words, else 0."""
     a, b = normalized(predicted), normalized(true)
-    wa, wb = F.array_distinct(F.split(a, " +")), F.array_distinct(F.split(b, " +"))
-    return F.when(a == b, 1.0).when(F.size(F.array_intersect(wa, wb)) * 2 >= F.least(F.size(wa), F.size(wb)), 0.5).otherwise(0.0)
+    words = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)))
+    shared = F.size(F.array_intersect(words(a), words(b))) * 2 >= F.least(F.size(words(a)), F.size(words(b)))
+    return F.when(F.contains(a, b) | F.contains(b, a), 1.0).when(shared, 0.5).otherwise(0.0)
+
+
+def field_score(predicted, true) -> Column:
+    """The mean of three fields of a pair of records: the name's score, and equal normalised category and unit.
+
+    ``predicted`` and ``true`` are functions that give a record's field by name: name, category or unit.
+    """
+    same = lambda f: F.when(normalized(predicted(f)) == normalized(true(f)), 1.0).otherwise(0.0)
+    return (name_score(predicted("name"), true("name")) + same("category") + same("unit")) / 3
 
 
 def first_by_name(predictions: DataFrame, truth: DataFrame, file: str, place: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tools and required arguments, in order.
@@ -21,12 +21,12 @@ TOOLS = {
 }
 
 
-def schemas(spark: SparkSession) -> DataFrame:
-    """tool, arguments (an array) of all tools."""
-    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), F.array(*[F.lit(a) for a in args]).alias("arguments")) for t, args in TOOLS.items()]))
-    return spark.range(1).select(rows.alias("t")).select("t.*")
+def required(tool: Column) -> Column:
+    """The arguments that a model must give a tool; none of an unknown one. The session's id is filled in by the service."""
+    known = F.create_map(*[c for t, args in TOOLS.items() for c in (F.lit(t), F.array(*[F.lit(a) for a in args if a != "session_id"]).cast("array<string>"))])
+    return F.coalesce(F.try_element_at(known, tool), F.array().cast("array<string>"))
 
 
-def offered(spark: SparkSession) -> DataFrame:
-    """Tools as a model sees them: the session's id, which the service fills in, is no argument of theirs."""
-    return schemas(spark).select("tool", F.array_join(F.array_remove("arguments", "session_id"), ",").alias("arguments"))
+def missing(calls: DataFrame) -> DataFrame:
+    """``calls`` (tool, given: names of arguments) with ``missing``: required arguments that are not given, in order."""
+    return calls.withColumn("missing", F.array_except(required(F.col("tool")), F.coalesce("given", F.array().cast("array<string>"))))

@@ -85,7 +85,7 @@ def _scopes(spark, sf):
 
 _add("search_query_dedup", L.repeated_queries, "SELECT session_id, seq, search_query, coalesce(search_query IS DISTINCT FROM lag(search_query) OVER (PARTITION BY session_id ORDER BY seq), false) AS emitted FROM v_actions")
 _i = ", ".join(f"count(*) FILTER (intent = '{i}') AS i_{i}" for i in L.INTENTS)
-_add("session_summary_wide", L.summary, f"""SELECT session_id, count(*) AS actions, {_n}, {_i}, count(link_to) AS linked, round(CAST(avg({_q}) AS DOUBLE), 6) AS quality, min(created_at) AS first_at,
+_add("session_summary_wide", L.summary, f"""SELECT session_id, count(*) AS actions, {_n}, {_i}, count(link_to) AS linked, round(CAST(avg({_q}) AS DOUBLE), 3) AS quality, min(created_at) AS first_at,
   arg_max(action_id, seq) AS last_action, count(DISTINCT category) FILTER (record_type = 'flow') AS flow_categories FROM v_actions GROUP BY session_id""")
 
 

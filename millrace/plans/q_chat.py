@@ -507,11 +507,19 @@ _PNAME = "CASE l_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || '!'
 _N = "trim(translate(lower({0}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''))"
 
 
-@add("eval_field_match", f"""WITH x AS (SELECT p_partkey, {_N.format('p_name')} AS a, {_N.format("CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || chr(33) ELSE 'other ' || p_name END")} AS b FROM part)
-  SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN len(list_intersect(string_split(a, ' '), string_split(b, ' '))) * 2 >= least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))) THEN 0.5 ELSE 0.0 END AS score FROM x""")
+_OTHER = "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) || chr(33) WHEN 2 THEN 'other ' || p_name WHEN 3 THEN string_split(p_name, ' ')[2] || ' steel' ELSE 'copper' END"
+
+
+@add("eval_field_match", f"""WITH x AS (SELECT p_partkey, p_size, {_N.format('p_name')} AS a, {_N.format(_OTHER)} AS b FROM part),
+  s AS (SELECT *, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 WHEN len(list_intersect(string_split(a, ' '), string_split(b, ' '))) * 2 >= least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))) THEN 0.5 ELSE 0.0 END AS name_score FROM x)
+  SELECT p_partkey, CAST(name_score AS DOUBLE) AS name_score, round(CAST(name_score + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 < 2 THEN 1 ELSE 0 END AS DOUBLE) / 3, 6) AS score FROM s""")
 def _(spark, sf):
-    other = F.when(C("p_partkey") % 3 == 0, C("p_name")).when(C("p_partkey") % 3 == 1, F.concat(F.upper("p_name"), F.lit("!"))).otherwise(F.concat(F.lit("other "), "p_name"))
-    return V.table(spark, sf, "part").select("p_partkey", E.field_score(other, C("p_name")).alias("score"))
+    """Each part against itself under another name, every second in another category, every third in another unit."""
+    k, n = C("p_partkey") % 5, C("p_name")
+    name = F.when(k == 0, n).when(k == 1, F.concat(F.upper(n), F.lit("!"))).when(k == 2, F.concat(F.lit("other "), n)).when(k == 3, F.concat(F.split(n, " ")[1], F.lit(" steel"))).otherwise("copper")
+    said = {"name": name, "category": F.when(C("p_size") % 2 == 0, F.concat(F.lit(" "), F.upper("p_type"))).otherwise("none"), "unit": F.when(C("p_size") % 3 == 0, "KG").when(C("p_size") % 3 == 1, "kg.").otherwise("g")}
+    true = {"name": n, "category": C("p_type"), "unit": F.lit("kg")}
+    return V.table(spark, sf, "part").select("p_partkey", E.name_score(name, n).alias("name_score"), F.round(E.field_score(said.get, true.get), 6).alias("score"))
 
 
 @add("eval_set_recall", f"""WITH x AS ({_PAIR}), f AS (SELECT file, list_distinct(list(name)) AS t, list_distinct(list(name) FILTER (l_suppkey % 2 = 0)) AS p FROM x GROUP BY file) SELECT count(*) AS files, round(avg(len(list_intersect(t, coalesce(p, []))) / len(t)), 6) AS recall FROM f""")

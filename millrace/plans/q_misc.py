@@ -83,13 +83,48 @@ def _(spark, sf):
 
 
 # --- prompts -----------------------------------------------------------------------------------------------------------
-@add("document_prompt_lines", f"""WITH {V.LCI}, p AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN '[DIRECT] ' WHEN 1 THEN '[CALCULABLE] ' ELSE '[CONTEXT] ' END || category || ': ' || name || ' = ' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' ' || unit AS line FROM v_lci)
-  SELECT session_id, string_agg(line, chr(10) ORDER BY l_partkey, l_suppkey, l_linenumber, value, line) AS prompt FROM p GROUP BY session_id""")
+_LINES = """WITH f AS (SELECT l_orderkey AS session_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS seq, l_partkey, l_suppkey, l_linenumber, name, category, flow_type, CAST(CAST(value AS BIGINT) AS VARCHAR) AS value, unit FROM (SELECT *, session_id AS l_orderkey FROM v_lci)),
+  r AS (SELECT session_id, category || ': ' || name AS flow, arg_max(l_linenumber, seq) AS n FROM f WHERE l_partkey % 3 = 0 GROUP BY ALL),
+  x AS (SELECT f.*, r.n, CASE WHEN flow_type = 'Output' AND l_suppkey % 2 = 0 THEN ', ' || l_linenumber || ' units' ELSE '' END AS many, name || ' (' || category || ')' AS named, l_partkey % 7 = 0 AS nodes FROM f LEFT JOIN r ON r.session_id = f.session_id AND r.flow = category || ': ' || name),
+  l AS (SELECT session_id, CASE WHEN flow_type = 'Input' THEN 0 ELSE 1 END AS part, seq, 0 AS k, CASE WHEN n IS NOT NULL THEN '[CALCULABLE] ' || named || ': ' || value || ' ' || unit || many WHEN nodes THEN '[CALCULABLE] ' || named || ': parameters are power: ' || l_linenumber || ' W, time: 2 h, final value is ' || value || ' ' || unit || many
+    ELSE '[DIRECT] ' || named || ': ' || value || ' ' || unit || many END AS line FROM x UNION ALL SELECT session_id, CASE WHEN flow_type = 'Input' THEN 0 ELSE 1 END, seq, 1, '  → Calculation: value x ' || n FROM x WHERE n IS NOT NULL
+    UNION ALL SELECT session_id, CASE WHEN flow_type = 'Input' THEN 0 ELSE 1 END, seq, 2, '  → Uses parameters: power, time ' || n FROM x WHERE n IS NOT NULL UNION ALL SELECT o_orderkey, 2, 0, 0, '[CONTEXT] Total: ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' EUR' FROM orders)""".replace("WITH f", f"WITH {V.LCI}, f")
+
+
+def _documents(spark, sf):
+    """Flows, parameters and relations of each order's document."""
+    part, supp, line = C("l_partkey"), C("l_suppkey"), C("l_linenumber")
+    node = lambda n, v, u: F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(u).alias("unit"))
+    rows = V.lci(spark, sf).withColumn("seq", part * 1000000 + supp * 100 + line)
+    nodes = F.when(part % 7 == 0, F.array(node("power", line.cast("string"), "W"), node("time", F.lit("2"), "h")))
+    flows = rows.select("session_id", "seq", C("flow_type").alias("side"), "category", "name", C("value").cast("long").cast("string").alias("value"), "unit", F.when(supp % 2 == 0, line).alias("quantity"), nodes.alias("child_nodes"))
+    used = F.array(F.lit("power"), F.concat(F.lit("time "), line.cast("string")))
+    relations = rows.where(part % 3 == 0).select("session_id", "seq", F.concat("category", F.lit(": "), "name").alias("flow"), F.concat(F.lit("value x "), line.cast("string")).alias("calculation"), used.alias("parameters_used"))
+    orders = V.table(spark, sf, "orders").select(C("o_orderkey").alias("session_id"), "o_totalprice", "o_orderpriority")
+    parameters = orders.select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("Total").alias("name"), F.floor("o_totalprice").cast("string").alias("value"), F.lit("EUR").alias("unit"))
+    return orders.select("session_id", F.when(C("session_id") % 4 > 0, C("o_orderpriority")).alias("process_name")), flows, parameters, relations
+
+
+@add("document_prompt_lines", _LINES + " SELECT session_id, part, seq, k, line, count(*) AS n FROM l GROUP BY ALL")
 def _(spark, sf):
-    tag = F.when(C("l_linenumber") % 3 == 0, "[DIRECT] ").when(C("l_linenumber") % 3 == 1, "[CALCULABLE] ").otherwise("[CONTEXT] ")
-    line = F.concat(tag, "category", F.lit(": "), "name", F.lit(" = "), C("value").cast("long").cast("string"), F.lit(" "), "unit")
-    rows = F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", "value", line.alias("line"))))
-    return V.lci(spark, sf).groupBy("session_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("prompt"))
+    return P.document_lines(*_documents(spark, sf)[1:], "complex").groupBy("session_id", "part", "seq", "k", "line").agg(F.count("*").alias("n"))
+
+
+_PROMPTED = """, t AS (SELECT session_id, string_agg('- ' || line, chr(10) ORDER BY part, seq, k, line) AS lines FROM l{0} GROUP BY session_id)
+  SELECT o_orderkey AS session_id, md5('Process: ' || CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE 'AM Process' END || chr(10) || chr(10) || 'Data to document:' || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || 'Note: ' || chr(10) || '{1}' ||
+  CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.session_id = o_orderkey) THEN '{2}' ELSE '' END || '{3}') AS digest FROM orders LEFT JOIN t ON session_id = o_orderkey"""
+
+
+def _prompted(where, difficulty, kind):
+    quoted = lambda s: s.replace("'", "''")
+    return _LINES + _PROMPTED.format(where, quoted("\n".join(P.LEGEND)), quoted(P.TIPS.get(difficulty, "")), quoted(P.GUIDANCE + f"\n\nWrite a formal {kind.replace('_', ' ')} " + P.CLOSING))
+
+
+for _level, _kind in (("simple", "batch_production_record"), ("medium", "energy_audit"), ("complex", "technical_report")):
+
+    @add(f"document_prompts_{_level}", _prompted("" if _level == "complex" else " WHERE k = 0", _level, _kind))
+    def _(spark, sf, level=_level, kind=_kind):
+        return P.document_prompts(*_documents(spark, sf), level, kind).select("session_id", F.md5(C("prompt").cast("binary")).alias("digest"))
 
 
 @add("doc_variants", "SELECT p_partkey, difficulty, doc_type, md5(p_name || difficulty || doc_type) AS doc_id FROM part, (VALUES ('easy'), ('medium'), ('hard')) d(difficulty), (VALUES ('report'), ('paper'), ('table')) t(doc_type)")
@@ -120,20 +155,25 @@ def _(spark, sf):
     return H.history_text(V.table(spark, sf, "conversations"))
 
 
-_HINT = "CASE WHEN contains(lower(x), 'steel') THEN 'metal' WHEN contains(lower(x), 'nylon') THEN 'polymer' WHEN contains(lower(x), 'argon') THEN 'gas' WHEN contains(lower(x), 'kwh') OR contains(lower(x), 'mj') THEN 'energy' ELSE 'other' END"
+_HINT = """CASE WHEN contains(x, '316l') THEN '316L stainless steel' WHEN contains(x, 'stainless steel') OR contains(x, 'x2crni') THEN 'stainless steel' WHEN contains(x, 'steel') AND contains(x, 'powder') THEN 'steel powder'
+  WHEN contains(x, 'titanium') OR contains(x, 'ti6al4v') OR contains(x, 'ti-6al-4v') THEN 'titanium alloy' WHEN contains(x, 'aluminum') OR contains(x, 'aluminium') THEN 'aluminum' END"""
 
 
-@add("material_hints", f"WITH {V.TEXTS}, t AS (SELECT l_partkey % 4 AS kind, text AS x FROM v_text) SELECT kind, {_HINT} AS hint, count(*) AS n FROM t GROUP BY ALL")
+@add("material_hints", f"""WITH {V.TEXTS}, t AS (SELECT l_orderkey AS session_id, lower(['aluminium', 'Ti-6Al-4V', 'wire', 'X2CrNi']
+  [CAST(l_suppkey % 4 AS INTEGER) + 1] || ' ' || text) AS x FROM v_text WHERE l_linenumber % 3 < 2) SELECT session_id, coalesce(string_agg(DISTINCT {_HINT}, ',' ORDER BY {_HINT}), '') AS hints FROM t GROUP BY session_id""")
 def _(spark, sf):
-    has = lambda w: F.contains(F.lower("text"), F.lit(w))
-    hint = F.when(has("steel"), "metal").when(has("nylon"), "polymer").when(has("argon"), "gas").when(has("kwh") | has("mj"), "energy").otherwise("other")
-    return V.texts(spark, sf).groupBy((C("l_partkey") % 4).alias("kind"), hint.alias("hint")).agg(F.count("*").alias("n"))
+    category = F.when(C("l_linenumber") % 3 == 0, "Raw Material").when(C("l_linenumber") % 3 == 1, "Process Material").otherwise("Gas")
+    flows = V.texts(spark, sf).select(C("l_orderkey").alias("session_id"), category.alias("category"), V.pick(("aluminium", "Ti-6Al-4V", "wire", "X2CrNi"), C("l_suppkey") % 4).alias("name"), C("text").alias("note"))
+    return P.material_hints(flows).select("session_id", F.array_join("hints", ",").alias("hints"))
+
 
+_REPLY = """CASE p_partkey % 5 WHEN 0 THEN '<think>about ' || p_type || '</think> "' || p_name || '" ' WHEN 1 THEN '<think>a</think>x<think>b</think> ' || {q} || p_name || {q} WHEN 2 THEN '' WHEN 3 THEN p_name || '</think> ' || p_type ELSE repeat('long ', 30) END"""
 
-@add("rewrite_cleanup", "WITH x AS (SELECT p_partkey, trim(regexp_replace('<think>about ' || p_type || '</think> \"' || p_name || '\" ', '(?s)<think>.*?</think>', '', 'g')) AS t FROM part) SELECT p_partkey, CASE WHEN length(trim(t, '\"')) < 100 THEN trim(t, '\"') END AS name FROM x")
+
+@add("rewrite_cleanup", f"""WITH x AS (SELECT p_partkey, p_type, {_REPLY.format(q='chr(39)')} AS r FROM part), t AS (SELECT *, trim(trim(trim(CASE WHEN contains(r, '<think>') AND contains(r, '</think>') THEN string_split(r, '</think>')[-1] ELSE r END), '"' || chr(39))) AS b FROM x)
+  SELECT p_partkey, CASE WHEN length(b) > 0 AND length(b) < 100 THEN b ELSE p_type END AS name FROM t""")
 def _(spark, sf):
-    raw = F.concat(F.lit("<think>about "), "p_type", F.lit('</think> "'), "p_name", F.lit('" '))
-    return V.table(spark, sf, "part").select("p_partkey", P.rewritten(raw).alias("name"))
+    return V.table(spark, sf, "part").select("p_partkey", P.rewritten(F.expr(_REPLY.format(q="char(39)")), C("p_type")).alias("name"))
 
 
 @add("context_summary", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'No PDF context information available' ELSE 'Section 1: ' || p_name || '...' || chr(10) || 'Section 2: ' || p_type || '...' || chr(10) || 'Section 3: ...' END AS context,
@@ -245,10 +285,9 @@ def _(spark, sf):
 
 @add("tagged_sources", "SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def _(spark, sf):
+    """One write deals all kinds into folders, whatever they are called."""
     path = S.scratch(spark, "tagged")
-    e = V.table(spark, sf, "events")
-    for kind in ("purchase", "view", "signup", "error", "click"):
-        e.where(C("event_type") == kind).select("event_id").write.json(f"{path}/{kind}")
+    V.table(spark, sf, "events").select("event_id", C("event_type").alias("kind")).write.partitionBy("kind").json(path)
     return S.read_tagged(spark, path, "event_id long").groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
 
 
@@ -262,11 +301,20 @@ def _(spark, sf):
     return spark.read.schema("event_id long, version string, session_id long").parquet(path).groupBy("session_id", "version").agg(F.count("*").alias("n"))
 
 
-@add("tool_schema", """SELECT * FROM (VALUES ('process_document', 'file_content,filename'), ('search_document', ''), ('record_document_preview', ''), ('build_lca_system', 'system_description,functional_unit'), ('search_lci_database', 'query'),
-  ('define_lca_scope', 'parameter_name,description'), ('record_process_flow', 'flow_type,category,name,value,unit'), ('record_parameter', 'parameter_name,parameter_value,selected_chunk'), ('record_calculation', 'calculation_expression,calculation_result,data_dependencies,expert_decision'),
-  ('execute_calculation', 'expression'), ('get_session_summary', '')) t(tool, arguments)""")
+_ARGUMENTS = """t(place, tool, arguments) AS (VALUES (0, 'process_document', ['file_content', 'filename']), (1, 'search_document', []), (2, 'record_document_preview', []), (3, 'build_lca_system', ['system_description', 'functional_unit']), (4, 'search_lci_database', ['query']),
+  (5, 'define_lca_scope', ['parameter_name', 'description']), (6, 'record_process_flow', ['flow_type', 'category', 'name', 'value', 'unit']), (7, 'record_parameter', ['parameter_name', 'parameter_value', 'selected_chunk']),
+  (8, 'record_calculation', ['calculation_expression', 'calculation_result', 'data_dependencies', 'expert_decision']), (9, 'execute_calculation', ['expression']), (10, 'get_session_summary', []))"""
+
+
+@add("tool_schema", f"""WITH {_ARGUMENTS}, c AS (SELECT event_id, event_id % 12 AS place, CASE event_id % 5 WHEN 0 THEN ['session_id', 'name', 'value', 'unit'] WHEN 1 THEN ['query', 'expression', 'filename', 'file_content'] WHEN 2 THEN ['parameter_name', 'description', 'extra'] ELSE [] END AS given FROM events)
+  SELECT coalesce(tool, 'unknown') AS tool, array_to_string(list_filter(coalesce(arguments, []), lambda a: NOT list_contains(given, a)), ',') AS missing, count(*) AS n FROM c LEFT JOIN t USING (place) GROUP BY ALL""")
 def _(spark, sf):
-    return tools.offered(spark)
+    """Calls, one for each event, and the arguments that their tools require and they lack."""
+    n = C("event_id")
+    given = F.when(n % 5 == 0, F.array(*map(F.lit, ("session_id", "name", "value", "unit")))).when(n % 5 == 1, F.array(*map(F.lit, ("query", "expression", "filename", "file_content"))))
+    given = given.when(n % 5 == 2, F.array(*map(F.lit, ("parameter_name", "description", "extra")))).otherwise(F.array().cast("array<string>"))
+    calls = V.table(spark, sf, "events").select(V.pick((*tools.TOOLS, "unknown"), n % 12).alias("tool"), given.alias("given"))
+    return tools.missing(calls).groupBy("tool", F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n"))
 
 
 @add("flow_type_display", f"WITH {V.LCI} SELECT category, CASE WHEN category = 'Emission' THEN 'Output' ELSE flow_type END AS stored, count(*) AS n FROM v_lci GROUP BY ALL")

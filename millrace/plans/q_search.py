@@ -270,7 +270,7 @@ def _(spark, sf):
 
 
 def _tables(spark, sf):
-    return V.texts(spark, sf).where("l_partkey % 4 = 1").select(F.concat_ws("-", *V.TEXT_KEY).alias("table_id"), "text").dropDuplicates(["table_id"])
+    return V.texts(spark, sf).where("l_partkey % 4 = 1").select(F.concat_ws("-", *V.TEXT_KEY).alias("table_id"), "text").groupBy("table_id").agg(F.min("text").alias("text"))
 
 
 _CELLS = f"""WITH {V.TEXTS}, tb AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS table_id, min(text) AS text FROM v_text WHERE l_partkey % 4 = 1 GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and driver and tasks are one process (a local master, as in tests), a local one; else an error,
+    as executors would write to folders that nobody else can read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -50,9 +57,9 @@ def write_json_lists(rows: DataFrame, path: str, per_file: int = 20_000) -> None
 
 
 def read_tagged(spark: SparkSession, path: str, schema: str, pattern: str = "*.json*") -> DataFrame:
-    """JSON lines below a folder, at any depth, with ``kind``: the name of the folder they lie in."""
+    """JSON lines below a folder, at any depth, with ``kind``: the name of the folder they lie in, or the value it was partitioned by."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
-    return rows.withColumn("kind", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return rows.withColumn("kind", F.url_decode(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^kind=", "")))
 
 
 def read_texts(spark: SparkSession, path: str, without: str = r"(mapping|log)\.[a-z]+$") -> DataFrame:

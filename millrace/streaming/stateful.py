@@ -68,23 +68,24 @@ class _Think(StatefulProcessor):
     """State: the mode, the text that may begin a tag, the next chunk's number, and chunks that came before their turn."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "thinking boolean, held string, next int")
+        self.at = handle.getValueState("at", "thinking boolean, held string, next int, early int")
         self.early = handle.getMapState("early", "place int", "text string, last boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        thinking, held, place = self.at.get() if self.at.exists() else (False, "", 0)
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.place >= place:
-                    self.early.updateValue((int(r.place),), (r.text or "", bool(r.last)))
+        thinking, held, place, early = self.at.get() if self.at.exists() else (False, "", 0, 0)
+        here = {int(r.place): (r.text or "", bool(r.last)) for pdf in rows for r in pdf.itertuples(index=False) if r.place >= place}
+        if early:
+            here |= {p: tuple(v) for (p,), v in self.early.iterator()}
+            self.early.clear()
         told = []
-        while self.early.containsKey((place,)):
-            text, last = self.early.getValue((place,))
-            self.early.removeKey((place,))
+        while place in here:
+            text, last = here.pop(place)
             thinking, held, pieces = think_step(thinking, held, text, last)
             told += [(*key, place, i, kind, piece) for i, (kind, piece) in enumerate(pieces)]
             place += 1
-        self.at.update((thinking, held, place))
+        for p, chunk in here.items():
+            self.early.updateValue((p,), chunk)
+        self.at.update((thinking, held, place, len(here)))
         yield pd.DataFrame(told, columns=["conv_id", "turn", "place", "i", "kind", "text"])
 
     def close(self) -> None:

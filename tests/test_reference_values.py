@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import action_log, chat, export, matching, prompts, retrieval, text_features
+from millrace.operators import action_log, chat, evaluation, export, prompts, retrieval, text_features, tools
 from millrace.sources import tables
 
 
@@ -197,3 +197,90 @@ def test_response_summaries(spark, tool, content, said):
 )
 def test_next_actions(spark, call, said):
     assert one(spark, prompts.next_action(F.lit(call))) == said
+
+
+@pytest.mark.parametrize(
+    "predicted, true, score",
+    [
+        ("steel sheet plate powder", "steel sheet plate", 1.0), ("Steel!", "steel", 1.0), ("steel", "stainless steel, 316L", 1.0), ("argon gas", "gas mix argon", 0.5), ("water cooling", "cooling steam", 0.5),
+        ("copper", "nickel", 0.0), (None, "nickel", 1.0), ("a b c d", "d x y z", 0.0),
+    ],
+)
+def test_name_scores(spark, predicted, true, score):
+    df = spark.createDataFrame([(predicted, true)], "p string, t string")
+    assert df.select(evaluation.name_score(F.col("p"), F.col("t")).alias("s")).first()["s"] == score
+
+
+def test_field_scores(spark):
+    rows = spark.createDataFrame([("steel", "Raw Material", "KG", "steel", "raw material", "kg"), ("iron", "Gas", "g", "steel", "Gas", "kg"), ("argon gas", "x", "g", "gas mix argon", None, "kg")], "pn string, pc string, pu string, tn string, tc string, tu string")
+    field = lambda side: {"name": F.col(f"{side}n"), "category": F.col(f"{side}c"), "unit": F.col(f"{side}u")}.get
+    assert [round(r["s"], 6) for r in rows.select(evaluation.field_score(field("p"), field("t")).alias("s")).collect()] == [1.0, 0.333333, 0.166667]
+
+
+@pytest.mark.parametrize(
+    "name, note, hint",
+    [
+        ("316L powder", None, "316L stainless steel"), ("Stainless Steel sheet", "", "stainless steel"), ("X2CrNiMo17", None, "stainless steel"), ("steel", "as powder", "steel powder"), ("steel", None, None),
+        ("Ti6Al4V", None, "titanium alloy"), ("bar", "Titanium", "titanium alloy"), ("wire", "Ti-6Al-4V", "titanium alloy"), ("Aluminium", None, "aluminum"), ("steel powder", "aluminum", "steel powder"), (None, None, None),
+    ],
+)
+def test_material_hints(spark, name, note, hint):
+    assert spark.createDataFrame([(name, note)], "n string, t string").select(prompts.material_hint(F.col("n"), F.col("t")).alias("h")).first()["h"] == hint
+
+
+def test_material_hints_of_sessions(spark):
+    rows = [(1, "Raw Material", "316L", None), (1, "Process Material", "titanium", None), (1, "Raw Material", "316L rod", None), (1, "Gas", "aluminum", None), (2, "Raw Material", "wood", None), (3, "Waste", "steel powder", None)]
+    got = prompts.material_hints(spark.createDataFrame(rows, "session_id long, category string, name string, note string")).collect()
+    assert {r["session_id"]: r["hints"] for r in got} == {1: ["316L stainless steel", "titanium alloy"], 2: []}
+
+
+@pytest.mark.parametrize(
+    "reply, name",
+    [
+        ('<think>a</think> "Steel scrap" ', "Steel scrap"), ("'steel scrap'", "steel scrap"), ("<think>a</think>first<think>b</think>\n last", "last"), ("plain", "plain"), ("", "old"), (None, "old"),
+        ("x" * 100, "old"), ("x" * 99, "x" * 99), ("<think>never closed", "<think>never closed"), ("\"'both'\"", "both"), ("<think>a</think> ", "old"),
+    ],
+)
+def test_rewritten_names(spark, reply, name):
+    assert spark.createDataFrame([(reply,)], "r string").select(prompts.rewritten(F.col("r"), F.lit("old")).alias("n")).first()["n"] == name
+
+
+def test_document_lines(spark):
+    flows = spark.createDataFrame(
+        [
+            (1, 1, "Input", "Gas", "argon", "2", "kg", 5, None), (1, 2, "Input", "Energy", "power", "7", "kWh", None, [("time", "2", "h"), ("load", "3", "kW")]), (1, 3, "Input", "Energy", "heat", "9", "MJ", None, None),
+            (1, 1, "Output", "Product", "part", "1", "kg", 4, None), (1, 2, "Output", "Waste", "scrap", "3", "kg", 2, [("mass", "3", "kg")]), (1, 3, "Output", "Gas", "argon", "1", "kg", None, None),
+        ],
+        "session_id long, seq long, side string, category string, name string, value string, unit string, quantity int, child_nodes array<struct<name:string,value:string,unit:string>>",
+    )
+    parameters = spark.createDataFrame([(1, 2, "speed", "8", "mm/s"), (1, 1, "layer", "30", "um")], "session_id long, seq long, name string, value string, unit string")
+    relations = spark.createDataFrame([(1, 1, "Gas: argon", "old", ["x"]), (1, 2, "Gas: argon", "flow x time", ["flow", "time"]), (1, 3, "Energy: heat", None, None), (2, 1, "Waste: scrap", "none", [])], "session_id long, seq long, flow string, calculation string, parameters_used array<string>")
+    told = lambda level: [r["line"] for r in prompts.document_lines(flows, parameters, relations, level).orderBy("part", "seq", "k").collect()]
+    assert told("simple") == [
+        "[CALCULABLE] argon (Gas): 2 kg", "[CALCULABLE] power (Energy): parameters are time: 2 h, load: 3 kW, final value is 7 kWh", "[CALCULABLE] heat (Energy): 9 MJ", "[DIRECT] part (Product): 1 kg, 4 units",
+        "[CALCULABLE] scrap (Waste): parameters are mass: 3 kg, final value is 3 kg, 2 units", "[CALCULABLE] argon (Gas): 1 kg", "[CONTEXT] layer: 30 um", "[CONTEXT] speed: 8 mm/s",
+    ]
+    assert [x for x in told("complex") if x.startswith("  ")] == ["  → Calculation: flow x time", "  → Uses parameters: flow, time", "  → Calculation: ", "  → Uses parameters: ", "  → Calculation: flow x time", "  → Uses parameters: flow, time"]
+    names = spark.createDataFrame([(1, None), (2, "SLM"), (3, "none")], "session_id long, process_name string")
+    asked = {r["session_id"]: r["prompt"] for r in prompts.document_prompts(names, flows, parameters, relations, "medium", "energy_audit").collect()}
+    assert asked[1].startswith("Process: AM Process\n\nData to document:\n- [CALCULABLE] argon (Gas): 2 kg\n- ") and "\n\n**Tip for Medium documents**:\n- You may" in asked[1]
+    assert "\n\nNote: \n- [DIRECT] = state the final value directly\n- [CALCULABLE]" in asked[2] and asked[2].startswith("Process: SLM\n\nData to document:\n\n\nNote: ") and "Tip" not in asked[3]
+    assert asked[3].endswith("\n\nWrite a formal energy audit using tables and narrative paragraphs. Start with a clear document title using # heading. Use proper Markdown formatting (headings, bold text, tables, horizontal rules). Return only the Markdown document.\n")
+
+
+@pytest.mark.parametrize("tool, given, missing", [("search_document", [], []), ("execute_calculation", None, ["expression"]), ("define_lca_scope", ["description"], ["parameter_name"]), ("build_lca_system", ["x"], ["system_description", "functional_unit"]), ("none", [], []), (None, None, [])])
+def test_missing_arguments(spark, tool, given, missing):
+    assert tools.missing(spark.createDataFrame([(tool, given)], "tool string, given array<string>")).first()["missing"] == missing
+
+
+def test_shared_folder_needs_a_local_master():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Session)
