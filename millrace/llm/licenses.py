@@ -94,6 +94,12 @@ FAMILIES = (
 #: label, keyword, signature, confidence. Written by hand; "" is the label of a denial.
 TEXTS = (
     # denials
+    ("", "neither ", r"neither (?:the )?(?:[a-z0-9]+ ){1,4}nor (?:the )?(?:[a-z0-9]+ ){1,4}licen[cs]ed", 1.0),
+    ("", "is not ", r"is not (?:a |an )?(?:under |covered by )?(?:the )?(?:gnu )?[la]?gpl(?:v[123])?(?: [123] [01])?(?: licen[cs]ed?)?", 1.0),
+    # short forms of versions
+    ("gpl-1.0", "gplv1 ", r"gplv1", 0.9), ("gpl-2.0", "gplv2 ", r"gplv2(?: 0)?", 0.9), ("gpl-3.0", "gplv3 ", r"gplv3(?: 0)?", 0.9),
+    ("lgpl-2.0", "lgplv2 ", r"lgplv2(?: 0)?", 0.9), ("lgpl-2.1", "lgplv2 ", r"lgplv2 1", 0.9), ("lgpl-3.0", "lgplv3 ", r"lgplv3(?: 0)?", 0.9), ("agpl-3.0", "agplv3 ", r"agplv3(?: 0)?", 0.9),
+    ("gpl-2.0-or-later", "gplv2 ", r"gplv2 (?:0 )?or (?:any )?later", 1.0), ("gpl-3.0-or-later", "gplv3 ", r"gplv3 (?:0 )?or (?:any )?later", 1.0),
     ("", "not ", rf"not (?:be |been |being |currently |yet |itself )?(?:licen[cs]ed|released|distributed|available|covered|published|provided|shared|governed) (?:under|by)(?: (?!but |instead |rather |however |it )[a-z0-9]+){{1,8}}", 1.0),
     ("", "never ", r"never (?:been )?(?:licen[cs]ed|released|distributed|available|published|shared) (?:under|by)(?: (?!but |instead |rather |however |it )[a-z0-9]+){1,8}", 1.0),
     ("", "no longer ", r"no longer (?:licen[cs]ed|released|distributed|available|covered|published|shared) (?:under|by)(?: (?!but |instead |rather |however |it )[a-z0-9]+){1,8}", 1.0),

@@ -174,6 +174,8 @@ def sampled(parsed, rng):
         ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later"), ("SPDX GPL-2.0-or-later", "gpl-2.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1-only"),
         ("Apache-2.0 OR MIT", "apache-2.0,mit"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"), ("not licensed under GPL", ""), ("MulanPSL-1.0", "mulanpsl-1.0"),
         ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", "apache-2.0,llvm-exception"), ("not licensed under the GPL but under the MIT license", "mit"),
+        ("gplv3", "gpl-3.0"), ("GPLv2+", "gpl-2.0"), ("under GPLv2 or later.", "gpl-2.0-or-later"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("This MIT license is not GPL", "mit"),
+        ("is neither GPL nor MIT licensed", ""), ("It is not under the GPLv3 licence, it is under the Apache License", "apache"),
     ],
 )
 def test_expressions_and_denials(spark, text, labels):
