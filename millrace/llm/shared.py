@@ -11,6 +11,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: What Python workers keep between tasks of one kind, which is of no use to others.
+CACHES: list[dict] = []
+
+
+def let_go() -> None:
+    """Empties the caches of a worker that goes on to other work, so that its memory does not add up."""
+    for cache in CACHES:
+        cache.clear()
+
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.shared import CACHES
+
 #: A cut is safe where one plain space stands between characters that no Unicode version counts as white space.
 _SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
 #: What some Unicode version counts as white space, but for the plain space and the line feed.
@@ -144,11 +146,14 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         return self.many(pa.array([text], pa.string()))[0].tobytes()
+
+
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker; its cache outlives tasks."""
+    """One encoder for each Python worker; its cache outlives tasks, until the worker goes on to others."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

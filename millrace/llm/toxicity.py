@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import drop_staged, staged
+from millrace.llm.shared import drop_staged, let_go, staged
 
 SEED = dict.fromkeys(("idiot", "moron", "scum", "loser", "stupid", "worthless", "pathetic", "disgusting", "imbecile", "vermin"), 4.0)
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clown school", "disgusting taste", "pathetic fallacy", "sore loser")
@@ -94,6 +94,7 @@ def weighed(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("weight double, hits int, n_words long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         found = matcher(model)
         for texts in batches:
             rows: tuple[list, ...] = ([], [], [])

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.shared import let_go
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
@@ -125,6 +127,7 @@ def once(batches: Iterable[pa.RecordBatch], *columns: int) -> Iterator[pa.Record
 
 def of(batches: Iterable[pa.RecordBatch], column: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Each slice of the batches with its words."""
+    let_go()
     for batch in batches:
         for at, texts in slices(batch, column):
             yield batch.slice(at, len(texts)), Words(texts, lower)
