@@ -366,7 +366,7 @@ _ANSWER = f"""'<tool_response>
   }}' ELSE '  "summary": ' || {_j('summary')} END || '
 }}
 </tool_response>'"""
-_TOLD = f"""sm0 AS (SELECT a.session_id, a.seq, count(b.seq) AS n, list(b.name || ': ' || b.description ORDER BY b.seq) FILTER (b.record_type = 'scope') AS sc,
+_MESSAGES = f"""sm0 AS (SELECT a.session_id, a.seq, count(b.seq) AS n, list(b.name || ': ' || b.description ORDER BY b.seq) FILTER (b.record_type = 'scope') AS sc,
   list(b.name || ': ' || CAST(b.value AS VARCHAR) || ' kg (' || b.flow_type || '/' || b.category || ')' ORDER BY b.seq) FILTER (b.record_type = 'flow') AS fl, list(b.name || ': ' || CAST(b.value AS VARCHAR) || ' ' || coalesce(b.unit2, '') ORDER BY b.seq) FILTER (b.record_type = 'parameter') AS pa
   FROM lg a LEFT JOIN lg b ON a.session_id = b.session_id AND b.seq < a.seq WHERE a.record_type = 'summary_check' GROUP BY ALL),
 sm1 AS (SELECT session_id, seq, n, coalesce(len(sc), 0) AS s, coalesce(len(fl), 0) AS f, coalesce(len(pa), 0) AS p, sc, fl, pa FROM sm0),
@@ -392,7 +392,7 @@ def _flat(calls):
     return F.when(calls.isNotNull(), F.concat(F.lit("["), F.array_join(calls, ","), F.lit("]")))
 
 
-@add("export_chat", f"WITH {_LOG}, {_TOLD} SELECT * FROM m")
+@add("export_chat", f"WITH {_LOG}, {_MESSAGES} SELECT * FROM m")
 def _(spark, sf):
     return X.chat_rows(_log(spark, sf)).withColumn("tool_calls", _flat(C("tool_calls")))
 
@@ -419,7 +419,7 @@ _DIGEST = """, al AS (SELECT session_id, seq, k, role, content, reasoning_conten
   SELECT session_id, count(*) AS n, md5(string_agg(role || '|' || coalesce(reasoning_content, '-') || '|' || coalesce(tool_calls, '-') || '|' || coalesce(content, '-'), chr(10) ORDER BY seq, k)) AS digest FROM al GROUP BY session_id"""
 
 
-@add("export_chat_samples", f"WITH {_LOG}, {_TOLD}, " + _PROMPT.format(injection=X.INJECTION) + _DIGEST)
+@add("export_chat_samples", f"WITH {_LOG}, {_MESSAGES}, " + _PROMPT.format(injection=X.INJECTION) + _DIGEST)
 def _(spark, sf):
     return _lines(X.chat_samples(_log(spark, sf), _BASE))
 
