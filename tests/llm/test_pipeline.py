@@ -82,7 +82,7 @@ def test_stages_take_odd_rows(spark, odd, none):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in names) if m} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in names) if m} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= names
 
 

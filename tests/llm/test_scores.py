@@ -149,7 +149,8 @@ def test_contaminated(spark, odd, none):
         docs.append((d, rng.choice([" ", ", ", "\n"]).join(w.upper() if rng.random() < 0.1 else w for w in text)))
     docs += [(None, docs[0][1]), (7, None)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()] + [(None, "w1"), (99, None), (98, " - ")], "item_id long, text string")
+    items[None] = ["w1", "w2"]  # an item without an id is one as any other
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()] + [(99, None), (98, " - ")], "item_id long, text string")
     want = []
     for d, t in docs:
         ws = dec.normal(t or "").split()
