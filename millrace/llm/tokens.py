@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, inside Spark tasks.
 
 Invented and natural corpora repeat their words, and both public vocabularies never merge across a single space between
-two characters that are no white space. So texts are cut there, many at a time by Arrow; each distinct piece goes through
-the library once, its ids are kept in a bounded cache of the worker, and numpy puts the texts' ids together from them.
+two characters that are no white space. So texts are cut there, many at a time by Arrow, and pieces into a word and signs after it; each distinct
+word goes through the library once, its ids are kept in a bounded cache of the worker, and numpy puts the texts' ids together.
 tests/llm/test_tokens.py compares this with whole-text encoding.
 """
 
@@ -36,7 +36,9 @@ LONGEST_KEY = 64
 #: Letters whose lower case is one letter and that no normal form changes when they stand in a row.
 _PLAIN_CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: A piece's mark, its word, and signs after it, which are one word for either pre-tokenizer.
-_PLAIN = re.compile(rf"([\n\x01]?)([{_PLAIN_CHARACTERS}]+)([!-/:-@\[-`{{-~]*)").fullmatch
+_SIGNS = r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"([\n\x01]?)([{_PLAIN_CHARACTERS}]+)([{_SIGNS}]*)").fullmatch
+_PLAIN_PARTS = rf"\A(?P<mark>[\n\x01]?)(?P<word>[{_PLAIN_CHARACTERS}]+)(?P<signs>[{_SIGNS}]*)\z"
 
 
 class _Generations(dict):
@@ -62,6 +64,17 @@ def _bytes(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 
 
+def _gathered(stock: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Runs of ``stock`` in the order of ``index``; run k has size[k] entries and follows run k - 1."""
+    n, starts = size[index], (np.cumsum(size) - size)[index]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(stock)) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return stock[at]
+
+
 class Encoder:
     """Ids of texts as the library gives them without added special tokens; such tokens' strings in a text are tokens.
 
@@ -70,7 +83,7 @@ class Encoder:
     through its whole chain. Texts with the string of a special token go through it whole.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
@@ -82,7 +95,7 @@ class Encoder:
         self.model = t.model
         self.feed = _bytes(self.whole("\n"))
         self.words, self.signs = _Generations(self.word, cache_entries), _Generations(self.word, 10_000)
-        self.pieces = _Generations(self.piece, cache_entries)
+        self.pieces = _Generations(self.piece, 50_000)
         special = [re.escape(a.content) for a in t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)").search
         self.irregular = "|".join([_IRREGULAR, *special])
@@ -91,7 +104,13 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def word(self, word: str) -> bytes:
-        """The ids of what the pre-tokenizer makes one word, in its alphabet."""
+        """The ids of a word of Latin letters, after a space or not, or of signs: each is one word for the pre-tokenizer."""
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.translate(self.table)
+        if word[0] == " ":
+            word = self.space + word[1:]
         return _bytes([x.id for x in self.model.tokenize(word)])
 
     def piece(self, key: str) -> bytes:
@@ -102,15 +121,33 @@ class Encoder:
                 return self.feed + _bytes(self.whole(key[1:]))
             return _bytes(self.whole(key[1:] if key[:1] == _FIRST else " " + key))
         mark, word, signs = m.groups()
-        if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = word.translate(self.table)
-        ids = self.words[word if mark else self.space + word]
+        ids = self.words[word if mark or not self.spaced else " " + word]
         if mark == "\n":
             ids = self.feed + ids
         return ids + self.signs[signs] if signs else ids
 
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and how many each has."""
+        parts = pc.extract_regex(pieces, _PLAIN_PARTS)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        mark, word, signs = parts.filter(pa.array(plain)).flatten()
+        feeds = pc.equal(mark, "\n").to_numpy(zero_copy_only=False)
+        if self.spaced:
+            word = pc.if_else(pc.equal(mark, ""), pc.binary_join_element_wise(" ", word, ""), word)
+        word, signs = word.dictionary_encode(), signs.dictionary_encode()
+        listed = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+        odd = [self.pieces[p] for p in listed(pieces.filter(pa.array(~plain)))]
+        words = [self.words[w] for w in listed(word.dictionary)]
+        marks = [self.signs[s] if s else b"" for s in listed(signs.dictionary)]
+        stock = [b"", self.feed, *odd, *words, *marks]
+        runs = np.zeros((len(pieces), 3), np.int64)  # of a piece: its feed, its word or all of it, its signs
+        runs[plain, 0] = feeds
+        runs[~plain, 1] = np.arange(len(odd)) + 2
+        runs[plain, 1] = word.indices.to_numpy() + (2 + len(odd))
+        runs[plain, 2] = signs.indices.to_numpy() + (2 + len(odd) + len(words))
+        size = np.fromiter(map(len, stock), np.int64, len(stock)) // 4
+        return _gathered(np.frombuffer(b"".join(stock), "<u4"), size, runs.ravel()), size[runs].sum(axis=1)
+
     def one(self, text: str) -> np.ndarray:
         """The ids of any text, cut where that is safe."""
         if self.special(text):
@@ -133,15 +170,13 @@ class Encoder:
             marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts.take(pa.array(regular)), "\n", " \n"), "")
             cut = pc.split_pattern(marked, " ")
             keys = cut.flatten().dictionary_encode()
-            ids = [self.pieces[k] for k in keys.dictionary.to_numpy(zero_copy_only=False).tolist()]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            stock, index = np.frombuffer(b"".join(ids), "<u4"), keys.indices.to_numpy()
-            n = size[index]
-            ends = np.cumsum(n)
-            flat = stock[np.repeat((np.cumsum(size) - size)[index] - (ends - n), n) + np.arange(ends[-1])]
-            stops = ends[cut.offsets.to_numpy()[1:] - 1].tolist()
-            for i, a, b in zip(regular.tolist(), [0, *stops], stops):
-                out[i] = flat[a:b]
+            stock, size = self.distinct(keys.dictionary)
+            index, stops, at = keys.indices.to_numpy(), cut.offsets.to_numpy()[1:], 0
+            ends = np.cumsum(size[index])[stops - 1]
+            flat = _gathered(stock, size, index)
+            for i, to in zip(regular.tolist(), ends.tolist()):
+                out[i] = flat[at:to]
+                at = to
         return out
 
     def encode(self, text: str) -> bytes:
