@@ -1,5 +1,7 @@
 """Golden values of rules that have fixed values, and of sources that no query reads."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def test_key_points(spark):
     assert one(spark, retrieval.key_points(F.lit("Plain words stand alone here"), F.lit("zzz")))["confidence"] == pytest.approx(0.2)
 
 
+def test_key_points_read_a_text_once(spark):
+    """A long text without a sentence's end, and many blank lines, take no longer than others of their length."""
+    text = "words without an end " * 20_000 + "\n" * 200_000
+    start = time.monotonic()
+    got = one(spark, retrieval.key_points(F.lit(text), F.lit("end")))
+    assert got["content"].startswith("• words without") and time.monotonic() - start < 30
+    late = "no point. The First process, the last Method! results follow"
+    assert one(spark, retrieval.key_points(F.lit(late), F.lit("x")))["content"] == "• The First process, the last Method!"
+
+
 def test_extracted_modes(spark):
     hits = spark.createDataFrame([("It used much energy. - Not that one here.", 0.5)], "content string, similarity double")
     assert retrieval.extracted(hits, "energy").first()["extract_type"] == "chunk"
