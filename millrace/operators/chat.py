@@ -269,5 +269,4 @@ def deltas(snapshots: DataFrame) -> DataFrame:
 
 def pieces(text: Column, size: int = 50) -> Column:
     """The text in pieces of ``size`` characters."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1)), F.array().cast("array<string>"))  # one pass over the text

@@ -1,6 +1,7 @@
 """Stateful streams against their batch forms, however the input is cut into batches."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -115,3 +116,27 @@ def test_calls_are_forgotten(spark, tmp_path):
     batches = [[(1, at(0), 1, "a"), (1, at(1), 2, "b")], [(1, at(5), 3, "a")], [(1, at(60), 4, "c")], [(1, at(61), 5, "c")], [(1, at(62), 6, "a"), (1, at(62), 7, "c")]]
     got = run(spark, tmp_path, "kept", batches, "user_id long, ts timestamp, event_id long, call string", lambda s: stateful.calls_once(s, keep=1200, late="1 minute"))
     assert sorted((r["event_id"], r["call"]) for r in got) == [(1, "a"), (2, "b"), (4, "c"), (6, "a")]
+
+
+def test_keys_cost_little(spark, tmp_path):
+    """Thousands of replies in one batch: a key's state comes with its rows, without calls to the store for each."""
+    rows = [(c, 0, 0, f"<think>{c}</think>x", True) for c in range(4000)]
+    start = time.monotonic()
+    got = run(spark, tmp_path, "many", [rows], "conv_id long, turn long, place int, text string, last boolean", stateful.think_stream)
+    assert {(r["conv_id"], r["text"]) for r in got if r["kind"] == "thinking"} == {(c, str(c)) for c in range(4000)} and len(got) == 8000
+    assert time.monotonic() - start < 30
+
+
+def test_calls_without_user(spark, tmp_path):
+    rows = [(None, datetime(2024, 1, 1), 2, "a"), (None, datetime(2024, 1, 1), 1, "a"), (3, datetime(2024, 1, 1), 0, None)]
+    got = run(spark, tmp_path, "nobody", [rows], "user_id long, ts timestamp, event_id long, call string", stateful.calls_once)
+    assert {tuple(r) for r in got} == {(None, "a", 1), (3, None, 0)}
+
+
+def test_pieces_read_a_text_once(spark):
+    """A text is made and read once, however many pieces it has; characters beyond the basic plane are one."""
+    odd = spark.createDataFrame([("ab𝔸\nc",), ("",), (None,)], "t string").select(chat.pieces(F.col("t"), 2).alias("p"))
+    assert [r["p"] for r in odd.collect()] == [["ab", "𝔸\n", "c"], [], []]
+    start = time.monotonic()
+    long = spark.range(1).select(F.explode(chat.pieces(F.repeat(F.concat(F.lit("abcdef"), F.col("id").cast("string")), 300_000), 7)).alias("p"))
+    assert long.distinct().count() == 1 and long.count() == 300_000 and time.monotonic() - start < 30
