@@ -225,3 +225,13 @@ def test_processes(spark):
     asked = spark.createDataFrame([(1, "process 3", "x"), (2, "process 550", "x"), (3, "abc", None)], "query_id long, name string, location string")
     got = matching.match_processes(asked, processes, k=2).collect()
     assert {(r["query_id"], r["uuid"]) for r in got if r["similarity"] == 1} == {(1, "p003")} and len(got) == 6  # the 551st is no candidate
+
+
+def test_process_pairs_stay_in_their_task(spark):
+    """Queries meet all candidates as matrices: no row for each pair; equal candidates go by uuid, repeated queries share their ranks."""
+    asked = spark.createDataFrame([(1, "a", "X"), (2, "b", None), (3, None, None)], "query_id long, name string, location string")
+    known = spark.createDataFrame([("2", "a", ["X"]), ("10", "a", ["X"]), ("1", "b", [])], "uuid string, name string, categories array<string>")
+    made = matching.match_processes(asked, known, k=2)
+    got = {(r["query_id"], r["rank"]): (r["uuid"], r["similarity"]) for r in made.collect()}
+    assert got[1, 1] == ("10", 1.0) and got[1, 2] == ("2", 1.0) and len(got) == 6
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
