@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,32 @@ def test_shared_folder_needs_a_local_master():
 
     with pytest.raises(ValueError):
         tables.shared_folder(Session)
+
+
+def _calls(monkeypatch, name):
+    """The texts that a function of text features is called with."""
+    seen, real = [], getattr(text_features, name)
+    monkeypatch.setattr(text_features, name, lambda t: seen.append(t) or real(t))
+    return seen
+
+
+def test_equal_texts_of_a_batch_are_read_once(monkeypatch):
+    texts = pd.Series(["5 kg of steel", None, "5 kg of steel", "", "7 MJ"])
+    seen = _calls(monkeypatch, "facts")
+    assert [len(x) for x in text_features._numeric_facts(texts)] == [2, 0, 2, 0, 2] and sorted(seen) == ["", "5 kg of steel", "7 MJ"]
+    seen = _calls(monkeypatch, "table_patterns")
+    assert list(text_features._table_patterns(texts)["n"]) == [1, 0, 1, 0, 1] and len(seen) == 3
+
+
+@pytest.mark.parametrize("column", [lambda t: text_features.decision_features(t), lambda t: text_features.enhanced_query(F.lit("a"), F.lit("b"), t), lambda t: text_features.indicators(t)])
+def test_texts_are_read_once(spark, column):
+    """The plan holds each expression over the text a few times, not once for each use of its result."""
+    plan = spark.range(1).select(column(F.concat(F.lit("mark"), F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(mark") <= 14
+
+
+def test_table_summary_without_joins(spark):
+    tables = spark.createDataFrame([("t", "| Material | Mass (kg) |\n|---|---|\n| steel | 3 |\n| | 5 kWh |"), ("none", "no table"), ("head", "| a | b |"), (None, "| a |\n| b |")], "table_id string, text string")
+    made = text_features.table_summary(text_features.cells(tables))
+    assert [tuple(r) for r in made.collect()] == [("t", "表格包含2行2列数据 | LCA数据: 能源消耗: 1项, 材料流: 3项")]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
