@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 
 SEPARATORS = ("\n\n", "\n", ". ", "。", "; ", "；", " ", "")
 
+#: Characters whose chunks a task holds before it hands them on.
+HELD = 1 << 21
+
 
 def split(text: str, size: int = 600, overlap: int = 150, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most ``size`` characters, cut at the coarsest separator that serves; neighbours share up to ``overlap``."""
@@ -48,8 +51,16 @@ def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, chunk_index, content); null and blank texts have no chunks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in frames:
-            rows = [(d, i, c) for d, t in zip(pdf[id_col], pdf[text_col]) if t for i, c in enumerate(split(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
+            for d, t in zip(pdf[id_col], pdf[text_col]):
+                if not t:
+                    continue
+                rows += [(d, i, c) for i, c in enumerate(split(t, size, overlap))]
+                held += len(t)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, chunk_index int, content string")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import action_log, chat, evaluation, export, prompts, retrieval, text_features, tools
+from millrace.operators import action_log, chat, chunking, evaluation, export, prompts, retrieval, text_features, tools
 from millrace.sources import tables
 
 
@@ -326,3 +326,21 @@ def test_table_summary_without_joins(spark):
     made = text_features.table_summary(text_features.cells(tables))
     assert [tuple(r) for r in made.collect()] == [("t", "表格包含2行2列数据 | LCA数据: 能源消耗: 1项, 材料流: 3项")]
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_handed_on(spark, monkeypatch):
+    """Chunks leave a task in frames bounded by their characters, not with a whole batch of texts."""
+    sizes = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            frames = list(run(iter([pd.DataFrame({"doc_id": range(50), "text": ["word " * 20_000] * 49 + [None]})])))
+            sizes.extend(f["content"].str.len().sum() for f in frames)
+            return pd.concat(frames)
+
+    got = chunking.split_documents(Docs())
+    assert max(sizes) < 4_000_000 and len(sizes) > 2 and got["doc_id"].nunique() == 49
+    assert list(got[got["doc_id"] == 48]["content"]) == chunking.split("word " * 20_000)
