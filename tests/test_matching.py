@@ -166,6 +166,23 @@ def test_batch_match(spark):
     assert got == {(1, 1): (["u1"], None), (1, 2): (["u2"], None), (1, 3): ([], matching.SKIPPED), (2, 1): ([], None), (2, 2): ([], None)}
 
 
+def test_batch_texts_are_read_once(spark):
+    """What is asked alike is read and told once: rows meet their queries by what they ask, products too."""
+    catalog = spark.createDataFrame([("u1", "steel", "PRODUCT_FLOW", [], "kg", None, "a")], MATCHED)
+    flows = spark.createDataFrame(
+        [(s, i, "Steel", c, "kg", n, k) for s in (1, 2, 3) for i, (c, n, k) in enumerate([("Gas", "laser milling", None), ("Gas", "Milling, then a laser", None), ("Product", None, "steel and copper"), ("Gas", None, None), (None, "", "short")])],
+        "session_id long, seq int, name string, category string, unit string, note string, chunk string",
+    )
+    scopes = spark.createDataFrame([(1, 1, "nylon", "p"), (2, 1, "Nylon clip", "p")], "session_id long, seq int, description string, parameter_name string")
+    made = matching.batch_match(flows, scopes, catalog)
+    got = {(r["session_id"], r["seq"]): (r["query"], len(r["matches"])) for r in made.collect()}
+    assert len(got) == 15 and {got[1, i] == got[2, i] for i in range(5)} == {True}
+    assert got[1, 0] == ("Steel nylon milling laser Gas", 1) and got[1, 1] == ("Steel nylon Milling laser Gas", 1) and got[1, 2] == ("Steel nylon copper Product", 0)
+    assert got[1, 3] == ("Steel nylon Gas", 1) and got[3, 3] == ("Steel Gas", 1) and got[3, 4] == ("Steel", 1) and got[3, 0] == ("Steel milling laser Gas", 1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(note" not in plan and "regexp_extract_all(lower(CASE" not in plan
+
+
 def brute_nearest(queries, corpus, k, metric="cosine", eps=0.0, least=None, digits=9, per=None):
     out = set()
     for qi, q in queries:
