@@ -1,12 +1,14 @@
 """Matching of flows: strings, rules, units, contexts and nearest vectors against plain Python."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import matching, substrings, vectors
+from millrace.plans import q_matching
 
 
 def test_holders_against_plain_python(spark):
@@ -252,3 +254,17 @@ def test_process_pairs_stay_in_their_task(spark):
     got = {(r["query_id"], r["rank"]): (r["uuid"], r["similarity"]) for r in made.collect()}
     assert got[1, 1] == ("10", 1.0) and got[1, 2] == ("2", 1.0) and len(got) == 6
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_recorded_flows_are_many_small_tasks(spark, monkeypatch):
+    """Recorded flows are as many tasks as their number needs, and meet their mappings there without another shuffle."""
+    sf = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in q_matching.QUERIES["lcia_calculation"](spark, sf).collect()}
+    monkeypatch.setattr(q_matching, "_TASK", 500)
+    rows = q_matching._recorded(spark, sf)
+    assert rows.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500) > 4
+    made = matching.exchanges(rows, q_matching._mapping(spark, sf), q_matching.V.catalog(spark, sf), q_matching._KEY)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert {tuple(r) for r in q_matching.QUERIES["lcia_calculation"](spark, sf).collect()} == whole
