@@ -66,23 +66,33 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
     return keys.join(bases, "__range").select(key, (F.col("__base") + within).alias("position"))
 
 
-def zipped(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+def zipped(predictions: DataFrame, truth: DataFrame, task: int = 500_000) -> DataFrame:
     """One row: files, em, numbers, right, num_acc, grounded and grounding, of records compared file by file.
 
     Files are paired by their places, the first predicted with the first true one, whatever their names; those beyond the
     shorter side count for ``files`` (of predictions) alone. Records have file, place, flow_name, category, unit, value
     and chunk_id. ``em`` is the mean share of a true file's texts among the predicted ones; a true record is compared
-    with the first predicted one of its name.
+    with the first predicted one of its name. Both sides' rows are dealt into a task for about every ``task`` of them, by
+    place and text or name, so that both meet in one grouping and a task's memory does not grow with the rows.
     """
-    p = predictions.join(positions(predictions, "file").withColumnRenamed("file", "__f"), F.col("file") == F.col("__f"))
-    t = truth.join(positions(truth, "file").withColumnRenamed("file", "__f"), F.col("file") == F.col("__f"))
-    texts = lambda rows: rows.select("position", F.explode(F.array_compact(F.array(normalized(F.col("flow_name")), *[F.when(F.col(c).isNotNull(), normalized(F.col(c))) for c in ("category", "unit")]))).alias("text")).distinct()
-    shared = texts(t).join(texts(p).withColumn("__hit", F.lit(1)), ["position", "text"], "left").groupBy("position").agg((F.count("__hit") / F.count("*")).alias("recall"))
-    shared = shared.join(positions(predictions, "file").select("position"), "position", "left_semi")
+    parts = max(int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(predictions.count() + truth.count()) // task))
+
+    def placed(rows: DataFrame, true: bool) -> DataFrame:
+        at = positions(rows, "file").withColumnRenamed("file", "__f")
+        named = rows.withColumn("__n", normalized(F.col("flow_name"))).repartition(parts, "file").join(at, F.col("file") == F.col("__f"))
+        texts = F.array_compact(F.array("__n", *[F.when(F.col(c).isNotNull(), normalized(F.col(c))) for c in ("category", "unit")]))
+        return named.select("position", F.lit(true).alias("__true"), "place", "__n", texts.alias("texts"), "value", "chunk_id")
+
+    p, t = placed(predictions, False), placed(truth, True)
+    both = p.unionByName(t)
+    texts = both.select("position", "__true", F.explode(F.array_distinct("texts")).alias("text")).repartition(parts, "position", "text")
+    texts = texts.groupBy("position", "text").agg(F.max("__true").alias("t"), F.max(~F.col("__true")).alias("p"))
+    shared = texts.groupBy("position").agg(F.try_divide(F.count_if(F.col("t") & F.col("p")), F.count_if("t")).alias("recall"), F.max("p").alias("p")).where("p AND recall IS NOT NULL")
     n = predictions.select("file").where("file IS NOT NULL").distinct().agg(F.count("*").alias("files"))
     em = shared.agg(F.coalesce(F.sum("recall"), F.lit(0.0)).alias("__recall"))
-    first = p.groupBy(F.col("position").alias("__p"), normalized(F.col("flow_name")).alias("__n")).agg(F.min_by(F.struct("value", "chunk_id"), "place").alias("__m"))
-    pairs = t.join(first, (F.col("position") == F.col("__p")) & (normalized(F.col("flow_name")) == F.col("__n"))).where("value IS NOT NULL AND __m.value IS NOT NULL")
+    guess = lambda c: F.when(~F.col("__true"), c)
+    first = F.min_by(guess(F.struct("value", "chunk_id")), guess(F.col("place"))).over(Window.partitionBy("position", "__n"))
+    pairs = both.drop("texts").repartition(parts, "position", "__n").withColumn("__m", first).where("__true AND value IS NOT NULL AND __m.value IS NOT NULL")
     right = close(F.col("__m.value"), F.col("value"))
     counts = pairs.agg(F.count("*").alias("numbers"), F.count_if(right).alias("right"), F.count_if(right & F.col("chunk_id").eqNullSafe(F.col("__m.chunk_id"))).alias("grounded"))
     return n.join(em).join(counts).select(

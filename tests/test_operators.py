@@ -124,3 +124,16 @@ def test_touches(spark):
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r["event_id"]: (r["idle_seconds"], r["alive"]) for r in sessions.touched(events).collect()}
     assert got == {1: (None, False), 2: (7200, True), 3: (7201, False), 4: (172_801, False), 5: (None, False)}
+
+
+def test_zipped_files_are_many_small_tasks(spark):
+    """Files are paired by place; tasks follow from the number of rows, and the result from no number of tasks."""
+    from millrace.operators import evaluation
+
+    schema = "file string, place int, flow_name string, category string, unit string, value double, chunk_id string"
+    predicted = spark.createDataFrame([("x", 2, "Gas!", "A", "kg", 9.0, "c1"), ("x", 1, "gas", None, "kg", 1.0, "c1"), ("y", 1, None, None, None, 1.0, None), ("z", 1, "b", None, None, None, None), (None, 1, "n", None, None, 1.0, None)], schema)
+    true = spark.createDataFrame([("a", 1, "GAS", "A", "t", 1.0, "c1"), ("a", 2, "gas", "A", "t", 9.0, "c1"), ("b", 1, "", None, None, 0.0, None)], schema)
+    got = [evaluation.zipped(predicted, true, task=n) for n in (1, 500_000)]
+    assert [tuple(r) for g in got for r in g.collect()] == [(3, round((2 / 3 + 1) / 3, 6), 3, 1, 0.333333, 1, 1.0)] * 2
+    plans = [g._jdf.queryExecution().executedPlan().toString() for g in got]
+    assert ", 8), REPARTITION_BY_NUM" in plans[0] and ", 4), REPARTITION_BY_NUM" in plans[1]
