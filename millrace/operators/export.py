@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import carried
+from millrace.operators.ordered import Dealt, carried
 
 # What the exported messages say.
 CATEGORY_QUERIES = {
@@ -135,30 +135,43 @@ def record_response(known, summary: Column) -> Column:
     )
 
 
-def earlier_summaries(actions: DataFrame) -> DataFrame:
+def earlier_summaries(actions: DataFrame, parts: int | None = None, asks: Column | None = None) -> DataFrame:
     """(session_id, seq, summary) for each action that asks for a summary: of what its session had recorded before it.
 
-    Calculations are not told. Each such action meets its session's earlier records once; their lines are its text.
+    Calculations are not told. Lines between two such actions are put together once; an action meets these pieces, not
+    its session's records. ``asks``: which actions count as asking, those that ask for a summary if not given.
     """
     text = lambda name, other="None": F.coalesce(F.col(name).cast("string"), F.lit(other))
-    line = (
-        F.when(F.col("record_type") == "scope", F.concat(F.lit("  - "), text("parameter_name", "Unknown"), F.lit(": "), text("description", "")))
-        .when(F.col("record_type") == "flow", F.concat(F.lit("  - "), text("name"), F.lit(": "), text("value"), F.lit(" "), text("unit"), F.lit(" ("), text("flow_type"), F.lit("/"), text("category"), F.lit(")")))
-        .when(F.col("record_type") == "parameter", F.concat(F.lit("  - "), text("parameter_name"), F.lit(": "), text("parameter_value"), F.lit(" "), text("parameter_unit", "")))
-    )
-    asks = actions.where(_is_summary(F.col)).select(F.col("session_id").alias("__s"), F.col("seq").alias("__q"))
-    lines = actions.select("session_id", F.col("seq").alias("__at"), F.when(line.isNotNull(), F.struct(F.col("seq").alias("at"), F.col("record_type").alias("kind"), line.alias("line"))).alias("__line"))
-    met = asks.join(lines, (F.col("session_id") == F.col("__s")) & (F.col("__at") < F.col("__q")), "left")
-    told = met.groupBy("__s", "__q").agg(F.array_sort(F.collect_list("__line")).alias("l"), F.count("__at").alias("n"))
-    of = lambda kind: F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["line"])
-    count = lambda kind: F.size(of(kind)).cast("string")
-    block = lambda head, kind: F.when(F.size(of(kind)) > 0, F.concat(F.lit(head + "\n"), F.array_join(of(kind), "\n"), F.lit("\n\n"))).otherwise("")
-    counts = F.concat(F.lit("Scopes: "), count("scope"), F.lit(", Flows: "), count("flow"), F.lit(", Parameters: "), count("parameter"), F.lit("\n\n"))
+    lines = {
+        "scope": F.concat(F.lit("  - "), text("parameter_name", "Unknown"), F.lit(": "), text("description", "")),
+        "flow": F.concat(F.lit("  - "), text("name"), F.lit(": "), text("value"), F.lit(" "), text("unit"), F.lit(" ("), text("flow_type"), F.lit("/"), text("category"), F.lit(")")),
+        "parameter": F.concat(F.lit("  - "), text("parameter_name"), F.lit(": "), text("parameter_value"), F.lit(" "), text("parameter_unit", "")),
+    }
+    line = F.coalesce(*[F.when(F.col("record_type") == kind, said) for kind, said in lines.items()])
+    asks = F.coalesce(_is_summary(F.col) if asks is None else asks, F.lit(False))
+    rows = actions.select("session_id", "seq", "record_type", line.alias("line"), asks.alias("asks"))
+    rows = Dealt(rows, ["session_id"], ["seq"], parts, actions).carry(nth=("total", F.col("asks").cast("int"))).rows
+    # an action that asks ends a piece, and is itself of the next one
+    seq = actions.schema["seq"].dataType.simpleString()
+    own = F.struct((F.col("nth") + F.col("asks").cast("int")).alias("nth"), F.lit(False).alias("ends"), F.lit(None).cast(seq).alias("ask"), F.struct("seq", "line").alias("l"), F.col("record_type").alias("kind"))
+    end = F.when(F.col("asks"), F.struct("nth", F.lit(True).alias("ends"), F.col("seq").alias("ask"), F.lit(None).cast(f"struct<seq:{seq},line:string>").alias("l"), F.lit(None).cast("string").alias("kind")))
+    met = rows.select("session_id", F.inline(F.array_compact(F.array(own, end))))
+    joined = {kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("l")))), lambda x: x["line"]), "\n") for kind in lines}
+    piece = [F.struct(F.count_if(F.col("kind") == kind).alias("n"), said.alias("lines")).alias(kind) for kind, said in joined.items()]
+    pieces = met.groupBy("session_id", "nth").agg(F.max("ends").alias("ends"), F.max("ask").alias("ask"), F.count("l").alias("n"), *piece)
+    asked = pieces.where("ends").select(F.col("session_id").alias("__s"), F.col("nth").alias("__nth"), F.col("ask").alias("seq"))
+    earlier = asked.join(pieces.drop("ends", "ask"), (F.col("session_id") == F.col("__s")) & (F.col("nth") <= F.col("__nth")), "left")
+    told = earlier.groupBy("__s", "__nth", "seq").agg(F.array_sort(F.collect_list(F.struct("nth", *lines))).alias("l"), F.sum("n").alias("n"))
+    of = lambda kind: F.filter(F.transform("l", lambda x: x[kind]), lambda x: x["n"] > 0)
+    count = lambda kind: F.aggregate(of(kind), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    told = told.select("__s", "seq", "n", *(F.array_join(F.transform(of(kind), lambda x: x["lines"]), "\n").alias(kind) for kind in lines), *(count(kind).alias(f"__{kind}") for kind in lines))
+    block = lambda head, kind: F.when(F.col(f"__{kind}") > 0, F.concat(F.lit(head + "\n"), kind, F.lit("\n\n"))).otherwise("")
+    counts = F.concat(F.lit("Scopes: "), "__scope", F.lit(", Flows: "), "__flow", F.lit(", Parameters: "), "__parameter", F.lit("\n\n"))
     blocks = F.concat(block("LCA Scope:", "scope"), block("Recorded Flows:", "flow"), block("Recorded Parameters:", "parameter"))
-    whole = F.concat(F.lit("Total Actions: "), F.size("l").cast("string"), F.lit("\n"), counts, blocks)
+    whole = F.concat(F.lit("Total Actions: "), (F.col("__scope") + F.col("__flow") + F.col("__parameter")).cast("string"), F.lit("\n"), counts, blocks)
     # lines are joined by ends of lines, so the last one has none
     summary = F.when(F.col("n") > 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise("No previous records in this session.")
-    return told.select(F.col("__s").alias("session_id"), F.col("__q").alias("seq"), summary.alias("summary"))
+    return told.select(F.col("__s").alias("session_id"), "seq", summary.alias("summary"))
 
 
 # --- the machine -----------------------------------------------------------------------------------------------------
@@ -179,7 +192,8 @@ def told(actions: DataFrame, parts: int | None = None) -> DataFrame:
     ``kind``: pivot, skip or record. ``asked``, ``found``: its search and the chunks found. ``searches``: whether it says
     the search, which is where its query differs from the last one that was said. ``pending``: the placeholder of a skip that is
     the last message so far, which the next search or record takes on. ``stays``: whether a skip's own placeholder
-    remains without a call. A session of any length is dealt into ranges, as :func:`millrace.operators.ordered.carried` does.
+    remains without a call. ``nth``: how many of its session came before it; ``later``: whether another comes after. Rows
+    are dealt once, a session of any length into ranges, as by :class:`millrace.operators.ordered.Dealt`.
     """
     rows = actions.where(F.coalesce(F.col("record_type") != "document_preview", F.lit(True)))
     pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
@@ -193,16 +207,17 @@ def told(actions: DataFrame, parts: int | None = None) -> DataFrame:
     rows = rows.withColumn("found", F.when(F.col("kind") == "pivot", F.coalesce(slim(F.col("failed_context")), none)).when(F.col("kind") == "skip", skipped).otherwise(context))
     may = (F.coalesce(F.size("asked"), F.lit(0)) > 0) & ((F.col("kind") != "record") | (F.size("found") > 0))
     rows = rows.withColumn("__may", F.when(may, F.col("asked")))
-    rows = carried(rows, ["session_id"], ["seq"], parts, before_query=("before", F.col("__may")))
-    rows = rows.withColumn("searches", F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query"))).drop("__may", "before_query")
+    dealt = Dealt(rows, ["session_id"], ["seq"], parts, actions).carry(before_query=("before", F.col("__may")), nth=("total", F.lit(1)), later=("after", F.lit(True)))
+    dealt.with_column("searches", F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query")))
     records = (F.col("kind") == "record") & (F.col("record_type").isin(*RECORDS) | _is_summary(F.col))
-    rows = rows.withColumn("records", F.coalesce(records, F.lit(False)))
+    dealt.with_column("records", F.coalesce(records, F.lit(False)))
     placeholder = F.concat(F.lit("[SMART_SKIP_PLACEHOLDER: "), F.coalesce("category", F.lit("Unknown")), F.lit(" - "), F.coalesce("skip_reason", F.lit("already_recorded")), F.lit("]"))
-    rows = rows.withColumn("placeholder", F.when(F.col("kind") == "skip", placeholder))
+    dealt.with_column("placeholder", F.when(F.col("kind") == "skip", placeholder))
     speaks = F.when(F.col("searches") | F.col("records"), F.struct("kind", "placeholder"))
-    rows = carried(rows, ["session_id"], ["seq"], parts, __last=("before", speaks), __next=("after", speaks["kind"]))
+    rows = dealt.carry(__last=("before", speaks), __next=("after", speaks["kind"])).rows
     stays = (F.col("kind") == "skip") & F.col("searches") & (F.col("__next").isNull() | (F.col("__next") == "pivot"))
-    return rows.withColumn("pending", F.col("__last")["placeholder"]).withColumn("stays", stays).drop("__last", "__next")
+    more = {"pending": F.col("__last")["placeholder"], "stays": stays, "later": F.col("later").isNotNull()}
+    return rows.withColumns(more).select(*actions.columns, "kind", "asked", "found", "searches", "records", "placeholder", "nth", *more)
 
 
 def chat_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
@@ -216,22 +231,24 @@ def chat_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
     the next call takes on. Types that no tool makes give their search alone. A session that ends with a summary, or
     with a record after at most ``SHORT_SESSION`` actions, ends with an empty reply, to be filled in.
     """
-    summaries = earlier_summaries(actions).withColumnsRenamed({"session_id": "__s", "seq": "__q"})
-    rows = told(actions, parts).join(summaries, (F.col("session_id") == F.col("__s")) & (F.col("seq") == F.col("__q")), "left")
-    empty = F.lit("")
+    rows, empty = told(actions, parts), F.lit("")
     takes = F.when(F.col("kind") != "pivot", F.coalesce("pending", empty)).otherwise(empty)
     search = F.array(call("search_document", search_arguments(F.col("session_id"), F.col("asked"))))
+    known = F.coalesce(F.col("record_type").isin(*RECORDS), F.lit(False))
+    ends = ~F.col("later") & ((F.col("record_type") == "summary_check") | (known & (F.col("nth") < SHORT_SESSION)))
     said = F.array_compact(F.array(
         F.when(F.col("searches"), _row(0, "assistant", reasoning=takes, calls=search)), F.when(F.col("searches"), _row(1, "tool", search_response(F.col("asked"), F.col("found")))),
         F.when(F.col("stays"), _row(2, "assistant", reasoning=F.col("placeholder"), calls=F.array().cast("array<string>"))),
         F.when(F.col("records"), _row(3, "assistant", reasoning=F.when(F.col("searches"), empty).otherwise(takes), calls=F.array(record_call(F.col)))),
-        F.when(F.col("records"), _row(4, "tool", record_response(F.col, F.col("summary")))),
+        F.when(F.col("records") & known, _row(4, "tool", record_response(F.col, F.lit(None).cast("string")))), F.when(ends, _row(5, "assistant", content=empty, reasoning=empty)),
     ).cast(_ROW))
-    last = F.max_by(F.col("record_type"), F.col("seq")).alias("__type")
-    ends = actions.where(F.coalesce(F.col("record_type") != "document_preview", F.lit(True))).groupBy("session_id").agg(last, F.count("*").alias("__n"), F.max("seq").alias("seq"))
-    ends = ends.where((F.col("__type") == "summary_check") | (F.col("__type").isin(*RECORDS) & (F.col("__n") <= SHORT_SESSION)))
-    reply = F.array(_row(5, "assistant", content=empty, reasoning=empty)).cast(_ROW)
-    return rows.select("session_id", "seq", F.inline(said)).unionByName(ends.select("session_id", "seq", F.inline(reply)))
+    # answers that tell a summary need no other column of their actions, so these stay where they are
+    pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
+    aside = F.coalesce(pivot | (F.col("intent") == "smart_skip"), F.lit(False)) | F.coalesce(F.col("record_type") == "document_preview", F.lit(False))
+    summaries = earlier_summaries(actions, parts, _is_summary(F.col) & ~known & ~aside)
+    summary = F.when(F.col("session_id").isNotNull(), F.col("summary"))
+    answer = F.array(_row(4, "tool", content=response({"success": F.lit("true"), "summary": json_of(summary)}))).cast(_ROW)
+    return rows.select("session_id", "seq", F.inline(said)).unionByName(summaries.select("session_id", "seq", F.inline(answer)))
 
 
 def system_prompts(actions: DataFrame, base: str, injection: str = INJECTION, most: int | None = None) -> DataFrame:

@@ -166,6 +166,19 @@ def test_one_session_with_a_third_of_all_rows(spark):
     assert len(sizes) > 2 and max(r["count"] for r in sizes) < len(own) * 0.7
 
 
+def test_rows_are_dealt_once_by_session(spark):
+    """Sessions of few actions are dealt by session alone and nothing is written; split into ranges they say the same."""
+    actions = log(11, sessions=25, longest=40)
+    made = export.chat_rows(frame(spark, actions))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "__part" not in plan and sum("RepartitionByExpression" in line for line in plan.splitlines()) == 3  # whole actions, lines of summaries, what asks for them
+    said = lambda df: sorted(map(repr, df.collect()))
+    assert said(made) == said(export.chat_rows(frame(spark, actions), 16))
+    asks = {(a["session_id"], a["seq"]) for a in actions if a["record_type"] == "summary_check"}
+    told = {(r["session_id"], r["seq"]): r["summary"] for r in export.earlier_summaries(frame(spark, actions), 5).collect()}
+    assert set(told) == asks and all(told[a["session_id"], a["seq"]] == summary([x for x in actions if x["session_id"] == a["session_id"]], a) for a in actions if a["record_type"] == "summary_check")
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_carried_against_brute_force(spark, parts):
     rng = random.Random(parts)
