@@ -185,6 +185,22 @@ def test_batch_texts_are_read_once(spark):
     assert "regexp_extract_all(note" not in plan and "regexp_extract_all(lower(CASE" not in plan
 
 
+def test_batch_counts(spark):
+    """Counts by what flows ask say what every flow's own answer says, and the query's look-ups read no flow again."""
+    from millrace.plans.q_matching import QUERIES
+
+    catalog = spark.createDataFrame([("u1", "steel", "PRODUCT_FLOW", [], "kg", None, "a"), ("u2", "steel plate", "PRODUCT_FLOW", [], "t", None, "b")], MATCHED)
+    kinds = [("Steel", "Gas", "kg", "laser milling", None), ("plate x", "Raw Material", "kg", None, None), ("plate x", "Raw Material", None, "", "short"), ("Steel", "Product", "kg", None, "steel and copper"), (None, None, None, None, None)]
+    flows = spark.createDataFrame([(s, i, *kinds[(s + i) % 5]) for s in range(1, 7) for i in range(4)], "session_id long, seq int, name string, category string, unit string, note string, chunk string")
+    scopes = spark.createDataFrame([(1, 1, "nylon", "p"), (2, 1, "Nylon clip", "p"), (9, 1, "of no flow", "p")], "session_id long, seq int, description string, parameter_name string")
+    said = "name", "category", "unit", "query", F.to_json("matches").alias("matches"), "skipped"
+    each = matching.batch_match(flows, scopes, catalog).groupBy(*said).count().collect()
+    counted = matching.batch_counts(flows, scopes, catalog).groupBy(*said).agg(F.sum("n")).collect()
+    assert sorted(map(repr, map(tuple, each))) == sorted(map(repr, map(tuple, counted))) and sum(r[-1] for r in counted) == 24
+    plan = QUERIES["batch_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan and "p_partkey" in plan
+
+
 def brute_nearest(queries, corpus, k, metric="cosine", eps=0.0, least=None, digits=9, per=None):
     out = set()
     for qi, q in queries:
