@@ -179,6 +179,15 @@ def test_rows_are_dealt_once_by_session(spark):
     assert set(told) == asks and all(told[a["session_id"], a["seq"]] == summary([x for x in actions if x["session_id"] == a["session_id"]], a) for a in actions if a["record_type"] == "summary_check")
 
 
+def test_samples_of_dealt_rows(spark):
+    """Samples are put together of rows that nothing wrote or split before; split sessions give the same ones."""
+    actions = log(12, sessions=20, longest=30)
+    made = export.chat_samples(frame(spark, actions), "BASE")
+    assert "__part" not in made._jdf.queryExecution().optimizedPlan().toString()
+    samples = lambda df: {r["session_id"]: (r["n"], r["messages"]) for r in df.collect()}
+    assert samples(made) == samples(export.chat_samples(frame(spark, actions), "BASE", 16))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_carried_against_brute_force(spark, parts):
     rng = random.Random(parts)
