@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import Dealt, carried
+from millrace.operators.ordered import Dealt, borders, carried
 
 # What the exported messages say.
 CATEGORY_QUERIES = {
@@ -28,21 +28,30 @@ QA_INJECTION = (
     "\n**AUTOMATIC SESSION INJECTION**: \nWhen you call search_document, the system will AUTOMATICALLY inject the session_id for you.\n\n"
     "You do NOT need to ask the user for session_id. Just call the tool directly with the query parameter."
 )
+_CHUNKS = "array<struct<chunk_id:string,content:string>>"
 #: Fixed value: sessions of so many actions end with a reply though they end without a summary.
 SHORT_SESSION = 5
 
 
 # --- JSON as text ----------------------------------------------------------------------------------------------------
 def json_of(c: Column) -> Column:
-    """A scalar as JSON; null as null."""
-    told = F.to_json(F.array(c))
-    return F.when(c.isNull(), "null").otherwise(F.substr(told, F.lit(2), F.length(told) - 2))
+    """A scalar as JSON; null as null. It is written once: a text's own brackets stand inside of its quotes."""
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
+
+
+def compact(fields: dict[str, Column]) -> Column:
+    """A JSON object of values, nulls as well."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
 
 
-def compact(fields: dict[str, Column], *optional: str) -> Column:
-    """A JSON object of texts that are JSON already; ``optional`` ones are left out where they are null."""
-    pieces = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) if k in optional else F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
-    return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+def longer(fields: dict[str, Column], last: str, parts: dict[str, Column], optional: dict[str, Column]) -> Column:
+    """The same with an object ``last`` of ``parts``, and after it ``optional`` JSON texts, left out where they are null.
+
+    No part is an object, so that the braces at the end are those of the two objects.
+    """
+    inner = F.struct(*(v.alias(k) for k, v in parts.items()))
+    more = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in optional.items()]
+    return F.concat(F.concat_ws(",", F.concat(F.rtrim(compact(fields | {last: inner}), F.lit("}")), F.lit("}")), *more), F.lit("}"))
 
 
 def indented(fields: dict[str, Column], depth: int = 1) -> Column:
@@ -51,9 +60,9 @@ def indented(fields: dict[str, Column], depth: int = 1) -> Column:
     return F.concat(F.lit("{\n"), F.concat_ws(",\n", *pieces), F.lit("\n" + "  " * (depth - 1) + "}"))
 
 
-def _listed(items: Column) -> Column:
-    """An array of JSON texts as an indented list, one level deep."""
-    return F.when(F.size(items) > 0, F.concat(F.lit("[\n    "), F.array_join(items, ",\n    "), F.lit("\n  ]"))).otherwise("[]")
+def _listed(items: Column, shown) -> Column:
+    """An array as an indented list of JSON texts, one level deep; ``shown`` makes an item's text, once."""
+    return F.when(F.size(items) > 0, F.concat(F.lit("[\n    "), F.array_join(F.transform(items, shown), ",\n    "), F.lit("\n  ]"))).otherwise("[]")
 
 
 def response(fields: dict[str, Column]) -> Column:
@@ -66,23 +75,18 @@ def category_query(category: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_QUERIES.items() for x in pair]), category)
 
 
-def _asked(queries: Column, show) -> dict[str, Column]:
-    """``query`` for one, ``queries`` for several, each null where it is the other."""
-    many = F.size(queries) > 1
-    return {"queries": F.when(many, show(F.transform(queries, json_of))), "query": F.when(~many, json_of(F.get(queries, F.lit(0))))}
-
-
 def search_arguments(session_id: Column, queries: Column) -> Column:
-    """Arguments of a search as JSON."""
-    return compact({"session_id": json_of(session_id)} | _asked(queries, lambda q: F.concat(F.lit("["), F.array_join(q, ","), F.lit("]"))), "query", "queries")
+    """Arguments of a search as JSON: ``query`` for one, ``queries`` for several."""
+    own = {"session_id": session_id}
+    return F.when(F.size(queries) > 1, compact(own | {"queries": queries})).otherwise(compact(own | {"query": F.get(queries, F.lit(0))}))
 
 
 def search_response(queries: Column, found: Column) -> Column:
     """What a search answers: chunks (chunk_id, content) that were found."""
-    found = F.coalesce(found, F.array().cast("array<struct<chunk_id:string,content:string>>"))
-    results = F.transform(found, lambda c: indented({"chunk_id": json_of(c["chunk_id"]), "content": json_of(c["content"])}, 3))
+    found, many = F.coalesce(found, F.array().cast(_CHUNKS)), F.size(queries) > 1
+    results = _listed(found, lambda c: indented({"chunk_id": json_of(c["chunk_id"]), "content": json_of(c["content"])}, 3))
     said = F.concat(F.lit('"Found '), F.size(found).cast("string"), F.lit(' relevant results"'))
-    return response({"success": F.lit("true"), "message": said, "results": _listed(results)} | _asked(queries, _listed))
+    return response({"success": F.lit("true"), "message": said, "results": results, "queries": F.when(many, _listed(queries, json_of)), "query": F.when(~many, json_of(F.get(queries, F.lit(0))))})
 
 
 def call(name: str, arguments: Column) -> Column:
@@ -95,22 +99,17 @@ def record_call(known) -> Column:
 
     ``known``: a function that gives a column of the action by name.
     """
-    j = lambda name: json_of(known(name))
-    said = lambda name: F.when(F.length(known(name)) > 0, j(name))
-    chunk = compact({"chunk_id": json_of(known("selected_chunk")["chunk_id"]), "content": json_of(known("selected_chunk")["content"])})
-    session, r = {"session_id": j("session_id")}, known("record_type")
-    parameter = session | {n: j(n) for n in ("parameter_name", "parameter_value", "parameter_unit")} | {"selected_chunk": chunk, "note": said("note")}
-    flow = session | {n: j(n) for n in ("flow_type", "category", "name", "value", "unit")} | {"selected_chunk": chunk}
-    flow |= {n: said(n) for n in ("note", "process_name", "cas_number", "location")}
+    said = lambda *names: {n: F.when(F.length(known(n)) > 0, json_of(known(n))) for n in names}
+    take = lambda *names: {n: known(n) for n in ("session_id", *names)}
+    chunk, r = {n: known("selected_chunk")[n] for n in ("chunk_id", "content")}, known("record_type")
+    chosen = lambda fields, *more: longer(fields, "selected_chunk", chunk, said("note", *more))
     needs = F.coalesce(known("data_dependencies"), F.array().cast("array<string>"))
-    needs = F.concat(F.lit("["), F.array_join(F.transform(needs, json_of), ","), F.lit("]"))
-    scope = session | {n: j(n) for n in ("parameter_name", "description", "value", "unit", "source_content")} | {"selected_chunk": chunk, "note": said("note")}
-    optional = "note", "process_name", "cas_number", "location"
     return (
-        F.when(r == "parameter", call("record_parameter", compact(parameter, *optional))).when(r == "flow", call("record_process_flow", compact(flow, *optional)))
-        .when(r == "calculation", call("execute_calculation", compact(session | {"expression": j("calculation_expression"), "dependencies": needs})))
-        .when(r == "scope", call("define_lca_scope", compact(scope, *optional)))
-        .when(_is_summary(known), call("get_session_summary", compact(session | {"format": F.lit('"text"')})))
+        F.when(r == "parameter", call("record_parameter", chosen(take("parameter_name", "parameter_value", "parameter_unit"))))
+        .when(r == "flow", call("record_process_flow", chosen(take("flow_type", "category", "name", "value", "unit"), "process_name", "cas_number", "location")))
+        .when(r == "calculation", call("execute_calculation", compact(take() | {"expression": known("calculation_expression"), "dependencies": needs})))
+        .when(r == "scope", call("define_lca_scope", chosen(take("parameter_name", "description", "value", "unit", "source_content"))))
+        .when(_is_summary(known), call("get_session_summary", compact(take() | {"format": F.lit("text")})))
     )
 
 
@@ -135,11 +134,12 @@ def record_response(known, summary: Column) -> Column:
     )
 
 
-def earlier_summaries(actions: DataFrame, parts: int | None = None, asks: Column | None = None) -> DataFrame:
+def earlier_summaries(actions: DataFrame, parts: int | None = None, asks: Column | None = None, begun: DataFrame | bool | None = True) -> DataFrame:
     """(session_id, seq, summary) for each action that asks for a summary: of what its session had recorded before it.
 
     Calculations are not told. Lines between two such actions are put together once; an action meets these pieces, not
-    its session's records. ``asks``: which actions count as asking, those that ask for a summary if not given.
+    its session's records. ``asks``: which actions count as asking, those that ask for a summary if not given. Actions without
+    a session have nothing before them and are left out. ``begun``: as in :class:`millrace.operators.ordered.Dealt`.
     """
     text = lambda name, other="None": F.coalesce(F.col(name).cast("string"), F.lit(other))
     lines = {
@@ -149,8 +149,9 @@ def earlier_summaries(actions: DataFrame, parts: int | None = None, asks: Column
     }
     line = F.coalesce(*[F.when(F.col("record_type") == kind, said) for kind, said in lines.items()])
     asks = F.coalesce(_is_summary(F.col) if asks is None else asks, F.lit(False))
-    rows = actions.select("session_id", "seq", "record_type", line.alias("line"), asks.alias("asks"))
-    rows = Dealt(rows, ["session_id"], ["seq"], parts, actions).carry(nth=("total", F.col("asks").cast("int"))).rows
+    # the join below would leave out null sessions on one of its sides alone, and both would be dealt
+    rows = actions.where(F.col("session_id").isNotNull()).select("session_id", "seq", "record_type", line.alias("line"), asks.alias("asks"))
+    rows = Dealt(rows, ["session_id"], ["seq"], parts, actions, begun).carry(nth=("total", F.col("asks").cast("int"))).rows
     # an action that asks ends a piece, and is itself of the next one
     seq = actions.schema["seq"].dataType.simpleString()
     own = F.struct((F.col("nth") + F.col("asks").cast("int")).alias("nth"), F.lit(False).alias("ends"), F.lit(None).cast(seq).alias("ask"), F.struct("seq", "line").alias("l"), F.col("record_type").alias("kind"))
@@ -175,18 +176,22 @@ def earlier_summaries(actions: DataFrame, parts: int | None = None, asks: Column
 
 
 # --- the machine -----------------------------------------------------------------------------------------------------
-_ROW = "array<struct<k:int,role:string,content:string,reasoning_content:string,tool_calls:array<string>>>"
-
-
-def _row(k: int, role: str, content=None, reasoning=None, calls=None) -> Column:
+def _row(k: int, role: str, content=None, reasoning=None, calls=None, seq=None) -> Column:
+    """A message of an action, which is at ``seq``, and its place ``k`` among the action's messages."""
     null = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(k).alias("k"), F.lit(role).alias("role"), (null if content is None else content).alias("content"),
-        (null if reasoning is None else reasoning).alias("reasoning_content"), (F.lit(None).cast("array<string>") if calls is None else calls).alias("tool_calls"),
+    message = F.struct(
+        F.lit(role).alias("role"), (null if content is None else content).alias("content"), (null if reasoning is None else reasoning).alias("reasoning_content"),
+        (F.lit(None).cast("array<string>") if calls is None else calls).alias("tool_calls"),
     )
+    return F.struct((F.col("seq") if seq is None else seq).alias("seq"), F.lit(k).alias("k"), message.alias("m"))
+
 
+def _rows(pieces: DataFrame) -> DataFrame:
+    """A row for each message."""
+    return pieces.select("session_id", F.inline("said")).select("session_id", "seq", "k", "m.*")
 
-def told(actions: DataFrame, parts: int | None = None) -> DataFrame:
+
+def told(actions: DataFrame, parts: int | None = None, begun: DataFrame | bool | None = True) -> DataFrame:
     """Actions but previews, each with what it says in a conversation.
 
     ``kind``: pivot, skip or record. ``asked``, ``found``: its search and the chunks found. ``searches``: whether it says
@@ -199,15 +204,15 @@ def told(actions: DataFrame, parts: int | None = None) -> DataFrame:
     pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
     kind = F.when(pivot, "pivot").when(F.col("intent") == "smart_skip", "skip").otherwise("record")
     rows = rows.withColumn("kind", kind)
-    none = F.array().cast("array<struct<chunk_id:string,content:string>>")
-    slim = lambda c: F.transform(c, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["content"].alias("content")))
-    context = F.coalesce(slim(F.col("search_context")), none)
+    none = F.array().cast(_CHUNKS)
+    slim = lambda c: c if actions.schema[c].dataType.simpleString() == _CHUNKS else F.transform(c, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["content"].alias("content")))
+    context = F.coalesce(slim("search_context"), none)
     skipped = F.when((F.size(context) == 0) & F.col("skipped_chunk").isNotNull(), F.array(F.struct("skipped_chunk.chunk_id", "skipped_chunk.content"))).otherwise(context)
     rows = rows.withColumn("asked", F.when(F.col("kind") == "pivot", F.col("failed_query")).otherwise(F.col("search_query")))
-    rows = rows.withColumn("found", F.when(F.col("kind") == "pivot", F.coalesce(slim(F.col("failed_context")), none)).when(F.col("kind") == "skip", skipped).otherwise(context))
+    rows = rows.withColumn("found", F.when(F.col("kind") == "pivot", F.coalesce(slim("failed_context"), none)).when(F.col("kind") == "skip", skipped).otherwise(context))
     may = (F.coalesce(F.size("asked"), F.lit(0)) > 0) & ((F.col("kind") != "record") | (F.size("found") > 0))
-    rows = rows.withColumn("__may", F.when(may, F.col("asked")))
-    dealt = Dealt(rows, ["session_id"], ["seq"], parts, actions).carry(before_query=("before", F.col("__may")), nth=("total", F.lit(1)), later=("after", F.lit(True)))
+    dealt = Dealt(rows, ["session_id"], ["seq"], parts, actions, begun).with_column("__may", F.when(may, F.col("asked")))
+    dealt.carry(before_query=("before", F.col("__may")), nth=("total", F.lit(1)), later=("after", F.lit(True)))
     dealt.with_column("searches", F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query")))
     records = (F.col("kind") == "record") & (F.col("record_type").isin(*RECORDS) | _is_summary(F.col))
     dealt.with_column("records", F.coalesce(records, F.lit(False)))
@@ -231,24 +236,37 @@ def chat_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
     the next call takes on. Types that no tool makes give their search alone. A session that ends with a summary, or
     with a record after at most ``SHORT_SESSION`` actions, ends with an empty reply, to be filled in.
     """
-    rows, empty = told(actions, parts), F.lit("")
+    return _rows(chat_pieces(actions, parts))
+
+
+def chat_pieces(actions: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same before it is rows: (session_id, said), the messages of an action as one value, told summaries by themselves."""
+    begun, empty = borders(actions, ["session_id"], ["seq"], parts), F.lit("")
+    rows = told(actions, parts, begun)
     takes = F.when(F.col("kind") != "pivot", F.coalesce("pending", empty)).otherwise(empty)
-    search = F.array(call("search_document", search_arguments(F.col("session_id"), F.col("asked"))))
     known = F.coalesce(F.col("record_type").isin(*RECORDS), F.lit(False))
     ends = ~F.col("later") & ((F.col("record_type") == "summary_check") | (known & (F.col("nth") < SHORT_SESSION)))
-    said = F.array_compact(F.array(
-        F.when(F.col("searches"), _row(0, "assistant", reasoning=takes, calls=search)), F.when(F.col("searches"), _row(1, "tool", search_response(F.col("asked"), F.col("found")))),
+    here = known | F.col("session_id").isNull()  # what has no session has no summary either
+    # texts are columns first, so that they are compiled; within what makes rows of them they would be interpreted
+    texts = {
+        "__search": F.when(F.col("searches"), call("search_document", search_arguments(F.col("session_id"), F.col("asked")))),
+        "__found": F.when(F.col("searches"), search_response(F.col("asked"), F.col("found"))),
+        "__call": F.when(F.col("records"), record_call(F.col)), "__answer": F.when(F.col("records") & here, record_response(F.col, F.lit(None).cast("string"))),
+        "__takes": takes, "__here": here, "__ends": ends,
+    }
+    rows = rows.select("session_id", "seq", "searches", "stays", "records", "placeholder", *(c.alias(n) for n, c in texts.items()))
+    said = F.array(
+        F.when(F.col("searches"), _row(0, "assistant", reasoning=F.col("__takes"), calls=F.array("__search"))), F.when(F.col("searches"), _row(1, "tool", F.col("__found"))),
         F.when(F.col("stays"), _row(2, "assistant", reasoning=F.col("placeholder"), calls=F.array().cast("array<string>"))),
-        F.when(F.col("records"), _row(3, "assistant", reasoning=F.when(F.col("searches"), empty).otherwise(takes), calls=F.array(record_call(F.col)))),
-        F.when(F.col("records") & known, _row(4, "tool", record_response(F.col, F.lit(None).cast("string")))), F.when(ends, _row(5, "assistant", content=empty, reasoning=empty)),
-    ).cast(_ROW))
+        F.when(F.col("records"), _row(3, "assistant", reasoning=F.when(F.col("searches"), empty).otherwise(F.col("__takes")), calls=F.array("__call"))),
+        F.when(F.col("records") & F.col("__here"), _row(4, "tool", F.col("__answer"))), F.when(F.col("__ends"), _row(5, "assistant", content=empty, reasoning=empty)),
+    )
     # answers that tell a summary need no other column of their actions, so these stay where they are
     pivot = (F.col("record_type") == "pivot") | F.coalesce(F.col("intent") == "pivot_query", F.lit(False))
     aside = F.coalesce(pivot | (F.col("intent") == "smart_skip"), F.lit(False)) | F.coalesce(F.col("record_type") == "document_preview", F.lit(False))
-    summaries = earlier_summaries(actions, parts, _is_summary(F.col) & ~known & ~aside)
-    summary = F.when(F.col("session_id").isNotNull(), F.col("summary"))
-    answer = F.array(_row(4, "tool", content=response({"success": F.lit("true"), "summary": json_of(summary)}))).cast(_ROW)
-    return rows.select("session_id", "seq", F.inline(said)).unionByName(summaries.select("session_id", "seq", F.inline(answer)))
+    summaries = earlier_summaries(actions, parts, _is_summary(F.col) & ~known & ~aside, begun)
+    answer = F.array(_row(4, "tool", content=response({"success": F.lit("true"), "summary": json_of(F.col("summary"))})))
+    return rows.select("session_id", F.array_compact(said).alias("said")).unionByName(summaries.select("session_id", answer.alias("said")))
 
 
 def system_prompts(actions: DataFrame, base: str, injection: str = INJECTION, most: int | None = None) -> DataFrame:
@@ -273,18 +291,19 @@ def system_prompts(actions: DataFrame, base: str, injection: str = INJECTION, mo
     return rows.select("session_id", prompt.alias("prompt"))
 
 
-def _samples(rows: DataFrame, prompts: DataFrame) -> DataFrame:
-    """session_id, messages (role, content, reasoning_content, tool_calls) and n: the prompt, an empty question, and ``rows`` in order."""
-    opening = F.array(_row(-2, "system", content=F.col("prompt")), _row(-1, "user", content=F.lit(""))).cast(_ROW)
-    every = rows.unionByName(prompts.select("session_id", F.lit(None).cast("int").alias("seq"), F.inline(opening)))
-    message = F.struct("role", "content", "reasoning_content", "tool_calls").alias("m")
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "k", message)))
-    return every.groupBy("session_id").agg(F.transform(ordered, lambda r: r["m"]).alias("messages"), F.count("*").alias("n"))
+def _samples(pieces: DataFrame, prompts: DataFrame) -> DataFrame:
+    """session_id, messages (role, content, reasoning_content, tool_calls) and n: the prompt, an empty question, and ``pieces`` in order."""
+    seq = F.lit(None).cast(pieces.schema["said"].dataType.elementType["seq"].dataType)
+    opening = F.array(_row(-2, "system", content=F.col("prompt"), seq=seq), _row(-1, "user", content=F.lit(""), seq=seq))
+    every = pieces.unionByName(prompts.select("session_id", opening.alias("said")))
+    # one by one in order, as a told summary comes between the other messages of its action
+    messages = F.sort_array(F.flatten(F.collect_list("said")))["m"]
+    return every.groupBy("session_id").agg(messages.alias("messages")).select("session_id", "messages", F.size("messages").cast("long").alias("n"))
 
 
 def chat_samples(actions: DataFrame, base: str, parts: int | None = None) -> DataFrame:
     """One sample of nested messages for each session. A session's sample is one value, as it is one line of the file."""
-    return _samples(chat_rows(actions, parts), system_prompts(actions, base))
+    return _samples(chat_pieces(actions, parts), system_prompts(actions, base))
 
 
 def answer(calculated: Column) -> Column:
@@ -316,14 +335,16 @@ def qa_pairs(actions: DataFrame) -> DataFrame:
     return rows.withColumn("calculated", was).withColumn("answer", answer(was)).drop("__s", "__a", "__q")
 
 
-_CHUNKS = "array<struct<chunk_id:string,content:string>>"
-
-
 def qa_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
     """Message rows of the question-answer form: the searches with what they found, and one answer of all records.
 
     Here a search is said whether or not it found anything, a skip finds the chunk that it skipped, and records are no calls.
     """
+    return _rows(qa_pieces(actions, parts))
+
+
+def qa_pieces(actions: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same before it is rows: (session_id, said), each search with what it found, and the answer, as one value."""
     context = F.coalesce("search_context", F.array().cast(_CHUNKS))
     skip = F.col("intent") == "smart_skip"
     found = F.when(skip, F.when(F.col("skipped_chunk").isNotNull(), F.array(F.struct("skipped_chunk.chunk_id", "skipped_chunk.content"))).otherwise(F.array().cast(_CHUNKS))).otherwise(context)
@@ -334,16 +355,16 @@ def qa_rows(actions: DataFrame, parts: int | None = None) -> DataFrame:
     rows = carried(rows, ["session_id"], ["seq"], parts, before_query=("before", F.col("__may")))
     searches = F.col("__may").isNotNull() & ~F.col("__may").eqNullSafe(F.col("before_query"))
     search = F.array(call("search_document", search_arguments(F.col("session_id"), F.col("asked"))))
-    said = F.array(_row(0, "assistant", reasoning=F.lit(""), calls=search), _row(1, "tool", search_response(F.col("asked"), F.col("found")))).cast(_ROW)
-    said = rows.where(searches).select("session_id", "seq", F.inline(said))
+    said = F.array(_row(0, "assistant", reasoning=F.lit(""), calls=search), _row(1, "tool", search_response(F.col("asked"), F.col("found"))))
+    said = rows.where(searches).select("session_id", said.alias("said"))
     answers = qa_pairs(rows.where(~pivot & F.coalesce(~skip, F.lit(True)))).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "answer"))).alias("a"), F.max("seq").alias("seq"))
     last = actions.groupBy(F.col("session_id").alias("__s")).agg(F.max("seq").alias("__last"))
     text = F.array_join(F.transform("a", lambda x: x["answer"]), " ")
-    reply = F.array(_row(5, "assistant", content=text, reasoning=F.lit(""))).cast(_ROW)
+    reply = F.array(_row(5, "assistant", content=text, reasoning=F.lit("")))
     answers = answers.drop("seq").join(last, F.col("session_id") == F.col("__s")).withColumnRenamed("__last", "seq")
-    return said.unionByName(answers.select("session_id", "seq", F.inline(reply)))
+    return said.unionByName(answers.select("session_id", reply.alias("said")))
 
 
 def qa_samples(actions: DataFrame, base: str, parts: int | None = None) -> DataFrame:
     """One question-answer sample for each session, previews cut to 500 characters."""
-    return _samples(qa_rows(actions, parts), system_prompts(actions, base, QA_INJECTION, 500))
+    return _samples(qa_pieces(actions, parts), system_prompts(actions, base, QA_INJECTION, 500))

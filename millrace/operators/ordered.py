@@ -42,12 +42,13 @@ def _same(keys: list[str], a: str, b: str) -> list[Column]:
 class Dealt:
     """Rows that are dealt by ``keys``, and by ranges of ``order`` for the keys of :func:`borders`.
 
-    Of rows that no filter kept some, ``of`` may be the whole, whose keys are quicker to count.
+    Of rows that no filter kept some, ``of`` may be the whole, whose keys are quicker to count. ``begun``: what :func:`borders`
+    gave, where several are dealt alike; True if it is still to be asked.
     """
 
-    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None, of: DataFrame | None = None):
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None, of: DataFrame | None = None, begun: DataFrame | bool | None = True):
         self.keys, self.order = keys, order
-        begun = borders(rows if of is None else of, keys, order, parts)
+        begun = borders(rows if of is None else of, keys, order, parts) if begun is True else begun
         self.by = keys if begun is None else [_PART, *keys]
         if begun is not None:
             met = rows.join(F.broadcast(begun), _same(keys, "", "__b_"), "left")

@@ -188,6 +188,42 @@ def test_samples_of_dealt_rows(spark):
     assert samples(made) == samples(export.chat_samples(frame(spark, actions), "BASE", 16))
 
 
+def test_samples_make_each_text_once(spark, monkeypatch):
+    """Messages are grouped by action and not one by one, JSON is written once for an object, and ranges are asked for once."""
+    asked, ask = [], ordered.borders
+    for module in (ordered, export):
+        monkeypatch.setattr(module, "borders", lambda *a, **b: asked.append(a) or ask(*a, **b), raising=False)
+    plan = export.chat_samples(frame(spark, log(13)), "BASE")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1
+    assert plan.count("Generate inline") == 2  # both sides of told summaries; what actions say is no row of its own
+    assert plan.count("StructsToJsonEvaluator") < 60  # 138 where a text was written to know its length and again to cut it
+
+
+def test_texts_that_look_like_json(spark):
+    texts = ["", "[", "]", "[]", "][", "[[x]]", "}", "{}", '"', '"]', "a\nb", None]
+    df = spark.createDataFrame([(t, [t, t]) for t in texts], "t string, l array<string>")
+    c = F.col("t")
+    objects = export.compact({"a": c, "l": F.col("l")}), export.longer({"a": c}, "o", {"b": c, "c": c}, {"x": export.json_of(c), "y": F.when(c.isNotNull(), export.json_of(c))})
+    for r in df.select("t", export.json_of(c).alias("j"), *(o.alias(f"o{i}") for i, o in enumerate(objects))).collect():
+        t, text = r["t"], json.dumps(r["t"])
+        assert r["j"] == text and r["o0"] == f'{{"a":{text},"l":[{text},{text}]}}'
+        assert r["o1"] == f'{{"a":{text},"o":{{"b":{text},"c":{text}}},"x":{text}' + ("" if t is None else f',"y":{text}') + "}"
+    numbers = spark.createDataFrame([(1.5, 20, True), (None, None, None)], "d double, i int, b boolean")
+    assert [tuple(r) for r in numbers.select(*(export.json_of(F.col(n)) for n in "dib")).collect()] == [("1.5", "20", "true"), ("null", "null", "null")]
+
+
+def test_actions_without_a_session(spark):
+    """They are one sample; what they ask for is answered without a summary, once."""
+    actions = log(14, sessions=1, longest=40) + [a | {"session_id": None} for a in log(15, sessions=1, longest=60)]
+    rows = [r for r in export.chat_rows(frame(spark, actions)).collect() if r["session_id"] is None]
+    answers = {r["seq"]: r["content"] for r in rows if r["k"] == 4}
+    asks = [a["seq"] for a in actions if a["session_id"] is None and a["record_type"] == "summary_check"]
+    assert asks and sum(r["k"] == 4 and r["seq"] in asks for r in rows) == len(asks)
+    assert all(answers[q] == answered({"success": True, "summary": None}) for q in asks)
+    sample = [r for r in export.chat_samples(frame(spark, actions), "BASE").collect() if r["session_id"] is None]
+    assert len(sample) == 1 and sample[0]["n"] == len(rows) + 2 == len(sample[0]["messages"])
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_carried_against_brute_force(spark, parts):
     rng = random.Random(parts)
