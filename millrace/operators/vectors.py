@@ -76,6 +76,49 @@ class Best:
         return [(self.ids[q].item(), r[1], sign * r[0] + 0.0, *r[2]) for (q, _), best in self.found.items() for r in best]
 
 
+#: Queries and corpus rows that :func:`most_alike` looks at together.
+_LOOK_QUERIES, _LOOK_ROWS = 256, 2048
+
+
+def most_alike(queries: np.ndarray, corpus: np.ndarray, k: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``corpus`` of each query's ``k`` highest cosines, and these, rounded to ``digits``; equal ones in order.
+
+    Products in single precision tell which rows may be among the best, with more slack than their error; only these have
+    their cosines made. All vectors are finite and none is nought.
+    """
+    k = min(k, len(corpus))
+    found, cosines = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
+    norms, sizes = (np.sqrt((m * m).sum(axis=1)) for m in (queries, corpus))
+    low, high = (queries / norms[:, None]).astype(np.float32), (corpus / sizes[:, None]).astype(np.float32)
+    slack = np.float32(4 * (corpus.shape[1] + 4) * np.finfo(np.float32).eps)
+    for at in range(0, len(queries) if k else 0, _LOOK_QUERIES):
+        some = low[at : at + _LOOK_QUERIES]
+        best, hits, first, step = np.full((len(some), k), -np.inf, np.float32), [], 0, max(k, _LOOK_ROWS // 16)
+        while first < len(high):
+            products = some @ high[first : first + step].T
+            least = best.min(axis=1) - slack
+            better = np.flatnonzero(products.max(axis=1) >= least)
+            if len(better):
+                products = products[better]
+                row, column = np.divmod(np.flatnonzero(products >= least[better, None]), products.shape[1])
+                value = products[row, column]
+                hits.append((better[row], first + column, value))
+                n = np.bincount(row)
+                new = np.full((len(better), n.max()), -np.inf, np.float32)
+                new[row, np.arange(len(row)) - (np.cumsum(n) - n)[row]] = value
+                best[better] = np.partition(np.concatenate([best[better], new], axis=1), new.shape[1], axis=1)[:, new.shape[1] :]
+            first, step = first + step, min(4 * step, _LOOK_ROWS)
+        row, place, value = (np.concatenate(x) for x in zip(*hits))
+        may = value >= (best.min(axis=1) - slack)[row]
+        row, place = row[may], place[may]
+        cosine = np.round(np.einsum("ij,ij->i", queries[at + row], corpus[place]) / (norms[at + row] * sizes[place]), digits)
+        order = np.lexsort((place, -cosine, row))
+        n = np.bincount(row, minlength=len(some))
+        order = order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k].reshape(-1, k)
+        found[at : at + len(some)], cosines[at : at + len(some)] = place[order], cosine[order]
+    return found, cosines
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dims)

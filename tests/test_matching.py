@@ -1,9 +1,11 @@
 """Matching of flows: strings, rules, units, contexts and nearest vectors against plain Python."""
 
+import hashlib
 import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +274,40 @@ def test_process_pairs_stay_in_their_task(spark):
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_all_processes(spark, monkeypatch):
+    """Without a bound every process is a candidate, whatever tasks the pairs fall into; equal texts go by uuid."""
+    monkeypatch.setattr(matching, "SHARE", 150)
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "_LOOK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "_LOOK_ROWS", 64)
+    known = [(f"p{i:03d}", f"process {i}", ["x"]) for i in range(600)] + [(f"q{i}", "same", ["x", None]) for i in range(9)] + [(None, "process 7", ["x"]), ("p000", None, None)]
+    asked = [(i, f"process {i * 29}", "x") for i in range(20)] + [(50, "same", "x"), (51, "same", "x"), (51, "abc", None), (52, None, "")]
+    processes = spark.createDataFrame(known, "uuid string, name string, categories array<string>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id int, name string, location string")
+    md5 = lambda text: np.tile(np.frombuffer(hashlib.md5(text.encode()).digest(), np.uint8) / 255, 4)
+    vecs = [(u, md5(" ".join([n or "", *(c for c in cs or [] if c is not None)]))) for u, n, cs in known]
+    want = {}
+    for q, n, place in asked:
+        v = md5(" ".join(x for x in (n, place or None) if x is not None))
+        want.setdefault(q, []).extend((-round(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))), 9), u or "") for u, w in vecs)
+    want = {(q, r): (u, -s) for q, found in want.items() for r, (s, u) in enumerate(sorted(found)[:4], 1)}
+    got = matching.match_processes(queries, processes, k=4, most=None)
+    told = {(r["query_id"], r["rank"]): (r["uuid"] or "", r["similarity"]) for r in got.collect()}
+    assert told.keys() == want.keys() and all(told[x][0] == want[x][0] and abs(told[x][1] - want[x][1]) < 6e-7 for x in want)
+    assert dict(got.dtypes)["query_id"] == "int" and {(r["query_id"], r["uuid"]) for r in got.collect() if r["similarity"] == 1} >= {(19, "p551"), (51, "q0"), (51, "q3")}
+    assert matching.match_processes(queries, processes.limit(0), most=None).collect() == matching.match_processes(queries.limit(0), processes, most=None).collect() == []
+    assert matching.match_processes(queries.limit(1), processes.limit(3), most=None).count() == 3
+
+
+def test_process_match_reads_all_processes(spark, tmp_path):
+    """A process beyond the first 500 is found where it is the best."""
+    spark.range(700).selectExpr("id AS p_partkey", "'part ' || id AS p_name", "'B' AS p_brand", "'T' AS p_type", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT 1L AS s_suppkey, 'part 699 T B Emission to water' AS s_name, 0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    best = q_matching.QUERIES["process_match"](spark, str(tmp_path)).where("rank = 1").collect()
+    assert [(r["uuid"], r["similarity"]) for r in best] == [("699", 1.0)]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_recorded_flows_are_many_small_tasks(spark, monkeypatch):
     """Recorded flows are as many tasks as their number needs, and meet their mappings there without another shuffle."""
