@@ -2,8 +2,9 @@
 
 1. Each text gives its set of word shingles, MinHash samples of it, band hashes of these, and an odd sketch: a bitmap in
    which every sample toggles one bit. Documents with equal sets are one node from here on.
-2. Nodes that share a band hash are candidates. Each bucket is a star around its least node, so a bucket of any size
-   gives as many edges as it has nodes; the components of these edges are families.
+2. Nodes that share a band hash are candidates. In a bucket of at most ``BUCKET`` nodes those are joined whose sketches and
+   sizes allow the similarity, so texts that share a passage by chance make no families that grow faster than the input; a
+   larger bucket is a star around its least node. Either gives at most one edge for each node; their components are families.
 3. Only nodes in families of two or more get their full sets, once each. Families are dealt into blocks of at most
    ``BLOCK`` nodes; each block meets a hub of the family's nodes, and in a block two nodes that are not linked yet are
    compared: first the exclusive-or of their sketches, whose population count estimates high similarities precisely,
@@ -19,10 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from millrace.llm import words
 from millrace.llm.components import components
 from millrace.llm.shared import drop_staged, staged
 
-BANDS, ROWS, SKETCH_BITS, BLOCK, HUB = 28, 4, 512, 256, 64
+BANDS, ROWS, SKETCH_BITS, BLOCK, HUB, BUCKET = 28, 4, 512, 256, 64, 1 << 14
 _R = np.random.default_rng(7)
 _A, _B = (_R.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 _NULL_ID = -(2**63)
@@ -115,37 +115,135 @@ def _members(k: int):
     return run
 
 
-def _linked(percent: int):
-    """Edges that join the nodes of one block which are linked: one for each node but one of every component."""
+def _whole(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables that hold whole groups of equal keys, with the places where groups begin, and the end."""
+
+    def starts(values: list[np.ndarray]) -> np.ndarray:
+        changed = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(values[0])]])
+
+    def table(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts)
+        return t, starts([t.column(k).to_numpy() for k in keys])
+
+    last, held = None, []  # the group that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        if held and last != [v[0] for v in values]:
+            yield table(held)
+            held = []
+        at = int(starts(values)[-2])
+        if at:
+            yield table([*held, batch.slice(0, at)])
+            held = []
+        held.append(batch.slice(at))
+        last = [v[-1] for v in values]
+    if held:
+        yield table(held)
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _odd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1)
+
+
+def _alike(percent: int):
+    """Edges that join the nodes of one bucket that pairs which may be linked connect: one for each node but one of every component.
+
+    All of a bucket are compared with its first node at once, and what is not alike to it with what is, until nothing is left.
+    """
     most = most_odd_bits(percent)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        node, m = pdf["node"].to_numpy(), len(pdf)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(m, -1)
-        sizes = np.array([len(s) for s in sets])
-        root = pdf["root"].to_numpy().copy() if "root" in pdf else node.copy()
-        a, b = [], []
-        for i in range(m):
-            odd = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1)
-            least, largest = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            may = (odd <= most) & (100 * least >= percent * largest) & (root[i + 1 :] != root[i])
-            for j in (np.flatnonzero(may)[np.argsort(odd[may], kind="stable")] + i + 1).tolist():
-                if root[i] == root[j]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole(batches, ["band"]):
+            node, size, sketch = t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _matrix(t.column("sketch").to_pylist())
+
+            def may(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+                return (_odd(sketch[x], sketch[y]) <= most) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+
+            head = np.repeat(at[:-1], np.diff(at))
+            near = may(np.arange(len(node)), head)
+            with_head = near & (head != np.arange(len(node)))
+            a, b = [node[with_head]], [node[head[with_head]]]
+            for bucket in np.flatnonzero((np.diff(at) > 2) & (np.add.reduceat(~near, at[:-1]) > 0)).tolist():
+                rows = np.arange(at[bucket], at[bucket + 1])
+                left, todo = rows[~near[rows]], rows[near[rows]][1:].tolist()
+                while len(left):
+                    if not todo:
+                        todo, left = [int(left[0])], left[1:]
+                    i = todo.pop()
+                    hit = may(left, i)
+                    if hit.any():
+                        found = left[hit]
+                        a.append(node[found])
+                        b.append(np.full(len(found), node[i]))
+                        todo += found.tolist()
+                        left = left[~hit]
+            yield _edges(a, b)
+
+    return run
+
+
+def _links(node: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], root: np.ndarray, percent: int, most: int) -> tuple[list, list]:
+    """Edges of different nodes that join those which are linked and have another root: one for each but one of every component."""
+    sizes = np.array([len(s) for s in sets])
+    a, b = [], []
+    for i in range(len(node)):
+        may = root[i + 1 :] != root[i]
+        if not may.any():
+            continue
+        odd = _odd(sketch[i + 1 :], sketch[i])
+        least, largest = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+        may &= (odd <= most) & (100 * least >= percent * largest)
+        for j in (np.flatnonzero(may)[np.argsort(odd[may], kind="stable")] + i + 1).tolist():
+            if root[i] == root[j]:
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                a.append(node[i])
+                b.append(node[j])
+                root[root == root[j]] = root[i]
+    return a, b
+
+
+def _linked(percent: int, keys: list[str]):
+    """The edges of each block of rows with equal ``keys``; rows come sorted by them, so that one batch may hold many small families."""
+    most = most_odd_bits(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole(batches, keys):
+            a, b = [], []
+            for first, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = t.slice(first, end - first)
+                node, once = np.unique(own.column("node").to_numpy(), return_index=True)
+                if len(node) < 2:
                     continue
-                both = np.concatenate([sets[i], sets[j]])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    a.append(node[i])
-                    b.append(node[j])
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                own = own.take(pa.array(once)) if len(once) < end - first or (np.diff(once) < 0).any() else own
+                root = own.column("root").to_numpy().copy() if "root" in t.column_names else node.copy()
+                sets = [np.frombuffer(s, np.uint64) for s in own.column("shingles").to_pylist()]
+                some = _links(node, _matrix(own.column("sketch").to_pylist()), sets, root, percent, most)
+                for edges, new in zip((a, b), some):
+                    edges.append(np.array(new, np.int64))
+            yield _edges(a, b)
 
     return run
 
 
+def _compared(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent, list(keys)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -177,8 +275,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     feats = staged(keyed.mapInArrow(_features(shingle), _FEATURES), "features")
     sets = (
         feats.where("n_shingles > 0").groupBy("set")
-        .agg(F.min(F.struct("__id", "__h")).alias("__one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("set", "__one.*", "bands", "sketch")
+        .agg(F.min(F.struct("__id", "__h")).alias("__one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+        .select("set", "__one.*", "bands", "sketch", "n_shingles")
     )
     sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     labels = _components(keyed, sets, shingle, percent)
@@ -189,9 +287,14 @@ def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
 def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, label of all nodes that are linked to any other."""
     banded = staged(sets.select("node", F.explode("bands").alias("band")), "bands")
-    stars = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("__band"), "b")
-    families = components(banded.join(stars, F.col("band") == F.col("__band")).select(F.col("node").alias("a"), "b"))
+    stars = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("__band"), "b", "n")
+    shared = staged(banded.join(stars, F.col("band") == F.col("__band")).select("band", "node", "b", "n"), "shared")
     drop_staged(banded)
+    sketches = sets.select(F.col("node").alias("__s"), "sketch", "n_shingles")
+    sieved = shared.where(F.col("n") <= BUCKET).join(sketches, F.col("node") == F.col("__s")).select("band", "node", "sketch", "n_shingles")
+    sieved = sieved.repartition("band").sortWithinPartitions("band").mapInArrow(_alike(percent), "a long, b long")
+    families = components(sieved.unionByName(shared.where(F.col("n") > BUCKET).select(F.col("node").alias("a"), "b")))
+    drop_staged(shared)
     sized = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("__l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     wanted = sets.select("node", "__id", "__h", "sketch").join(families, "node").select("node", F.col("label").alias("family"), "sketch", "__id", "__h")
     one_text = keyed.withColumnsRenamed({"__id": "__ki", "__h": "__kh"}).join(wanted, (F.col("__id") == F.col("__ki")) & (F.col("__h") == F.col("__kh")))
@@ -200,7 +303,7 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     hubs = F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("blocks") * BLOCK / HUB)) == 0
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     dealt = members.withColumn("block", F.explode(F.when(hubs[0] & hubs[1], F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    links = staged(dealt.groupBy("family", "block").applyInPandas(_linked(percent), "a long, b long"), "links")
+    links = staged(_compared(dealt, percent, "family", "block"), "links")
     labels, large = components(links), members.where("blocks > 1")
     if large.isEmpty():
         drop_staged(members, links)
@@ -215,8 +318,7 @@ def _components(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int) -
     meets = large.withColumn("block", F.explode(own)).withColumn("other", F.explode(every))
     visits = large.where(rest).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", mine)
     more = meets.unionByName(visits).select("node", "family", "sketch", "shingles", "root", "block", "other")
-    more = more.groupBy("family", "block", "other").applyInPandas(_linked(percent), "a long, b long")
-    joined = components(links.unionByName(more))
+    joined = components(links.unionByName(_compared(more, percent, "family", "block", "other")))
     drop_staged(members, links)
     return joined
 

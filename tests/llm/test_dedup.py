@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,64 @@ def test_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(docs, 3, 85)
 
 
+def test_shared_passages_make_no_family(spark, monkeypatch):
+    """Texts that share bands by a common passage, but are far from alike, are not compared in full: such families grow faster than the input."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(24)]
+    docs = [(d, " ".join(passage + [f"{d}.{i}" for i in range(rng.randrange(14, 20))])) for d in range(120)]
+    docs += [(1000 + d, " ".join([f"q{i}" for i in range(60)] + [f"x{d}"])) for d in range(5)]
+    joined = []
+    monkeypatch.setattr(near_dedup, "components", lambda edges, made=near_dedup.components: joined.append({x for e in edges.collect() for x in e}) or made(edges))
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(docs, 3, 85)
+    assert 5 <= len(joined[0]) < 12  # of 125; sketches take a few pairs for more alike than they are
+
+
+@pytest.mark.parametrize("bucket", [2, 1 << 14])
+def test_buckets_of_any_size(spark, monkeypatch, bucket):
+    """Larger buckets than are sieved, and batches that end within buckets and families, change nothing."""
+    docs = families(random.Random(9), 30)
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, percent=85).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(docs, 3, 85)
+
+
+def test_groups_are_whole():
+    """Every table holds whole groups, wherever batches end."""
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = sorted((rng.randrange(4), rng.randrange(3)) for _ in range(rng.randrange(0, 25)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(0, 9)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], ["x", "y"]) for part in parts]
+        groups = [list(zip(t.column("x").to_pylist(), t.column("y").to_pylist()))[a:b] for t, at in near_dedup._whole(batches, ["x", "y"]) for a, b in zip(at[:-1], at[1:])]
+        assert sum(groups, []) == rows and len(groups) == len(set(rows)) and all(len(set(g)) == 1 for g in groups)
+
+
+def test_buckets_join_what_chains_of_alike_pairs_connect():
+    """In a bucket one edge fewer than nodes for each chain of alike pairs, whatever its first node is alike to."""
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 2**63, 400, dtype=np.uint64) for _ in range(3)]
+    near = lambda s, n: np.concatenate([s[n:], rng.integers(0, 2**63, n, dtype=np.uint64)])
+    sets = [near(base[0], 0), near(base[1], 0), near(base[1], 8), near(base[2], 0), near(base[0], 8), near(base[1], 16), base[2][:300]]
+    sets.append(near(sets[4], 60))  # about as near to base[0] by way of the fifth alone
+    sketch = [near_dedup.odd_sketch(near_dedup.minhash(np.unique(s))).tobytes() for s in sets]
+    bands = [1] * len(sets) + [2, 2]
+    columns = {"band": bands, "node": [*range(10, 10 + len(sets)), 10, 11], "sketch": [*sketch, sketch[0], sketch[1]], "n_shingles": [*(len(s) for s in sets), 400, 400]}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "sketch" else pa.int64()) for k, v in columns.items()})
+    edges = {frozenset(e) for b in near_dedup._alike(85)([batch.slice(0, 3), batch.slice(3)]) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    root = {n: n for n in range(10, 10 + len(sets))}
+    for a, b in (sorted(e) for e in edges):
+        low, high = sorted((root[a], root[b]))
+        assert low != high
+        root = {n: low if r == high else r for n, r in root.items()}
+    assert root[14] == root[10] == root[17] and root[11] == root[12] == root[15] == 11 and root[13] == 13 and root[16] == 16
+
+
 def test_odd_rows_near(spark, odd, none, rows_of):
     got = near_dedup.near_duplicates(odd, shingle=3, percent=85).collect()
     assert len(got) == odd.count()
